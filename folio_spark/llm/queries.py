@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .packing import op1_packing
+from .sharding import op5_sharding
 from .toxicity import op9_toxicity
 
-QUERIES = {"op9_toxicity": op9_toxicity}
+QUERIES = {"op1_packing": op1_packing, "op5_sharding": op5_sharding, "op9_toxicity": op9_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
