@@ -17,7 +17,7 @@ both classes every score is 0. Extra columns of the input pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,11 +87,17 @@ def window_means(values: np.ndarray) -> np.ndarray:
     return total / np.minimum(WINDOW, len(values) - np.arange(n) * WINDOW)
 
 
-def train(texts: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, rate: float = 3.0, seed: int = 1) -> Model:
-    """Jointly fit bucket vectors and softmax weights with Adagrad over mini-batches of windows."""
+def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, epochs: int = 8, rate: float = 3.0, seed: int = 1) -> Model:
+    """Jointly fit bucket vectors and softmax weights with Adagrad over mini-batches of windows.
+
+    toxic: the labels, which may be filled in while texts is read.
+    """
     rng = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
-    docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in t), np.int64, len(t)) for t in texts]
+    docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in t), np.int32, len(t)) for t in texts]
+    toxic = np.array(toxic, np.int64)
+    if len(set(toxic.tolist())) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), -50.0)
     ids, counts = grams_of(list(vocab))
     begins = np.cumsum(counts) - counts
     # Buckets that fewer than RARE sampled documents touch keep a zero vector: they can only be noise.
@@ -109,7 +115,7 @@ def train(texts: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, rate: fl
     first = np.flatnonzero((within % WINDOW) == 0)
     window_doc, size = doc_of[first], np.diff(np.append(first, len(flat)))
     once = np.zeros(len(flat), np.float32)  # 1 at the first place of a word in its window
-    once[np.unique(window_of * len(vocab) + flat, return_index=True)[1]] = 1
+    once[np.unique(window_of * len(vocab) + flat.astype(np.int64), return_index=True)[1]] = 1
     for epoch in range(epochs):
         direction = out[1] - out[0]
         worth = np.add.reduceat((emb @ direction)[ids], begins) / counts
@@ -159,7 +165,7 @@ def train(texts: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, rate: fl
     return Model((emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: tuple[int, int]) -> tuple[list[list[bytes]], np.ndarray]:
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: tuple[int, int]) -> DataFrame:
     """At most per_class[y] ids of label y that lie outside the held-out fold, by hash order, and their words."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col), 5) != 0))
@@ -170,36 +176,43 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_
     )
     both = [known.where(F.col("_toxic") == y).orderBy("_h").limit(per_class[y]) for y in (0, 1)]
     picked = F.broadcast(both[0].unionByName(both[1]))  # at most sum(per_class) rows of three numbers
-    whole, keep = WINDOW, TRAIN_WINDOWS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = []
             for text in b.column(1).to_pylist():
                 t = normal_words(text)
-                n = -(-len(t) // whole)
-                if n > keep:
-                    t = [w for i in np.linspace(0, n - 1, keep).astype(int) for w in t[i * whole : (i + 1) * whole]]
+                n = -(-len(t) // WINDOW)
+                if n > TRAIN_WINDOWS:
+                    t = [w for i in np.linspace(0, n - 1, TRAIN_WINDOWS).astype(int) for w in t[i * WINDOW : (i + 1) * WINDOW]]
                 bags.append(b" ".join(t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary()), b.column(2)], ["_id", "_bag", "_toxic"])
 
-    rows = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .join(picked, "_id")
-        .select("_id", "_text", "_toxic")
-        .mapInArrow(cut, T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_bag", T.BinaryType()), T.StructField("_toxic", T.IntegerType())]))
-        .collect()
-    )
-    rows = sorted((r for r in rows if r["_bag"]), key=lambda r: (r["_id"], bytes(r["_bag"])))
-    return [bytes(r["_bag"]).split() for r in rows], np.array([r["_toxic"] for r in rows], np.int64)
+    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_bag", T.BinaryType()), T.StructField("_toxic", T.IntegerType())])
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id").select("_id", "_text", "_toxic").mapInArrow(cut, schema).where(F.octet_length("_bag") > 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = SAMPLE) -> Model:
-    """Fit on at most per_class[y] rows labelled y outside the held-out fold (crc32 of the id mod 5 = 0)."""
-    texts, toxic = _sample(docs, labels, id_col, text_col, per_class)
-    if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), -50.0)
-    return train(texts, toxic)
+    """Fit on at most per_class[y] rows labelled y outside the held-out fold (crc32 of the id mod 5 = 0).
+
+    The sample is bounded, so one task trains on it; only the finished table comes to the driver.
+    """
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic: list[int] = []
+
+        def bags() -> Iterator[list[bytes]]:
+            for b in batches:
+                for bag, y in zip(b.column(1), b.column(2).to_pylist()):
+                    toxic.append(y)
+                    yield bag.as_py().split()
+
+        model = train(bags(), toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias])], ["table", "bias"])
+
+    rows = _sample(docs, labels, id_col, text_col, per_class).repartition(1).sortWithinPartitions("_id", "_bag")
+    table, bias = rows.mapInArrow(fitted, "table binary, bias double").first()
+    return Model(np.frombuffer(table, np.float32), bias)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -215,7 +228,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             result = np.empty(len(texts))
             for at in range(0, len(texts), 256):
                 bags = [normal_words(t) for t in texts[at : at + 256]]
-                new = list({w for bag in bags for w in bag} - cache.keys())
+                new = [w for w in {w for bag in bags for w in bag} if w not in cache]
                 if len(cache) + len(new) > CACHE:
                     cache.clear()
                     new = list({w for bag in bags for w in bag})
