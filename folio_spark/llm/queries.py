@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from .packing import op1_packing
 from .sharding import op5_sharding
+from .topk import OP4_SQL, op4_topk
 from .toxicity import op9_toxicity
+from .warc import OP10_SQL, op10_warc
 
-QUERIES = {"op1_packing": op1_packing, "op5_sharding": op5_sharding, "op9_toxicity": op9_toxicity}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op4_topk": op4_topk,
+    "op5_sharding": op5_sharding,
+    "op9_toxicity": op9_toxicity,
+    "op10_warc": op10_warc,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_topk": OP4_SQL, "op10_warc": OP10_SQL}
