@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .packing import op1_packing
+from .pii import op3_pii
 from .sharding import op5_sharding
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op9_toxicity
@@ -10,6 +11,7 @@ from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_pii": op3_pii,
     "op4_topk": op4_topk,
     "op5_sharding": op5_sharding,
     "op9_toxicity": op9_toxicity,
