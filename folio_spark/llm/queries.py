@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op7_jaccard
 from .packing import op1_packing
 from .pii import op3_pii
 from .sharding import op5_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_topk": op4_topk,
     "op5_sharding": op5_sharding,
+    "op7_jaccard": op7_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
