@@ -13,8 +13,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from .common import materialize
 
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces that one ranking bucket holds on average, and cached text segments of a Python worker.
-BUCKET_ROWS, CACHE = 100_000, 400_000
+#: Pieces that one ranking bucket holds on average, and cached text segments in each of a Python worker's two generations.
+BUCKET_ROWS, CACHE = 100_000, 500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -38,33 +39,53 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-# A segment of a text that ends before a space which starts a word is encoded the same alone as in the text.
-_ODD_SPACE = re.compile(r"\s | \s|<\|")
-
-
 class Encoder:
-    """The ids of texts as little-endian bytes; texts are cut at spaces and the ids of each segment are kept for reuse."""
+    """The ids of texts as little-endian bytes. Texts are cut before each space and the ids of the segments are kept.
+
+    A segment is encoded the same alone as in its text unless white space meets white space at a cut or it holds part of
+    a special token; such odd segments are kept as None, and a text with one is encoded whole. Two generations of
+    segments are kept, so that frequent ones outlive a full cache.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.full, self.seen = Tokenizer.from_file(path), {}
+        self.full, self.seen, self.old = Tokenizer.from_file(path), {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _real(key: str) -> str:
+        return key[1:] if key[:1] == " " else " " + key
+
+    @staticmethod
+    def _odd(part: str) -> bool:
+        return part != "" and (part[-1].isspace() or (part[0] == " " and part[1].isspace()) or "<|" in part)
 
     def __call__(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        keys = text.split(" ")  # a key stands for itself after a space; the first one, with a space, for itself alone
+        keys[0] = " " + keys[0]
+        seen = self.seen
+        missed = [k for k in set(keys) if k not in seen]
+        if missed:
+            if len(seen) + len(missed) > CACHE:
+                self.old, self.seen = seen, {}
+                seen, missed = self.seen, set(keys)
+            new = []
+            for k in missed:
+                if k in self.old:
+                    seen[k] = self.old[k]
+                elif self._odd(self._real(k)):
+                    seen[k] = None
+                else:
+                    new.append(k)
+            if new:
+                seen.update(zip(new, self._ids([self._real(k) for k in new])))
+        try:
+            return b"".join(map(seen.__getitem__, keys))
+        except TypeError:
             return self._ids([text])[0]
-        parts = text.split(" ")
-        parts[1:] = [" " + p for p in parts[1:]]
-        new = [p for p in set(parts) if p not in self.seen]
-        if new:
-            if len(self.seen) + len(new) > CACHE:
-                self.seen.clear()
-                new = list(set(parts))
-            self.seen.update(zip(new, self._ids(new)))
-        return b"".join(map(self.seen.__getitem__, parts))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -79,6 +100,7 @@ def cut_into_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capa
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = _encoders.setdefault(path, Encoder(path)) if path not in _encoders else _encoders[path]
         end = np.array([END_ID], "<u4").tobytes()
+        assert array("I").itemsize == 4 and sys.byteorder == "little"
         for b in batches:
             which, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1)):
