@@ -30,7 +30,7 @@ from .common import materialize
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces that one ranking bucket holds on average, and cached text segments in each of a Python worker's two generations.
-BUCKET_ROWS, CACHE = 100_000, 500_000
+BUCKET_ROWS, CACHE = 100_000, 800_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
