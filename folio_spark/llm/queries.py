@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .jaccard import op7_jaccard
 from .packing import op1_packing
 from .pii import op3_pii
@@ -12,6 +13,7 @@ from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
     "op4_topk": op4_topk,
     "op5_sharding": op5_sharding,
