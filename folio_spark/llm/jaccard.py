@@ -11,10 +11,11 @@ it. A band is light or heavy, by cost:
 The boundary is the band at which enumerating subsets costs more than the blocks and the scan of their lists,
 estimated from the histogram of sizes. Both are exact: a linked pair shares a key.
 
-Lists are never expanded into all their pairs. Equal sets are one node from the start. In each list every member is
-first compared with the list's smallest member; components of what links are formed; only members that then stand
-in different components are compared, and of these only such that the triangle inequality of the Jaccard distance
-(through that smallest member) doesn't already exclude.
+Lists are never expanded into all their pairs. Equal sets are one node from the start. Pairs must pass a sketch (the
+set's counts in SKETCH buckets), whose gaps can't exceed the number of shingles in which linked sets differ. In each
+list, members gather behind leaders that they can link with. Every node is first compared with one leader, and
+components of what links are formed; then with the leaders outside its component; and last, in lists whose members
+still stand in different components, any two of those. What is skipped joins nodes that are joined already.
 
 Defined results: a text without words, or a null one, has an empty set, n_shingles 0, and is a component of its own;
 a text with fewer words than a shingle has its whole word sequence as the one shingle; repeated rows are equal sets
@@ -41,6 +42,10 @@ from .common import materialize, mix, words
 MIN_BLOCK = 3
 #: Scanning one entry of a heavy list, in units of writing one light key.
 SCAN_COST = 1.5
+#: Rows of ids up to which a table is broadcast, and rows compared with one set in one go.
+SMALL, GROUP = 500_000, 500
+#: Buckets of a sketch, and members of a list that are compared in one place.
+SKETCH, CHUNK = 64, 4096
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -61,6 +66,11 @@ def node_of(x: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(x ^ np.uint64(0xA5A5A5A55A5A5A5A))) ^ mix(np.array([len(x)], np.uint64))[0])
 
 
+def sketch_of(x: np.ndarray) -> bytes:
+    """How many of the set fall in each of SKETCH buckets, up to 255. Two sets differ in at least the sum of the gaps."""
+    return np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def least_overlap(a: int, b: int, percent: int) -> int:
     """Least overlap o with 100 * o >= percent * (a + b - o)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -142,9 +152,10 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
         for b in batches:
             sets = [shingles(t.as_py(), k) for t in b.column(1)]
             node = pa.array([int(np.uint64(node_of(x)).astype(np.int64)) if len(x) else None for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array(map(len, sets), pa.int64()), pa.array([band_of(len(x), percent) if len(x) else -1 for x in sets], pa.int32())], [id_col, "node", "n_shingles", "band"])
+            bands = pa.array([band_of(len(x), percent) if len(x) else -1 for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array(map(len, sets), pa.int64()), bands, pa.array([sketch_of(x) for x in sets], pa.binary())], [id_col, "node", "n_shingles", "band", "sketch"])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("band", T.IntegerType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
     return docs.select(id_col, text_col).mapInArrow(measure, schema)
 
 
@@ -213,55 +224,171 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return current.select(F.col("b").alias("node"), F.col("a").alias("root")).union(current.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with the overlap and union of their sets."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
-    both = pairs.join(one, "a").join(two, "b")
-    overlap = F.size(F.array_intersect("_x", "_y")).cast("long")
-    return both.withColumn("o", overlap).select(*pairs.columns, "o", (F.size("_x") + F.size("_y") - F.col("o")).alias("u"))
+def _with_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a small written table: broadcast if its counted rows are few, else by a shuffle."""
+    return big.join(F.broadcast(small) if small.count() <= SMALL else small, on, how)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """pairs (a, b) with the overlap and the union of their sets, which are built again from the texts.
+
+    Rows meet by a, the set of a first and those it is compared with behind it, so each set moves once for each of its
+    pairs and only one is held; what shares one a is salted, GROUP rows to a salt.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    right = pairs.join(salts, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("a"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role")).alias("r"))
+    left = salts.select(F.col("a").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda x: F.struct(F.col("a").alias("a"), x.alias("salt"), F.lit(0).alias("role")))).alias("r"))
+    roles = right.unionByName(left).groupBy("node").agg(F.collect_list("r").alias("roles")).join(nodes.select("node", F.col("first").alias("_first")), "node")
+    roles = materialize(roles, "roles")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, salt, role, node, sets, held = [], [], [], [], [], 0
+            for text, own, rows in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                x = shingles(text.as_py(), k)
+                if not len(x) or int(np.uint64(node_of(x)).astype(np.int64)) != own:
+                    continue  # another text under the same id
+                for r in rows:
+                    a.append(r["a"])
+                    salt.append(r["salt"])
+                    role.append(r["role"])
+                    node.append(own)
+                    sets.append(x.view(np.int64))
+                    held += len(x)
+                    if held > 1 << 19:
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), pa.array(node, pa.int64()), pa.array([v.tobytes() for v in sets], pa.binary())], ["a", "salt", "role", "node", "x"])
+                        a, salt, role, node, sets, held = [], [], [], [], [], 0
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), pa.array(node, pa.int64()), pa.array([v.tobytes() for v in sets], pa.binary())], ["a", "salt", "role", "node", "x"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = None
+        for b in batches:
+            out = []
+            for a, role, node, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                if role == 0:
+                    centre = np.array(x)
+                else:
+                    at = np.minimum(np.searchsorted(centre, x), len(centre) - 1)
+                    o = int((centre[at] == x).sum())
+                    out.append((a, node, o, len(centre) + len(x) - o))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], ["a", "b", "o", "u"])
+
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = _with_small(own, roles, own["_id"].eqNullSafe(roles["_first"])).select("_text", "node", "roles")
+    dealt = rows.mapInArrow(deal, "a long, salt int, role int, node long, x binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    return dealt.mapInArrow(compare, "a long, b long, o long, u long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of each run of rows with equal first three columns, across batches. CHUNK bounds a run's rows."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sketches = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        cols = [b.column(i).to_numpy() for i in range(7)] + [sketches]
+        if held:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+        bounds = [0, *edge.tolist()]
+        for lo, hi in zip(bounds, bounds[1:]):
+            yield [c[lo:hi] for c in cols]
+        held = [c[bounds[-1] :].copy() for c in cols]
+    if held:
+        yield held
+
+
+def _may_link(n: np.ndarray, sketch: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of others can link with row i, by sizes and sketches."""
+    m = n[others]
+    most = n[i] + m - 2 * -(-percent * (n[i] + m) // (100 + percent))
+    ok = np.abs(m - n[i]) <= most
+    gap = np.abs(sketch[others[ok]].astype(np.int16) - sketch[i].astype(np.int16)).sum(1)
+    ok[ok] = gap <= most[ok]
+    return ok
+
+
+def candidates(lists: DataFrame, percent: int, crossing: bool) -> DataFrame:
+    """Pairs (a, b) of members of one list that can link.
+
+    crossing: all such pairs in different components; otherwise each member with the first leader it can link with.
+    A list of more than CHUNK members is laid out as a grid of chunks, so no place holds more than two of them.
+    """
+    counts = lists.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK).select("key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_c"))
+    chunks = F.coalesce("_c", F.lit(1))
+    spread = lists.join(counts, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), chunks - 1)) if crossing else F.col("own")
+    laid = spread.select("key", "own", other.alias("_o"), "node", "root", "n", "sketch").select("key", F.least("own", "_o").alias("x"), F.greatest("own", "_o").alias("y"), "own", "node", "root", "n", "sketch")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out_a, out_b = [], []
+        for _, x, y, own, node, root, n, sketch in _groups(batches):
+            left = np.arange(len(node))
+            if not crossing:
+                while len(left) > 1:
+                    ok = _may_link(n, sketch, left[0], left[1:], percent)
+                    out_a.append(np.full(int(ok.sum()), node[left[0]]))
+                    out_b.append(node[left[1:][ok]])
+                    left = left[1:][~ok]
+            elif len(node) > 1:
+                for i in range(len(node) - 1):
+                    rest = np.flatnonzero((root[i + 1 :] != root[i]) & ((own[i + 1 :] != own[i]) | (x[0] == y[0]))) + i + 1
+                    if len(rest):
+                        rest = rest[_may_link(n, sketch, i, rest, percent)]
+                        out_a.append(np.full(len(rest), node[i]))
+                        out_b.append(node[rest])
+            if len(out_a) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_a, out_b)], ["a", "b"])
+                out_a, out_b = [], []
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_a, out_b)], ["a", "b"])
+
+    dealt = laid.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    return dealt.mapInArrow(pair, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links reach) of every row of docs."""
+    spark = docs.sparkSession
     measured = materialize(sets_of(docs, id_col, text_col, k, percent), "sets")
-    nodes = measured.where("node is not null").groupBy("node").agg(F.min(id_col).alias("first"), F.max("n_shingles").alias("n"), F.max("band").alias("band"))
+    nodes = measured.where("node is not null").groupBy("node").agg(F.min(id_col).alias("first"), F.max("n_shingles").alias("n"), F.max("band").alias("band"), F.max("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     histogram = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}  # a row per band: the log of the largest size
-    first_heavy = boundary(histogram, percent)
-    lists = materialize(shared_lists(docs, text_col, k, percent, first_heavy), "lists")
-    size = nodes.select("node", "n")
-
-    # Every member of a list against its smallest one.
-    star = lists.groupBy("key").agg(F.min("node").alias("a")).join(lists, "key").where("a < node")
-    star = materialize(star.select("a", F.col("node").alias("b")).distinct(), "stars")
-
-    wanted = materialize(lists.select("node").distinct().join(nodes.select("node", "first"), "node"), "wanted")
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    kept = docs.select(F.col(id_col).alias("first"), text_col).join(wanted, "first").dropDuplicates(["node"])
-    sets = materialize(kept.select("node", text_col).mapInArrow(rebuild, "node long, shingles array<long>"), "members")
+    lists = shared_lists(docs, text_col, k, percent, boundary(histogram, percent))
+    lists = materialize(lists.join(nodes.select("node", "n", "sketch"), "node"), "lists")
     linked = F.col("o") * 100 >= F.col("u") * percent
-    star = materialize(_verified(star, sets), "verified")
-    edges = star.where(linked).select("a", "b")
-    roots = materialize(components(edges), "roots")
-
-    # Members of one list in different components, unless the triangle inequality excludes them.
-    member = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("centre")).where("lo < hi").select("key", "centre")
-    open_ = member.join(mixed, "key").where("node > centre")
-    far = star.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("o") / F.col("u")).alias("far"))
-    open_ = materialize(open_.join(far, ["centre", "node"]).join(size, "node"), "open")
-    left, right = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "far", "n"))) for s in ("a", "b"))
-    may = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9)
-    may = may & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    rest = left.join(right, "key").where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = materialize(_verified(rest, sets).where(linked).select("a", "b"), "late")
-    if not more.isEmpty():
-        roots = materialize(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more)), "roots")
+    links = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+
+    def compare(pairs: DataFrame) -> None:
+        """Verify pairs and grow the components by what links."""
+        nonlocal links, roots
+        if pairs.isEmpty():
+            return
+        found = materialize(verify(pairs, docs, nodes, id_col, text_col, k).where(linked).select("a", "b"), "links")
+        links = links.union(found)
+        roots = materialize(components(links), "roots")
+
+    def with_roots(rows: DataFrame, *keys: str) -> DataFrame:
+        for c in keys:
+            rows = rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+        return rows
+
+    # First every node against one other, then against the other leaders that are not in its component by then.
+    led = materialize(candidates(lists.withColumn("root", F.col("node")), percent, False), "led")
+    compare(materialize(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"))
+    known = led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    apart = with_roots(led.join(known, ["a", "b"], "left_anti"), "a", "b").where("_a <> _b").select("a", "b")
+    compare(materialize(apart, "pairs"))
+
+    # Last, in lists whose members still stand in different components, any two of these.
+    placed = materialize(with_roots(lists, "node").withColumnRenamed("_node", "root"), "placed")
+    several = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
+    rest = candidates(placed.join(several, "key"), percent, True).join(led, ["a", "b"], "left_anti")
+    compare(materialize(rest, "pairs"))
 
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
