@@ -38,23 +38,24 @@ from .common import materialize, mix
 REPEATS, SAMPLES, RUN = 32, 4, 3
 #: Items in a block: with 24 numbers each and their words, some MB at most.
 BLOCK = 4096
-#: Kept words of a Python worker.
-CACHE = 400_000
+#: Kept strings of a Python worker.
+CACHE = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
-_words: dict[str, int] = {}
+_words: dict[str, bytes] = {}
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """A 64-bit number for each word."""
-    t = _WORD.findall(text.lower()) if text else []
-    out = list(map(_words.get, t))
-    if None in out:
+    """A 64-bit number for each word. What stands between white spaces is looked up as a whole: it may hold several words."""
+    parts = text.lower().split() if text else []
+    try:
+        return np.frombuffer(b"".join(map(_words.__getitem__, parts)), "<u8")
+    except KeyError:
         if len(_words) > CACHE:
             _words.clear()
-        for i, v in enumerate(out):
-            if v is None:
-                out[i] = _words[t[i]] = xxhash.xxh3_64_intdigest(t[i])
-    return np.array(out, np.uint64)
+        for p in set(parts):
+            if p not in _words:
+                _words[p] = b"".join(xxhash.xxh3_64_intdigest(w).to_bytes(8, "little") for w in _WORD.findall(p))
+        return np.frombuffer(b"".join(map(_words.__getitem__, parts)), "<u8")
 
 
 def runs(s: np.ndarray) -> np.ndarray:
