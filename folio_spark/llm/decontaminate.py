@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,36 +69,35 @@ def runs(s: np.ndarray) -> np.ndarray:
     return mix(x)
 
 
-def sampled_places(n: int) -> np.ndarray:
-    """Where the walks over a sequence of n words are read: REPEATS rows of SAMPLES steps within 2n."""
-    rng = np.random.default_rng(1000 + n)
-    return np.sort(rng.integers(0, max(1, 2 * n), (REPEATS, SAMPLES)), axis=1)
+@lru_cache(maxsize=1024)
+def reading(n: int) -> list[np.ndarray]:
+    """For each step of the walks over n words, up to the last that is read: which of the REPEATS read it, a mask for
+    each time. Every walk is read at SAMPLES steps, drawn from 2n."""
+    places = np.random.default_rng(1000 + n).integers(0, max(1, 2 * n), (REPEATS, SAMPLES))
+    times = [(places == step).sum(1) for step in range(int(places.max()) + 1)]
+    return [np.stack([t > i for i in range(t.max())]) if t.any() else np.zeros((0, REPEATS), bool) for t in times]
 
 
 def cgk_keys(s: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """REPEATS keys for each window of n words of s that begins at starts (past its end the walk reads a filler)."""
-    places = sampled_places(n)
-    padded = np.append(s, np.zeros(n + 1, np.uint64))
+    padded = np.append(s, np.zeros(1, np.uint64))
     salt = mix(np.arange(1, REPEATS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))[None, :]
     at = np.zeros((len(starts), REPEATS), np.int64)
     key = np.repeat(salt, len(starts), axis=0)
-    begin = np.minimum(starts, len(s))[:, None]
-    for step in range(int(places.max()) + 1):
+    begin = starts[:, None]
+    for step, masks in enumerate(reading(n)):
         word = padded[np.minimum(begin + at, len(s))]
         word[at >= n] = 0
-        for _ in range(int((places == step).sum(1).max())):
-            read = (places == step).any(1)[None, :]
-            key = np.where(read, mix(key * np.uint64(31) + word + np.uint64(step)), key)
+        for mask in masks:
+            key[:, mask] = mix(key[:, mask] * np.uint64(31) + word[:, mask] + np.uint64(step))
         at += (mix(word ^ salt ^ np.uint64(step * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(63)).astype(np.int64)
     return key
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[int, int]:
-    """Least edits that turn a into a prefix of b, and the length of that prefix; (limit + 1, 0) if more than limit."""
-    row = np.arange(len(b) + 1)
+def _edits(a: np.ndarray, b: np.ndarray, row: np.ndarray, limit: int) -> tuple[int, int]:
     steps = np.arange(len(b) + 1)
-    for i, x in enumerate(a):
-        new = np.minimum(row + 1, np.append(i + 1, row[:-1] + (b != x)))
+    for x in a:
+        new = np.minimum(row + 1, np.append(row[0] + 1, row[:-1] + (b != x)))
         row = np.minimum.accumulate(new - steps) + steps
         if row.min() > limit:
             return limit + 1, 0
@@ -105,6 +105,15 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def best_place(item: np.ndarray, span: np.ndarray, limit: int) -> tuple[int, int, int]:
+    """Least word edits between item and any part of span, and where that part begins and ends; limit + 1 if more."""
+    d, end = _edits(item, span, np.zeros(len(span) + 1, np.int64), limit)
+    if d > limit:
+        return d, 0, 0
+    back = span[:end][::-1]
+    return d, end - _edits(item[::-1], back, np.arange(len(back) + 1), d)[1], end
+
+
 class Index:
     """Items by run and, for each length, by the keys of each repetition."""
 
@@ -165,10 +174,13 @@ class Index:
                         found[k].add(int(at[i]))
             for k, places in found.items():
                 item, edits = self.items[k][1], self.allowed[k]
-                for p in sorted(places):
-                    d, words = edit_distance(item, s[p : p + n + edits], edits)
+                places = sorted(places)
+                cut = [0, *(i for i in range(1, len(places)) if places[i] - places[i - 1] > n), len(places)]
+                for lo, hi in zip(cut, cut[1:]):
+                    begin = places[lo]
+                    d, first, end = best_place(item, s[begin : places[hi - 1] + n + edits], edits)
                     if d <= edits and (k not in best or d < best[k][0]):
-                        best[k] = (d, p, words)
+                        best[k] = (d, begin + first, end - first)
         return [(self.items[k][0], p, words, d) for k, (d, p, words) in sorted(best.items())]
 
 
