@@ -43,7 +43,7 @@ class Encoder:
     """The ids of texts as little-endian bytes. Texts are cut before each space and the ids of the segments are kept.
 
     A segment is encoded the same alone as in its text unless white space meets white space at a cut or it holds part of
-    a special token; such odd segments are kept as None, and a text with one is encoded whole. Two generations of
+    a special token; a text with such an odd segment is encoded whole. Two generations of
     segments are kept, so that frequent ones outlive a full cache.
     """
 
@@ -66,26 +66,24 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         keys = text.split(" ")  # a key stands for itself after a space; the first one, with a space, for itself alone
         keys[0] = " " + keys[0]
-        seen = self.seen
-        missed = [k for k in set(keys) if k not in seen]
-        if missed:
-            if len(seen) + len(missed) > CACHE:
-                self.old, self.seen = seen, {}
-                seen, missed = self.seen, set(keys)
+        ids = list(map(self.seen.get, keys))
+        if None in ids:
+            missed = {k for k, v in zip(keys, ids) if v is None}
+            if len(self.seen) + len(missed) > CACHE:
+                self.old, self.seen = self.seen, {}
+                missed = set(keys)
             new = []
             for k in missed:
                 if k in self.old:
-                    seen[k] = self.old[k]
+                    self.seen[k] = self.old[k]
                 elif self._odd(self._real(k)):
-                    seen[k] = None
+                    return self._ids([text])[0]
                 else:
                     new.append(k)
             if new:
-                seen.update(zip(new, self._ids([self._real(k) for k in new])))
-        try:
-            return b"".join(map(seen.__getitem__, keys))
-        except TypeError:
-            return self._ids([text])[0]
+                self.seen.update(zip(new, self._ids([self._real(k) for k in new])))
+            ids = map(self.seen.__getitem__, keys)
+        return b"".join(ids)
 
 
 _encoders: dict[str, Encoder] = {}
