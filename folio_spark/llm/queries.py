@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .jaccard import op7_jaccard
+from .lm import op6_lm
 from .packing import op1_packing
 from .pii import op3_pii
 from .sharding import op5_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_topk": op4_topk,
     "op5_sharding": op5_sharding,
+    "op6_lm": op6_lm,
     "op7_jaccard": op7_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
