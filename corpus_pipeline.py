@@ -1,11 +1,53 @@
-"""Corpus preparation as a chain of written tables."""
+"""Corpus preparation as a chain of written tables: five operators, each on all that the one before kept."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio_spark.llm import decontaminate, jaccard, packing, pii, toxicity
+from folio_spark.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labelled ones among them, scores under one half."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), out="_toxicity")
+    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: five-word shingles, similarity of 0.8 or more."""
+    return jaccard.keep_one_each(docs, k=5, percent=80).select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")).select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows where the text changed."""
+    found = pii.find_spans(docs, "text", "_spans")
+    text = pii.redacted(F.col("text"), F.col("_spans"))
+    changed = F.size("_spans") > 0
+    return found.withColumn("_new", text).withColumn("n_chars", F.when(changed, F.length("_new").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("_new")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and offsets."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("benchmark", drop_benchmark), ("personal data", redact), ("packing", pack)]
+#: The classifier, the edit search and the packing are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs

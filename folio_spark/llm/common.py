@@ -32,6 +32,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids up to which a table is broadcast.
+SMALL = 500_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on: str | Column | list, how: str = "inner") -> DataFrame:
+    """Join a written table: broadcast if its counted rows are few, else by a shuffle."""
+    return big.join(F.broadcast(small) if small.count() <= SMALL else small, on, how)
+
+
 def id_text(col: Column) -> Column:
     """An id as text; a null id counts as empty text."""
     return F.coalesce(col.cast("string"), F.lit(""))

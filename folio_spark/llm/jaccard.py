@@ -37,13 +37,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, words
+from .common import join_small, materialize, mix, words
 
 MIN_BLOCK = 3
 #: Scanning one entry of a heavy list, in units of writing one light key.
 SCAN_COST = 1.5
-#: Rows of ids up to which a table is broadcast, and rows compared with one set in one go.
-SMALL, GROUP = 500_000, 500
+#: Rows compared with one set in one go.
+GROUP = 500
 #: Buckets of a sketch, and members of a list that are compared in one place.
 SKETCH, CHUNK = 64, 4096
 
@@ -224,11 +224,6 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return current.select(F.col("b").alias("node"), F.col("a").alias("root")).union(current.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def _with_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join a small written table: broadcast if its counted rows are few, else by a shuffle."""
-    return big.join(F.broadcast(small) if small.count() <= SMALL else small, on, how)
-
-
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """pairs (a, b) with the overlap and the union of their sets, which are built again from the texts.
 
@@ -277,7 +272,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], ["a", "b", "o", "u"])
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = _with_small(own, roles, own["_id"].eqNullSafe(roles["_first"])).select("_text", "node", "roles")
+    rows = join_small(own, roles, own["_id"].eqNullSafe(roles["_first"])).select("_text", "node", "roles")
     dealt = rows.mapInArrow(deal, "a long, salt int, role int, node long, x binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return dealt.mapInArrow(compare, "a long, b long, o long, u long").distinct()
 
@@ -397,9 +392,15 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the members of a component other than the one that names it (a repeated row stays once)."""
-    found = join_components(docs, id_col, text_col, k, percent).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.dropDuplicates([id_col]).join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    """docs with one document of each component, the one that names it; of rows that share that id one stays."""
+    found = materialize(join_components(docs, id_col, text_col, k, percent), "components")
+    gone = materialize(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct(), "gone")
+    twice = materialize(found.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 and _id is not null").select("_id").join(gone, "_id", "left_anti"), "twice")
+    kept = join_small(docs, gone, docs[id_col] == gone["_id"], "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = join_small(kept, twice, kept[id_col] == twice["_id"], "left_semi").dropDuplicates([id_col])
+    return join_small(kept, twice, kept[id_col] == twice["_id"], "left_anti").unionByName(again)
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from .lm import op6_lm
 from .packing import op1_packing
 from .pii import op3_pii
 from .sharding import op5_sharding
+from .token_counts import op8_token_counts
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op9_toxicity
 from .warc import OP10_SQL, op10_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_lm": op6_lm,
     "op7_jaccard": op7_jaccard,
+    "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
