@@ -220,7 +220,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = 80) -> DataFrame:
     """docs without the documents that hold an item. The leaks are few ids; they are written before docs is read again."""
     leaks = materialize(find_leaks(docs, benchmark, id_col, text_col, item_col, percent).select(F.col(id_col).alias("_id")).distinct(), "leaking")
-    return join_small(docs, leaks, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    return join_small(docs, leaks, docs[id_col].eqNullSafe(leaks["_id"]), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -83,9 +83,9 @@ class TokenTree:
         last, _ = self.find(end + 1)
         if first:  # one leaf of context: its own start is then untouched
             first -= 1
+            while first and not self.leaves[first]:  # left empty by an earlier edit
+                first -= 1
             before -= len(self.leaves[first])
-        while first and not self.leaves[first]:  # left empty by an earlier edit
-            first -= 1
         last = min(self.n - 1, last + 1)
         while last < self.n - 1 and not self.leaves[last]:
             last += 1
@@ -116,6 +116,7 @@ def counter(path: str) -> Callable[[str], int]:
 
 def token_trees(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs with leaf_chars, leaf_tokens (the leaves of each document's tree) and n_tokens."""
+    docs = docs.drop("leaf_chars", "leaf_tokens", "n_tokens")  # an input's columns of these names give way
     path, keep = path or tokenizer_path(), docs.columns
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +137,7 @@ def token_trees(docs: DataFrame, text_col: str = "text", path: str | None = None
 
 def apply_edits(trees: DataFrame, edits_col: str = "edits", text_col: str = "text", path: str | None = None) -> DataFrame:
     """trees with the text after its edits, the leaves and n_tokens brought up to date, and reencoded_chars."""
+    trees = trees.drop("reencoded_chars")
     path, keep = path or tokenizer_path(), trees.columns
     at = {c: keep.index(c) for c in (text_col, "leaf_chars", "leaf_tokens", "n_tokens", edits_col)}
 
