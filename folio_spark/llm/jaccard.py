@@ -46,6 +46,8 @@ SCAN_COST = 1.5
 GROUP = 500
 #: Buckets of a sketch, and members of a list that are compared in one place.
 SKETCH, CHUNK = 64, 4096
+#: Turns in which only the likeliest pair of each two components is compared, before all that is left.
+TURNS = 4
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -277,9 +279,12 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
     return dealt.mapInArrow(compare, "a long, b long, o long, u long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of each run of rows with equal first three columns, across batches. CHUNK bounds a run's rows."""
-    held: list[list[np.ndarray]] = []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole runs of rows with equal first three columns, and where each run begins (and the last ends).
+
+    A run that a batch cuts waits for its rest. CHUNK bounds a run's rows.
+    """
+    held: list[np.ndarray] = []
     for b in batches:
         if not b.num_rows:
             continue
@@ -288,22 +293,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         if held:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-        bounds = [0, *edge.tolist()]
-        for lo, hi in zip(bounds, bounds[1:]):
-            yield [c[lo:hi] for c in cols]
-        held = [c[bounds[-1] :].copy() for c in cols]
+        if len(edge):
+            yield [c[: edge[-1]] for c in cols], np.append(0, edge)
+            cols = [c[edge[-1] :].copy() for c in cols]
+        held = cols
     if held:
-        yield held
+        yield held, np.array([0, len(held[0])])
 
 
-def _may_link(n: np.ndarray, sketch: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
-    """Which of others can link with row i, by sizes and sketches."""
-    m = n[others]
-    most = n[i] + m - 2 * -(-percent * (n[i] + m) // (100 + percent))
-    ok = np.abs(m - n[i]) <= most
-    gap = np.abs(sketch[others[ok]].astype(np.int16) - sketch[i].astype(np.int16)).sum(1)
-    ok[ok] = gap <= most[ok]
-    return ok
+def _gaps(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows i, j can link, by sizes and sketches, and the gaps of those."""
+    both = n[i] + n[j]
+    most = both - 2 * -(-percent * both // (100 + percent))
+    ok = np.flatnonzero(np.abs(n[j] - n[i]) <= most)
+    gap = np.abs(sketch[j[ok]].astype(np.int16) - sketch[i[ok]].astype(np.int16)).sum(1)
+    fine = gap <= most[ok]
+    return ok[fine], gap[fine]
 
 
 def candidates(lists: DataFrame, percent: int, crossing: bool) -> DataFrame:
@@ -319,30 +324,35 @@ def candidates(lists: DataFrame, percent: int, crossing: bool) -> DataFrame:
     laid = spread.select("key", "own", other.alias("_o"), "node", "root", "n", "sketch").select("key", F.least("own", "_o").alias("x"), F.greatest("own", "_o").alias("y"), "own", "node", "root", "n", "sketch")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b = [], []
-        for _, x, y, own, node, root, n, sketch in _groups(batches):
-            left = np.arange(len(node))
-            if not crossing:
-                while len(left) > 1:
-                    ok = _may_link(n, sketch, left[0], left[1:], percent)
-                    out_a.append(np.full(int(ok.sum()), node[left[0]]))
-                    out_b.append(node[left[1:][ok]])
-                    left = left[1:][~ok]
-            elif len(node) > 1:
-                for i in range(len(node) - 1):
-                    rest = np.flatnonzero((root[i + 1 :] != root[i]) & ((own[i + 1 :] != own[i]) | (x[0] == y[0]))) + i + 1
-                    if len(rest):
-                        rest = rest[_may_link(n, sketch, i, rest, percent)]
-                        out_a.append(np.full(len(rest), node[i]))
-                        out_b.append(node[rest])
-            if len(out_a) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_a, out_b)], ["a", "b"])
-                out_a, out_b = [], []
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (out_a, out_b)], ["a", "b"])
+        for (_, x, y, own, node, root, n, sketch), bounds in _groups(batches):
+            size, out = np.diff(bounds), []
+
+            def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                if crossing:
+                    open_ = (root[i] != root[j]) & ((own[i] != own[j]) | (x[i] == y[i]))  # noqa: B023
+                    i, j = i[open_], j[open_]
+                ok, gap = _gaps(n, sketch, i, j, percent)  # noqa: B023
+                out.append((node[i[ok]], node[j[ok]], gap))  # noqa: B023
+                return ok
+
+            two = bounds[:-1][size == 2]
+            keep(two, two + 1)
+            for lo, hi in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist()):
+                if crossing:
+                    for i in range(lo, hi - 1):
+                        j = np.arange(i + 1, hi)
+                        keep(np.full(len(j), i), j)
+                else:
+                    left = np.arange(lo, hi)
+                    while len(left) > 1:
+                        found = keep(np.full(len(left) - 1, left[0]), left[1:])
+                        left = np.delete(left[1:], found)
+            a, b, gap = (np.concatenate(v) for v in zip(*out))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(gap, pa.int64())], ["a", "b", "gap"])
 
     dealt = laid.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
-    return dealt.mapInArrow(pair, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.mapInArrow(pair, "a long, b long, gap long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "gap").distinct()
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
@@ -358,32 +368,44 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
 
-    def compare(pairs: DataFrame) -> None:
-        """Verify pairs and grow the components by what links."""
+    def compare(pairs: DataFrame) -> bool:
+        """Verify pairs and grow the components by what links; whether any did."""
         nonlocal links, roots
         if pairs.isEmpty():
-            return
+            return False
         found = materialize(verify(pairs, docs, nodes, id_col, text_col, k).where(linked).select("a", "b"), "links")
+        if found.isEmpty():
+            return False
         links = links.union(found)
         roots = materialize(components(links), "roots")
-
-    def with_roots(rows: DataFrame, *keys: str) -> DataFrame:
-        for c in keys:
-            rows = rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
-        return rows
-
-    # First every node against one other, then against the other leaders that are not in its component by then.
+        return True
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+        return pairs.where("_a <> _b")
+
+    def settle(pairs: DataFrame) -> None:
+        """Compare all pairs that stay in different components, for each two components the likeliest pair first."""
+        for _ in range(TURNS):
+            pairs = materialize(apart(pairs).select("a", "b", "gap", F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y")), "open")
+            first = materialize(pairs.groupBy("x", "y").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
+            more = compare(first)
+            pairs = pairs.select("a", "b", "gap").join(first, ["a", "b"], "left_anti")
+            if not more:
+                break
+        compare(materialize(apart(pairs).select("a", "b"), "pairs"))
+
+    # First every node against one leader, then against other leaders outside its component.
     led = materialize(candidates(lists.withColumn("root", F.col("node")), percent, False), "led")
-    compare(materialize(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"))
-    known = led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    apart = with_roots(led.join(known, ["a", "b"], "left_anti"), "a", "b").where("_a <> _b").select("a", "b")
-    compare(materialize(apart, "pairs"))
+    likeliest = materialize(led.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("p")).select("p.a", "b"), "pairs")
+    compare(likeliest)
+    settle(led.join(likeliest, ["a", "b"], "left_anti"))
 
     # Last, in lists whose members still stand in different components, any two of these.
-    placed = materialize(with_roots(lists, "node").withColumnRenamed("_node", "root"), "placed")
+    placed = materialize(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     several = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
-    rest = candidates(placed.join(several, "key"), percent, True).join(led, ["a", "b"], "left_anti")
-    compare(materialize(rest, "pairs"))
+    settle(materialize(candidates(placed.join(several, "key"), percent, True).join(led, ["a", "b"], "left_anti"), "crossing"))
 
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
