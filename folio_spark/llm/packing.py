@@ -51,10 +51,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full, self.seen, self.old = Tokenizer.from_file(path), {}, {}
+        self.part = self._ranks(path.removesuffix(".json") + ".tiktoken")
+
+    @staticmethod
+    def _ranks(path: str):
+        """A quicker encoder of the same vocabulary, where its file of ranks lies beside the tokenizer's; else none."""
+        import base64
+        import os
+
+        if not os.path.exists(path):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part_ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", self.part(t)).tobytes() for t in texts] if self.part else self._ids(texts)
+
     @staticmethod
     def _real(key: str) -> str:
         return key[1:] if key[:1] == " " else " " + key
@@ -81,7 +100,7 @@ class Encoder:
                 else:
                     new.append(k)
             if new:
-                self.seen.update(zip(new, self._ids([self._real(k) for k in new])))
+                self.seen.update(zip(new, self._part_ids([self._real(k) for k in new])))
             ids = map(self.seen.__getitem__, keys)
         return b"".join(ids)
 
