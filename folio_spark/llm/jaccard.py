@@ -311,15 +311,21 @@ def _gaps(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, perce
     return ok[fine], gap[fine]
 
 
-def candidates(lists: DataFrame, percent: int, crossing: bool) -> DataFrame:
-    """Pairs (a, b) of members of one list that can link.
+def different_lists(lists: DataFrame) -> DataFrame:
+    """Of lists with the same members one stays: the others give the same pairs."""
+    members = lists.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n"))
+    return lists.join(members.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def candidates(lists: DataFrame, nodes: DataFrame, percent: int, crossing: bool) -> DataFrame:
+    """Pairs (a, b) of members of one list that can link, and the gap of their sketches. lists: key, node, root.
 
     crossing: all such pairs in different components; otherwise each member with the first leader it can link with.
     A list of more than CHUNK members is laid out as a grid of chunks, so no place holds more than two of them.
     """
     counts = lists.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK).select("key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_c"))
     chunks = F.coalesce("_c", F.lit(1))
-    spread = lists.join(counts, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    spread = lists.join(counts, "key", "left").join(nodes.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), chunks - 1)) if crossing else F.col("own")
     laid = spread.select("key", "own", other.alias("_o"), "node", "root", "n", "sketch").select("key", F.least("own", "_o").alias("x"), F.greatest("own", "_o").alias("y"), "own", "node", "root", "n", "sketch")
 
@@ -362,8 +368,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = measured.where("node is not null").groupBy("node").agg(F.min(id_col).alias("first"), F.max("n_shingles").alias("n"), F.max("band").alias("band"), F.max("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     histogram = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}  # a row per band: the log of the largest size
-    lists = shared_lists(docs, text_col, k, percent, boundary(histogram, percent))
-    lists = materialize(lists.join(nodes.select("node", "n", "sketch"), "node"), "lists")
+    lists = materialize(shared_lists(docs, text_col, k, percent, boundary(histogram, percent)), "keys")
+    lists = materialize(different_lists(lists), "lists")
     linked = F.col("o") * 100 >= F.col("u") * percent
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
@@ -397,7 +403,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         compare(materialize(apart(pairs).select("a", "b"), "pairs"))
 
     # First every node against one leader, then against other leaders outside its component.
-    led = materialize(candidates(lists.withColumn("root", F.col("node")), percent, False), "led")
+    led = materialize(candidates(lists.withColumn("root", F.col("node")), nodes, percent, False), "led")
     likeliest = materialize(led.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("p")).select("p.a", "b"), "pairs")
     compare(likeliest)
     settle(led.join(likeliest, ["a", "b"], "left_anti"))
@@ -405,7 +411,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Last, in lists whose members still stand in different components, any two of these.
     placed = materialize(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     several = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
-    settle(materialize(candidates(placed.join(several, "key"), percent, True).join(led, ["a", "b"], "left_anti"), "crossing"))
+    settle(materialize(candidates(placed.join(several, "key"), nodes, percent, True).join(led, ["a", "b"], "left_anti"), "crossing"))
 
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
