@@ -226,8 +226,35 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return current.select(F.col("b").alias("node"), F.col("a").alias("root")).union(current.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """pairs (a, b) with the overlap and the union of their sets, which are built again from the texts.
+def fine_sketch(x: np.ndarray) -> bytes:
+    """Counts in about half as many buckets as the set has members; nothing if a count doesn't fit a byte."""
+    size = 1 << max(6, (len(x) // 2).bit_length() - 1)
+    counts = np.bincount((x >> np.uint64(12)).astype(np.int64) & (size - 1), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def members_of(docs: DataFrame, lists: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """node, n, set and fine sketch of every node that stands in a list, built again from the texts."""
+    wanted = materialize(lists.select("node").distinct().join(nodes.select("node", F.col("first").alias("_first")), "node"), "wanted")
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 64):
+                rows = []
+                for text, own in zip(b.column(0)[lo : lo + 64], b.column(1)[lo : lo + 64].to_pylist()):
+                    x = shingles(text.as_py(), k)
+                    if len(x) and int(np.uint64(node_of(x)).astype(np.int64)) == own:  # else another text under the same id
+                        rows.append((own, len(x), x.tobytes(), fine_sketch(x)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "x", "fine"])
+
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = join_small(own, wanted, own["_id"].eqNullSafe(wanted["_first"])).select("_text", "node")
+    return materialize(rows.mapInArrow(rebuild, "node long, n long, x binary, fine binary"), "members")
+
+
+def meet(pairs: DataFrame, members: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """The pairs (a, b) that link; without exact, those that their fine sketches let link.
 
     Rows meet by a, the set of a first and those it is compared with behind it, so each set moves once for each of its
     pairs and only one is held; what shares one a is salted, GROUP rows to a salt.
@@ -235,48 +262,35 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     right = pairs.join(salts, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("a"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role")).alias("r"))
     left = salts.select(F.col("a").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda x: F.struct(F.col("a").alias("a"), x.alias("salt"), F.lit(0).alias("role")))).alias("r"))
-    roles = right.unionByName(left).groupBy("node").agg(F.collect_list("r").alias("roles")).join(nodes.select("node", F.col("first").alias("_first")), "node")
-    roles = materialize(roles, "roles")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, salt, role, node, sets, held = [], [], [], [], [], 0
-            for text, own, rows in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x = shingles(text.as_py(), k)
-                if not len(x) or int(np.uint64(node_of(x)).astype(np.int64)) != own:
-                    continue  # another text under the same id
-                for r in rows:
-                    a.append(r["a"])
-                    salt.append(r["salt"])
-                    role.append(r["role"])
-                    node.append(own)
-                    sets.append(x.view(np.int64))
-                    held += len(x)
-                    if held > 1 << 19:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), pa.array(node, pa.int64()), pa.array([v.tobytes() for v in sets], pa.binary())], ["a", "salt", "role", "node", "x"])
-                        a, salt, role, node, sets, held = [], [], [], [], [], 0
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int32()), pa.array(role, pa.int32()), pa.array(node, pa.int64()), pa.array([v.tobytes() for v in sets], pa.binary())], ["a", "salt", "role", "node", "x"])
+    roles = materialize(right.unionByName(left).groupBy("node").agg(F.collect_list("r").alias("roles")), "roles")
+    payload = members.select("node", "n", F.col("x" if exact else "fine").alias("x"))
+    dealt = join_small(payload, roles, "node").select(F.explode("roles").alias("r"), "node", "n", "x").select("r.a", "r.salt", "r.role", "node", "n", "x")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = None
+        centre, size = None, 0
         for b in batches:
             out = []
-            for a, role, node, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
+            for a, role, node, n, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)):
+                x = np.frombuffer(x.as_buffer(), np.uint64 if exact else np.uint8)
                 if role == 0:
-                    centre = np.array(x)
-                else:
+                    centre, size = np.array(x), n
+                    continue
+                least = least_overlap(size, n, percent)
+                if exact:
                     at = np.minimum(np.searchsorted(centre, x), len(centre) - 1)
-                    o = int((centre[at] == x).sum())
-                    out.append((a, node, o, len(centre) + len(x) - o))
+                    ok = int((centre[at] == x).sum()) >= least
+                elif not len(x) or not len(centre):
+                    ok = True
+                else:
+                    buckets = min(len(x), len(centre))
+                    one, two = (v.reshape(-1, buckets).sum(0, dtype=np.int32) for v in (centre, x))
+                    ok = int(np.abs(one - two).sum()) <= size + n - 2 * least
+                if ok:
+                    out.append((a, node))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], ["a", "b", "o", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], ["a", "b"])
 
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = join_small(own, roles, own["_id"].eqNullSafe(roles["_first"])).select("_text", "node", "roles")
-    dealt = rows.mapInArrow(deal, "a long, salt int, role int, node long, x binary").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return dealt.mapInArrow(compare, "a long, b long, o long, u long").distinct()
+    return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -370,7 +384,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     histogram = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}  # a row per band: the log of the largest size
     lists = materialize(shared_lists(docs, text_col, k, percent, boundary(histogram, percent)), "keys")
     lists = materialize(different_lists(lists), "lists")
-    linked = F.col("o") * 100 >= F.col("u") * percent
+    members = members_of(docs, lists, nodes, id_col, text_col, k)
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
 
@@ -379,7 +393,10 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nonlocal links, roots
         if pairs.isEmpty():
             return False
-        found = materialize(verify(pairs, docs, nodes, id_col, text_col, k).where(linked).select("a", "b"), "links")
+        likely = materialize(meet(pairs, members, percent, False), "likely")
+        if likely.isEmpty():
+            return False
+        found = materialize(meet(likely, members, percent, True), "links")
         if found.isEmpty():
             return False
         links = links.union(found)
