@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, listings, pages, texts
+from . import graph, library, listings, pages, texts
 
-MODULES = (listings, library, texts, pages)
+MODULES = (listings, library, texts, pages, graph)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
