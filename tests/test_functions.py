@@ -157,3 +157,38 @@ def test_bundle_round_trip(spark, tmp_path):
     stores.export_bundle({"books": books.drop("book_url")}, f"file://{tmp_path}/c")
     with pytest.raises(ValueError, match="book_url"):
         stores.restore_bundle(spark, f"file://{tmp_path}/c")
+
+
+def test_listing_modes(spark):
+    from folio_spark.operators import extract
+
+    html = '<ul><li><a href="/1">A</a></li><li><a href="/2">B</a></li></ul>'
+    js = '{"data":[{"n":"A","u":"/1"},{"n":"B","u":"/2"}]}'
+    want = {"css": [("A", "/1"), ("B", "/2")]}
+    for body, rule, fields in (
+        (html, "tag.li", {"name": "tag.a@text", "link": "tag.a@href"}),
+        (html, ':<a href="([^"]*)">([^<]*)</a>', {"name": "$2", "link": "$1"}),
+        (html, "//li", {"name": "a/text()", "link": "a/@href"}),
+        (js, "$.data", {"name": "$.n", "link": "u"}),
+    ):
+        pages = spark.createDataFrame([(1, body), (2, None)], "page_id int, html string")
+        for sign, order in (("", 1), ("-", -1)):
+            rows = extract.listing(pages, sign + rule, fields).orderBy("page_id", "item_ix").collect()
+            assert [(r["name"], r["link"]) for r in rows] == want["css"][::order], (rule, sign)
+    broken = spark.createDataFrame([(1, "<ul><li>")], "page_id int, html string")
+    assert extract.listing(broken, "//li", {"name": "text()"}).count() == 0
+    with pytest.raises(rules.UnsupportedRule):
+        extract.listing(broken, "$..x", {"name": "$.n"})
+
+
+def test_search_over_sources(spark):
+    from folio_spark.operators import extract
+
+    pages = spark.createDataFrame(
+        [(1, "s1", "http://s1.com/list", "<ul><li><a href='b1'>One</a></li><li><a href='/b2'>Two</a></li></ul>"), (2, "s2", "http://s2.com/x", "<div><a href='/d'>Detail</a></div>"), (3, "s3", "http://s3.com/", '{"l":[{"n":"J","u":"/j"}]}')],
+        "page_id int, source_url string, url string, html string",
+    )
+    css = {"list": "tag.li", "fields": {"name": "tag.a@text", "book_url": "tag.a@href"}}
+    rows = extract.search(pages, [{"source_url": "s1", "source_ord": 0, **css}, {"source_url": "s2", "source_ord": 1, **css}, {"source_url": "s3", "source_ord": 2, "list": "$.l", "fields": {"name": "$.n", "book_url": "$.u"}}])
+    got = {(r["source_ord"], r["item_ix"], r["name"], r["book_url"]) for r in rows.collect()}
+    assert got == {(0, 0, "One", "http://s1.com/b1"), (0, 1, "Two", "http://s1.com/b2"), (1, 0, "Detail", "http://s2.com/d"), (2, 0, "J", "http://s3.com/j")}
