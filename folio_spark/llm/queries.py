@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
-from .jaccard import op7_jaccard
+from .jaccard import OP7_SQL, op7_jaccard
 from .lm import op6_lm
 from .packing import op1_packing
 from .pii import op3_pii
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL = {"op4_topk": OP4_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL = {"op4_topk": OP4_SQL, "op7_jaccard": OP7_SQL, "op10_warc": OP10_SQL}
