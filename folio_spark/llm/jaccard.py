@@ -12,7 +12,7 @@ The boundary is the band at which enumerating subsets costs more than the blocks
 estimated from the histogram of sizes. Both are exact: a linked pair shares a key.
 
 Lists are never expanded into all their pairs. Equal sets are one node from the start. Pairs must pass a sketch (the
-set's counts in SKETCH buckets), whose gaps can't exceed the number of shingles in which linked sets differ. In each
+set's counts in some buckets), whose gaps can't exceed the number of shingles in which linked sets differ. In each
 list, members gather behind leaders that they can link with. Every node is first compared with one leader, and
 components of what links are formed; then with the leaders outside its component; and last, in lists whose members
 still stand in different components, any two of those. What is skipped joins nodes that are joined already.
@@ -44,8 +44,8 @@ MIN_BLOCK = 3
 SCAN_COST = 1.5
 #: Rows compared with one set in one go.
 GROUP = 500
-#: Buckets of a sketch, and members of a list that are compared in one place.
-SKETCH, CHUNK = 64, 4096
+#: Buckets of a sketch and the sizes of sets from which they hold, and members of a list that are compared in one place.
+WIDTHS, LEAST, CHUNK = (64, 256, 1024), (0, 600, 4000), 4096
 #: Turns in which only the likeliest pair of each two components is compared, before all that is left.
 TURNS = 4
 
@@ -69,8 +69,10 @@ def node_of(x: np.ndarray) -> int:
 
 
 def sketch_of(x: np.ndarray) -> bytes:
-    """How many of the set fall in each of SKETCH buckets, up to 255. Two sets differ in at least the sum of the gaps."""
-    return np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """How many of the set fall in each of 64, 256 or 1024 buckets (by its size), up to 255. Two sets differ in at least
+    the sum of the gaps; buckets fold into fewer by their number's remainder."""
+    width = next((w for w, least in zip(WIDTHS[::-1], LEAST[::-1]) if len(x) >= least), WIDTHS[0])
+    return np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) % width, minlength=width), 255).astype(np.uint8).tobytes()
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -293,7 +295,17 @@ def meet(pairs: DataFrame, members: DataFrame, percent: int, exact: bool) -> Dat
     return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def _folded(sketches: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row or -1, matrix) of the sketches that have width buckets or more, folded to width. A full bucket (255) could
+    hide more, so a sketch with one is left out."""
+    wide = [i for i, s in enumerate(sketches) if len(s) >= width and (width == len(s) or 255 not in s)]
+    at = np.full(len(sketches), -1)
+    at[wide] = np.arange(len(wide))
+    rows = [np.frombuffer(sketches[i], np.uint8) for i in wide]
+    return at, np.stack([r if len(r) == width else r.reshape(-1, width).sum(0, dtype=np.int16) for r in rows]).astype(np.int16) if rows else np.zeros((0, width), np.int16)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
     """Columns of whole runs of rows with equal first three columns, and where each run begins (and the last ends).
 
     A run that a batch cuts waits for its rest. CHUNK bounds a run's rows.
@@ -302,8 +314,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray
     for b in batches:
         if not b.num_rows:
             continue
-        sketches = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, SKETCH)
-        cols = [b.column(i).to_numpy() for i in range(7)] + [sketches]
+        cols = [b.column(i).to_numpy() for i in range(7)] + [np.array([*b.column(7).to_pylist(), None], object)[:-1]]
         if held:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
@@ -315,14 +326,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray
         yield held, np.array([0, len(held[0])])
 
 
-def _gaps(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of rows i, j can link, by sizes and sketches, and the gaps of those."""
+def _gaps(n: np.ndarray, levels: list, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows i, j can link, by sizes and sketches (coarse ones first), and the gaps of those."""
     both = n[i] + n[j]
     most = both - 2 * -(-percent * both // (100 + percent))
     ok = np.flatnonzero(np.abs(n[j] - n[i]) <= most)
-    gap = np.abs(sketch[j[ok]].astype(np.int16) - sketch[i[ok]].astype(np.int16)).sum(1)
-    fine = gap <= most[ok]
-    return ok[fine], gap[fine]
+    gap = np.zeros(len(ok), np.int64)
+    for at, matrix in levels:
+        a, b = at[i[ok]], at[j[ok]]
+        has = np.flatnonzero((a >= 0) & (b >= 0))
+        found = np.abs(matrix[b[has]] - matrix[a[has]]).sum(1)
+        gap[has] = np.maximum(gap[has], found)
+        fine = gap <= most[ok]
+        ok, gap = ok[fine], gap[fine]
+    return ok, gap
 
 
 def different_lists(lists: DataFrame) -> DataFrame:
@@ -346,18 +363,30 @@ def candidates(lists: DataFrame, nodes: DataFrame, percent: int, crossing: bool)
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, x, y, own, node, root, n, sketch), bounds in _groups(batches):
             size, out = np.diff(bounds), []
+            levels = [_folded(sketch.tolist(), w) for w in WIDTHS]
 
             def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 if crossing:
                     open_ = (root[i] != root[j]) & ((own[i] != own[j]) | (x[i] == y[i]))  # noqa: B023
                     i, j = i[open_], j[open_]
-                ok, gap = _gaps(n, sketch, i, j, percent)  # noqa: B023
+                ok, gap = _gaps(n, levels, i, j, percent)  # noqa: B023
                 out.append((node[i[ok]], node[j[ok]], gap))  # noqa: B023
                 return ok
 
-            two = bounds[:-1][size == 2]
-            keep(two, two + 1)
-            for lo, hi in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist()):
+            starts, loops = bounds[:-1], 2
+            if crossing:  # all pairs of short lists at once
+                loops = 128
+                for g in np.unique(size[(size > 1) & (size <= loops)]).tolist():
+                    x_, y_ = np.triu_indices(g, 1)
+                    own_starts = starts[size == g]
+                    some = max(1, 200_000 // len(x_))
+                    for lo in range(0, len(own_starts), some):
+                        at = own_starts[lo : lo + some, None]
+                        keep((at + x_).ravel(), (at + y_).ravel())
+            else:
+                two = starts[size == 2]
+                keep(two, two + 1)
+            for lo, hi in zip(starts[size > loops].tolist(), bounds[1:][size > loops].tolist()):
                 if crossing:
                     for i in range(lo, hi - 1):
                         j = np.arange(i + 1, hi)
@@ -367,6 +396,8 @@ def candidates(lists: DataFrame, nodes: DataFrame, percent: int, crossing: bool)
                     while len(left) > 1:
                         found = keep(np.full(len(left) - 1, left[0]), left[1:])
                         left = np.delete(left[1:], found)
+            if not out:
+                continue
             a, b, gap = (np.concatenate(v) for v in zip(*out))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(gap, pa.int64())], ["a", "b", "gap"])
