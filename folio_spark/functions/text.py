@@ -152,3 +152,20 @@ def title_from_file_name(c: Column) -> Column:
 def replace_rules(text: Column, rules: Column) -> Column:
     """Ordered rules (structs of pattern, replacement, is_regex) applied one after the other; ^ and $ meet lines."""
     return F.aggregate(rules, text, lambda acc, r: F.when(r["is_regex"], F.regexp_replace(acc, F.concat(F.lit("(?m)"), r["pattern"]), r["replacement"])).otherwise(F.replace(acc, r["pattern"], r["replacement"])))
+
+
+def limit_summary(c: Column, most: int = 1200) -> Column:
+    """A long summary as its first 55 % and its end, with an ellipsis between."""
+    head = int(most * 0.55)
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, head), F.lit("……"), F.right(c, F.lit(most - head - 2)))).otherwise(c)
+
+
+def looks_like_recap(c: Column) -> Column:
+    """A summary of one chapter rather than of the story so far."""
+    return c.rlike(r"^\s*(?:第\s*[0-9零〇一二两三四五六七八九十百千万]+\s*[章节回]|本章|(?i:this chapter))")
+
+
+def next_summary(previous: Column, new: Column) -> Column:
+    """The new summary unless it is empty or a recap of one chapter, cut to length."""
+    usable = (F.trim(F.coalesce(new, F.lit(""))) != "") & ~F.coalesce(looks_like_recap(new), F.lit(False))
+    return limit_summary(F.when(usable, F.trim(new)).otherwise(F.coalesce(previous, F.lit(""))))

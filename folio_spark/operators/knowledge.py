@@ -93,3 +93,36 @@ def place_rows(places: DataFrame, depth: int = 32) -> DataFrame:
     parent_of = places.select("book", F.col("parent_name").alias("name")).where("name is not null").distinct().withColumn("has_children", F.lit(True))
     out = done.join(parent_of, ["book", "name"], "left")
     return out.select("book", "name", (F.size("path") - 1).alias("depth"), F.array_join("path", "/").alias("path"), F.coalesce("has_children", F.lit(False)).alias("has_children"))
+
+
+def place_signature(places: DataFrame) -> DataFrame:
+    """One text for each book that changes when its set of places does."""
+    one = F.concat_ws(":", knowledge_key(F.col("name")), F.coalesce("kind", F.lit("")), F.coalesce("parent_name", F.lit("")))
+    return places.groupBy("book").agg(F.array_join(F.array_sort(F.collect_set(one)), "|").alias("signature"))
+
+
+#: Words by which a place's level is told, from the widest.
+LEVELS = (("world|universe|界|宇宙", 6), ("country|kingdom|empire|国|洲", 5), ("province|region|省|州|郡", 4), ("city|town|城|市|镇", 3), ("village|district|村|区", 2), ("building|house|hall|楼|府|殿|宗", 1))
+
+
+def place_level(kind: Column) -> Column:
+    out = F.lit(0)
+    for words, level in LEVELS[::-1]:
+        out = F.when(F.lower(F.coalesce(kind, F.lit(""))).rlike(words), level).otherwise(out)
+    return out
+
+
+def infer_parents(places: DataFrame) -> DataFrame:
+    """book, name and parent: the given one if it is of a higher level; else the place of a higher level that the own
+    description names; else the one whose description names this place; else the book's only town or city.
+
+    The pairs are those of one book whose one text names the other; a book's places are few, and no pair crosses books.
+    """
+    p = places.select("book", "name", "parent_name", F.coalesce("description", F.lit("")).alias("text"), place_level(F.col("kind")).alias("level"))
+    other = p.select(F.col("book").alias("_b"), F.col("name").alias("up"), F.col("text").alias("up_text"), F.col("level").alias("up_level"))
+    met = p.join(other, (F.col("book") == F.col("_b")) & (F.col("up_level") > F.col("level")))
+    how = F.when(F.col("up") == F.col("parent_name"), 1).when(F.contains("text", F.col("up")), 2).when(F.contains("up_text", F.col("name")), 3)
+    best = met.withColumn("how", how).where("how is not null").groupBy("book", "name").agg(F.min(F.struct("how", "up_level", "up")).alias("best"))
+    towns = p.where("level = 3").groupBy("book").agg(F.count("*").alias("_n"), F.min("name").alias("town")).where("_n = 1").select("book", "town")
+    out = p.join(best, ["book", "name"], "left").join(towns, "book", "left")
+    return out.select("book", "name", F.coalesce("best.up", F.when((F.col("level") < 3) & (F.col("name") != F.col("town")), F.col("town"))).alias("parent"))

@@ -69,11 +69,12 @@ SQL = {
     "e03_positions": _K + """, n AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM links), r AS (SELECT page_id, href, CASE WHEN item_ix = 0 THEN 0 WHEN item_ix = n - 1 THEN 1 ELSE 1 + item_ix END AS o FROM n WHERE item_ix <= 3 OR item_ix = n - 1)
  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS place, href AS value FROM r""",
     "e04_interleave": _K + " SELECT page_id, 2 * item_ix AS place, title AS value FROM links UNION ALL SELECT page_id, 2 * item_ix + 1, href FROM links",
+    "e04_first_non_empty": "SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS value FROM pages",
     "e05_extractors": "SELECT page_id, 0 AS place, 'ad' AS value FROM pages UNION ALL SELECT page_id, 1, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) FROM pages",
     "e06_relative_fields": _K + " SELECT page_id, item_ix, title, href FROM links",
     "e06_reversed_list": _K + " SELECT page_id, max(item_ix) OVER (PARTITION BY page_id) - item_ix AS item_ix, href[2:] AS href FROM links",
     "e08_body_text": """WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS b FROM pages)
- SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS text_md5 FROM a""",
+ SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS text_md5 FROM a""",
     "e21_toc": _K + """, q AS (SELECT book, page_ord, item_ix, regexp_extract(p.url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || toc.url AS url, title FROM toc JOIN pages p ON p.page_id = page_ord),
  f AS (SELECT book, url, min((page_ord, item_ix, title)) AS f FROM q GROUP BY 1, 2) SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY f[1], f[2], url) - 1 AS INT) AS idx, url, f[3] AS title FROM f""",
 }

@@ -215,6 +215,9 @@ SQL = {
     "u13_collapse_space": "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS flat_md5 FROM documents",
     "u14_replace_rules": "SELECT doc_id, md5(regexp_replace(replace(regexp_replace(text, '(?m)[%$*&#]+', '', 'g'), 'the', 'THE'), '(?m)^The', '- The', 'g')) AS text_md5 FROM documents",
     "u15_map_characters": "SELECT doc_id, md5(translate(text, 'eäß', 'éas')) AS mapped_md5 FROM documents",
+    "u16_in_context": """WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT doc_id, t, string_split(lower(t), 'this') AS s FROM f),
+ i AS (SELECT doc_id, t, s, unnest(range(1, least(len(s), 1001))) AS k FROM p WHERE len(s) > 1), a AS (SELECT doc_id, t, CAST(k AS INT) AS place, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + 4 * (k - 1) AS INT) AS pos FROM i)
+ SELECT doc_id, place, pos AS "at", CASE WHEN pos > 18 THEN '…' ELSE '' END || substring(t, greatest(pos - 18, 0) + 1, least(pos + 22, length(t)) - greatest(pos - 18, 0)) || CASE WHEN pos + 22 < length(t) THEN '…' ELSE '' END AS snippet FROM a""",
     "u17_paragraphs": """WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_replace(x, '^[\\s\\x{00A0}\\x{3000}]+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)
  SELECT doc_id, CAST(len(p) AS INT) AS n, md5(array_to_string(p, chr(10))) AS paragraphs_md5 FROM p""",
     "j03_scoped_rules": """SELECT doc_id, r AS rule_id FROM documents, (VALUES (1), (4)) v(r) UNION ALL SELECT doc_id, 2 FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, 3 FROM documents WHERE lang = 'de'""",

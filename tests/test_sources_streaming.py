@@ -80,3 +80,19 @@ def test_streams_equal_batches(spark, sf, tmp_path):
         q.awaitTermination(120)
     last = {tuple(r) for r in events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id").collect()}
     assert {tuple(r) for r in store.read().select("user_id", "event_id").collect()} == last
+
+
+def test_place_parents_and_signature(spark):
+    rows = [(1, "Ava", "city", "", "a city of Oria"), (1, "Oria", "kingdom", "", ""), (1, "Inn", "house", "Ava", ""), (1, "Mill", "house", "Inn", ""), (1, "Hall", "hall", "", "stands in Oria"), (2, "X", "house", "", ""), (2, "Y", "city", "", "X lies here")]
+    places = spark.createDataFrame(rows, "book int, name string, kind string, parent_name string, description string")
+    got = {(r["book"], r["name"]): r["parent"] for r in K.infer_parents(places).collect()}
+    assert got == {(1, "Ava"): "Oria", (1, "Oria"): None, (1, "Inn"): "Ava", (1, "Mill"): "Ava", (1, "Hall"): "Oria", (2, "X"): "Y", (2, "Y"): None}
+    a, b = (K.place_signature(p).orderBy("book").collect() for p in (places, places.repartition(3)))
+    assert a == b and a != K.place_signature(places.where("name <> 'Inn'")).orderBy("book").collect()
+
+
+def test_summaries(spark):
+    from folio_spark.functions import text as X
+
+    rows = spark.createDataFrame([("old", "第3章 recap"), ("old", " "), ("old", "new"), ("old", "x" * 2000)], "p string, n string").select(X.next_summary(F.col("p"), F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in rows[:3]] == ["old", "old", "new"] and len(rows[3]["s"]) == 1200
