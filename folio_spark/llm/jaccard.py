@@ -47,7 +47,7 @@ GROUP = 500
 #: Buckets of a sketch and the sizes of sets from which they hold, and members of a list that are compared in one place.
 WIDTHS, LEAST, CHUNK = (64, 256, 1024), (0, 600, 4000), 4096
 #: Turns in which only the likeliest pair of each two components is compared, before all that is left.
-TURNS = 4
+TURNS = 2
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -235,9 +235,9 @@ def fine_sketch(x: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
 
-def members_of(docs: DataFrame, lists: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """node, n, set and fine sketch of every node that stands in a list, built again from the texts."""
-    wanted = materialize(lists.select("node").distinct().join(nodes.select("node", F.col("first").alias("_first")), "node"), "wanted")
+def members_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """node, n, set and fine sketch of every wanted node, built again from the texts."""
+    wanted = materialize(wanted.select("node").join(nodes.select("node", F.col("first").alias("_first")), "node"), "wanted")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -415,10 +415,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     histogram = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}  # a row per band: the log of the largest size
     lists = materialize(shared_lists(docs, text_col, k, percent, boundary(histogram, percent)), "keys")
     lists = materialize(different_lists(lists), "lists")
-    members = members_of(docs, lists, nodes, id_col, text_col, k)
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
     def compare(pairs: DataFrame) -> bool:
         """Verify pairs and grow the components by what links; whether any did."""
         nonlocal links, roots
@@ -452,6 +454,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # First every node against one leader, then against other leaders outside its component.
     led = materialize(candidates(lists.withColumn("root", F.col("node")), nodes, percent, False), "led")
+    members = members_of(docs, ends(led), nodes, id_col, text_col, k)  # sets of what is compared, not of all that stands in lists
     likeliest = materialize(led.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("p")).select("p.a", "b"), "pairs")
     compare(likeliest)
     settle(led.join(likeliest, ["a", "b"], "left_anti"))
@@ -459,7 +462,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Last, in lists whose members still stand in different components, any two of these.
     placed = materialize(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     several = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
-    settle(materialize(candidates(placed.join(several, "key"), nodes, percent, True).join(led, ["a", "b"], "left_anti"), "crossing"))
+    crossing = materialize(candidates(placed.join(several, "key"), nodes, percent, True).join(led, ["a", "b"], "left_anti"), "crossing")
+    members = members.unionByName(members_of(docs, ends(crossing).join(members.select("node"), "node", "left_anti"), nodes, id_col, text_col, k))
+    settle(crossing)
 
     named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
