@@ -10,7 +10,7 @@ Training goes over the n-gram counts of all training texts, which Spark gathers:
 noise-contrastive updates from the current parameters, the noise being the class frequencies, and the partitions'
 results are averaged by their counts; the table is gone through in ROUNDS such rounds. Only parameters, whose size is fixed, reach the driver.
 
-Counts: those of all words of the training texts. The HEAD most frequent ones travel to the scoring tasks; words
+Counts: those of all words of the training texts. The (at most HEAD) most frequent ones travel to the scoring tasks; words
 outside HEAD are joined to their counts by Spark.
 
 Defined results: a null or empty text is the end token alone; repeated rows are counted and scored as often as they
@@ -63,6 +63,18 @@ def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words by bands of their counts, as many whole bands as hold at most HEAD words."""
+    band = F.floor(F.log2("n") * 32).cast("int")
+    left, least = HEAD, None
+    for b, n in sorted(counts.groupBy(band.alias("b")).count().collect(), reverse=True):  # 32 rows for each doubling of counts
+        if n > left:
+            break
+        left, least = left - n, b
+    rows = counts.where(band >= least).collect() if least is not None else []  # HEAD rows at most, counted
+    return sorted(((bytes(t), n) for t, n in rows), key=lambda x: (-x[1], x[0]))
+
+
 class Classes:
     """Class and count of the HEAD words; classes: SHORT words, the end, BANDS bands, the tail (the last)."""
 
@@ -224,7 +236,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     training = rows.where(~F.col("held_out"))
     counts = materialize(count_tokens(training, text_col), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(t), n) for t, n in counts.where("token is not null").orderBy(F.desc("n"), "token").limit(HEAD).collect()]  # HEAD rows
+    head = most_frequent(counts.where("token is not null"))
     ends = (counts.where("token is null").select("n").first() or [0])[0]
     classes = Classes(head, ends, total, distinct)
     model = train(materialize(grams(training, text_col, classes), "grams"), classes)
