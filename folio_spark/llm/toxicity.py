@@ -31,11 +31,13 @@ from .common import fold
 WINDOW, DIM, BUCKETS, GRAMS = 16, 8, 1 << 17, (3, 4, 5)
 #: Rows labelled 0 and 1 that training may take, by the order of a hash of their ids.
 SAMPLE = (6000, 3000)
+#: Documents of a sample that eight passes are enough for.
+FULL = 4000
 #: Sampled documents that must share an n-gram before it gets a vector.
 RARE = 3
 #: Windows of one sampled document that training keeps; a longer one has them drawn evenly.
 TRAIN_WINDOWS = 400
-CACHE = 400_000
+CACHE, SPAN = 400_000, 1 << 40
 
 _STRIP = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 
@@ -87,7 +89,7 @@ def window_means(values: np.ndarray) -> np.ndarray:
     return total / np.minimum(WINDOW, len(values) - np.arange(n) * WINDOW)
 
 
-def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, epochs: int = 8, rate: float = 3.0, seed: int = 1) -> Model:
+def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, passes: int = 8, rate: float = 3.0, seed: int = 1) -> Model:
     """Jointly fit bucket vectors and softmax weights with Adagrad over mini-batches of windows.
 
     toxic: the labels, which may be filled in while texts is read.
@@ -116,6 +118,7 @@ def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, epochs: i
     window_doc, size = doc_of[first], np.diff(np.append(first, len(flat)))
     once = np.zeros(len(flat), np.float32)  # 1 at the first place of a word in its window
     once[np.unique(window_of * len(vocab) + flat.astype(np.int64), return_index=True)[1]] = 1
+    epochs = passes * max(1, -(-FULL // len(docs)))  # a smaller sample is gone through more often, for as many updates
     for epoch in range(epochs):
         direction = out[1] - out[0]
         worth = np.add.reduceat((emb @ direction)[ids], begins) / counts
@@ -127,7 +130,7 @@ def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, epochs: i
         _, one = np.unique(window_doc[spread], return_index=True)
         spread2 = rng.permutation(len(window_doc))
         _, two = np.unique(window_doc[spread2], return_index=True)
-        if epoch < 2:
+        if epoch < epochs // 4:
             chosen = np.concatenate([spread[one], spread2[two], rng.permutation(len(window_doc))[: 2 * len(docs)]])
         else:
             other = spread[one]
@@ -172,9 +175,12 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_
         .groupBy(id_col)
         .agg(F.min("toxic").alias("_lo"), F.max("toxic").alias("_hi"))
         .where("_lo = _hi")
-        .select(F.col(id_col).alias("_id"), F.col("_lo").cast("int").alias("_toxic"), F.xxhash64(id_col).alias("_h"))
+        .select(F.col(id_col).alias("_id"), F.col("_lo").cast("int").alias("_toxic"), F.pmod(F.xxhash64(id_col), F.lit(SPAN)).alias("_h"))
     )
-    both = [known.where(F.col("_toxic") == y).orderBy("_h").limit(per_class[y]) for y in (0, 1)]
+    sizes = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
+    # Only so much of the hash's range as holds per_class[y] rows for certain is put in order.
+    part = [min(SPAN, int(SPAN * (1.5 * per_class[y] + 200) / max(1, sizes.get(y, 0)))) for y in (0, 1)]
+    both = [known.where((F.col("_toxic") == y) & (F.col("_h") < part[y])).orderBy("_h", "_id").limit(per_class[y]) for y in (0, 1)]
     picked = F.broadcast(both[0].unionByName(both[1]))  # at most sum(per_class) rows of three numbers
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias])], ["table", "bias"])
 
     rows = _sample(docs, labels, id_col, text_col, per_class).repartition(1).sortWithinPartitions("_id", "_bag")
-    table, bias = rows.mapInArrow(fitted, "table binary, bias double").first()
+    found = rows.mapInArrow(fitted, "table binary, bias double").first()
+    if found is None:  # no row at all
+        return Model(np.zeros(BUCKETS, np.float32), -50.0)
+    table, bias = found
     return Model(np.frombuffer(table, np.float32), bias)
 
 
