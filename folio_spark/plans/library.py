@@ -83,7 +83,8 @@ def j09(spark, sf):
 def j10(spark, sf):
     e = events(spark, sf)
     saves = e.select(F.concat(F.lit("/o/"), F.col("user_id").cast("string")).alias("book_url"), F.unix_micros("ts").alias("time"), F.col("k").alias("idx"))
-    toc = table(spark, sf, "lineitem").where("l_orderkey < 200").groupBy(F.concat(F.lit("/o/"), F.col("l_orderkey").cast("string")).alias("book_url"), F.expr("cast(l_partkey % 100 as int)").alias("idx")).agg(F.min(F.concat(F.lit("Chapter "), F.col("l_partkey").cast("string"))).alias("title"))
+    lines = table(spark, sf, "lineitem").withColumn("book_url", F.concat(F.lit("/o/"), F.col("l_orderkey").cast("string"))).join(saves.select("book_url").distinct(), "book_url", "left_semi")
+    toc = lines.groupBy("book_url", F.expr("cast(l_partkey % 100 as int)").alias("idx")).agg(F.min(F.concat(F.lit("Chapter "), F.col("l_partkey").cast("string"))).alias("title"))
     return S.progress(shelf(spark, sf).select("book_url", "name"), toc, saves).select("book_url", "name", "time", "idx", "title", "total", "last_title")
 
 
