@@ -53,6 +53,11 @@ def join_small(big: DataFrame, small: DataFrame, on: str | Column | list, how: s
     return big.join(F.broadcast(small) if small.count() <= SMALL else small, on, how)
 
 
+def same_row(rows: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> Column:
+    """Joins rows to keys (_id, _text: the text's hash). Ids can be null or repeated, so an id alone names no row."""
+    return rows[id_col].eqNullSafe(keys["_id"]) & (F.xxhash64(rows[text_col]) == keys["_text"])
+
+
 def id_text(col: Column) -> Column:
     """An id as text; a null id counts as empty text."""
     return F.coalesce(col.cast("string"), F.lit(""))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, materialize, mix
+from .common import join_small, materialize, mix, same_row
 
 #: Repetitions and sampled places: measured recall of items with 10, 15 and 20 % of their words edited is in the README.
 REPEATS, SAMPLES, RUN = 32, 4, 3
@@ -218,9 +218,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = 80) -> DataFrame:
-    """docs without the documents that hold an item. The leaks are few ids; they are written before docs is read again."""
-    leaks = materialize(find_leaks(docs, benchmark, id_col, text_col, item_col, percent).select(F.col(id_col).alias("_id")).distinct(), "leaking")
-    return join_small(docs, leaks, docs[id_col].eqNullSafe(leaks["_id"]), "left_anti")
+    """docs without the documents that hold an item, by id and text: other texts under the same id, or under none, stay.
+    The leaks are few; they are written before docs is read again."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("_row"), text_col)
+    leaks = materialize(find_leaks(keyed, benchmark, "_row", text_col, item_col, percent).select(F.col("_row.id").alias("_id"), F.col("_row.text").alias("_text")).distinct(), "leaking")
+    return join_small(docs, leaks, same_row(docs, id_col, text_col, leaks), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

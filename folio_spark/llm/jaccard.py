@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, materialize, mix, words
+from .common import join_small, materialize, mix, same_row, words
 
 MIN_BLOCK = 3
 #: Scanning one entry of a heavy list, in units of writing one light key.
@@ -150,17 +150,17 @@ def keys_of(x: np.ndarray, percent: int, first_heavy: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """id, node (equal for equal sets, null for empty ones), n_shingles and the set's band."""
+    """id, node (equal for equal sets, null for empty ones), n_shingles, the set's band and sketch, and the text's hash."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), k) for t in b.column(1)]
             node = pa.array([int(np.uint64(node_of(x)).astype(np.int64)) if len(x) else None for x in sets], pa.int64())
             bands = pa.array([band_of(len(x), percent) if len(x) else -1 for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array(map(len, sets), pa.int64()), bands, pa.array([sketch_of(x) for x in sets], pa.binary())], [id_col, "node", "n_shingles", "band", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array(map(len, sets), pa.int64()), bands, pa.array([sketch_of(x) for x in sets], pa.binary()), b.column(2)], [id_col, "node", "n_shingles", "band", "sketch", "text_hash"])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
-    return docs.select(id_col, text_col).mapInArrow(measure, schema)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("text_hash", T.LongType())])
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(measure, schema)
 
 
 def shared_lists(docs: DataFrame, text_col: str, k: int, percent: int, first_heavy: int) -> DataFrame:
@@ -236,8 +236,8 @@ def fine_sketch(x: np.ndarray) -> bytes:
 
 
 def members_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """node, n, set and fine sketch of every wanted node, built again from the texts."""
-    wanted = materialize(wanted.select("node").join(nodes.select("node", F.col("first").alias("_first")), "node"), "wanted")
+    """node, n, set and fine sketch of every wanted node, built again from one text of each."""
+    wanted = materialize(wanted.select("node").join(nodes.select("node", F.col("first").alias("_id"), F.col("first_text").alias("_text"), "repeated"), "node"), "wanted")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,13 +245,16 @@ def members_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, id_col: str
                 rows = []
                 for text, own in zip(b.column(0)[lo : lo + 64], b.column(1)[lo : lo + 64].to_pylist()):
                     x = shingles(text.as_py(), k)
-                    if len(x) and int(np.uint64(node_of(x)).astype(np.int64)) == own:  # else another text under the same id
+                    if len(x) and int(np.uint64(node_of(x)).astype(np.int64)) == own:  # else another text with the same hash
                         rows.append((own, len(x), x.tobytes(), fine_sketch(x)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "x", "fine"])
 
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = join_small(own, wanted, own["_id"].eqNullSafe(wanted["_first"])).select("_text", "node")
+    own = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_body"))
+    rows = join_small(own, wanted, same_row(own, "_own", "_body", wanted)).select("_body", "node", "repeated")
+    if not wanted.where("repeated").isEmpty():
+        rows = rows.where("not repeated").unionByName(rows.where("repeated").dropDuplicates(["node"]))
+    rows = rows.select("_body", "node")
     return materialize(rows.mapInArrow(rebuild, "node long, n long, x binary, fine binary"), "members")
 
 
@@ -406,12 +409,15 @@ def candidates(lists: DataFrame, nodes: DataFrame, percent: int, crossing: bool)
     return dealt.mapInArrow(pair, "a long, b long, gap long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "gap").distinct()
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """id, n_shingles and component_id (the smallest id that links reach) of every row of docs."""
+def linked_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The measured rows of docs; and node, first (its smallest id) and root (equal for linked nodes) of every node."""
     spark = docs.sparkSession
     measured = materialize(sets_of(docs, id_col, text_col, k, percent), "sets")
-    nodes = measured.where("node is not null").groupBy("node").agg(F.min(id_col).alias("first"), F.max("n_shingles").alias("n"), F.max("band").alias("band"), F.max("sketch").alias("sketch"))
-    nodes = materialize(nodes, "nodes")
+    full = measured.where("node is not null").withColumn("key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("text")))
+    nodes = full.groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.max("band").alias("band"), F.max("sketch").alias("sketch"))
+    repeated = materialize(full.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("repeated")), "repeated")
+    nodes = nodes.withColumn("repeated", F.lit(False)) if repeated.isEmpty() else nodes.join(repeated, "key", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
+    nodes = materialize(nodes.select("node", F.col("key.id").alias("first"), F.col("key.text").alias("first_text"), "repeated", "n", "band", "sketch"), "nodes")
     histogram = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}  # a row per band: the log of the largest size
     lists = materialize(shared_lists(docs, text_col, k, percent, boundary(histogram, percent)), "keys")
     lists = materialize(different_lists(lists), "lists")
@@ -466,22 +472,35 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.unionByName(members_of(docs, ends(crossing).join(members.select("node"), "node", "left_anti"), nodes, id_col, text_col, k))
     settle(crossing)
 
-    named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    return measured, nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """id, n_shingles and component_id (the smallest id that links reach) of every row of docs."""
+    measured, named = linked_sets(docs, id_col, text_col, k, percent)
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(names, "root").select("node", "component_id")
     return measured.join(named, "node", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the one that names it; of rows that share that id one stays."""
-    found = materialize(join_components(docs, id_col, text_col, k, percent), "components")
-    gone = materialize(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct(), "gone")
-    twice = materialize(found.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 and _id is not null").select("_id").join(gone, "_id", "left_anti"), "twice")
-    kept = join_small(docs, gone, docs[id_col] == gone["_id"], "left_anti")
+    """docs with one row of each component: the smallest id's, of its texts the one with the smallest hash. Texts without
+    words are components of their own, so they all stay."""
+    measured, named = linked_sets(docs, id_col, text_col, k, percent)
+    rows = measured.where("node is not null").join(named.select("node", "root"), "node")
+    keys = materialize(rows.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text")).agg(F.min("root").alias("root"), F.count("*").alias("n")), "components")
+    first = materialize(keys.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text")).alias("k")).select("k._id", "k._text"), "first")
+    on = keys["_id"].eqNullSafe(first["_id"]) & (keys["_text"] == first["_text"])
+    gone = materialize(keys.join(first, on, "left_anti").select("_id", "_text"), "gone")
+    twice = materialize(keys.where("n > 1").join(first, on, "left_semi").select("_id", "_text"), "twice")
+    kept = join_small(docs, gone, same_row(docs, id_col, text_col, gone), "left_anti")
     if twice.isEmpty():
         return kept
-    again = join_small(kept, twice, kept[id_col] == twice["_id"], "left_semi").dropDuplicates([id_col])
-    return join_small(kept, twice, kept[id_col] == twice["_id"], "left_anti").unionByName(again)
+    # Rows with the same id and text: the one whose other columns hash lowest.
+    again = join_small(kept, twice, same_row(kept, id_col, text_col, twice), "left_semi")
+    rank = F.xxhash64(*(f.name for f in docs.schema if isinstance(f.dataType, T.AtomicType)))
+    again = again.groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text")).agg(F.min_by(F.struct(*docs.columns), rank).alias("_row")).select("_row.*")
+    return join_small(kept, twice, same_row(kept, id_col, text_col, twice), "left_anti").unionByName(again)
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import datetime
 
+from folio_spark.llm import decontaminate, jaccard
 from folio_spark.plans import library
 
+DOCS = "doc_id long, text string, lang string"
+
 
 def test_progress_of_books_with_large_keys(spark, tmp_path):
     at = datetime.datetime(2024, 1, 1)
@@ -16,3 +19,42 @@ def test_progress_of_books_with_large_keys(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = sorted((r["book_url"], r["title"], r["total"], r["last_title"]) for r in library.j10(spark, str(tmp_path)).collect())
     assert got == [(f"/o/{k}", "Chapter 107", 2, "Chapter 9") for k in (199, 200, 70000)]
+
+
+def rows_of(df):
+    return sorted(((r["doc_id"], r["text"], r["lang"]) for r in df.collect()), key=repr)
+
+
+def test_clean_rows_stay_under_a_leaking_id(spark):
+    leak = " ".join(f"v{i}" for i in range(20))
+    docs = [(None, leak, "a"), (None, "clean one", "b"), (None, None, "c"), (7, f"x {leak} y", "d"), (7, "clean two", "e"), (8, "clean two", "f")]
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert rows_of(decontaminate.clean(spark.createDataFrame(docs, DOCS), bench)) == sorted((docs[i] for i in (1, 2, 4, 5)), key=repr)
+
+
+def test_near_copies_by_row_not_by_id(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(100)) for c in "abcd")
+    docs = [
+        (None, one, "1"), (None, one + " z", "2"), (None, two, "3"), (None, None, "4"), (None, "", "5"), (None, "", "5"),  # a component of null ids only, other null ids
+        (3, two + " z", "6"), (3, three, "7"), (3, "alone", "8"),  # an id in three components
+        (1, three + " z", "9"), (3, four, "same"), (3, four, "same"),
+    ]
+    kept = rows_of(jaccard.keep_one_each(spark.createDataFrame(docs, DOCS).repartition(3)))
+    assert [r for r in kept if r[1] in (one, one + " z")] in ([docs[0]], [docs[1]])
+    assert [r for r in kept if r[1] not in (one, one + " z")] == sorted((docs[i] for i in (3, 4, 5, 6, 8, 9, 10)), key=repr)
+
+
+def test_sets_are_built_once_for_repeated_rows(spark, monkeypatch):
+    written, write = [], jaccard.materialize
+
+    def spy(df, tag):
+        out = write(df, tag)
+        if tag == "members":
+            written.append([r["node"] for r in out.select("node").collect()])
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    base = " ".join(f"a{i}" for i in range(100))
+    docs = spark.createDataFrame([(None, base, "")] * 6 + [(None, base + " z", "")] * 4 + [(None, "other text", "")], DOCS).repartition(3)
+    assert jaccard.join_components(docs).count() == 11
+    assert [len(x) for x in written] == [len(set(x)) for x in written] and len(written[0]) == 2
