@@ -85,8 +85,8 @@ def chunks(c: Column, size: int = 70) -> Column:
     return F.aggregate(pieces, none, pack)
 
 
-def in_context(text: Column, keyword: str, around: int = 18, limit: int = 20) -> Column:
-    """Snippets around each case-insensitive place of a keyword: structs of place (1, 2, ...), at and snippet."""
+def in_context(text: Column, keyword: str, around: int = 18, limit: int | None = None) -> Column:
+    """Snippets around each case-insensitive place of a keyword, or the first `limit`: structs of place (1, 2, ...), at and snippet."""
     flat = collapse_space(text)
     parts = F.split(F.lower(flat), "\\Q" + keyword.lower() + "\\E", -1)
     n = len(keyword)
@@ -94,7 +94,8 @@ def in_context(text: Column, keyword: str, around: int = 18, limit: int = 20) ->
     def step(acc: Column, p: Column) -> Column:
         return F.struct((acc["at"] + F.length(p) + n).alias("at"), F.array_append(acc["got"], acc["at"] + F.length(p)).alias("got"))
 
-    places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("got")), step, lambda a: F.slice(a["got"], 1, F.least(F.size(a["got"]) - 1, F.lit(limit))))
+    count = lambda a: F.size(a["got"]) - 1 if limit is None else F.least(F.size(a["got"]) - 1, F.lit(limit))
+    places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("got")), step, lambda a: F.slice(a["got"], 1, count(a)))
 
     def snippet(at: Column, i: Column) -> Column:
         lo = F.greatest(at - around, F.lit(0))

@@ -43,7 +43,7 @@ def u15(spark, sf):
 
 
 def u16(spark, sf):
-    hit = docs(spark, sf).select("doc_id", F.explode(X.in_context(F.col("text"), "this", limit=1000)).alias("s"))
+    hit = docs(spark, sf).select("doc_id", F.explode(X.in_context(F.col("text"), "this")).alias("s"))
     return hit.select("doc_id", F.col("s.place").alias("place"), F.col("s.at").alias("at"), F.col("s.snippet").alias("snippet"))
 
 

@@ -3,7 +3,7 @@
 import datetime
 
 from folio_spark.llm import decontaminate, jaccard
-from folio_spark.plans import library
+from folio_spark.plans import library, texts
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -58,3 +58,9 @@ def test_sets_are_built_once_for_repeated_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(None, base, "")] * 6 + [(None, base + " z", "")] * 4 + [(None, "other text", "")], DOCS).repartition(3)
     assert jaccard.join_components(docs).count() == 11
     assert [len(x) for x in written] == [len(set(x)) for x in written] and len(written[0]) == 2
+
+
+def test_all_places_of_a_frequent_word(spark, tmp_path):
+    spark.createDataFrame([(1, "this " * 1500), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["place"], r["at"]) for r in texts.u16(spark, str(tmp_path)).collect())
+    assert got == [(1, i + 1, 5 * i) for i in range(1500)]
