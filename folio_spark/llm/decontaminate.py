@@ -11,7 +11,8 @@ equals an item's becomes a candidate, and an edit distance over words decides.
 
 Windows are item-sized, and only those are embedded that share enough runs of three words with some item: an edit
 touches at most three runs, so a match of n words within k edits keeps n - 2 - 3k of them, each at most k places
-off the window's own start. Nothing is lost by it. Items of fewer than three words are looked up whole.
+off the window's own start. Nothing is lost by it. Items of fewer than three words are looked up whole; items that may
+keep no run (five words, one edit) by pairs of words, or single ones, and the edit distance decides at once.
 
 Items travel in blocks of fixed size, whatever their number.
 
@@ -118,7 +119,7 @@ class Index:
     """Items by run and, for each length, by the keys of each repetition."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int):
-        self.items, self.run_of, self.keys, self.allowed = [], defaultdict(list), {}, []
+        self.items, self.run_of, self.keys, self.allowed, self.loose = [], defaultdict(list), {}, [], []
         for item, text in items:
             s = symbols(text)
             if not len(s):
@@ -129,6 +130,8 @@ class Index:
                 edits = max(0, -(-(len(s) + 2 - RUN) // RUN) - 1) if len(s) >= RUN else 0
             self.items.append((item, s))
             self.allowed.append(edits)
+            if len(s) >= RUN and len(s) - RUN + 1 - RUN * edits < 1:
+                self.loose.append(k)
             for at, run in enumerate(runs(s) if len(s) >= RUN else [mix(np.array([s.sum()], np.uint64))[0]]):
                 self.run_of[int(run)].append((k, at))
             table = self.keys.setdefault(len(s), defaultdict(set))
@@ -163,6 +166,18 @@ class Index:
             for k, (_, item) in enumerate(self.items):
                 if len(item) < RUN:
                     starts[len(item)].update(np.flatnonzero(s == item[0]).tolist())
+        sure: dict[int, set[int]] = defaultdict(set)
+        for k in self.loose:
+            item, edits = self.items[k][1], self.allowed[k]
+            size = 2 if len(item) - 1 - 2 * edits >= 1 else 1
+            for j in range(len(item) - size + 1):
+                same = s[: max(0, len(s) - size + 1)] == item[j]
+                if size == 2:
+                    same = same & (s[1:] == item[j + 1])
+                for p in np.flatnonzero(same).tolist():
+                    sure[k].update(v for v in (max(0, v) for v in range(p - j - edits, p - j + edits + 1)) if v < len(s))
+            if sure[k]:
+                starts[len(item)].update(sure[k])
         best: dict[int, tuple[int, int, int]] = {}
         for n, where in starts.items():
             at = np.fromiter((w for w in sorted(where) if w < len(s)), np.int64)
@@ -172,6 +187,9 @@ class Index:
                 for i, key in enumerate(keys[:, r].tolist()):
                     for k in table.get((r, key), ()):
                         found[k].add(int(at[i]))
+            for k, places in sure.items():
+                if places and len(self.items[k][1]) == n:
+                    found[k].update(places)
             for k, places in found.items():
                 item, edits = self.items[k][1], self.allowed[k]
                 places = sorted(places)

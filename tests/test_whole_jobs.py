@@ -64,3 +64,10 @@ def test_all_places_of_a_frequent_word(spark, tmp_path):
     spark.createDataFrame([(1, "this " * 1500), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["doc_id"], r["place"], r["at"]) for r in texts.u16(spark, str(tmp_path)).collect())
     assert got == [(1, i + 1, 5 * i) for i in range(1500)]
+
+
+def test_items_of_five_words_with_one_edit():
+    index = decontaminate.Index([(1, "a b c d e")], 80)
+    for text in ("x a b y d e z", "a b d e", "a b c y d e", "y b c d e", "a b c d"):
+        assert [(m[0], m[3]) for m in index.matches(decontaminate.symbols(text))] == [(1, 1)], text
+    assert not index.matches(decontaminate.symbols("a b x y e")) and not index.matches(decontaminate.symbols("a"))
