@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +16,12 @@ MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a fresh local one."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where that is unset, a session in one
+    process (tests) gets one of its own, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,6 +64,18 @@ def same_row(rows: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> Co
     return rows[id_col].eqNullSafe(keys["_id"]) & (F.xxhash64(rows[text_col]) == keys["_text"])
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, rows: int = 64, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows and about `size` bytes in column `at` (one longer text is a part)."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def id_text(col: Column) -> Column:
     """An id as text; a null id counts as empty text."""
     return F.coalesce(col.cast("string"), F.lit(""))

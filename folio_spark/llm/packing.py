@@ -13,10 +13,12 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ from .common import materialize
 
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces that one ranking bucket holds on average, and cached text segments in each of a Python worker's two generations.
-BUCKET_ROWS, CACHE = 100_000, 800_000
+#: Pieces that one ranking bucket holds on average.
+BUCKET_ROWS = 100_000
+#: Bytes of kept text segments in each of an encoder's two generations, and what one takes besides its characters and ids.
+KEPT, EACH = 72 << 20, 200
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -44,20 +48,23 @@ class Encoder:
 
     A segment is encoded the same alone as in its text unless white space meets white space at a cut or it holds part of
     a special token; a text with such an odd segment is encoded whole. Two generations of
-    segments are kept, so that frequent ones outlive a full cache.
+    segments are kept, so that frequent ones outlive a full cache; `forget` gives both back.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.full, self.seen, self.old = Tokenizer.from_file(path), {}, {}
+        self.full = Tokenizer.from_file(path)
+        self.forget()
         self.part = self._ranks(path.removesuffix(".json") + ".tiktoken")
 
+    def forget(self) -> None:
+        self.seen, self.old, self.held = {}, {}, 0
+
     @staticmethod
     def _ranks(path: str):
         """A quicker encoder of the same vocabulary, where its file of ranks lies beside the tokenizer's; else none."""
         import base64
-        import os
 
         if not os.path.exists(path):
             return None
@@ -88,19 +95,22 @@ class Encoder:
         ids = list(map(self.seen.get, keys))
         if None in ids:
             missed = {k for k, v in zip(keys, ids) if v is None}
-            if len(self.seen) + len(missed) > CACHE:
-                self.old, self.seen = self.seen, {}
+            if self.held > KEPT:
+                self.old, self.seen, self.held = self.seen, {}, 0
                 missed = set(keys)
             new = []
             for k in missed:
                 if k in self.old:
                     self.seen[k] = self.old[k]
+                    self.held += EACH + len(k) + len(self.old[k])
                 elif self._odd(self._real(k)):
                     return self._ids([text])[0]
                 else:
                     new.append(k)
             if new:
-                self.seen.update(zip(new, self._part_ids([self._real(k) for k in new])))
+                found = self._part_ids([self._real(k) for k in new])
+                self.seen.update(zip(new, found))
+                self.held += EACH * len(new) + sum(map(len, new)) + sum(map(len, found))
             ids = map(self.seen.__getitem__, keys)
         return b"".join(ids)
 
@@ -108,29 +118,38 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The Python worker's encoder of a vocabulary, for one task: workers are used again, so its segments go at the end."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    try:
+        yield _encoders[path]
+    finally:
+        _encoders[path].forget()
+
+
 def cut_into_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int) -> DataFrame:
     """id, piece, start, length and ids_crc32 of every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = _encoders.setdefault(path, Encoder(path)) if path not in _encoders else _encoders[path]
         end = np.array([END_ID], "<u4").tobytes()
         assert array("I").itemsize == 4 and sys.byteorder == "little"
-        for b in batches:
-            which, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(b.column(1)):
-                ids = encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-                    which.append(i)
-                    piece.append(k)
-                    start.append(lo)
-                    length.append(hi - lo)
-                    crc.append(zlib.crc32(ids[4 * lo : 4 * hi]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], [id_col, "piece", "start", "length", "ids_crc32"])
+        with encoder(path) as encode:
+            for b in batches:
+                which, piece, start, length, crc = [], [], [], [], []
+                for i, text in enumerate(b.column(1)):
+                    ids = encode(text.as_py() or "") + end
+                    n = len(ids) // 4
+                    edges = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                        which.append(i)
+                        piece.append(k)
+                        start.append(lo)
+                        length.append(hi - lo)
+                        crc.append(zlib.crc32(ids[4 * lo : 4 * hi]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], [id_col, "piece", "start", "length", "ids_crc32"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
     return docs.select(id_col, text_col).mapInArrow(cut, schema)

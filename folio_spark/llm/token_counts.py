@@ -3,11 +3,13 @@
 A document is cut before spaces that start a word (where the tokenizer's pre-tokens end whatever follows) into
 leaves of about LEAF characters. The tree keeps the characters and tokens below each node. An edit finds its leaves
 by descending the tree, re-encodes them with one leaf of context on each side, and updates the sums above; all other
-leaves keep their counts. Edits are (start, end, replacement) in code points of the text as it was.
+leaves keep their counts. Edits are (start, end, replacement) in code points of the text as it was. Trees are columns
+(their leaves' lengths and counts), so a written table of them is edited again and again without counting texts anew.
 
 Defined results: a null text is an empty one with no tokens; edits beyond the end are cut to it; where edits overlap,
 the later one begins where the earlier ended; a null or empty list of edits changes nothing; repeated rows are
-counted one by one. Extra columns pass through.
+counted one by one; an empty table gives no rows; a text of any length is one tree, built and edited alone. Extra
+columns pass through, but those named as an output give way to it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packing import Encoder, _encoders, tokenizer_path
+from .common import materialize, slices
+from .packing import Encoder, encoder, tokenizer_path
 from .pii import find_spans
 
 LEAF = 160
@@ -107,29 +110,25 @@ class TokenTree:
         return "".join(self.leaves)
 
 
-def counter(path: str) -> Callable[[str], int]:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    encode = _encoders[path]
-    return lambda text: len(encode(text)) // 4
-
-
 def token_trees(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs with leaf_chars, leaf_tokens (the leaves of each document's tree) and n_tokens."""
     docs = docs.drop("leaf_chars", "leaf_tokens", "n_tokens")  # an input's columns of these names give way
     path, keep = path or tokenizer_path(), docs.columns
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
-        for b in batches:
-            chars, tokens = [], []
-            for t in b.column(keep.index(text_col)):
-                text = t.as_py() or ""
-                cuts = cut_points(text) if text else []
-                parts = [text[x:y] for x, y in zip(cuts, [*cuts[1:], len(text)])]
-                chars.append([len(p) for p in parts])
-                tokens.append([count(p) for p in parts])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32())), pa.array(map(sum, tokens), pa.int64())], [*keep, "leaf_chars", "leaf_tokens", "n_tokens"])
+        with encoder(path) as encode:
+            for b in slices(batches, keep.index(text_col)):
+                yield measured(b, encode)
+
+    def measured(b: pa.RecordBatch, encode: Encoder) -> pa.RecordBatch:
+        chars, tokens = [], []
+        for t in b.column(keep.index(text_col)):
+            text = t.as_py() or ""
+            cuts = cut_points(text) if text else []
+            parts = [text[x:y] for x, y in zip(cuts, [*cuts[1:], len(text)])]
+            chars.append([len(p) for p in parts])
+            tokens.append([len(encode(p)) // 4 for p in parts])
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32())), pa.array(map(sum, tokens), pa.int64())], [*keep, "leaf_chars", "leaf_tokens", "n_tokens"])
 
     schema = T.StructType([*docs.schema, T.StructField("leaf_chars", T.ArrayType(T.IntegerType())), T.StructField("leaf_tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
     return docs.mapInArrow(build, schema)
@@ -142,32 +141,35 @@ def apply_edits(trees: DataFrame, edits_col: str = "edits", text_col: str = "tex
     at = {c: keep.index(c) for c in (text_col, "leaf_chars", "leaf_tokens", "n_tokens", edits_col)}
 
     def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
-        for b in batches:
-            texts, chars, tokens, totals, encoded = [], [], [], [], []
-            for text, lens, counts, edits in zip(b.column(at[text_col]), b.column(at["leaf_chars"]).to_pylist(), b.column(at["leaf_tokens"]).to_pylist(), b.column(at[edits_col]).to_pylist()):
-                whole = text.as_py()
-                ends = [0]
-                for n in lens:
-                    ends.append(ends[-1] + n)
-                tree = TokenTree([(whole or "")[x:y] for x, y in zip(ends, ends[1:])], counts, count)
-                shift, done, n = 0, 0, len(whole or "")
-                for e in sorted((e for e in edits or [] if e and e["start"] is not None and e["end"] is not None), key=lambda e: (e["start"], e["end"])):
-                    lo, hi = max(done, min(e["start"], n)), min(max(e["end"], done, e["start"]), n)
-                    new = e["new"] or ""
-                    tree.edit(lo + shift, hi + shift, new)
-                    shift, done = shift + len(new) - (hi - lo), hi
-                texts.append(tree.text if edits else whole)
-                chars.append(tree.chars[tree.size : tree.size + tree.n])
-                tokens.append(tree.tokens[tree.size : tree.size + tree.n])
-                totals.append(tree.total)
-                encoded.append(tree.encoded)
-            columns = list(b.columns)
-            columns[at[text_col]] = pa.array(texts, pa.string())
-            columns[at["leaf_chars"]] = pa.array(chars, pa.list_(pa.int32()))
-            columns[at["leaf_tokens"]] = pa.array(tokens, pa.list_(pa.int32()))
-            columns[at["n_tokens"]] = pa.array(totals, pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(encoded, pa.int64())], [*keep, "reencoded_chars"])
+        with encoder(path) as encode:
+            for b in slices(batches, at[text_col]):
+                yield updated(b, lambda part: len(encode(part)) // 4)
+
+    def updated(b: pa.RecordBatch, count: Callable[[str], int]) -> pa.RecordBatch:
+        texts, chars, tokens, totals, encoded = [], [], [], [], []
+        for text, lens, counts, edits in zip(b.column(at[text_col]), b.column(at["leaf_chars"]).to_pylist(), b.column(at["leaf_tokens"]).to_pylist(), b.column(at[edits_col]).to_pylist()):
+            whole = text.as_py()
+            ends = [0]
+            for n in lens:
+                ends.append(ends[-1] + n)
+            tree = TokenTree([(whole or "")[x:y] for x, y in zip(ends, ends[1:])], counts, count)
+            shift, done, n = 0, 0, len(whole or "")
+            for e in sorted((e for e in edits or [] if e and e["start"] is not None and e["end"] is not None), key=lambda e: (e["start"], e["end"])):
+                lo, hi = max(done, min(e["start"], n)), min(max(e["end"], done, e["start"]), n)
+                new = e["new"] or ""
+                tree.edit(lo + shift, hi + shift, new)
+                shift, done = shift + len(new) - (hi - lo), hi
+            texts.append(tree.text if edits else whole)
+            chars.append(tree.chars[tree.size : tree.size + tree.n])
+            tokens.append(tree.tokens[tree.size : tree.size + tree.n])
+            totals.append(tree.total)
+            encoded.append(tree.encoded)
+        columns = list(b.columns)
+        columns[at[text_col]] = pa.array(texts, pa.string())
+        columns[at["leaf_chars"]] = pa.array(chars, pa.list_(pa.int32()))
+        columns[at["leaf_tokens"]] = pa.array(tokens, pa.list_(pa.int32()))
+        columns[at["n_tokens"]] = pa.array(totals, pa.int64())
+        return pa.RecordBatch.from_arrays([*columns, pa.array(encoded, pa.int64())], [*keep, "reencoded_chars"])
 
     return trees.mapInArrow(update, T.StructType([*trees.schema, T.StructField("reencoded_chars", T.LongType())]))
 
@@ -182,6 +184,7 @@ def cleaning_edits(docs: DataFrame, text_col: str = "text", tag: Column | None =
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    trees = token_trees(cleaning_edits(docs, tag=F.col("lang")).drop("lang")).withColumn("tokens_before", F.col("n_tokens")).withColumn("n_edits", F.size("edits").cast("long"))
-    after = apply_edits(trees)
+    trees = materialize(token_trees(docs), "trees")
+    edited = cleaning_edits(trees, tag=F.col("lang")).drop("lang").withColumn("tokens_before", F.col("n_tokens")).withColumn("n_edits", F.size("edits").cast("long"))
+    after = apply_edits(edited)
     return after.select("doc_id", "n_edits", "tokens_before", F.col("n_tokens").alias("tokens_after"), F.length("text").cast("long").alias("chars_after"), "reencoded_chars")

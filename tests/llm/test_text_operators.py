@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio_spark.llm import decontaminate, jaccard, lm, pii, token_counts, toxicity
+from folio_spark.llm import common, decontaminate, jaccard, lm, packing, pii, token_counts, toxicity
 
 DOCS = "doc_id long, text string, score string, spans string, node string"
 
@@ -213,7 +213,8 @@ def test_token_trees_follow_edits():
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(token_counts.tokenizer_path())
-    count = token_counts.counter(token_counts.tokenizer_path())
+    encode = packing.Encoder(token_counts.tokenizer_path())
+    count = lambda part: len(encode(part)) // 4
     r = random.Random(4)
     bits = ["word", "  ", " ", " ", "\n", "é", "don't", "12", " x", ".", "<|endoftext|>", "\t ", "日本"]
     make = lambda n: "".join(r.choice(bits) for _ in range(n))
@@ -242,6 +243,38 @@ def test_edited_documents(spark, sf):
     assert sum(r["reencoded_chars"] for r in rows) < 0.5 * sum(r["chars_after"] for r in rows)
 
 
+def test_written_trees_are_edited_again_without_counting_texts_anew(spark, sf):
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(token_counts.tokenizer_path())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("length(text) > 3000")
+    trees = common.materialize(token_counts.token_trees(docs), "trees")
+    for turn in (1, 2):
+        edit = F.array(F.struct(F.lit(900 * turn).alias("start"), F.lit(900 * turn + 7).alias("end"), F.lit(f" new{turn} ").alias("new")))
+        trees = common.materialize(token_counts.apply_edits(trees.withColumn("edits", edit)).drop("edits"), "trees")
+        rows = trees.collect()
+        assert rows and max(r["reencoded_chars"] for r in rows) < 1500
+        assert all(r["n_tokens"] == len(full.encode(r["text"], add_special_tokens=False).ids) for r in rows[:40])
+
+
+def test_token_counts_against_whole_encodings(spark, sf):
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(token_counts.tokenizer_path())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    edited = token_counts.cleaning_edits(docs, tag=F.col("lang")).collect()
+    want = {}
+    for r in edited:
+        text, shift, done = r["text"] or "", 0, 0
+        before = len(full.encode(text, add_special_tokens=False).ids)
+        for e in sorted(r["edits"], key=lambda e: (e["start"], e["end"])):
+            lo, hi = max(done, e["start"]) + shift, e["end"] + shift
+            text, shift, done = text[:lo] + e["new"] + text[hi:], shift + len(e["new"]) - (hi - lo), e["end"]
+        want[r["doc_id"]] = (len(r["edits"]), before, len(full.encode(text, add_special_tokens=False).ids), len(text))
+    rows = token_counts.op8_token_counts(spark, sf).collect()
+    assert {r["doc_id"]: (r["n_edits"], r["tokens_before"], r["tokens_after"], r["chars_after"]) for r in rows} == want
+
+
 def test_toxicity_learns_words_and_misspellings(spark):
     r = random.Random(1)
     vocab = [f"{a}{b}{c}" for a in "bdklm" for b in "aeiou" for c in ("nt", "st", "rd", "ll")]
