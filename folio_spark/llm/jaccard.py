@@ -4,22 +4,26 @@ Sets are cut into bands of like size, so that a set can only link with sets of i
 it. A band is light or heavy, by cost:
 
 * light (small sets): every subset of the fixed size that a linked pair must share at least is a key;
-* heavy (large sets): shingles fall by hash into so many inverted lists' blocks that a linked pair, which differs
-  in at most d shingles, agrees on a whole block; a block's content is the key. Blocks of fewer than MIN_BLOCK
-  shingles say little, so they are left out unless a set has so many of them that agreement elsewhere isn't certain.
+* heavy (large sets): inverted lists of shingles. In one order of all shingles, rarest first, linked sets share one among
+  their first ones (as many as a link lets them differ in, and one), so a set stands in the lists of these only. A shingle
+  that no other set has fills such a place without a list: what resembles nothing stands in none.
 
-The boundary is the band at which enumerating subsets costs more than the blocks and the scan of their lists,
-estimated from the histogram of sizes. Both are exact: a linked pair shares a key.
+The boundary is the band at which enumerating subsets costs more than the lists and their scan, estimated from the
+histogram of sizes. Both are exact: a linked pair shares a key. Only shingles that several sets have count for what
+sets share, so nothing else of a set is kept.
 
-Lists are never expanded into all their pairs. Equal sets are one node from the start. Pairs must pass a sketch (the
-set's counts in some buckets), whose gaps can't exceed the number of shingles in which linked sets differ. In each
-list, members gather behind leaders that they can link with. Every node is first compared with one leader, and
-components of what links are formed; then with the leaders outside its component; and last, in lists whose members
-still stand in different components, any two of those. What is skipped joins nodes that are joined already.
+Lists are never expanded into all their pairs. Equal sets are one node from the start. In each turn every node is compared
+with one leader, the one that leads most of its lists, and components of what links are formed. Last, lists whose
+members still stand in different components are scanned: each set runs through the inverted lists of its shingles and
+is compared with all sets of other components. What is skipped joins nodes that are joined already.
+
+A bucket of the exchange holds about BUCKET shingles, whatever the input, besides the entries of one frequent shingle.
 
 Defined results: a text without words, or a null one, has an empty set, n_shingles 0, and is a component of its own;
 a text with fewer words than a shingle has its whole word sequence as the one shingle; repeated rows are equal sets
-and so one component; rows with null ids have a null component unless linked with others.
+and so one component; rows with null ids have a null component unless linked with others. A tie for a component's
+row goes to the lowest hash; a text of any length is one set; an empty table gives no rows; columns beyond id and text
+play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,20 +37,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import join_small, materialize, mix, same_row, words
 
-MIN_BLOCK = 3
-#: Scanning one entry of a heavy list, in units of writing one light key.
+#: Scanning one entry of an inverted list, in units of writing one key.
 SCAN_COST = 1.5
-#: Rows compared with one set in one go.
-GROUP = 500
-#: Buckets of a sketch and the sizes of sets from which they hold, and members of a list that are compared in one place.
-WIDTHS, LEAST, CHUNK = (64, 256, 1024), (0, 600, 4000), 4096
-#: Turns in which only the likeliest pair of each two components is compared, before all that is left.
+#: Shingles that a task packs at a time, and that one bucket of the exchange holds on average.
+PART, BUCKET = 1 << 20, 1 << 21
+#: Shingles of the sets that are compared in one place: longer lists are laid out as a grid of chunks.
+CHUNK = 1 << 20
+#: Turns in which each node is compared with one leader, before what is left of the lists is scanned.
 TURNS = 2
 
 
@@ -68,13 +70,6 @@ def node_of(x: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(x ^ np.uint64(0xA5A5A5A55A5A5A5A))) ^ mix(np.array([len(x)], np.uint64))[0])
 
 
-def sketch_of(x: np.ndarray) -> bytes:
-    """How many of the set fall in each of 64, 256 or 1024 buckets (by its size), up to 255. Two sets differ in at least
-    the sum of the gaps; buckets fold into fewer by their number's remainder."""
-    width = next((w for w, least in zip(WIDTHS[::-1], LEAST[::-1]) if len(x) >= least), WIDTHS[0])
-    return np.minimum(np.bincount((x >> np.uint64(20)).astype(np.int64) % width, minlength=width), 255).astype(np.uint8).tobytes()
-
-
 def least_overlap(a: int, b: int, percent: int) -> int:
     """Least overlap o with 100 * o >= percent * (a + b - o)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -95,116 +90,163 @@ def band_of(n: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def differences(i: int, percent: int) -> tuple[int, int]:
-    """Most differences between linked sets of band i, or of bands i - 1 and i; and the least size they share."""
-    lo, hi = band(i, percent)
-    below = band(i - 1, percent)[0] if i else lo
-    return 2 * hi * (100 - percent) // (100 + percent), least_overlap(max(below, -(-percent * lo // 100)), lo, percent)
-
-
-@lru_cache(maxsize=None)
-def blocks(i: int, percent: int) -> int:
-    """How many blocks band i has: one more than the differences, and room for small ones."""
-    d = differences(i, percent)[0]
-    return d + 1 + math.ceil(0.3 * (d + 1)) if d else 1
+def shared_least(i: int, percent: int) -> int:
+    """The least that linked sets of band i, or of bands i - 1 and i, share."""
+    lo = band(i, percent)[0]
+    return least_overlap(max(band(i - 1, percent)[0] if i else lo, -(-percent * lo // 100)), lo, percent)
 
 
-def subsets(n: int, i: int, percent: int) -> int:
-    return math.comb(n, min(n, differences(i, percent)[1]))
+def prefix(n: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """How many of a set's n shingles, in any order that holds for all sets, include one that each linked set has among its own first ones."""
+    return n + 1 - -(-percent * n // 100)
 
 
 def boundary(histogram: dict[int, int], percent: int) -> int:
     """The first heavy band, by the cost of the keys of all sets. histogram: sets by band, up to the largest."""
-    top, cost = max(histogram, default=0) + 2, []
-    light = [sum(histogram.get(j, 0) * subsets(band(j, percent)[1], i, percent) for j in (i - 1, i) if j >= 0) if band(i, percent)[1] <= 40 else math.inf for i in range(top)]
-    heavy = [sum(histogram.get(j, 0) for j in (i - 1, i)) * blocks(i, percent) * (1 + SCAN_COST) for i in range(top)]
-    cost = [sum(light[:x]) + sum(heavy[x:]) for x in range(top + 1)]
-    return min(range(top + 1), key=cost.__getitem__)
-
-
-def keys_of(x: np.ndarray, percent: int, first_heavy: int) -> np.ndarray:
-    """The keys of a set, for pairs within its band and with the next one."""
-    n = len(x)
+    top = max(histogram, default=0) + 2
+    light, heavy = [], []
+    for i in range(top):
+        sizes = [(band(j, percent)[1], histogram.get(j, 0)) for j in (i - 1, i) if j >= 0]
+        light.append(sum(n * math.comb(size, min(size, shared_least(i, percent))) for size, n in sizes) if band(i, percent)[1] <= 40 else math.inf)
+        heavy.append(sum(n * prefix(size, percent) for size, n in sizes) * (1 + SCAN_COST))
+    return min(range(top + 1), key=lambda x: sum(light[:x]) + sum(heavy[x:]))
+
+
+def keys_of(x: np.ndarray, n: int, percent: int, first_heavy: int) -> np.ndarray:
+    """The keys of a set of n shingles, for pairs within its band and with the next one. x: those of its shingles that
+    other sets have too, in the common order (rarest first); what comes before them in the set is its own alone."""
     own, out = band_of(n, percent), []
     for i in (own, own + 1):
-        salt = np.uint64((i + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
-        if i < first_heavy:
-            c = differences(i, percent)[1]
-            if c <= n:
-                mixed = mix(x ^ salt)
-                out.append(mix(np.array([int(np.bitwise_xor.reduce(mixed[list(s)])) for s in itertools.combinations(range(n), c)], np.uint64) ^ salt))
-            continue
-        m, d = blocks(i, percent), differences(i, percent)[0]
-        mixed = mix(x ^ salt)
-        where = (mixed >> np.uint64(33)) % np.uint64(m)
-        order = np.argsort(where, kind="stable")
-        count = np.bincount(where.astype(np.int64), minlength=m)
-        ends = np.cumsum(count)
-        total = np.zeros(m, np.uint64)
-        full = np.flatnonzero(count)
-        total[full] = np.add.reduceat(mix(mixed + np.uint64(1))[order], (ends - count)[full])
-        key = mix(total ^ mix(salt + np.arange(m, dtype=np.uint64)) ^ count.astype(np.uint64))
-        small = count < MIN_BLOCK
-        out.append(key[~small] if m - d > small.sum() else key)
+        c = shared_least(i, percent)
+        if i < first_heavy and c <= len(x):
+            salt = np.uint64((i + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
+            mixed = mix(x ^ salt)
+            out.append(mix(np.array([int(np.bitwise_xor.reduce(mixed[list(s)])) for s in itertools.combinations(range(len(x)), c)], np.uint64) ^ salt))
+    if own + 1 >= first_heavy:
+        out.append(x[: max(0, prefix(n, percent) - (n - len(x)))])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """id, node (equal for equal sets, null for empty ones), n_shingles, the set's band and sketch, and the text's hash."""
+    """id, node (equal for equal sets, null for empty ones), n_shingles, the set's band, and the text's hash."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), k) for t in b.column(1)]
-            node = pa.array([int(np.uint64(node_of(x)).astype(np.int64)) if len(x) else None for x in sets], pa.int64())
-            bands = pa.array([band_of(len(x), percent) if len(x) else -1 for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array(map(len, sets), pa.int64()), bands, pa.array([sketch_of(x) for x in sets], pa.binary()), b.column(2)], [id_col, "node", "n_shingles", "band", "sketch", "text_hash"])
+            sets = [(node_of(x), len(x)) if len(x := shingles(t.as_py(), k)) else (None, 0) for t in b.column(1)]
+            node = pa.array([v if v is None else int(np.uint64(v).astype(np.int64)) for v, _ in sets], pa.int64())
+            bands = pa.array([band_of(n, percent) if n else -1 for _, n in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), node, pa.array([n for _, n in sets], pa.int64()), bands, b.column(2)], [id_col, "node", "n_shingles", "band", "text_hash"])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("sketch", T.BinaryType()), T.StructField("text_hash", T.LongType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("text_hash", T.LongType())])
     return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(measure, schema)
 
 
-def shared_lists(docs: DataFrame, text_col: str, k: int, percent: int, first_heavy: int) -> DataFrame:
-    """key and node of every list that two nodes or more stand in."""
+PACKED = "bucket int, node binary, n binary, many binary, x binary, rarity binary"
+
+
+def _packed(bucket: np.ndarray, buckets: int, owner: np.ndarray, node: np.ndarray, n: np.ndarray, x: np.ndarray, rarity: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row a bucket: the nodes (by owner) that have shingles in it, their sizes, how many each has, and these."""
+    order = np.lexsort((owner, bucket))
+    bucket, owner, x, rarity = bucket[order], owner[order], x[order], rarity[order]
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = []
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        lo, hi = edges[k], edges[k + 1]
+        o = owner[lo:hi]
+        first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+        rows.append((k, node[o[first]].tobytes(), n[o[first]].tobytes(), np.diff(np.append(first, hi - lo)).astype(np.int32).tobytes(), x[lo:hi].tobytes(), rarity[lo:hi].tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 5))], ["bucket", "node", "n", "many", "x", "rarity"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """owner, node, n, x and rarity of all rows; node and n have an entry an owner, the others one a shingle."""
+    parts = [[], [], [], [], []]
+    for b in batches:
+        for part, column, kind in zip(parts, b.columns[1:], (np.uint64, np.int32, np.int32, np.uint64, np.uint8)):
+            part.extend(np.frombuffer(v.as_buffer(), kind) for v in column)
+    if not parts[0]:
+        return None
+    node, n, many, x, rarity = map(np.concatenate, parts)
+    return np.repeat(np.arange(len(node)), many), node, n, x, rarity
+
+
+def members_of(docs: DataFrame, text_col: str, k: int, percent: int, first_heavy: int, buckets: int) -> DataFrame:
+    """node, n, band, x and keys of every set that has a key: x holds the shingles that other sets have too.
+
+    Shingles go to a bucket by their hash and are counted there; those of two sets or more go to a bucket of their set.
+    The common order is by that count (its logarithm in steps) and hash. Both exchanges carry packed arrays.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        total = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            n = np.fromiter(map(len, held.values()), np.int32, len(held))
+            x = np.concatenate([*held.values()])
+            yield from _packed(((x >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32), buckets, np.repeat(np.arange(len(n)), n), np.fromiter(held, np.uint64, len(n)), n, x, np.zeros(len(x), np.uint8))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in batches:
-            keys, nodes = [], []
             for t in b.column(0):
                 x = shingles(t.as_py(), k)
-                if not len(x) or (node := node_of(x)) in seen:
-                    continue  # equal sets have equal keys: once for each task is enough
-                seen.add(node)
-                keys.append(keys_of(x, percent, first_heavy))
-                nodes.append(np.full(len(keys[-1]), node, np.uint64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (keys, nodes)], ["key", "node"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by key and node: distinct ones whose key has at least two nodes."""
-        last, waiting = None, None  # the last distinct row, and whether it still waits for a second one of its key
-        for b in batches:
-            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if last is not None:
-                key, node = np.append(last[0], key), np.append(last[1], node)
-            if not len(key):
-                continue
-            fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-            key, node = key[fresh], node[fresh]
-            same = key[1:] == key[:-1]
-            keep = np.append(False, same) | np.append(same, False)
-            sent_first = last is not None and waiting is False
-            if sent_first:
-                keep[0] = False  # it went out before
-            last = (key[-1], node[-1])
-            waiting = not (keep[-1] or (sent_first and len(key) == 1))
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
-
-    return docs.select(text_col).mapInArrow(emit, "key long, node long").repartition("key").sortWithinPartitions("key", "node").mapInArrow(several, "key long, node long")
-
-
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+                if len(x) and (node := node_of(x)) not in held:
+                    held[node] = x
+                    total += len(x)
+                    if total >= PART:
+                        yield from flush()
+                        held, total = {}, 0
+        if held:
+            yield from flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _unpacked(batches)
+        if got is None:
+            return
+        owner, node, n, x, _ = got
+        order = np.argsort(x, kind="stable")
+        for distinct in (False, True):  # equal sets of different parts count once, which matters only for what stands twice
+            xs = x[order]
+            if distinct:
+                order = order[np.lexsort((node[owner[order]], xs))]
+                xs, who = x[order], node[owner[order]]
+                fresh = np.append(True, (xs[1:] != xs[:-1]) | (who[1:] != who[:-1]))[: len(xs)]
+                order, xs = order[fresh], xs[fresh]
+            first = np.flatnonzero(np.append(True, xs[1:] != xs[:-1])[: len(xs)])
+            times = np.diff(np.append(first, len(xs)))
+            order, rarity = order[np.repeat(times > 1, times)], np.repeat(times, times)[np.repeat(times > 1, times)]
+        if len(order):
+            owner = owner[order]
+            yield from _packed(((mix(node[owner]) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32), buckets, owner, node, n, x[order], np.minimum(255, 8 * np.log2(rarity)).astype(np.uint8))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _unpacked(batches)
+        if got is None:
+            return
+        owner, node, n, x, rarity = got
+        n, node = n[owner], node[owner]
+        order = np.lexsort((x, rarity, node))
+        n, node, x = n[order], node[order], x[order]
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        shared, size = np.diff(np.append(first, len(node))), n[first]
+        some = (prefix(size, percent) - (size - shared) > 0) | (size < band(first_heavy, percent)[0])
+        rows = []
+        for at, s in zip(first[some].tolist(), shared[some].tolist()):
+            keys = keys_of(x[at : at + s], int(n[at]), percent, first_heavy)
+            if len(keys):
+                rows.append((int(node[at].astype(np.int64)), int(n[at]), band_of(int(n[at]), percent), np.sort(x[at : at + s]).tobytes(), keys.view(np.int64)))
+            if len(rows) == 256:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], kinds)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], kinds)
+
+    kinds = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("band", pa.int32()), ("x", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    counted = docs.select(text_col).mapInArrow(spread, PACKED).repartitionById(buckets, "bucket").mapInArrow(count, PACKED)
+    return counted.repartitionById(buckets, "bucket").mapInArrow(gather, "node long, n long, band int, x binary, keys array<long>")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) of every node that has an edge (a, b).
 
     Alternates large-star and small-star steps, each written to the shared folder, until nothing changes.
@@ -228,266 +270,145 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return current.select(F.col("b").alias("node"), F.col("a").alias("root")).union(current.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def fine_sketch(x: np.ndarray) -> bytes:
-    """Counts in about half as many buckets as the set has members; nothing if a count doesn't fit a byte."""
-    size = 1 << max(6, (len(x) // 2).bit_length() - 1)
-    counts = np.bincount((x >> np.uint64(12)).astype(np.int64) & (size - 1), minlength=size)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+def linked_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link."""
+    sides = [members.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("x").alias(f"x_{c}")) for c in ("a", "b")]
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                keep.append(100 * both >= percent * (n + m - both))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def members_of(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """node, n, set and fine sketch of every wanted node, built again from one text of each."""
-    wanted = materialize(wanted.select("node").join(nodes.select("node", F.col("first").alias("_id"), F.col("first_text").alias("_text"), "repeated"), "node"), "wanted")
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "x_a", "x_b").mapInArrow(compare, "a long, b long")
 
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                rows = []
-                for text, own in zip(b.column(0)[lo : lo + 64], b.column(1)[lo : lo + 64].to_pylist()):
-                    x = shingles(text.as_py(), k)
-                    if len(x) and int(np.uint64(node_of(x)).astype(np.int64)) == own:  # else another text with the same hash
-                        rows.append((own, len(x), x.tobytes(), fine_sketch(x)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "x", "fine"])
-
-    own = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_body"))
-    rows = join_small(own, wanted, same_row(own, "_own", "_body", wanted)).select("_body", "node", "repeated")
-    if not wanted.where("repeated").isEmpty():
-        rows = rows.where("not repeated").unionByName(rows.where("repeated").dropDuplicates(["node"]))
-    rows = rows.select("_body", "node")
-    return materialize(rows.mapInArrow(rebuild, "node long, n long, x binary, fine binary"), "members")
-
-
-def meet(pairs: DataFrame, members: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """The pairs (a, b) that link; without exact, those that their fine sketches let link.
-
-    Rows meet by a, the set of a first and those it is compared with behind it, so each set moves once for each of its
-    pairs and only one is held; what shares one a is salted, GROUP rows to a salt.
+
+def link_within(node: np.ndarray, root: np.ndarray, n: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all of these sets that links join, none between what stands in one component already.
+
+    Each set scans the inverted lists of its shingles for what it shares with the sets of other components.
     """
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    right = pairs.join(salts, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("a"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role")).alias("r"))
-    left = salts.select(F.col("a").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda x: F.struct(F.col("a").alias("a"), x.alias("salt"), F.lit(0).alias("role")))).alias("r"))
-    roles = materialize(right.unionByName(left).groupBy("node").agg(F.collect_list("r").alias("roles")), "roles")
-    payload = members.select("node", "n", F.col("x" if exact else "fine").alias("x"))
-    dealt = join_small(payload, roles, "node").select(F.explode("roles").alias("r"), "node", "n", "x").select("r.a", "r.salt", "r.role", "node", "n", "x")
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), size)
+    by_token = np.argsort(token, kind="stable")
+    posted, ends = owner[by_token], np.cumsum(np.bincount(token))
+    begins = np.append(0, ends[:-1])
+    own = np.append(0, np.cumsum(size))
+    part, out = np.unique(root, return_inverse=True)[1], []
+    for i in range(len(sets)):
+        if (part == part[i]).all():
+            break
+        t = token[own[i] : own[i + 1]]
+        length = ends[t] - begins[t]
+        at = np.repeat(begins[t] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+        both = np.bincount(posted[at], minlength=len(sets))
+        for j in np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (part != part[i])).tolist():
+            if part[j] != part[i]:
+                out.append((int(node[i]), int(node[j])))
+                part[part == part[j]] = part[i]
+    return out
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, size = None, 0
-        for b in batches:
-            out = []
-            for a, role, node, n, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)):
-                x = np.frombuffer(x.as_buffer(), np.uint64 if exact else np.uint8)
-                if role == 0:
-                    centre, size = np.array(x), n
-                    continue
-                least = least_overlap(size, n, percent)
-                if exact:
-                    at = np.minimum(np.searchsorted(centre, x), len(centre) - 1)
-                    ok = int((centre[at] == x).sum()) >= least
-                elif not len(x) or not len(centre):
-                    ok = True
-                else:
-                    buckets = min(len(x), len(centre))
-                    one, two = (v.reshape(-1, buckets).sum(0, dtype=np.int32) for v in (centre, x))
-                    ok = int(np.abs(one - two).sum()) <= size + n - 2 * least
-                if ok:
-                    out.append((a, node))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], ["a", "b"])
-
-    return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, "a long, b long").distinct()
-
-
-def _folded(sketches: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row or -1, matrix) of the sketches that have width buckets or more, folded to width. A full bucket (255) could
-    hide more, so a sketch with one is left out."""
-    wide = [i for i, s in enumerate(sketches) if len(s) >= width and (width == len(s) or 255 not in s)]
-    at = np.full(len(sketches), -1)
-    at[wide] = np.arange(len(wide))
-    rows = [np.frombuffer(sketches[i], np.uint8) for i in wide]
-    return at, np.stack([r if len(r) == width else r.reshape(-1, width).sum(0, dtype=np.int16) for r in rows]).astype(np.int16) if rows else np.zeros((0, width), np.int16)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
-    """Columns of whole runs of rows with equal first three columns, and where each run begins (and the last ends).
-
-    A run that a batch cuts waits for its rest. CHUNK bounds a run's rows.
+
+def scan_lists(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what shares a list and links, but for what its root joins already. lists: key, node, root.
+
+    A list whose sets have more than CHUNK shingles is laid out as a grid of chunks, so no place holds more than two.
     """
-    held: list[np.ndarray] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(i).to_numpy() for i in range(7)] + [np.array([*b.column(7).to_pylist(), None], object)[:-1]]
-        if held:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-        edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-        if len(edge):
-            yield [c[: edge[-1]] for c in cols], np.append(0, edge)
-            cols = [c[edge[-1] :].copy() for c in cols]
-        held = cols
-    if held:
-        yield held, np.array([0, len(held[0])])
-
-
-def _gaps(n: np.ndarray, levels: list, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of rows i, j can link, by sizes and sketches (coarse ones first), and the gaps of those."""
-    both = n[i] + n[j]
-    most = both - 2 * -(-percent * both // (100 + percent))
-    ok = np.flatnonzero(np.abs(n[j] - n[i]) <= most)
-    gap = np.zeros(len(ok), np.int64)
-    for at, matrix in levels:
-        a, b = at[i[ok]], at[j[ok]]
-        has = np.flatnonzero((a >= 0) & (b >= 0))
-        found = np.abs(matrix[b[has]] - matrix[a[has]]).sum(1)
-        gap[has] = np.maximum(gap[has], found)
-        fine = gap <= most[ok]
-        ok, gap = ok[fine], gap[fine]
-    return ok, gap
+    sized = lists.join(members.select("node", "n", F.col("x").alias("_x")), "node")
+    chunks = sized.groupBy("key").agg(F.sum("n").alias("_n")).where(F.col("_n") > CHUNK).select("key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_c"))
+    own = sized.join(chunks, "key", "left").withColumn("_c", F.coalesce("_c", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("node"), "_c").cast("int"))
+    other = F.when(F.col("_c") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_c") - 1))
+    laid = own.select("key", "_own", F.explode(other).alias("_o"), "node", "root", "n", "_x").select("key", F.least("_own", "_o").alias("_lo"), F.greatest("_own", "_o").alias("_hi"), "node", "root", "n", "_x")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, rows = None, []
+
+        def linked() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                node, root, n, sets = zip(*rows)
+                if found := link_within(np.array(node), np.array(root), np.array(n), list(sets), percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+        for b in batches:
+            head = list(zip(*(b.column(i).to_pylist() for i in range(6))))
+            for (key, lo, hi, node, root, n), x in zip(head, b.column(6)):
+                if (key, lo, hi) != place:
+                    yield from linked()
+                    place, rows = (key, lo, hi), []
+                rows.append((node, root, n, np.frombuffer(x.as_py(), np.uint64)))
+        yield from linked()
+
+    return laid.repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi", "node").mapInArrow(scan, "a long, b long").distinct()
 
 
 def different_lists(lists: DataFrame) -> DataFrame:
     """Of lists with the same members one stays: the others give the same pairs."""
     members = lists.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n"))
-    return lists.join(members.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    return lists.join(members.where("n > 1").groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
-def candidates(lists: DataFrame, nodes: DataFrame, percent: int, crossing: bool) -> DataFrame:
-    """Pairs (a, b) of members of one list that can link, and the gap of their sketches. lists: key, node, root.
+def led_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each node with the leader that leads most of its lists, of those it is not joined with and can link with by size.
 
-    crossing: all such pairs in different components; otherwise each member with the first leader it can link with.
-    A list of more than CHUNK members is laid out as a grid of chunks, so no place holds more than two of them.
+    A list's leader among the sets of one band is the one whose number hashes lowest in this turn.
     """
-    counts = lists.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK).select("key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_c"))
-    chunks = F.coalesce("_c", F.lit(1))
-    spread = lists.join(counts, "key", "left").join(nodes.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), chunks - 1)) if crossing else F.col("own")
-    laid = spread.select("key", "own", other.alias("_o"), "node", "root", "n", "sketch").select("key", F.least("own", "_o").alias("x"), F.greatest("own", "_o").alias("y"), "own", "node", "root", "n", "sketch")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, x, y, own, node, root, n, sketch), bounds in _groups(batches):
-            size, out = np.diff(bounds), []
-            levels = [_folded(sketch.tolist(), w) for w in WIDTHS]
-
-            def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                if crossing:
-                    open_ = (root[i] != root[j]) & ((own[i] != own[j]) | (x[i] == y[i]))  # noqa: B023
-                    i, j = i[open_], j[open_]
-                ok, gap = _gaps(n, levels, i, j, percent)  # noqa: B023
-                out.append((node[i[ok]], node[j[ok]], gap))  # noqa: B023
-                return ok
-
-            starts, loops = bounds[:-1], 2
-            if crossing:  # all pairs of short lists at once
-                loops = 128
-                for g in np.unique(size[(size > 1) & (size <= loops)]).tolist():
-                    x_, y_ = np.triu_indices(g, 1)
-                    own_starts = starts[size == g]
-                    some = max(1, 200_000 // len(x_))
-                    for lo in range(0, len(own_starts), some):
-                        at = own_starts[lo : lo + some, None]
-                        keep((at + x_).ravel(), (at + y_).ravel())
-            else:
-                two = starts[size == 2]
-                keep(two, two + 1)
-            for lo, hi in zip(starts[size > loops].tolist(), bounds[1:][size > loops].tolist()):
-                if crossing:
-                    for i in range(lo, hi - 1):
-                        j = np.arange(i + 1, hi)
-                        keep(np.full(len(j), i), j)
-                else:
-                    left = np.arange(lo, hi)
-                    while len(left) > 1:
-                        found = keep(np.full(len(left) - 1, left[0]), left[1:])
-                        left = np.delete(left[1:], found)
-            if not out:
-                continue
-            a, b, gap = (np.concatenate(v) for v in zip(*out))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(gap, pa.int64())], ["a", "b", "gap"])
-
-    dealt = laid.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
-    return dealt.mapInArrow(pair, "a long, b long, gap long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "gap").distinct()
+    leaders = lists.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "n")).alias("l"))
+    met = lists.join(leaders, ["key", "band"]).where((F.col("l.root") != F.col("root")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
+    times = met.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count("*").alias("times"))
+    return times.groupBy("a").agg(F.max(F.struct("times", "b")).alias("p")).select("a", "p.b")
 
 
 def linked_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The measured rows of docs; and node, first (its smallest id) and root (equal for linked nodes) of every node."""
+    """The measured rows of docs; and node and root (equal for linked nodes) of the nodes that have a link."""
     spark = docs.sparkSession
     measured = materialize(sets_of(docs, id_col, text_col, k, percent), "sets")
-    full = measured.where("node is not null").withColumn("key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("text")))
-    nodes = full.groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"), F.max("band").alias("band"), F.max("sketch").alias("sketch"))
-    repeated = materialize(full.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("repeated")), "repeated")
-    nodes = nodes.withColumn("repeated", F.lit(False)) if repeated.isEmpty() else nodes.join(repeated, "key", "left").withColumn("repeated", F.coalesce("repeated", F.lit(False)))
-    nodes = materialize(nodes.select("node", F.col("key.id").alias("first"), F.col("key.text").alias("first_text"), "repeated", "n", "band", "sketch"), "nodes")
-    histogram = {r["band"]: r["count"] for r in nodes.groupBy("band").count().collect()}  # a row per band: the log of the largest size
-    lists = materialize(shared_lists(docs, text_col, k, percent, boundary(histogram, percent)), "keys")
-    lists = materialize(different_lists(lists), "lists")
+    bands = measured.where("node is not null").groupBy("band").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total")).collect()  # a row a band: the log of the largest size
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["total"] for r in bands) // BUCKET))
+    members = materialize(members_of(docs, text_col, k, percent, boundary({r["band"]: r["sets"] for r in bands}, percent), buckets), "members")
+    lists = materialize(members.select(F.explode("keys").alias("key"), "node", "n", "band"), "lists")
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-
-    def compare(pairs: DataFrame) -> bool:
-        """Verify pairs and grow the components by what links; whether any did."""
-        nonlocal links, roots
-        if pairs.isEmpty():
-            return False
-        likely = materialize(meet(pairs, members, percent, False), "likely")
-        if likely.isEmpty():
-            return False
-        found = materialize(meet(likely, members, percent, True), "links")
-        if found.isEmpty():
-            return False
-        links = links.union(found)
-        roots = materialize(components(links), "roots")
-        return True
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
-        return pairs.where("_a <> _b")
-
-    def settle(pairs: DataFrame) -> None:
-        """Compare all pairs that stay in different components, for each two components the likeliest pair first."""
-        for _ in range(TURNS):
-            pairs = materialize(apart(pairs).select("a", "b", "gap", F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y")), "open")
-            first = materialize(pairs.groupBy("x", "y").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
-            more = compare(first)
-            pairs = pairs.select("a", "b", "gap").join(first, ["a", "b"], "left_anti")
-            if not more:
-                break
-        compare(materialize(apart(pairs).select("a", "b"), "pairs"))
-
-    # First every node against one leader, then against other leaders outside its component.
-    led = materialize(candidates(lists.withColumn("root", F.col("node")), nodes, percent, False), "led")
-    members = members_of(docs, ends(led), nodes, id_col, text_col, k)  # sets of what is compared, not of all that stands in lists
-    likeliest = materialize(led.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("p")).select("p.a", "b"), "pairs")
-    compare(likeliest)
-    settle(led.join(likeliest, ["a", "b"], "left_anti"))
-
-    # Last, in lists whose members still stand in different components, any two of these.
-    placed = materialize(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    several = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
-    crossing = materialize(candidates(placed.join(several, "key"), nodes, percent, True).join(led, ["a", "b"], "left_anti"), "crossing")
-    members = members.unionByName(members_of(docs, ends(crossing).join(members.select("node"), "node", "left_anti"), nodes, id_col, text_col, k))
-    settle(crossing)
-
-    return measured, nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    def open_lists() -> DataFrame:
+        """The lists whose nodes stand in several components."""
+        placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key")
+        return materialize(placed.join(several, "key", "left_semi"), "lists")
+
+    for turn in range(TURNS + 1):
+        lists = open_lists().select("key", "node", "n", "band", "root")
+        if turn < TURNS:
+            found = linked_pairs(materialize(led_pairs(lists, turn, percent), "pairs"), members, percent)
+        else:
+            found = scan_lists(different_lists(lists.select("key", "node", "root")), members, percent)
+        found = materialize(found, "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = materialize(components(links), "roots")
+        lists = lists.drop("root")
+    return measured, roots
+
+
+def _placed(measured: DataFrame, roots: DataFrame) -> DataFrame:
+    """measured with the root of each row's component; rows without a set have none."""
+    return join_small(measured, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links reach) of every row of docs."""
-    measured, named = linked_sets(docs, id_col, text_col, k, percent)
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(names, "root").select("node", "component_id")
-    return measured.join(named, "node", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
+    rows = _placed(*linked_sets(docs, id_col, text_col, k, percent))
+    names = materialize(rows.where("root is not null").groupBy("root").agg(F.min(id_col).alias("component_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "components")
+    return join_small(rows, names, "root", "left").select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: the smallest id's, of its texts the one with the smallest hash. Texts without
     words are components of their own, so they all stay."""
-    measured, named = linked_sets(docs, id_col, text_col, k, percent)
-    rows = measured.where("node is not null").join(named.select("node", "root"), "node")
+    rows = _placed(*linked_sets(docs, id_col, text_col, k, percent)).where("root is not null")
     keys = materialize(rows.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text")).agg(F.min("root").alias("root"), F.count("*").alias("n")), "components")
     first = materialize(keys.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_text")).alias("k")).select("k._id", "k._text"), "first")
     on = keys["_id"].eqNullSafe(first["_id"]) & (keys["_text"] == first["_text"])

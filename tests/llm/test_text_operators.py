@@ -128,7 +128,7 @@ def test_jaccard_keys_meet_for_all_linked_sets():
                         break
                     pa, pb = (np.array(sorted(s), np.uint64) for s in (a, b))
                     for heavy in (0, 6):
-                        assert set(jaccard.keys_of(pa, percent, heavy).tolist()) & set(jaccard.keys_of(pb, percent, heavy).tolist())
+                        assert set(jaccard.keys_of(pa, len(pa), percent, heavy).tolist()) & set(jaccard.keys_of(pb, len(pb), percent, heavy).tolist())
 
 
 def test_jaccard_empty_table_and_kept_rows(spark):
