@@ -12,12 +12,14 @@ equals an item's becomes a candidate, and an edit distance over words decides.
 Windows are item-sized, and only those are embedded that share enough runs of three words with some item: an edit
 touches at most three runs, so a match of n words within k edits keeps n - 2 - 3k of them, each at most k places
 off the window's own start. Nothing is lost by it. Items of fewer than three words are looked up whole; items that may
-keep no run (five words, one edit) by pairs of words, or single ones, and the edit distance decides at once.
+keep no run (five words, one edit; longer ones at a lower percentage) by pairs of words, or single ones, and the edit
+distance decides at once. The allowed edits depend on an item's words and the percentage alone.
 
 Items travel in blocks of fixed size, whatever their number.
 
 Defined results: null or wordless texts and items match nothing; repeated items and repeated rows are reported one
-by one; an empty benchmark leaves every document clean.
+by one; of places that match equally well the first stands; an empty table gives no rows and an empty benchmark leaves
+every document clean; a text of any length is searched whole; columns beyond id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ from .common import join_small, materialize, mix, same_row
 REPEATS, SAMPLES, RUN = 32, 4, 3
 #: Items in a block: with 24 numbers each and their words, some MB at most.
 BLOCK = 4096
-#: Kept strings of a Python worker.
-CACHE = 1_000_000
+#: Kept strings of a Python worker, for one task.
+CACHE = 150_000
 _WORD = re.compile(r"[^\W_]+")
 _words: dict[str, bytes] = {}
 
@@ -126,8 +128,6 @@ class Index:
                 continue
             k = len(self.items)
             edits = len(s) * (100 - percent) // 100
-            if (len(s) - edits) <= (RUN - 1) * (edits + 1):
-                edits = max(0, -(-(len(s) + 2 - RUN) // RUN) - 1) if len(s) >= RUN else 0
             self.items.append((item, s))
             self.allowed.append(edits)
             if len(s) >= RUN and len(s) - RUN + 1 - RUN * edits < 1:
@@ -224,6 +224,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 if rows:
                     item, first, n, d = zip(*rows)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(item, schema_item), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], schema.names)
+            _words.clear()  # workers are used again
 
         from pyspark.sql.pandas.types import to_arrow_type
 

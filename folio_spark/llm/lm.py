@@ -15,7 +15,8 @@ outside HEAD are joined to their counts by Spark.
 
 Defined results: a null or empty text is the end token alone; repeated rows are counted and scored as often as they
 occur; a null id counts as empty text in the fold, so its row is held out; without training texts the counts are zero
-and all classes equally likely.
+and all classes equally likely; words of equal count are taken by a hash where only some have room; an empty table gives no
+rows; a text of any length is scored whole; columns beyond id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,14 +65,16 @@ def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent words by bands of their counts, as many whole bands as hold at most HEAD words."""
+    """About HEAD most frequent words: whole bands of counts, and of the band that is too large as many words, by a hash,
+    as there is room for."""
     band = F.floor(F.log2("n") * 32).cast("int")
-    left, least = HEAD, None
+    left, chosen = HEAD, F.lit(False)
     for b, n in sorted(counts.groupBy(band.alias("b")).count().collect(), reverse=True):  # 32 rows for each doubling of counts
         if n > left:
+            chosen = chosen | ((band == b) & (F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < (left << 30) // n))
             break
-        left, least = left - n, b
-    rows = counts.where(band >= least).collect() if least is not None else []  # HEAD rows at most, counted
+        left, chosen = left - n, chosen | (band == b)
+    rows = counts.where(chosen).collect()  # HEAD rows, and what a hash's spread adds
     return sorted(((bytes(t), n) for t, n in rows), key=lambda x: (-x[1], x[0]))
 
 

@@ -3,10 +3,12 @@
 Rows are put in one order, equal texts side by side; every row learns how many bytes stand before it from the
 running sum in its partition plus the totals of the partitions before. Cuts at equal byte targets then give
 contiguous shards. A cut that falls inside a group of equal texts moves to the nearer end of the group if the
-group is small against a shard; a larger group is split, since sizes must stay near equal.
+group has at most `whole` of a shard's bytes; a larger group is split, since sizes must stay near equal. So a shard differs
+from its target by at most `whole` of it (half of that at each end) and one row; with whole=0 every cut stays where it falls.
 
 Defined results: a null text counts as no bytes (size 1) and equals an empty one; repeated rows are rows of
-their own, each with its own slot; null ids are placed like any other; an empty table gives no rows.
+their own, each with its own slot; null ids are placed like any other; an empty table gives no rows; a text of any length
+is one row, never cut; columns beyond id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +23,6 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-#: A group of equal texts moves as a whole if it is at most this part of a shard.
-WHOLE = 1 / 64
-
 
 def _running(size_at: int):
     """Adds the bytes and rows that stand before each row in its partition."""
@@ -39,7 +38,7 @@ def _running(size_at: int):
     return run
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", whole: float = 1 / 64) -> DataFrame:
     """id, size, text_crc32, shard and slot of every row of docs; shards are contiguous and of near equal size."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -55,7 +54,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         before.append((pid, total, rows))
         total, rows = total + size, rows + n
     offsets = spark.createDataFrame(before, "_pid int, _bytes long, _rows long")
-    whole = placed.join(F.broadcast(offsets), "_pid").select(id_col, "size", "text_crc32", "_group", (F.col("_start") + F.col("_bytes")).alias("_start"), (F.col("_row") + F.col("_rows")).alias("_row"))
+    laid = placed.join(F.broadcast(offsets), "_pid").select(id_col, "size", "text_crc32", "_group", (F.col("_start") + F.col("_bytes")).alias("_start"), (F.col("_row") + F.col("_rows")).alias("_row"))
 
     targets = [total * j // shards for j in range(1, shards)]
     cuts = list(targets)
@@ -63,19 +62,19 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         inside = F.lit(False)
         for t in targets:
             inside = inside | ((F.col("_start") < t) & (F.col("_start") + F.col("size") > t))
-        crossed = whole.where(inside).select("_group", "_start", "size").collect()  # a row for each cut at most
-        groups = {r["_group"]: r for r in whole.where(F.col("_group").isin([r["_group"] for r in crossed])).groupBy("_group").agg(F.min("_start").alias("lo"), F.max(F.col("_start") + F.col("size")).alias("hi")).collect()} if crossed else {}
+        crossed = laid.where(inside).select("_group", "_start", "size").collect()  # a row for each cut at most
+        groups = {r["_group"]: r for r in laid.where(F.col("_group").isin([r["_group"] for r in crossed])).groupBy("_group").agg(F.min("_start").alias("lo"), F.max(F.col("_start") + F.col("size")).alias("hi")).collect()} if crossed else {}
         for j, t in enumerate(targets):
             for r in crossed:
                 if r["_start"] < t < r["_start"] + r["size"]:
                     g = groups[r["_group"]]
-                    lo, hi = (g["lo"], g["hi"]) if g["hi"] - g["lo"] <= WHOLE * total / shards else (r["_start"], r["_start"] + r["size"])
+                    lo, hi = (g["lo"], g["hi"]) if g["hi"] - g["lo"] <= whole * total / shards else (r["_start"], r["_start"] + r["size"])
                     cuts[j] = lo if t - lo <= hi - t else hi
-    firsts = whole.agg(*(F.count_if(F.col("_start") < c).alias(f"c{j}") for j, c in enumerate(cuts))).first() if cuts else []
+    firsts = laid.agg(*(F.count_if(F.col("_start") < c).alias(f"c{j}") for j, c in enumerate(cuts))).first() if cuts else []
     firsts = [0, *firsts]
     shard = sum(((F.col("_start") >= c).cast("int") for c in cuts), F.lit(0))
     first = F.element_at(F.array(*(F.lit(int(x)).cast("long") for x in firsts)), F.col("shard") + 1)
-    return whole.withColumn("shard", shard).select(id_col, "size", "text_crc32", "shard", (F.col("_row") - first).alias("slot"))
+    return laid.withColumn("shard", shard).select(id_col, "size", "text_crc32", "shard", (F.col("_row") - first).alias("slot"))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

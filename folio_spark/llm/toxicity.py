@@ -12,7 +12,9 @@ looks up those numbers for whole texts.
 Defined results: a null or empty text has no window and scores the prior of the softmax bias, kept under
 0.5; rows with null doc_id are scored and count as held out; labels that are null or for unknown ids are
 ignored; an id labelled twice with different values is left out of training; without any labelled row of
-both classes every score is 0. Extra columns of the input pass through.
+both classes every score is 0; an empty table gives no rows; repeated rows score alike; of equal words in a window
+one counts; a text of any length is scored, and trained on, whole. Extra columns of the input pass through, but one named as the
+output gives way to it.
 """
 
 from __future__ import annotations
@@ -31,13 +33,12 @@ from .common import fold
 WINDOW, DIM, BUCKETS, GRAMS = 16, 8, 1 << 17, (3, 4, 5)
 #: Rows labelled 0 and 1 that training may take, by the order of a hash of their ids.
 SAMPLE = (6000, 3000)
-#: Documents of a sample that eight passes are enough for.
-FULL = 4000
+#: Visits of documents that training makes: it passes over its sample as often as that takes.
+VISITS = 72_000
 #: Sampled documents that must share an n-gram before it gets a vector.
 RARE = 3
-#: Windows of one sampled document that training keeps; a longer one has them drawn evenly.
-TRAIN_WINDOWS = 400
-CACHE, SPAN = 400_000, 1 << 40
+#: Words whose scores a task keeps, and the range of the sample's hashes.
+CACHE, SPAN = 150_000, 1 << 40
 
 _STRIP = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 
@@ -89,7 +90,21 @@ def window_means(values: np.ndarray) -> np.ndarray:
     return total / np.minimum(WINDOW, len(values) - np.arange(n) * WINDOW)
 
 
-def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, passes: int = 8, rate: float = 3.0, seed: int = 1) -> Model:
+def first_in_window(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """1 at the first place of a word in its window, else 0."""
+    once = np.zeros(len(flat), np.float32)
+    for lo in range(0, len(first), 1 << 15):
+        begin, n = first[lo : lo + (1 << 15)], size[lo : lo + (1 << 15)]
+        inside = np.arange(WINDOW) < n[:, None]
+        place = np.minimum(begin[:, None] + np.arange(WINDOW), len(flat) - 1)
+        grid = np.where(inside, flat[place], -1)
+        for j in range(WINDOW):
+            fresh = inside[:, j] & (grid[:, :j] != grid[:, j : j + 1]).all(1)
+            once[place[fresh, j]] = 1
+    return once
+
+
+def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, visits: int = VISITS, rate: float = 3.0, seed: int = 1) -> Model:
     """Jointly fit bucket vectors and softmax weights with Adagrad over mini-batches of windows.
 
     toxic: the labels, which may be filled in while texts is read.
@@ -103,25 +118,27 @@ def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, passes: i
     ids, counts = grams_of(list(vocab))
     begins = np.cumsum(counts) - counts
     # Buckets that fewer than RARE sampled documents touch keep a zero vector: they can only be noise.
-    words_per = [np.unique(d) for d in docs]
-    seen_in = np.bincount(np.concatenate(words_per), minlength=len(vocab))
+    seen_in = np.zeros(len(vocab), np.int64)
+    for d in docs:
+        seen_in[np.unique(d)] += 1
     live = np.bincount(ids, weights=np.repeat(seen_in, counts), minlength=BUCKETS) >= RARE
     emb = (rng.normal(0, 0.05, (BUCKETS, DIM)) * live[:, None]).astype(np.float32)
     out = rng.normal(0, 0.5, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     sums, out_sum, bias_sum = np.full(BUCKETS, 1e-6, np.float32), np.full((2, 1), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+    lens = np.fromiter(map(len, docs), np.int64, len(docs))
+    epochs = max(1, -(-visits // len(docs)))
     flat = np.concatenate(docs)
-    doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    within = np.concatenate([np.arange(len(d)) for d in docs])
-    window_of = np.cumsum((within % WINDOW) == 0) - 1
-    first = np.flatnonzero((within % WINDOW) == 0)
-    window_doc, size = doc_of[first], np.diff(np.append(first, len(flat)))
-    once = np.zeros(len(flat), np.float32)  # 1 at the first place of a word in its window
-    once[np.unique(window_of * len(vocab) + flat.astype(np.int64), return_index=True)[1]] = 1
-    epochs = passes * max(1, -(-FULL // len(docs)))  # a smaller sample is gone through more often, for as many updates
+    docs.clear()
+    windows = -(-lens // WINDOW)
+    window_doc = np.repeat(np.arange(len(lens)), windows)
+    within = np.arange(len(window_doc)) - np.repeat(np.cumsum(windows) - windows, windows)
+    first = np.repeat(np.cumsum(lens) - lens, windows) + WINDOW * within
+    size = np.minimum(WINDOW, lens[window_doc] - WINDOW * within)
+    once = first_in_window(flat, first, size)
     for epoch in range(epochs):
         direction = out[1] - out[0]
-        worth = np.add.reduceat((emb @ direction)[ids], begins) / counts
+        worth = (np.add.reduceat((emb @ direction)[ids], begins) / counts).astype(np.float32)
         score = np.add.reduceat(worth[flat] * once, first) / size
         # The highest-scoring window of each document, and two at random; at first only random ones of it.
         order = np.lexsort((score, window_doc))
@@ -131,7 +148,7 @@ def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, passes: i
         spread2 = rng.permutation(len(window_doc))
         _, two = np.unique(window_doc[spread2], return_index=True)
         if epoch < epochs // 4:
-            chosen = np.concatenate([spread[one], spread2[two], rng.permutation(len(window_doc))[: 2 * len(docs)]])
+            chosen = np.concatenate([spread[one], spread2[two], rng.permutation(len(window_doc))[: 2 * len(lens)]])
         else:
             other = spread[one]
             chosen = np.concatenate([last, last[toxic[window_doc[last]] == 1], other[toxic[window_doc[other]] == 0]])
@@ -185,13 +202,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = []
-            for text in b.column(1).to_pylist():
-                t = normal_words(text)
-                n = -(-len(t) // WINDOW)
-                if n > TRAIN_WINDOWS:
-                    t = [w for i in np.linspace(0, n - 1, TRAIN_WINDOWS).astype(int) for w in t[i * WINDOW : (i + 1) * WINDOW]]
-                bags.append(b" ".join(t))
+            bags = [b" ".join(normal_words(text.as_py())) for text in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.binary()), b.column(2)], ["_id", "_bag", "_toxic"])
 
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_bag", T.BinaryType()), T.StructField("_toxic", T.IntegerType())])
