@@ -170,3 +170,9 @@ def next_summary(previous: Column, new: Column) -> Column:
     """The new summary unless it is empty or a recap of one chapter, cut to length."""
     usable = (F.trim(F.coalesce(new, F.lit(""))) != "") & ~F.coalesce(looks_like_recap(new), F.lit(False))
     return limit_summary(F.when(usable, F.trim(new)).otherwise(F.coalesce(previous, F.lit(""))))
+
+
+def json_text(v: Column) -> Column:
+    """A JSON value (variant) as text: arrays joined by line breaks, null and missing ones as null."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind.startswith("ARRAY"), F.array_join(F.from_json(F.to_json(v), "array<string>"), "\n")).when(kind.startswith("OBJECT"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))

@@ -1,24 +1,28 @@
-"""Selection rules over the node table: steps, positions, combinators and extractors as DataFrame operations.
+"""Selection rules over page trees: steps, positions, combinators and extractors as array functions of a page's row.
 
 A rule is steps joined by '@', the last one an extractor: "class.list@tag.li.0@tag.a@text". Steps: tag.x, class.a b,
 id.x, .c, #i, [attr], [attr=value], children, text.x; each may end in a position: .0, .-1, !0:2, [0,2,-1], [1:5:2],
-[!0,-1]. Combinators: '&&' joins lists, '||' takes the first that is not empty, '%%' interleaves.
+[!0,-1]. Combinators: '&&' joins lists, '||' takes the first that is not empty, '%%' interleaves. 'a@@b' reads what a
+gives as pages of their own and goes on with b. '##pattern##replacement' at the end changes each value, with a third '#'
+(a closing '###') only its first match.
 
-A context is (page, item_ix, pre, post); every step maps contexts to elements below them, in document order. All joins
-carry the page's id as an equi-key, so nodes once partitioned by it are not moved again. What a rule holds beyond this
-is refused by name, when the plan is made.
+Elements are places in the page's `nodes`; -1 stands for the whole page. A rule needs no join, window or exchange, since
+a page is one row. What a rule holds beyond this is refused by name, when the plan is made.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-EXTRACTORS = ("text", "textNodes", "ownText", "html", "all")
+from .shred import trees
+
+TEXTS = ("text", "textNodes", "ownText")
+SOURCES = ("html", "all")
 
 
 class UnsupportedRule(ValueError):
@@ -65,109 +69,128 @@ def parse_step(text: str) -> Step:
     raise UnsupportedRule(f"step {text!r}")
 
 
-def _matches(step: Step) -> Column:
+NO_PLACES, NO_TEXTS = "array<int>", "array<string>"
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _node(i: Column) -> Column:
+    return F.get("nodes", i)
+
+
+def _span(lo: Column, hi: Column) -> Column:
+    """lo..hi, nothing if hi is less."""
+    return F.when(hi >= lo, F.sequence(lo, hi)).otherwise(_none(NO_PLACES))
+
+
+def _below(i: Column) -> Column:
+    return _span(i + 1, F.when(i < 0, F.size("nodes") - 1).otherwise(_node(i)["last"]))
+
+
+def _runs(i: Column) -> Column:
+    """The shown texts below element i."""
+    lo = F.when(i < 0, F.lit(0)).otherwise(_node(i)["run_lo"])
+    hi = F.when(i < 0, F.size("runs")).otherwise(_node(i)["run_hi"])
+    return F.filter(F.transform(_span(lo, hi - 1), lambda r: F.get("runs", r)), lambda r: r["shown"])
+
+
+def _matches(step: Step, i: Column) -> Column:
+    n = _node(i)
     if step.kind == "tag":
-        return F.col("tag") == step.value.lower()
+        return n["tag"] == step.value.lower()
     if step.kind == "class":
         has = F.lit(True)
         for c in step.value.split():
-            has = has & F.array_contains(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), c)
+            has = has & F.array_contains(F.split(F.coalesce(n["attrs"]["class"], F.lit("")), r"\s+"), c)
         return has
     if step.kind == "id":
-        return F.col("attrs")["id"] == step.value
+        return F.coalesce(n["attrs"]["id"] == step.value, F.lit(False))
     if step.kind == "attr":
         name, eq, value = step.value.partition("=")
-        return F.col("attrs")[name] == value.strip("'\"") if eq else F.col("attrs")[name].isNotNull()
+        return F.coalesce(n["attrs"][name] == value.strip("'\""), F.lit(False)) if eq else n["attrs"][name].isNotNull()
+    own = F.filter(F.transform(_span(n["run_lo"], n["run_hi"] - 1), lambda r: F.get("runs", r)), lambda r: r["owner"] == i)
+    return F.contains(F.array_join(F.transform(own, lambda r: F.trim(r["text"])), ""), F.lit(step.value))
+
+
+def _picked(step: Step, found: Column) -> Column:
+    """The places of `found` that a step's position names, in the position's order."""
+    if not step.picks:
+        return found
+
+    def choose(m: Column) -> Column:
+        n, parts = F.size(m), []
+        for p in step.picks:
+            if isinstance(p, tuple):
+                start = F.lit(p[0] if p[0] is not None else (0 if p[2] > 0 else -1))
+                end = F.lit(p[1] if p[1] is not None else (-1 if p[2] > 0 else 0))
+                lo, hi = (F.greatest(F.lit(0), F.least(n - 1, F.when(x < 0, x + n).otherwise(x))) for x in (start, end))
+                parts.append(F.when(n == 0, _none(NO_PLACES)).when(lo <= hi, F.sequence(lo, hi, F.lit(abs(p[2])))).otherwise(F.sequence(lo, hi, F.lit(-abs(p[2])))))
+            else:
+                parts.append(F.array(F.lit(p) if p >= 0 else n + p))
+        at = F.array_distinct(F.concat(*parts))
+        if step.exclude:
+            return let(at, lambda a: F.filter(m, lambda x, j: ~F.array_contains(a, j)))
+        return F.transform(F.filter(at, lambda j: (j >= 0) & (j < n)), lambda j: F.get(m, j))
+
+    return let(found, choose)
+
+
+def _step(step: Step, i: Column) -> Column:
+    if step.kind == "children":
+        return _picked(step, F.filter(_below(i), lambda k: _node(k)["parent"] == i))
+    below = _below(i)
     if step.kind == "text":
-        return F.contains(F.array_join(F.transform("texts", lambda t: t["text"]), ""), F.lit(step.value))
-    return F.lit(True)
-
-
-def _chosen(step: Step, at: Column, n: Column) -> tuple[Column, Column]:
-    """(whether place `at` of n is taken, its rank among the taken ones)."""
-    hit, rank = F.lit(False), F.lit(None).cast("int")
-    for i, p in enumerate(step.picks):
-        if isinstance(p, tuple):
-            start = F.lit(p[0] if p[0] is not None else (0 if p[2] > 0 else -1))
-            end = F.lit(p[1] if p[1] is not None else (-1 if p[2] > 0 else 0))
-            lo, hi = (F.greatest(F.lit(0), F.least(n - 1, F.when(x < 0, x + n).otherwise(x))) for x in (start, end))
-            step_ = abs(p[2])
-            inside = F.when(lo <= hi, at.between(lo, hi) & ((at - lo) % step_ == 0)).otherwise(at.between(hi, lo) & ((lo - at) % step_ == 0))
-            order = F.lit(i * 1_000_000) + F.abs(at - lo)
-        else:
-            inside = at == (F.lit(p) if p >= 0 else n + p)
-            order = F.lit(i * 1_000_000)
-        rank = F.when(rank.isNull() & inside, order).otherwise(rank)
-        hit = hit | inside
-    return (~hit, at) if step.exclude else (hit, rank)
-
-
-def select(nodes: DataFrame, contexts: DataFrame | None, rule: str, page: str = "page_id") -> DataFrame:
-    """Elements that the steps of a rule (without extractor) select: page, item_ix of the context, place, pre, post."""
-    steps = [parse_step(s) for s in rule.split("@")] if rule else []
-    if contexts is None:
-        contexts = nodes.groupBy(page).agg(F.lit(0).alias("item_ix"), (F.min("pre") - 1).alias("pre"), (F.max("post") + 1).alias("post"))
-    now = contexts.select(page, "item_ix", F.lit(0).alias("place"), "pre", "post")
-    for step in steps:
-        found = nodes.where(_matches(step)).select(F.col(page).alias("_page"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), "parent")
-        inside = (F.col(page) == F.col("_page")) & (F.col("_pre") > F.col("pre")) & (F.col("_post") < F.col("post"))
-        if step.kind == "children":
-            inside = (F.col(page) == F.col("_page")) & (F.col("parent") == F.greatest(F.col("pre"), F.lit(0)))
-        hits = now.join(found, inside).select(page, "item_ix", F.col("place").alias("_ctx"), F.col("_pre").alias("pre"), F.col("_post").alias("post"))
-        if step.picks:
-            w = W.partitionBy(page, "item_ix", "_ctx")
-            hits = hits.withColumn("_at", F.row_number().over(w.orderBy("pre")) - 1).withColumn("_n", F.count("*").over(w))
-            take, rank = _chosen(step, F.col("_at"), F.col("_n"))
-            hits = hits.withColumn("_rank", rank).where(take)
-        else:
-            hits = hits.withColumn("_rank", F.col("pre"))
-        first = hits.groupBy(page, "item_ix", "pre", "post").agg(F.min(F.struct("_ctx", "_rank")).alias("_o"))  # an element once, at its first place
-        now = first.withColumn("place", F.row_number().over(W.partitionBy(page, "item_ix").orderBy("_o", "pre")) - 1).select(page, "item_ix", "place", "pre", "post")
-    return now
+        below = F.when(i >= 0, F.concat(F.array(i), below)).otherwise(below)
+    return _picked(step, F.filter(below, lambda k: _matches(step, k)))
 
 
-def extract(nodes: DataFrame, elements: DataFrame, extractor: str, page: str = "page_id") -> DataFrame:
-    """page, item_ix, place and value of each element; elements without the attribute give null."""
-    if extractor in ("html", "all"):
-        raise UnsupportedRule(f"extractor {extractor!r}: the node table keeps no source text")
-    if extractor in ("text", "textNodes", "ownText"):
-        texts = nodes.where(~F.col("tag").isin("script", "style")).select(F.col(page).alias("_page"), F.col("pre").alias("_pre"), F.col("post").alias("_post"), "texts")
-        within = (F.col("_pre") >= F.col("pre")) & (F.col("_post") <= F.col("post")) if extractor == "text" else F.col("_pre") == F.col("pre")
-        rows = elements.join(texts, (F.col(page) == F.col("_page")) & within).groupBy(page, "item_ix", "place").agg(F.sort_array(F.flatten(F.collect_list("texts"))).alias("t"))
-        parts = F.filter(F.transform("t", lambda x: F.trim(F.regexp_replace(x["text"], r"\s+", " "))), lambda x: x != "")
-        return rows.select(page, "item_ix", "place", F.array_join(parts, "\n" if extractor == "textNodes" else " ").alias("value"))
-    name = extractor[5:-1] if extractor.startswith("attr[") else extractor
-    if not re.fullmatch(r"[\w:-]+", name):
-        raise UnsupportedRule(f"extractor {extractor!r}")
-    own = nodes.select(F.col(page).alias("_page"), F.col("pre").alias("_pre"), "attrs")
-    return elements.join(own, (F.col(page) == F.col("_page")) & (F.col("pre") == F.col("_pre"))).select(page, "item_ix", "place", F.col("attrs")[name].alias("value"))
+def elements(rule: str, start: Column) -> Column:
+    """Places of the elements that the steps of a rule (without extractor) select below element `start`, each once."""
+    now = F.array(start)
+    for text in rule.split("@") if rule else []:
+        now = F.array_distinct(F.flatten(F.transform(now, _into(parse_step(text)))))
+    return now
 
 
-def _simple(nodes: DataFrame, contexts: DataFrame | None, rule: str, page: str) -> DataFrame:
-    steps, _, last = rule.rpartition("@")
-    return extract(nodes, select(nodes, contexts, steps, page), last, page)
+def _into(step: Step) -> Callable[[Column], Column]:
+    return lambda i: _step(step, i)
 
 
-def values(nodes: DataFrame, contexts: DataFrame | None, rule: str, page: str = "page_id") -> DataFrame:
-    """page, item_ix, place, value of a rule with combinators and '##pattern##replacement' at its end."""
-    rule, *post = rule.split("##")
-    if any(x in rule for x in ("<js>", "@js:", "{{", "$.")):
-        raise UnsupportedRule(f"rule {rule!r}")
+def item_places(rule: str) -> Column:
+    """Places of the elements of a list rule, in which combinators join lists."""
     joint = next((j for j in ("&&", "||", "%%") if j in rule), None)
-    parts = [_simple(nodes, contexts, r.strip(), page).withColumn("branch", F.lit(i)) for i, r in enumerate(rule.split(joint) if joint else [rule])]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = rows.where("value is not null and value <> ''")
+    return _joined([elements(r.strip(), F.lit(-1)) for r in (rule.split(joint) if joint else [rule])], joint)
+
+
+def _joined(lists: list[Column], joint: str | None) -> Column:
     if joint == "||":
-        rows = rows.withColumn("_b", F.min("branch").over(W.partitionBy(page, "item_ix"))).where("branch = _b").drop("_b")
-    if joint:
-        order = ["place", "branch"] if joint == "%%" else ["branch", "place"]
-        rows = rows.withColumn("place", F.row_number().over(W.partitionBy(page, "item_ix").orderBy(*order)) - 1)
-    value = F.col("value")
-    for i in range(0, len(post), 2):
-        value = F.regexp_replace(value, checked_pattern(post[i]), post[i + 1] if i + 1 < len(post) else "")
-    return rows.select(page, "item_ix", "place", value.alias("value"))
+        return lists[0] if len(lists) == 1 else let(lists[0], lambda v: F.when(F.size(v) > 0, v).otherwise(_joined(lists[1:], joint)))
+    if joint == "%%":
+        return F.flatten(F.transform(F.arrays_zip(*(x.alias(f"b{i}") for i, x in enumerate(lists))), lambda z: F.filter(F.array(*(z[f"b{i}"] for i in range(len(lists)))), lambda v: v.isNotNull())))
+    return F.concat(*lists) if len(lists) > 1 else lists[0]
+
+
+def extracted(extractor: str, i: Column) -> Column:
+    """The value of one element; null if it has none."""
+    if extractor in TEXTS:
+        found = _runs(i)
+        if extractor == "ownText":
+            found = F.filter(found, lambda r: r["owner"] == i)
+        parts = F.filter(F.transform(found, lambda r: F.trim(F.regexp_replace(r["text"], r"\s+", " "))), lambda x: x != "")
+        return F.array_join(parts, "\n" if extractor == "textNodes" else " ")
+    if extractor in SOURCES:
+        return F.when(i < 0, F.col("source")).otherwise(F.substring("source", _node(i)["src_lo"] + 1, _node(i)["src_hi"] - _node(i)["src_lo"]))
+    name = extractor[5:-1] if extractor.startswith("attr[") else extractor
+    if not re.fullmatch(r"[\w:-]+", name):
+        raise UnsupportedRule(f"extractor {extractor!r}")
+    return _node(i)["attrs"][name]
 
 
 def checked_pattern(pattern: str) -> str:
@@ -178,17 +201,77 @@ def checked_pattern(pattern: str) -> str:
     return pattern
 
 
-def listing(nodes: DataFrame, list_rule: str, fields: dict[str, str], page: str = "page_id") -> DataFrame:
+def split_changes(rule: str) -> tuple[str, list[tuple[str, str]], bool]:
+    """A rule without its '##' part, the pairs of pattern and replacement in that, and whether they change the first match only."""
+    rule, mark, tail = rule.partition("##")
+    if not mark:
+        return rule, [], False
+    once = tail.endswith("###")
+    parts = tail.removesuffix("###").split("##") if once else tail.split("##")
+    return rule, [(checked_pattern(parts[i]), parts[i + 1] if i + 1 < len(parts) else "") for i in range(0, len(parts), 2)], once
+
+
+def changed(value: Column, changes: list[tuple[str, str]], once: bool = False) -> Column:
+    """A value after its replacements. With once, what stands before the first match stays, and that match alone changes."""
+    for pattern, new in changes:
+        if once:
+            hit = F.regexp_extract(value, pattern, 0)
+            at = F.regexp_instr(value, F.lit(pattern))
+            value = F.when(at > 0, F.concat(F.substring(value, F.lit(1), at - 1), F.regexp_replace(hit, pattern, new), F.substring(value, at + F.length(hit), F.length(value)))).otherwise(value)
+        else:
+            value = F.regexp_replace(value, pattern, new)
+    return value
+
+
+def _checked(rule: str) -> str:
+    if any(x in rule for x in ("<js>", "@js:", "{{", "$.")):
+        raise UnsupportedRule(f"rule {rule!r}")
+    return rule.strip().removeprefix("@css:").removeprefix("@CSS:")
+
+
+def strings(rule: str, start: Column) -> Column:
+    """All values of a rule below element `start`, as an array; empty and missing ones are left out."""
+    rule, changes, once = split_changes(_checked(rule))
+    if "@@" in rule:
+        raise UnsupportedRule(f"rule {rule!r}: a chain over pages takes values(), not a field")
+    joint = next((j for j in ("&&", "||", "%%") if j in rule), None)
+
+    def one(part: str) -> Column:
+        steps, _, last = part.rpartition("@")
+        if not steps and re.match(r"(tag|class|id|text)\.|[.#\[]", last):
+            steps, last = last, "text"
+        return F.filter(F.transform(elements(steps, start), lambda i: extracted(last, i)), lambda v: v.isNotNull() & (v != ""))
+
+    found = _joined([one(r.strip()) for r in (rule.split(joint) if joint else [rule])], joint)
+    return F.transform(found, lambda v: changed(v, changes, once)) if changes else found
+
+
+def first(rule: str, start: Column) -> Column:
+    """The first value of a rule below element `start`; null if it has none."""
+    return F.get(strings(rule, start), F.lit(0))
+
+
+def select(pages: DataFrame, rule: str, page: str = "page_id") -> DataFrame:
+    """page, place and element of all that a rule (without extractor) selects. pages: page trees."""
+    return pages.select(page, F.posexplode(item_places(_checked(rule))).alias("place", "element"))
+
+
+def values(pages: DataFrame, rule: str, page: str = "page_id") -> DataFrame:
+    """page, place and value of a rule. pages: page trees. Each '@@' of a rule reads values as pages and tokenises these."""
+    head, *more = _checked(rule).split("@@")
+    rows = pages.select(page, F.posexplode(strings(head, F.lit(-1))).alias("place", "value"))
+    for part in more:
+        inner = trees(rows.select(page, F.col("place").alias("_outer"), F.col("value").alias("_html")), "_html")
+        found = inner.select(page, "_outer", F.posexplode(strings(part, F.lit(-1))).alias("_inner", "value"))
+        # A page's values, in the order of the pages they were read from: one row a page, as before.
+        whole = found.groupBy(page).agg(F.sort_array(F.collect_list(F.struct("_outer", "_inner", "value"))).alias("_all"))
+        rows = whole.select(page, F.posexplode(F.transform("_all", lambda x: x["value"])).alias("place", "value"))
+    return rows.select(page, "place", "value")
+
+
+def listing(pages: DataFrame, list_rule: str, fields: dict[str, str], page: str = "page_id") -> DataFrame:
     """A row for each element of the list rule ('-' in front reverses the items) with the first value of each field."""
-    backward, list_rule = list_rule.startswith("-"), list_rule.lstrip("+-")
-    items = select(nodes, None, list_rule, page)
-    if backward:
-        items = items.withColumn("place", F.max("place").over(W.partitionBy(page)) - F.col("place"))
-    contexts = items.select(page, F.col("place").alias("item_ix"), "pre", "post")
-    tagged = None
-    for name, rule in fields.items():
-        rows = values(nodes, contexts, rule, page).withColumn("field", F.lit(name))
-        tagged = rows if tagged is None else tagged.unionByName(rows)
-    # One aggregation for all fields, not a join for each.
-    wide = tagged.groupBy(page, "item_ix").agg(*(F.min_by(F.when(F.col("field") == c, F.col("value")), F.when(F.col("field") == c, F.col("place"))).alias(c) for c in fields))
-    return contexts.select(page, "item_ix").join(wide, [page, "item_ix"], "left")
+    backward, list_rule = list_rule.startswith("-"), list_rule.lstrip("+-").strip()
+    items = item_places(_checked(list_rule))
+    rows = F.transform(items, lambda i: F.struct(*(first(r, i).alias(c) for c, r in fields.items())))
+    return pages.select(page, F.posexplode(F.reverse(rows) if backward else rows).alias("item_ix", "_f")).select(page, "item_ix", *(F.col(f"_f.{c}").alias(c) for c in fields))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, library, listings, pages, texts
+from . import graph, library, listings, pages, rulebook, texts
 
-MODULES = (listings, library, texts, pages, graph)
+MODULES = (listings, library, texts, pages, rulebook, graph)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,57 +6,58 @@ from pyspark.sql import functions as F
 
 from folio_spark.functions import urls as U
 from folio_spark.operators import chapters, rules
-from folio_spark.operators.shred import shred
+from folio_spark.operators.shred import shred, trees
 
 from .listings import table
 from .texts import _K
 
 
-def nodes(spark, sf):
-    return shred(table(spark, sf, "pages")).repartition("page_id")
+def page_trees(spark, sf):
+    return trees(table(spark, sf, "pages"))
 
 
 def e01(spark, sf):
-    return nodes(spark, sf).groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("n_li"), F.count_if(F.col("tag") == "p").alias("n_p"), F.count_if(F.col("tag") == "br").alias("n_br"), F.max(F.when(F.col("tag") == "html", F.col("attrs")["lang"])).alias("lang"))
+    rows = shred(table(spark, sf, "pages"))
+    return rows.groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("n_li"), F.count_if(F.col("tag") == "p").alias("n_p"), F.count_if(F.col("tag") == "br").alias("n_br"), F.max(F.when(F.col("tag") == "html", F.col("attrs")["lang"])).alias("lang"))
 
 
 def e02(spark, sf):
-    n = nodes(spark, sf)
-    return rules.select(n, None, "tag.nav@tag.ul@tag.li@tag.a").groupBy("page_id").agg(F.count("*").alias("n"))
+    found = F.size(rules.item_places("tag.nav@tag.ul@tag.li@tag.a")).cast("long")
+    return page_trees(spark, sf).select("page_id", found.alias("n")).where("n > 0")
 
 
 def e03(spark, sf):
-    return rules.values(nodes(spark, sf), None, "tag.li[0,-1,1:3]@tag.a@href").select("page_id", F.col("place").alias("place"), "value")
+    return rules.values(page_trees(spark, sf), "tag.li[0,-1,1:3]@tag.a@href")
 
 
 def e04(spark, sf):
-    return rules.values(nodes(spark, sf), None, "tag.li@tag.a@text%%tag.li@tag.a@href").select("page_id", "place", "value")
+    return rules.values(page_trees(spark, sf), "tag.li@tag.a@text%%tag.li@tag.a@href")
 
 
 def e04_first(spark, sf):
-    return rules.values(nodes(spark, sf), None, "tag.h2@text||tag.h1@text").select("page_id", "value")
+    return rules.values(page_trees(spark, sf), "tag.h2@text||tag.h1@text").select("page_id", "value")
 
 
 def e05(spark, sf):
-    return rules.values(nodes(spark, sf), None, "tag.div.0@class&&tag.html@lang").select("page_id", "place", "value")
+    return rules.values(page_trees(spark, sf), "tag.div.0@class&&tag.html@lang")
 
 
 def e06(spark, sf):
-    return rules.listing(nodes(spark, sf), "tag.nav@tag.li", {"title": "tag.a@text", "href": "tag.a@href"}).select("page_id", "item_ix", "title", "href")
+    return rules.listing(page_trees(spark, sf), "tag.nav@tag.li", {"title": "tag.a@text", "href": "tag.a@href"})
 
 
 def e06_reversed(spark, sf):
-    return rules.listing(nodes(spark, sf), "-tag.nav@tag.li", {"href": "tag.a@href##^/##"}).select("page_id", "item_ix", "href")
+    return rules.listing(page_trees(spark, sf), "-tag.nav@tag.li", {"href": "tag.a@href##^/##"})
 
 
 def e08(spark, sf):
-    return rules.values(nodes(spark, sf), None, "tag.article@text").select("page_id", F.md5("value").alias("text_md5"))
+    return rules.values(page_trees(spark, sf), "tag.article@text").select("page_id", F.md5("value").alias("text_md5"))
 
 
 def e21(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", "url")
-    items = rules.listing(nodes(spark, sf), "tag.nav@tag.li", {"title": "tag.a@text", "href": "tag.a@href"}).join(pages, "page_id")
-    rows = items.select(U.host(F.col("url")).alias("book"), F.col("page_id").alias("page_ord"), "item_ix", "title", U.resolve(F.col("href"), F.col("url")).alias("url"))
+    items = rules.listing(page_trees(spark, sf).withColumn("page", F.struct("page_id", "url")), "tag.nav@tag.li", {"title": "tag.a@text", "href": "tag.a@href"}, "page")
+    url = F.col("page.url")
+    rows = items.select(U.host(url).alias("book"), F.col("page.page_id").alias("page_ord"), "item_ix", "title", U.resolve(F.col("href"), url).alias("url"))
     return chapters.assemble_toc(rows)
 
 

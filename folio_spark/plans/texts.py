@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio_spark.functions import text as X
 from folio_spark.functions import urls as U
 from folio_spark.operators import chapters as C
+from folio_spark.operators import extract, rules
 
 from .listings import table
 
@@ -96,10 +97,8 @@ def p13(spark, sf):
 
 def links(spark, sf):
     """Items of all pages by an all-in-one pattern: one row a match, fields by group."""
-    p = table(spark, sf, "pages")
-    pattern = F.lit('<li><a href="([^"]*)">([^<]*)</a></li>')
-    pairs = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("href"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("title"))
-    return p.select("page_id", "url", F.posexplode(pairs).alias("item_ix", "m")).select("page_id", F.col("url").alias("page_url"), "item_ix", F.col("m.href").alias("href"), F.col("m.title").alias("title"))
+    p = table(spark, sf, "pages").select(F.struct("page_id", F.col("url").alias("page_url")).alias("page"), "html")
+    return extract.listing(p, ':<li><a href="([^"]*)">([^<]*)</a></li>', {"href": "$1", "title": "$2"}, "page").select("page.*", "item_ix", "href", "title")
 
 
 def e12(spark, sf):
@@ -138,15 +137,14 @@ def w02(spark, sf):
 
 
 def e13(spark, sf):
-    first = lambda c, p, r: F.when(F.regexp_instr(c, F.lit(p)) > 0, F.concat(F.substring(c, F.lit(1), F.regexp_instr(c, F.lit(p)) - 1), F.lit(r), F.substring(c, F.regexp_instr(c, F.lit(p)) + F.length(F.regexp_extract(c, p, 0)), F.length(c)))).otherwise(c)
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace(title, "[%$*#]+", ""), "&amp;", "&").alias("chained"), first(title, "[aeiou]+", "_").alias("first_only"))
+    change = lambda rule: rules.changed(title, *rules.split_changes(rule)[1:])
+    return table(spark, sf, "pages").select("page_id", rules.changed(title, [("[%$*#]+", ""), ("&amp;", "&")]).alias("chained"), change("##[aeiou]+##_###").alias("first_only"))
 
 
 def e22(spark, sf):
     body = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
-    plain = F.regexp_replace(F.regexp_replace(body, r"<[^>]*>", " "), r"\s+", " ")
-    return table(spark, sf, "pages").select("page_id", F.md5(F.trim(plain)).alias("content_md5"))
+    return table(spark, sf, "pages").select("page_id", F.md5(F.trim(rules.changed(body, [(r"<[^>]*>", " "), (r"\s+", " ")]))).alias("content_md5"))
 
 
 def u19(spark, sf):
@@ -165,8 +163,8 @@ def u10(spark, sf):
 
 
 def e10(spark, sf):
-    e = table(spark, sf, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.concat(F.lit("/item/"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")), F.lit("?t="), F.coalesce(F.get_json_object("props", "$.none"), F.lit(""))).alias("url"))
+    row = extract.record({"k": "$.k", "url": "/item/{{$.k}}?t={{$.none}}"}, "props")
+    return table(spark, sf, "events").select("event_id", row.alias("r")).select("event_id", "r.k", "r.url")
 
 
 def t03(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from folio_spark.functions import text as X
 from folio_spark.functions import urls as U
 from folio_spark.operators import chapters, rules, shelf
-from folio_spark.operators.shred import shred, shred_page
+from folio_spark.operators.shred import shred, shred_page, trees
 from folio_spark.sources import stores
 
 
@@ -66,8 +66,8 @@ PAGE = """<html><body><h1>Top</h1><ul class="list big" id=main><li><a href="/1">
 
 
 def picked(spark, rule, html=PAGE):
-    nodes = shred(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string"))
-    return [r["value"] for r in rules.values(nodes, None, rule).orderBy("page_id", "item_ix", "place").collect()]
+    pages = trees(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string"))
+    return [r["value"] for r in rules.values(pages, rule).orderBy("page_id", "place").collect()]
 
 
 @pytest.mark.parametrize(
@@ -96,23 +96,49 @@ def test_rules(spark, rule, want):
 
 
 def test_unsupported_rules_are_named(spark):
-    nodes = shred(spark.createDataFrame([(1, PAGE)], "page_id int, html string"))
-    for rule in ("<js>x</js>@text", "tag.a@html", "tag.a@text##(?=x)##", "a > b@text"):
+    pages = trees(spark.createDataFrame([(1, PAGE)], "page_id int, html string"))
+    for rule in ("<js>x</js>@text", "tag.a@text##(?=x)##", "a > b@text", "tag.a@{{x}}"):
         with pytest.raises(rules.UnsupportedRule):
-            rules.values(nodes, None, rule)
-
-
-def test_selection_joins_by_page(spark):
-    nodes = shred(spark.createDataFrame([(1, PAGE)], "page_id int, html string")).repartition("page_id")
-    plan = rules.select(nodes, None, "class.list@tag.li@tag.a")._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
-
-
-def test_intervals_nest():
-    rows = shred_page(PAGE)
-    for a in rows:
-        for b in rows:
-            assert a is b or a[1] < b[0] or b[1] < a[0] or (a[0] < b[0] and b[1] < a[1]) or (b[0] < a[0] and a[1] < b[1])
+            rules.values(pages, rule)
+
+
+def test_source_text_of_elements_and_pages_in_pages(spark):
+    assert picked(spark, "tag.a@html") == ['<a href="/1">One</a>', '<a href="/2">Two &amp; more</a>']
+    assert picked(spark, "tag.li.1@all") == ['<li><a href="/2">Two &amp; more</a>']
+    assert picked(spark, "tag.ul@html@@tag.li@tag.a@text") == ["One", "Two & more"]
+    assert picked(spark, "tag.ul@html&&tag.div@html@@tag.b@text") == ["Three"]
+    assert picked(spark, "tag.ul@textNodes") == ["One\nA\nTwo & more\nThree"]
+    assert picked(spark, "tag.a@text##o##0###") == ["One", "Tw0 & more"]
+    assert picked(spark, "text.Two@href") == ["/2"]
+
+
+def test_rules_need_no_join_and_one_reading(spark):
+    pages = trees(spark.createDataFrame([(1, PAGE)], "page_id int, html string"))
+    listed = rules.listing(pages, "class.list@tag.li", {"name": "tag.a@text", "link": "tag.a@href", "more": "tag.span@text||tag.b@text"})
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Exchange" not in plan and "Window" not in plan
+    assert [tuple(r) for r in listed.collect()] == [(1, 0, "One", "/1", "A"), (1, 1, "Two & more", "/2", None), (1, 2, None, None, "Three")]
+
+
+def test_elements_nest():
+    rows, runs = shred_page(PAGE)
+    for i, r in enumerate(rows):
+        assert r[0] >= i and r[1] < i and (r[1] < 0 or rows[r[1]][0] >= r[0])
+        assert r[8] <= r[9] and PAGE[r[8] :].startswith("<" + r[4])
+    assert [t for _, shown, t in runs if not shown] == ['var a = "<li>";']
+
+
+@pytest.mark.parametrize("piece", ["<b>", "</i>", "<![foo[", "<!", "<!--", "<a ", '<a x="', "</", "<p><select>", "<li>", "<![CDATA[", "<?", "&", "a<", "<td><tr>"])
+def test_hostile_pages(piece):
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        for tail in ("", ">", "</b>" * n):
+            shred_page(piece * n + tail)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
 
 
 def test_chapters_rebuild_the_text(spark):
