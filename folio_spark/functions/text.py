@@ -141,8 +141,8 @@ def map_characters(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def importance_rank(c: Column) -> Column:
-    word = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(word.isin("high", "高", "核心"), 3).when(word.isin("medium", "中", "重要"), 2).when(word.isin("low", "低"), 1).otherwise(0)
+    key = knowledge_key(c)
+    return F.when(key.rlike("high|高"), 3).when(key.rlike("medium|中"), 2).when(key.rlike("low|低|低重要性|不重要|路人|背景|minor|background|oneoff|一次性"), 1).otherwise(0)
 
 
 def title_from_file_name(c: Column) -> Column:

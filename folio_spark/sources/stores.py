@@ -6,16 +6,19 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df by checkpoint() in the session's shared folder (one of its own where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
+    """df by checkpoint() in the folder that the session names; a session in one process without one gets its own."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -24,39 +27,91 @@ def with_keys(rows: DataFrame) -> DataFrame:
 
 
 class ContentStore:
-    """Versions of a Parquet table under one folder; a pointer file names the current one, so readers never see half of one."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("book_key", "chapter_key")):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+    """A keyed Parquet table in `parts` folders by a hash of the key. A put rewrites the folders it touches only; a pointer
+    row for each names its current version, so readers never see half of one. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("book_key", "chapter_key"), parts: int = 16):
+        self.spark, self.path, self.keys, self.parts = spark, path.rstrip("/"), list(keys), parts
+
+    def _pointers(self) -> list[tuple[int, int, str]]:
+        """part, number and name of every version written; none if there is no pointer file yet."""
+        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        folder = files.Path(f"{self.path}/current")
+        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return []
+        return [(int(p), int(n), v) for p, n, v in (r["value"].split() for r in self.spark.read.text(f"{self.path}/current").collect())]  # a row a write and part
+
+    def _current(self) -> dict[int, str]:
+        best: dict[int, tuple[int, str]] = {}
+        for part, number, version in self._pointers():
+            best[part] = max(best.get(part, (-1, "")), (number, version))
+        return {p: v for p, (_, v) in best.items()}
+
+    def _load(self, parts: list[int] | None = None) -> DataFrame | None:
+        paths = [f"{self.path}/{v}/_part={p}" for p, v in self._current().items() if v != "-" and (parts is None or p in parts)]
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
-        try:
-            name = self.spark.read.text(f"{self.path}/current").orderBy(F.desc(F.col("value").substr(1, 20))).first()["value"]
-        except Exception:  # no pointer yet
-            return None
-        return self.spark.read.parquet(f"{self.path}/{name.split()[1]}")
+        return self._load()
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
 
-    def _write(self, rows: DataFrame) -> None:
+    def _write(self, rows: DataFrame, touched: list[int]) -> None:
         version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        old = self.spark.read.text(f"{self.path}/current").count() if self.read() is not None else 0
-        self.spark.createDataFrame([(f"{old + 1:020d} {version}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
+        rows.withColumn("_part", self._part()).repartition("_part", *self.keys).write.partitionBy("_part").parquet(f"{self.path}/{version}")
+        left = {r["_part"] for r in self.spark.read.schema("_part int").parquet(f"{self.path}/{version}").select("_part").distinct().collect()} if not rows.isEmpty() else set()
+        number = max((n for _, n, _ in self._pointers()), default=0) + 1
+        pointers = [(f"{p} {number} {version if p in left else '-'}",) for p in touched]
+        self.spark.createDataFrame(pointers, "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        return [r["p"] for r in keys.select(self._part().alias("p")).distinct().collect()]  # at most `parts` rows
 
     def put(self, rows: DataFrame) -> None:
         """Insert or replace by key; of several incoming rows of a key one stays."""
-        new, old = rows.dropDuplicates(self.keys), self.read()
-        self._write(new if old is None else old.join(new.select(*self.keys), self.keys, "left_anti").unionByName(new))
+        new = checkpointed(rows.dropDuplicates(self.keys))
+        touched = self._touched(new)
+        if not touched:
+            return
+        old = self._load(touched)
+        self._write(new if old is None else old.join(new.select(*self.keys), self.keys, "left_anti").unionByName(new, allowMissingColumns=True), touched)
 
     def remove(self, keys: DataFrame) -> None:
-        old = self.read()
+        """Drop by all keys, or by some of them (all chapters of a book)."""
+        touched = self._touched(keys) if set(self.keys) <= set(keys.columns) else list(range(self.parts))
+        old = self._load(touched)
         if old is not None:
-            self._write(old.join(keys, keys.columns, "left_anti"))
+            self._write(old.join(keys, keys.columns, "left_anti"), touched)
 
     def exists(self, rows: DataFrame) -> DataFrame:
         old = self.read()
         return rows.limit(0) if old is None else rows.join(old.select(*self.keys), self.keys, "left_semi")
 
 
+class TocStore:
+    """Tables of contents by toc_url: load, save, append behind the last index, delete."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = ContentStore(spark, path, ("toc_url", "idx"))
+
+    def load(self, tocs: DataFrame | None = None) -> DataFrame | None:
+        rows = self.store.read()
+        return rows if tocs is None or rows is None else rows.join(tocs.select("toc_url").distinct(), "toc_url", "left_semi")
+
+    def save(self, rows: DataFrame) -> None:
+        """Each toc_url of rows holds these chapters and no others."""
+        self.delete(rows)
+        self.store.put(rows)
+
+    def append(self, rows: DataFrame) -> None:
+        old = self.load(rows)
+        self.store.put(append_toc(rows.limit(0) if old is None else old.select(rows.columns), rows))
+
+    def delete(self, tocs: DataFrame) -> None:
+        self.store.remove(tocs.select("toc_url").distinct())
+
+
 def append_toc(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored chapters of each table of contents, then the new ones, numbered on from the largest index."""
     last = stored.groupBy("toc_url").agg(F.max("idx").alias("_last"))

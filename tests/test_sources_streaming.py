@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio_spark import streaming
@@ -83,14 +84,50 @@ def test_streams_equal_batches(spark, sf, tmp_path):
 
 
 def test_place_parents_and_signature(spark):
-    rows = [(1, "Ava", "city", "", "a city of Oria"), (1, "Oria", "kingdom", "", ""), (1, "Inn", "house", "Ava", ""), (1, "Mill", "house", "Inn", ""), (1, "Hall", "hall", "", "stands in Oria"), (2, "X", "house", "", ""), (2, "Y", "city", "", "X lies here")]
-    places = spark.createDataFrame(rows, "book int, name string, kind string, parent_name string, description string")
+    rows = [
+        (1, "Ava", "城市", None, "a city of Oria", None), (1, "Oria", "王国", None, "", None), (1, "Inn", "酒馆", "Ava", "", None), (1, "Mill", "建筑", "Inn", "", None), (1, "Hall", "大学", None, "stands in Oria", None), (1, "Room", "房间", None, "", None),
+        (1, "Gone", "房间", None, "", "路人"), (2, "X", "住宅", None, "", None), (2, "Y", "城", None, "X lies here", None), (3, "P", "住宅", "nix", "", None), (3, "Q", "王国", None, "", None), (3, "R", "王国", None, "", None),
+    ]
+    places = spark.createDataFrame(rows, "book int, name string, kind string, parent_name string, description string, importance string")
     got = {(r["book"], r["name"]): r["parent"] for r in K.infer_parents(places).collect()}
-    assert got == {(1, "Ava"): "Oria", (1, "Oria"): None, (1, "Inn"): "Ava", (1, "Mill"): "Ava", (1, "Hall"): "Oria", (2, "X"): "Y", (2, "Y"): None}
+    assert got == {(1, "Ava"): "Oria", (1, "Oria"): None, (1, "Inn"): "Ava", (1, "Mill"): "Ava", (1, "Hall"): "Oria", (1, "Room"): "Ava", (2, "X"): "Y", (2, "Y"): None, (3, "P"): "nix", (3, "Q"): None, (3, "R"): None}
     a, b = (K.place_signature(p).orderBy("book").collect() for p in (places, places.repartition(3)))
     assert a == b and a != K.place_signature(places.where("name <> 'Inn'")).orderBy("book").collect()
 
 
+def test_deep_places_and_cycles(spark):
+    chain = [(1, f"n{i}", f"n{i - 1}" if i else None) for i in range(40)]
+    rows = {r["name"]: r for r in K.place_rows(spark.createDataFrame([*chain, (2, "a", "b"), (2, "b", "c"), (2, "c", "a"), *((2, f"z{i}", f"z{i - 1}" if i else "a") for i in range(9))], "book int, name string, parent_name string")).collect()}
+    assert all(rows[f"n{i}"]["depth"] == i for i in range(40)) and rows["n39"]["path"].count("/") == 39
+    assert all(rows[n]["depth"] == 0 for n in ("a", "b", "c", *(f"z{i}" for i in range(9)))) and len(rows) == 52
+
+
+def test_content_store(spark, tmp_path):
+    store = stores.ContentStore(spark, f"file://{tmp_path}/c", keys=("k",), parts=4)
+    assert store.read() is None and store.exists(spark.createDataFrame([(1,)], "k int")).count() == 0
+    store.put(spark.createDataFrame([(i, "a") for i in range(20)], "k int, v string"))
+    before = dict(store._current())
+    store.put(spark.createDataFrame([(3, "b"), (3, "b"), (50, "c")], "k int, v string"))
+    assert len([p for p, v in store._current().items() if v != before.get(p)]) <= 2
+    assert {r["k"]: r["v"] for r in store.read().collect()} == {**{i: "a" for i in range(20)}, 3: "b", 50: "c"}
+    store.remove(spark.createDataFrame([(i,) for i in range(20)], "k int"))
+    assert [tuple(r) for r in store.read().select("k", "v").collect()] == [(50, "c")]
+    (tmp_path / "c" / "current" / "part-broken.txt").write_text("not a pointer")
+    with pytest.raises(ValueError):  # an unreadable pointer isn't an empty store
+        store.put(spark.createDataFrame([(1, "x")], "k int, v string"))
+
+
+def test_toc_store(spark, tmp_path):
+    store = stores.TocStore(spark, f"file://{tmp_path}/t")
+    rows = lambda *r: spark.createDataFrame(list(r), "toc_url string, idx int, title string")
+    store.save(rows(("t", 0, "a"), ("t", 1, "b"), ("u", 0, "x")))
+    store.append(rows(("t", 0, "c"), ("v", 0, "y")))
+    store.save(rows(("u", 0, "z")))
+    assert {(r["toc_url"], r["idx"], r["title"]) for r in store.load().collect()} == {("t", 0, "a"), ("t", 1, "b"), ("t", 2, "c"), ("u", 0, "z"), ("v", 0, "y")}
+    store.delete(rows(("t", 0, "")))
+    assert {r["toc_url"] for r in store.load().collect()} == {"u", "v"}
+
+
 def test_summaries(spark):
     from folio_spark.functions import text as X
 
