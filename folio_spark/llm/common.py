@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +65,13 @@ def same_row(rows: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> Co
     return rows[id_col].eqNullSafe(keys["_id"]) & (F.xxhash64(rows[text_col]) == keys["_text"])
 
 
+def give_back() -> None:
+    """What a task held goes back to the system at its end: Python workers stay, for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], at: int, rows: int = 64, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `rows` rows and about `size` bytes in column `at` (one longer text is a part)."""
     for b in batches:

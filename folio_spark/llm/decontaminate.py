@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, materialize, mix, same_row
+from .common import give_back, join_small, materialize, mix, same_row
 
 #: Repetitions and sampled places: measured recall of items with 10, 15 and 20 % of their words edited is in the README.
 REPEATS, SAMPLES, RUN = 32, 4, 3
@@ -224,7 +224,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 if rows:
                     item, first, n, d = zip(*rows)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(item, schema_item), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], schema.names)
-            _words.clear()  # workers are used again
+            _words.clear()
+            give_back()
 
         from pyspark.sql.pandas.types import to_arrow_type
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_small, materialize, mix, same_row, words
+from .common import give_back, join_small, materialize, mix, same_row, words
 
 #: Scanning one entry of an inverted list, in units of writing one key.
 SCAN_COST = 1.5
@@ -198,6 +198,8 @@ def members_of(docs: DataFrame, text_col: str, k: int, percent: int, first_heavy
                         held, total = {}, 0
         if held:
             yield from flush()
+        held = {}
+        give_back()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _unpacked(batches)
@@ -218,6 +220,8 @@ def members_of(docs: DataFrame, text_col: str, k: int, percent: int, first_heavy
         if len(order):
             owner = owner[order]
             yield from _packed(((mix(node[owner]) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32), buckets, owner, node, n, x[order], np.minimum(255, 8 * np.log2(rarity)).astype(np.uint8))
+        del got, owner, node, n, x, order, xs, rarity
+        give_back()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _unpacked(batches)
@@ -240,6 +244,8 @@ def members_of(docs: DataFrame, text_col: str, k: int, percent: int, first_heavy
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], kinds)
+        del got, owner, node, n, x, rarity, order, rows
+        give_back()
 
     kinds = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("band", pa.int32()), ("x", pa.binary()), ("keys", pa.list_(pa.int64()))])
     counted = docs.select(text_col).mapInArrow(spread, PACKED).repartitionById(buckets, "bucket").mapInArrow(count, PACKED)

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import give_back, materialize
 
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -128,6 +128,7 @@ def encoder(path: str) -> Iterator[Encoder]:
         yield _encoders[path]
     finally:
         _encoders[path].forget()
+        give_back()
 
 
 def cut_into_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int) -> DataFrame:

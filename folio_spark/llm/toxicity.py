@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, give_back
 
 WINDOW, DIM, BUCKETS, GRAMS = 16, 8, 1 << 17, (3, 4, 5)
 #: Rows labelled 0 and 1 that training may take, by the order of a hash of their ids.
@@ -37,6 +37,8 @@ SAMPLE = (6000, 3000)
 VISITS = 72_000
 #: Sampled documents that must share an n-gram before it gets a vector.
 RARE = 3
+#: Words that are taken apart at a time.
+PART = 20_000
 #: Words whose scores a task keeps, and the range of the sample's hashes.
 CACHE, SPAN = 150_000, 1 << 40
 
@@ -49,6 +51,9 @@ def normal_words(text: str | None) -> list[bytes]:
 
 def grams_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all tokens' n-grams, token after token, and how many each token has (at least 1)."""
+    if len(tokens) > PART:  # the arrays below take some hundred bytes a character
+        parts = [grams_of(tokens[i : i + PART]) for i in range(0, len(tokens), PART)]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([n for _, n in parts])
     bare = [b"<" + (t.strip(_STRIP) or t) + b">" for t in tokens]
     lens = np.fromiter(map(len, bare), np.int64, len(bare))
     data = np.frombuffer(b"".join(bare) + b"\0" * max(GRAMS), np.uint8).astype(np.uint64)
@@ -64,9 +69,9 @@ def grams_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             found.append((x >> np.uint64(40)) % np.uint64(BUCKETS))
             whose.append(owner[ok])
-    ids, whose_ = np.concatenate(found).astype(np.int64), np.concatenate(whose)
+    ids, whose_ = np.concatenate(found).astype(np.int32), np.concatenate(whose)
     order = np.argsort(whose_, kind="stable")
-    return ids[order], np.bincount(whose_, minlength=len(bare))
+    return ids[order], np.bincount(whose_, minlength=len(bare)).astype(np.int32)
 
 
 @dataclass
@@ -116,12 +121,16 @@ def train(texts: Iterable[list[bytes]], toxic: list[int] | np.ndarray, visits: i
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), -50.0)
     ids, counts = grams_of(list(vocab))
-    begins = np.cumsum(counts) - counts
+    begins = np.cumsum(counts, dtype=np.int64) - counts
     # Buckets that fewer than RARE sampled documents touch keep a zero vector: they can only be noise.
     seen_in = np.zeros(len(vocab), np.int64)
     for d in docs:
         seen_in[np.unique(d)] += 1
-    live = np.bincount(ids, weights=np.repeat(seen_in, counts), minlength=BUCKETS) >= RARE
+    touched = np.zeros(BUCKETS)
+    for i in range(0, len(counts), PART):
+        n = counts[i : i + PART]
+        touched += np.bincount(ids[begins[i] : begins[i] + n.sum()], weights=np.repeat(seen_in[i : i + PART], n), minlength=BUCKETS)
+    live = touched >= RARE
     emb = (rng.normal(0, 0.05, (BUCKETS, DIM)) * live[:, None]).astype(np.float32)
     out = rng.normal(0, 0.5, (2, DIM)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -225,6 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     yield bag.as_py().split()
 
         model = train(bags(), toxic)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias])], ["table", "bias"])
 
     rows = _sample(docs, labels, id_col, text_col, per_class).repartition(1).sortWithinPartitions("_id", "_bag")
@@ -252,13 +262,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 if len(cache) + len(new) > CACHE:
                     cache.clear()
                     new = list({w for bag in bags for w in bag})
-                for i in range(0, len(new), 20_000):
-                    cache.update(zip(new[i : i + 20_000], m.word_scores(new[i : i + 20_000]).tolist()))
+                for i in range(0, len(new), PART):
+                    cache.update(zip(new[i : i + PART], m.word_scores(new[i : i + PART]).tolist()))
                 for i, bag in enumerate(bags):
                     best = float(window_means(np.fromiter(map(cache.__getitem__, bag), np.float64, len(bag))).max()) if bag else 0.0
                     z = best + m.bias if bag else min(m.bias, -1e-9)
                     result[at + i] = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(result)], [*keep, out])
+        cache.clear()
+        give_back()
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
     return docs.select(*keep).mapInArrow(scored, schema)
