@@ -320,15 +320,16 @@ def link_within(node: np.ndarray, root: np.ndarray, n: np.ndarray, sets: list[np
 
 
 def scan_lists(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join what shares a list and links, but for what its root joins already. lists: key, node, root.
+    """Links (a, b) that join what shares a list and links, but for what its root joins already. lists: key, node, n, root.
 
-    A list whose sets have more than CHUNK shingles is laid out as a grid of chunks, so no place holds more than two.
+    A list whose sets have more than CHUNK shingles is laid out as a grid of chunks, so no place holds more than two. The
+    places are found first; sets move to them once.
     """
-    sized = lists.join(members.select("node", "n", F.col("x").alias("_x")), "node")
-    chunks = sized.groupBy("key").agg(F.sum("n").alias("_n")).where(F.col("_n") > CHUNK).select("key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_c"))
-    own = sized.join(chunks, "key", "left").withColumn("_c", F.coalesce("_c", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("node"), "_c").cast("int"))
+    chunks = lists.groupBy("key").agg(F.sum("n").alias("_n")).where(F.col("_n") > CHUNK).select("key", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_c"))
+    own = lists.join(chunks, "key", "left").withColumn("_c", F.coalesce("_c", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("node"), "_c").cast("int"))
     other = F.when(F.col("_c") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_c") - 1))
-    laid = own.select("key", "_own", F.explode(other).alias("_o"), "node", "root", "n", "_x").select("key", F.least("_own", "_o").alias("_lo"), F.greatest("_own", "_o").alias("_hi"), "node", "root", "n", "_x")
+    places = own.select("key", "_own", F.explode(other).alias("_o"), "node", "root", "n").select("key", F.least("_own", "_o").alias("_lo"), F.greatest("_own", "_o").alias("_hi"), "node", "root", "n")
+    laid = places.join(members.select("node", F.col("x").alias("_x")), "node").select("key", "_lo", "_hi", "node", "root", "n", "_x")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, rows = None, []
@@ -390,7 +391,7 @@ def linked_sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
         if turn < TURNS:
             found = linked_pairs(materialize(led_pairs(lists, turn, percent), "pairs"), members, percent)
         else:
-            found = scan_lists(different_lists(lists.select("key", "node", "root")), members, percent)
+            found = scan_lists(different_lists(lists.select("key", "node", "n", "root")), members, percent)
         found = materialize(found, "links")
         if not found.isEmpty():
             links = links.union(found)
