@@ -13,9 +13,9 @@ GROUP_DELIMITERS = "[,;；、]"
 FALSE_WORDS = ("", "0", "false", "null", "none", "no", "off")
 
 
-def split_groups(c: Column) -> Column:
+def split_groups(c: Column, delimiters: str = GROUP_DELIMITERS) -> Column:
     """A group list as an array: trimmed, without empty names, each name once, first places kept."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, GROUP_DELIMITERS), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, delimiters), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def mark_group(c: Column, name: str, present: bool) -> Column:
@@ -72,17 +72,32 @@ def clean_feed(html: Column) -> Column:
 
 
 def chunks(c: Column, size: int = 70) -> Column:
-    """Sentences packed greedily up to `size` characters; a longer sentence is cut into pieces of that size."""
-    sentences = F.filter(F.transform(F.split(collapse_space(c), r"(?<=[.!?。！？])\s*"), lambda x: F.trim(x)), lambda x: x != "")
-    pieces = F.flatten(F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(s) / size).cast("int") - 1, F.lit(0))), lambda i: F.trim(F.substring(s, i * size + 1, F.lit(size))))))
+    """Sentences packed greedily up to `size` characters. A longer sentence stands alone, cut at its last comma or space
+    within that many, or where there is none at that many."""
+    text = F.regexp_replace(F.trim(c), r"\n+", "\n")
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[。！？!?；;])"), lambda x: F.trim(x)), lambda x: x != "")
     none = F.array().cast("array<string>")
 
-    def pack(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + 1 + F.length(x) <= size)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), x)))).otherwise(F.array_append(acc, x))
+    def cut(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        at = F.length(F.regexp_extract(F.substring(rest, 1, size + 1), r"(?s)^(.*)[，、, ]", 1))
+        at = F.when(at > 0, at).otherwise(size)
+        more = F.struct(F.array_append(state["got"], F.trim(F.substring(rest, F.lit(1), at))).alias("got"), F.trim(F.substring(rest, at + 1, F.length(rest))).alias("rest"))
+        return F.when(F.length(rest) > size, more).otherwise(state)
 
-    return F.aggregate(pieces, none, pack)
+    def pieces(s: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(F.length(s) - size, F.lit(1)))  # each takes a character at least
+        return F.aggregate(steps, F.struct(none.alias("got"), s.alias("rest")), cut, lambda z: F.filter(F.array_append(z["got"], z["rest"]), lambda x: x != ""))
+
+    def pack(state: Column, s: Column) -> Column:
+        current, got = state["current"], state["got"]
+        sent = F.when(current != "", F.array_append(got, current)).otherwise(got)
+        long = F.struct(F.concat(sent, pieces(s)).alias("got"), F.lit("").alias("current"))
+        full = F.struct(sent.alias("got"), s.alias("current"))
+        more = F.struct(got.alias("got"), F.concat(current, s).alias("current"))
+        return F.when(F.length(s) > size, long).when(F.length(current) + F.length(s) > size, full).otherwise(more)
+
+    return F.aggregate(sentences, F.struct(none.alias("got"), F.lit("").alias("current")), pack, lambda z: F.when(z["current"] != "", F.array_append(z["got"], z["current"])).otherwise(z["got"]))
 
 
 def in_context(text: Column, keyword: str, around: int = 18, limit: int | None = None) -> Column:
@@ -129,8 +144,8 @@ def written_number(c: Column) -> Column:
 
 def chapter_ordinal(title: Column) -> Column:
     """The number of a chapter in its title; null if the title has none."""
-    number = F.regexp_extract(title, r"第\s*([0-9零〇一二两三四五六七八九十百千万]+)\s*[章节回话]", 1)
-    other = F.regexp_extract(title, r"(?i)^\s*(?:chapter\s*)?([0-9]+)\b", 1)
+    number = F.regexp_extract(title, r"第\s*([0-9]{1,5}|[零〇一二两三四五六七八九十百千万]+)\s*[章节回话集部卷篇]", 1)
+    other = F.regexp_extract(title, r"(?i)^\s*(?:chapter\s*)?([0-9]{1,5})\b", 1)
     return F.coalesce(F.when(number != "", written_number(number)), other.try_cast("int"))
 
 
@@ -145,9 +160,14 @@ def importance_rank(c: Column) -> Column:
     return F.when(key.rlike("high|高"), 3).when(key.rlike("medium|中"), 2).when(key.rlike("low|低|低重要性|不重要|路人|背景|minor|background|oneoff|一次性"), 1).otherwise(0)
 
 
+def safe_file_name(c: Column) -> Column:
+    """The last part of a path, trimmed; 'book.txt' where that is empty."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_extract(c, r"([^/\\\\]*)[/\\\\]*$", 1)), F.lit("")), F.lit("book.txt"))
+
+
 def title_from_file_name(c: Column) -> Column:
-    base = F.regexp_extract(c, r"([^/\\]*)$", 1)
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(base, r"\.[^.]*$", "")), F.lit("")), base)
+    """A book's title from its file's name, without extension."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(safe_file_name(c), r"(?<=.)\.[^.]*$", "")), F.lit("")), F.lit("本地小说"))
 
 
 def replace_rules(text: Column, rules: Column) -> Column:
@@ -157,22 +177,43 @@ def replace_rules(text: Column, rules: Column) -> Column:
 
 def limit_summary(c: Column, most: int = 1200) -> Column:
     """A long summary as its first 55 % and its end, with an ellipsis between."""
-    head = int(most * 0.55)
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, head), F.lit("……"), F.right(c, F.lit(most - head - 2)))).otherwise(c)
+    head = int((most - 2) * 0.55)
+    t = F.trim(c)
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, head), F.lit("……"), F.right(t, F.lit(most - head - 2)))).otherwise(t)
+
+
+#: Beginnings by which the summary of one chapter is told.
+RECAPS = ("^(?:本章|本节|这一章)[：:，,]\\s*", "^第\\s*(?:\\d+|[零〇一二两三四五六七八九十百千万]+)\\s*[章节回话卷篇][^。！？；]{0,40}[：:]\\s*")
 
 
 def looks_like_recap(c: Column) -> Column:
     """A summary of one chapter rather than of the story so far."""
-    return c.rlike(r"^\s*(?:第\s*[0-9零〇一二两三四五六七八九十百千万]+\s*[章节回]|本章|(?i:this chapter))")
+    return F.trim(c).rlike(RECAPS[0]) | F.trim(c).rlike(RECAPS[1])
 
 
 def next_summary(previous: Column, new: Column) -> Column:
-    """The new summary unless it is empty or a recap of one chapter, cut to length."""
-    usable = (F.trim(F.coalesce(new, F.lit(""))) != "") & ~F.coalesce(looks_like_recap(new), F.lit(False))
-    return limit_summary(F.when(usable, F.trim(new)).otherwise(F.coalesce(previous, F.lit(""))))
+    """The new summary, cut to length; the previous one if the new is empty or retells one chapter. A first summary loses
+    such a beginning instead."""
+    old, new = F.trim(F.coalesce(previous, F.lit(""))), F.trim(F.coalesce(new, F.lit("")))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(new, RECAPS[0], ""), RECAPS[1], ""))
+    return F.when(new == "", limit_summary(old)).when(old == "", limit_summary(bare)).when(looks_like_recap(new), limit_summary(old)).otherwise(limit_summary(new))
 
 
 def json_text(v: Column) -> Column:
     """A JSON value (variant) as text: arrays joined by line breaks, null and missing ones as null."""
     kind = F.schema_of_variant(v)
     return F.when(kind.startswith("ARRAY"), F.array_join(F.from_json(F.to_json(v), "array<string>"), "\n")).when(kind.startswith("OBJECT"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
+
+
+def ordered_rules(rules: Column, source: Column, book: Column, name: Column, url: Column) -> Column:
+    """The rules (structs of place, pattern, replacement, is_regex, scope, enabled) that hold for a text, in order."""
+
+    def holds(r: Column) -> Column:
+        scope = F.trim(F.coalesce(r["scope"], F.lit("")))
+        named = F.trim(F.substring_index(scope, ";", 1)) == name
+        at = F.trim(F.regexp_replace(scope, "^[^;]*;?", ""))
+        both = named & ((at == "") | (at == url))
+        return scope.isin("", "*") | (scope == F.concat(F.lit("source:"), source)) | (scope == F.concat(F.lit("book:"), book)) | (~F.contains(scope, F.lit(":")) & both) | (F.contains(scope, F.lit(";")) & both)
+
+    kept = F.filter(rules, lambda r: F.coalesce(r["enabled"], F.lit(True)) & F.coalesce(holds(r), F.lit(False)) & (F.coalesce(r["pattern"], F.lit("")) != ""))
+    return F.array_sort(kept, lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))

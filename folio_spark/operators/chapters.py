@@ -11,9 +11,9 @@ from folio_spark.functions.text import chapter_ordinal
 #: A heading line of a text book.
 HEADING = r"^\s*(?:第\s*[0-9零〇一二两三四五六七八九十百千万]+\s*[章节回卷部篇]|(?i:chapter)\s+[0-9IVXLC]+\b|(?:序章|楔子|引子|尾声|后记)\s*$)"
 PREFACE, WHOLE = "序章", "正文"
-#: Titles of announcements and extras that are no part of the story.
-SKIPPED = "请假|公告|通知|上架感言|完本感言|新书|推荐|月票|作者的话|番外|加更|停更|更新说明|题外话|求票|感谢"
-KEPT = "序章|序言|楔子|引子|prologue"
+#: Words in titles of announcements and extras that are no part of the story, and titles that are.
+SKIPPED = "番外|外传|新书|新番外|公告|通知|说明|感言|请假|断更|恢复更新|更新时间|求票|月票|推荐票|打赏|推书|书友群|群号|活动|抽奖|实体书|出版|完本|上架"
+KEPT = "^(序章|楔子|引子|序|前言)$"
 
 
 def split_chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heading: str = HEADING, longest: int = 80) -> DataFrame:
@@ -35,6 +35,37 @@ def split_chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return parts.select(id_col, idx.alias("idx"), title.alias("title"), F.trim("content").alias("content"), "char_start")
 
 
+#: Fixed value: a heading line, by number and unit, alone or with a title that doesn't end like a sentence.
+NUMBERED = r"^(?:第[\p{N}零〇一二两三四五六七八九十百千万壹贰叁肆伍陆柒捌玖拾佰仟]+[章节回卷部集篇]|卷[\p{N}零〇一二两三四五六七八九十百千万壹贰叁肆伍陆柒捌玖拾佰仟]+)(?:$|[\s:：、.．\-—].*|[^\s:：、.．\-—](?:.*[^。！？!?；;，,、])?)$"
+
+
+def text_chapters(books: DataFrame, heading: str = NUMBERED, longest: int = 80) -> DataFrame:
+    """book_url, idx, title, url (book_url#idx), start, end (code points, end exclusive) and content of text books.
+
+    books: book_url, text. Contents are the text from behind the heading's line to the next heading, without line breaks
+    at their end; start and end are those of the content. Text before the first heading is a preface; a text without
+    headings is one chapter; chapters without content stay.
+    """
+    lines = books.select("book_url", F.coalesce("text", F.lit("")).alias("text")).select("book_url", F.length("text").alias("size"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    line = F.regexp_replace("raw", "\r+$", "")
+    title = F.regexp_replace(line, r"^[\s\x{3000}\x{00A0}]+|[\s\x{3000}\x{00A0}]+$", "")
+    w = W.partitionBy("book_url").orderBy("pos")
+    own = W.partitionBy("book_url")
+    marked = lines.withColumn("title", title).withColumn("h", (F.col("title") != "") & (F.length("title") <= longest) & F.col("title").rlike(heading)).withColumn("at", F.sum(F.length("raw") + 1).over(w) - F.length("raw") - 1)
+    parts = marked.withColumn("chapter", F.sum(F.col("h").cast("int")).over(w)).groupBy("book_url", "size", "chapter").agg(
+        F.max(F.when(F.col("h"), F.col("title"))).alias("title"),
+        F.max(F.when(F.col("h"), F.least(F.col("at") + F.length("raw") + 1, F.col("size")))).alias("head"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("h"), F.struct("pos", "raw")))), lambda x: x["raw"]), "\n").alias("body"),
+    )
+    parts = parts.withColumn("none", F.max("chapter").over(own) == 0)
+    none = F.col("none")
+    body = F.when(none, F.col("body")).otherwise(F.regexp_replace("body", "[\r\n]+$", ""))
+    kept = parts.withColumn("content", body).withColumn("start", F.coalesce("head", F.lit(0))).withColumn("title", F.when(none, WHOLE).when(F.col("chapter") == 0, PREFACE).otherwise(F.col("title"))).where((F.col("chapter") > 0) | (F.trim(F.regexp_replace("content", r"\s+", "")) != "") | none)
+    idx = (F.row_number().over(own.orderBy("chapter")) - 1).cast("int")
+    numbered = kept.withColumn("idx", idx)
+    return numbered.select("book_url", "idx", "title", F.concat(F.regexp_replace("book_url", "#+$", ""), F.lit("#"), F.col("idx").cast("string")).alias("url"), F.col("start").cast("long").alias("start"), (F.col("start") + F.length("content")).cast("long").alias("end"), "content")
+
+
 def assemble_toc(rows: DataFrame, book: str = "book", reverse: bool = False) -> DataFrame:
     """Items of all pages in order, each URL once (its first place), numbered from 0. rows: book, page_ord, item_ix, url, title."""
     first = rows.groupBy(book, "url").agg(F.min(F.struct("page_ord", "item_ix", "title")).alias("f"))
@@ -59,26 +90,60 @@ def front_loaded(rows: DataFrame, book: str, idx: str, title: str) -> DataFrame:
     return numbered.withColumn("front", F.coalesce(front, F.lit(False)))
 
 
+def title_matches(title: Column, search: str) -> Column:
+    """A search among titles; a blank one finds all."""
+    return F.contains(F.lower(title), F.lit(search.strip().lower()))
+
+
+def bare_title(title: Column) -> Column:
+    return F.regexp_replace(F.coalesce(title, F.lit("")), r"[\s【】《》（）()]+", "")
+
+
 def is_story(title: Column) -> Column:
-    return title.rlike(KEPT) | ~title.rlike(SKIPPED)
+    """Whether a chapter belongs to the story by its title; one without title doesn't."""
+    bare = bare_title(title)
+    return (bare != "") & (bare.rlike(KEPT) | ~bare.rlike(SKIPPED))
 
 
-def walk_pages(start: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """book, url and page_ord of the pages that following next links reaches; each page once, at most `rounds` steps.
+def walk_pages(start: DataFrame, edges: DataFrame, single: bool = False) -> DataFrame:
+    """book, url and page_ord of the pages that next links reach; each page once, until nothing new is found.
 
-    start: book, url. edges: url, next_url. Each round's frontier is written by checkpoint(), so the plan stays short.
+    start: book, url. edges: url, next_url. A first page with one next link is followed page by page; one with several
+    has them all taken, in the order of `ix` where edges carry it, and these are followed no further (single=False), as a
+    list of all pages has no next one. Each round's frontier is written, so the plan stays short.
     """
     from folio_spark.sources.stores import checkpointed
 
-    seen = checkpointed(start.select("book", "url", F.lit(0).alias("page_ord")).dropDuplicates(["book", "url"]))
-    frontier = seen
-    for i in range(1, rounds + 1):
-        step = frontier.join(edges, "url").select("book", F.col("next_url").alias("url")).where("url is not null").distinct()
-        frontier = checkpointed(step.join(seen.select("book", "url"), ["book", "url"], "left_anti").withColumn("page_ord", F.lit(i)))
+    order = F.col("ix") if "ix" in edges.columns else F.lit(0)
+    links = edges.where("next_url is not null").select("url", "next_url", order.alias("ix"))
+    many = links.groupBy("url").agg(F.countDistinct("next_url").alias("n")).where("n > 1").select("url", F.lit(True).alias("many"))
+    seen = checkpointed(start.select("book", "url", F.lit(0).cast("long").alias("page_ord")).dropDuplicates(["book", "url"]).join(many, "url", "left").select("book", "url", "page_ord", (F.coalesce("many", F.lit(False)) if not single else F.lit(False)).alias("all")))
+    frontier, i = seen, 0
+    last_of_all = frontier.where("all").select("book").distinct()
+    while True:
+        i += 1
+        going = frontier if i == 1 or single else frontier.join(last_of_all, "book", "left_anti")
+        step = going.join(links, "url").groupBy("book", F.col("next_url").alias("url")).agg(F.min(F.struct("page_ord", "ix")).alias("o"))
+        fresh = step.join(seen.select("book", "url"), ["book", "url"], "left_anti")
+        at = F.row_number().over(W.partitionBy("book").orderBy("o", "url")) - 1
+        frontier = checkpointed(fresh.select("book", "url", (F.lit(i) + at).cast("long").alias("page_ord"), F.lit(False).alias("all")))
         if frontier.isEmpty():
-            break
+            return seen.select("book", "url", "page_ord")
         seen = checkpointed(seen.unionByName(frontier))
-    return seen
+
+
+def whole_content(pages: DataFrame, chapters: DataFrame) -> DataFrame:
+    """book, chapter url and content: each chapter's pages joined by line breaks, following next_url while it is another
+    page of the same text. pages: url, content, next_url. chapters: book, url, next_chapter (the next chapter's URL or null)."""
+    from folio_spark.functions.urls import continues
+
+    same = pages.withColumn("_next", F.col("next_url"))
+    first = chapters.join(same, "url").where(continues(F.col("_next"), F.col("url"), F.col("next_chapter"))).select("url", "next_url")
+    later = same.where(continues(F.col("_next"), F.col("url"), F.lit(None).cast("string"))).select("url", "next_url")
+    later = later.join(chapters.select(F.col("next_chapter").alias("next_url")).where("next_url is not null").distinct(), "next_url", "left_anti").join(chapters.select("url").distinct(), "url", "left_anti")
+    walked = walk_pages(chapters.select(F.struct("book", "url").alias("book"), "url"), first.unionByName(later.select("url", "next_url")), single=True)
+    parts = walked.join(pages.select("url", "content"), "url").select("book", "page_ord", "content")
+    return stitch(parts).select("book.book", "book.url", "content")
 
 
 def stitch(pages: DataFrame, book: str = "book") -> DataFrame:

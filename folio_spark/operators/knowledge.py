@@ -99,7 +99,7 @@ def _merges(rows: DataFrame, shown: bool):
     """The aggregates of one table. shown: as a reader sees them, where the first row's word stands and texts grow."""
     early = _earliest(rows)
     rich = lambda c: F.max_by(F.col(c), F.struct(F.length(F.coalesce(c, F.lit(""))), early)).alias(c)
-    weight = lambda c: F.max_by(F.col(c), F.struct(importance_rank(F.col(c)), early)).alias(c)
+    weight = lambda c: F.max_by(said(c), F.when(said(c).isNotNull(), F.struct(importance_rank(F.col(c)), early))).alias(c)
     return (first_said if shown else last_said), (rich if shown else last_said), rich, weight
 
 

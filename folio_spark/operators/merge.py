@@ -19,13 +19,19 @@ def _ord() -> Column:
     return F.struct(*ORDER)
 
 
-def merge_listings(rows: DataFrame, fill: tuple[str, ...] = ("kind",)) -> DataFrame:
-    """One row for each (name, author): the first listing, its empty fields filled from later ones, and the origins."""
+#: The fields of a merged listing that later sources fill.
+FILLED = ("cover_url", "intro", "kind", "last_chapter", "update_time")
+
+
+def merge_listings(rows: DataFrame, fill: tuple[str, ...] = ("kind",), as_array: bool = False) -> DataFrame:
+    """One row for each (name, author): the first listing, its empty fields filled from later ones, and the origins in the
+    order in which they were first seen (null for a single listing), as one text or an array."""
     first_seen = rows.withColumn("merge_key", merge_key(F.col("name"), F.col("author"))).groupBy("merge_key", "origin").agg(
         F.min(F.struct(_ord().alias("o"), "name", "author", "book_url", *fill)).alias("base"), F.count("*").alias("n"), *(F.min(F.when(F.col(c).isNotNull(), F.struct(_ord().alias("o"), F.col(c).alias("v")))).alias(f"f_{c}") for c in fill)
     )
     out = first_seen.groupBy("merge_key").agg(F.min("base").alias("base"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("base.o", "origin"))).alias("seen"), *(F.min(f"f_{c}").alias(f"f_{c}") for c in fill))
-    origins = F.array_join(F.transform("seen", lambda x: x["origin"]), ",")
+    origins = F.transform("seen", lambda x: x["origin"])
+    origins = origins if as_array else F.array_join(origins, ",")
     return out.select("merge_key", "base.name", "base.author", "base.book_url", *(F.coalesce(F.col(f"base.{c}"), F.col(f"f_{c}.v")).alias(c) for c in fill), F.when(F.col("n") > 1, origins).alias("origins"))
 
 
@@ -64,3 +70,21 @@ def validate_sources(sources: DataFrame, search: DataFrame, explore: DataFrame)
     out = sources.join(s, "origin", "left").join(e, "origin", "left")
     out = out.withColumn("search_ok", F.coalesce(F.col("n_search") > 0, F.lit(False))).withColumn("explore_ok", F.coalesce(F.col("n_explore") > 0, F.lit(False)))
     return out.drop("n_search", "n_explore").withColumn("valid", F.col("search_ok") | F.col("explore_ok"))
+
+
+def source_overview(c: dict[str, Column]) -> Column:
+    """What a catalog shows of a source, as a struct: its group, three states and six abilities. c: the source's columns."""
+    full = lambda *names: sum((F.coalesce(c[n] != "", F.lit(False)).cast("int") for n in names), F.lit(0)) > 0
+    off = lambda name: F.coalesce(~c[name], F.lit(False))
+    return F.struct(
+        F.coalesce(F.nullif(F.trim(c["group"]), F.lit("")), F.lit("未分组")).alias("group"),
+        F.when(off("enabled"), "停用").otherwise("启用").alias("status_text"),
+        F.when(off("enabled_explore"), "发现停用").otherwise("发现可用").alias("explore_text"),
+        F.when(F.coalesce(c["cookie_jar"], F.lit(False)), "Cookie 独立").otherwise("默认 Cookie").alias("cookie_text"),
+        full("search_url", "rule_search").alias("has_search"),
+        full("explore_url", "rule_explore").alias("has_explore"),
+        full("rule_book_info").alias("has_book_info"),
+        full("rule_toc").alias("has_toc"),
+        full("rule_content").alias("has_content"),
+        F.coalesce(F.trim(c["login_url"]) != "", F.lit(False)).alias("has_login"),
+    )

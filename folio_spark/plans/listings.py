@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio_spark.functions import text as X
 from folio_spark.operators import merge
+from folio_spark.operators.ranks import global_rank
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -135,13 +135,13 @@ def t07(spark, sf):
 
 
 def t08(spark, sf):
-    w = W.orderBy("s_suppkey")  # a catalog of sources: small by nature
-    return table(spark, sf, "supplier").select("s_suppkey", F.floor((F.row_number().over(w) - 1) / 100).alias("batch"))
+    rows = global_rank(table(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"])
+    return rows.select("s_suppkey", F.floor((F.col("place") - 1) / 100).alias("batch"))
 
 
 def t02(spark, sf):
-    order = W.orderBy(F.coalesce(F.when(F.col("s_suppkey") % 4 == 0, F.col("s_suppkey")), F.lit(0)), "s_name")
-    return table(spark, sf, "supplier").select("s_suppkey", F.row_number().over(order).cast("long").alias("place"))
+    own = F.coalesce(F.when(F.col("s_suppkey") % 4 == 0, F.col("s_suppkey")), F.lit(0))
+    return global_rank(table(spark, sf, "supplier").select("s_suppkey", "s_name"), [own, "s_name"]).select("s_suppkey", "place")
 
 
 def o04(spark, sf):

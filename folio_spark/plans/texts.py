@@ -8,6 +8,7 @@ from folio_spark.functions import text as X
 from folio_spark.functions import urls as U
 from folio_spark.operators import chapters as C
 from folio_spark.operators import extract, rules
+from folio_spark.operators.ranks import rank_within
 
 from .listings import table
 
@@ -169,10 +170,8 @@ def e10(spark, sf):
 
 def t03(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("published"), (F.col("event_id") * 97).alias("ord"), "event_type")
-    from pyspark.sql import Window as W
-
     at = F.coalesce(F.when(F.col("event_type") != "error", F.col("published")), F.col("ord"))
-    return e.select("event_id", "event_type", at.alias("at"), F.row_number().over(W.partitionBy("event_type").orderBy(at.desc(), F.desc("event_id"))).alias("place"))
+    return rank_within(e.select("event_id", "event_type", at.alias("at")), ["event_type"], [F.desc("at"), F.desc("event_id")]).select("event_id", "event_type", "at", F.col("place").cast("int").alias("place"))
 
 
 def t04(spark, sf):
