@@ -147,6 +147,20 @@ def request_rate(requests: DataFrame, window_s: int, limit: int) -> DataFrame:
     return requests.withColumn("in_window", F.count("*").over(w)).withColumn("over", F.col("in_window") > limit)
 
 
+def too_soon(requests: DataFrame, least_ms: int, tie: str) -> DataFrame:
+    """For each request whether it comes less than the least gap behind the one before it of the same source.
+
+    Gaps within a day come from windows of a source and day; the first of a day looks back to the last of the days before,
+    so a source with most of the requests is many groups."""
+    day = F.to_date("ts")
+    rows = requests.withColumn("_day", day)
+    own = W.partitionBy("source", "_day").orderBy("ts", tie)
+    ends = rows.groupBy("source", "_day").agg(F.max("ts").alias("_last"))
+    earlier = ends.withColumn("_before", F.max("_last").over(W.partitionBy("source").orderBy("_day").rowsBetween(W.unboundedPreceding, -1))).select("source", "_day", "_before")
+    gap = F.unix_micros("ts") - F.unix_micros(F.coalesce("_lag", "_before"))
+    return rows.withColumn("_lag", F.lag("ts").over(own)).join(earlier, ["source", "_day"]).withColumn("too_soon", F.coalesce(gap < least_ms * 1000, F.lit(False))).drop("_day", "_lag", "_before")
+
+
 def neighbours(rows: DataFrame, key: str, idx: str) -> DataFrame:
     w = W.partitionBy(key).orderBy(idx)
     return rows.select(key, idx, F.lead(idx, 1).over(w).alias("next_1"), F.lead(idx, 2).over(w).alias("next_2"), F.lag(idx, 1).over(w).alias("previous"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph, library, listings, pages, rulebook, story, texts
+from . import graph, intake, library, listings, pages, rulebook, story, texts
 
-MODULES = (listings, library, texts, pages, rulebook, graph, story)
+MODULES = (listings, library, texts, pages, rulebook, graph, story, intake)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

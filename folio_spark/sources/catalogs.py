@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The keys under which a catalog's array may stand.
 WRAPPERS = ("bookSourceList", "bookSources", "data", "sources")
-#: Old flat fields and where they go.
-LEGACY = {"ruleSearchUrl": "searchUrl", "ruleFindUrl": "exploreUrl", "serialNumber": "customOrder", "httpUserAgent": "header"}
+#: The keys under which an array of feeds may stand.
+FEED_WRAPPERS = ("rssSources", "sources", "data", "list")
+#: Old names of a source's fields.
+LEGACY = {"ruleBookUrlPattern": "bookUrlPattern", "serialNumber": "customOrder", "ruleFindUrl": "exploreUrl", "ruleSearchUrl": "searchUrl", "enable": "enabled"}
+_LISTED = {"List": "bookList", "Name": "name", "Author": "author", "Intro": "intro", "Kind": "kind", "LastChapter": "lastChapter", "UpdateTime": "updateTime", "NoteUrl": "bookUrl", "BookUrl": "bookUrl", "CoverUrl": "coverUrl", "WordCount": "wordCount"}
+#: Flat rule fields, in order, and the field of the nested rule that each becomes.
+FOLDED = {
+    "ruleSearch": [(f"ruleSearch{k}", v) for k, v in _LISTED.items()],
+    "ruleExplore": [(f"ruleFind{k}", v) for k, v in _LISTED.items()],
+    "ruleBookInfo": [
+        ("ruleBookInfoInit", "init"), ("ruleBookName", "name"), ("ruleBookAuthor", "author"), ("ruleIntroduce", "intro"), ("ruleBookIntro", "intro"), ("ruleBookKind", "kind"), ("ruleBookLastChapter", "lastChapter"),
+        ("ruleBookUpdateTime", "updateTime"), ("ruleCoverUrl", "coverUrl"), ("ruleBookCoverUrl", "coverUrl"), ("ruleBookWordCount", "wordCount"), ("ruleChapterUrl", "tocUrl"), ("ruleBookTocUrl", "tocUrl"),
+    ],
+    "ruleToc": [("ruleChapterList", "chapterList"), ("ruleChapterName", "chapterName"), ("ruleContentUrl", "chapterUrl"), ("ruleChapterUrl", "chapterUrl"), ("ruleChapterUpdateTime", "updateTime"), ("ruleChapterUrlNext", "nextTocUrl"), ("ruleTocUrlNext", "nextTocUrl")],
+    "ruleContent": [("ruleBookContent", "content"), ("ruleBookContentReplace", "replaceRegex"), ("ruleContentUrlNext", "nextContentUrl"), ("ruleContentTitle", "title")],
+}
+
+
+def catalog_rows(texts: DataFrame, text_col: str = "value", wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
+    """The other columns, pos and source (variant) of each source of JSON texts that are arrays or hold one under a known key."""
+    keep = [c for c in texts.columns if c != text_col]
+    rows = texts.withColumn("v", F.try_parse_json(text_col))
+    lists = [F.try_variant_get("v", f"$.{k}", "variant") for k in wrappers]
+    whole = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(F.coalesce(*lists))
+    rows = rows.select(*keep, whole.alias("list")).where("list is not null")
+    names = "".join(f"t.`{c}`, " for c in keep)
+    return texts.sparkSession.sql("SELECT " + names + "e.pos AS pos, e.value AS source FROM {t} AS t, LATERAL variant_explode(t.list) AS e", t=rows)
 
 
 def read_catalog(spark: SparkSession, path: str, wrappers: tuple[str, ...] = WRAPPERS) -> DataFrame:
-    """A row (pos, source variant) for each source of a JSON file that is an array or holds it under a known key."""
-    text = spark.read.text(path, wholetext=True).select(F.expr("try_parse_json(value)").alias("v"))
-    lists = [F.expr(f"try_variant_get(v, '$.{k}', 'variant')") for k in wrappers]
-    whole = F.when(F.expr("schema_of_variant(v)").startswith("ARRAY"), F.col("v")).otherwise(F.coalesce(*lists))
-    rows = text.select(whole.alias("list")).where("list is not null")
-    rows.createOrReplaceTempView("_catalog_lists")
-    return spark.sql("SELECT e.pos AS pos, e.value AS source FROM _catalog_lists, LATERAL variant_explode(list) AS e")
+    """A row (pos, source variant) for each source of a JSON file."""
+    return catalog_rows(spark.read.text(path, wholetext=True), "value", wrappers)
 
 
 def field(source: str, name: str, kind: str = "string") -> Column:
-    return F.expr(f"try_variant_get({source}, '$.{name}', '{kind}')")
+    return F.try_variant_get(source, f"$.{name}", kind)
 
 
 def int_or_text(source: str, name: str) -> Column:
@@ -42,25 +64,138 @@ def with_legacy(source: str, new: str) -> Column:
     return F.coalesce(field(source, new), *(field(source, o) for o in old))
 
 
+def legacy_url_rule(raw: Column) -> Column:
+    """An old URL rule as a new one: '@Header:{}', '|charset=' and '@body' become JSON options behind the URL, searchKey and
+    searchPage placeholders, and '{1,2}' the choice '<1,2>'. Header objects may nest once."""
+    header_at = r"@Header:\s*(\{(?:[^{}]|\{[^{}]*\})*\})"
+    header = F.nullif(F.regexp_extract(raw, header_at, 1), F.lit(""))
+    url = F.when(header.isNotNull(), F.concat(F.regexp_extract(raw, r"(?s)^(.*?)" + header_at, 1), F.regexp_replace(raw, r"(?s)^.*?" + header_at, ""))).otherwise(raw)
+    charset = F.nullif(F.trim(F.regexp_extract(url, r"(?s)\|charset=(.*)$", 1)), F.lit(""))
+    url = F.regexp_replace(url, r"(?s)\|charset=.*$", "")
+    body = F.when(F.contains(url, F.lit("@body")), F.trim(F.regexp_replace(F.regexp_replace(url, "(?s)^.*?@body", ""), "^[:=]+", "")))
+    url = F.regexp_replace(url, "(?s)@body.*$", "")
+    url = F.regexp_replace(F.replace(F.replace(url, F.lit("searchKey"), F.lit("{{key}}")), F.lit("searchPage"), F.lit("{{page}}")), r"\{([^{}]*,[^{}]*)\}", "<$1>")
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    headers = F.when(F.try_parse_json(header).isNotNull(), header).otherwise(quoted(header))
+    parts = F.concat_ws(",", F.when(body.isNotNull(), F.concat(F.lit('"body":'), quoted(body))), F.when(charset.isNotNull(), F.concat(F.lit('"charset":'), quoted(charset))), F.when(header.isNotNull(), F.concat(F.lit('"headers":'), headers)), F.when(body.isNotNull(), F.lit('"method":"POST"')))
+    return F.when(parts == "", url).otherwise(F.concat(url, F.lit(",{"), parts, F.lit("}")))
+
+
+def migrated(source: str) -> dict[str, Column]:
+    """The columns of a source (variant) by their present names, old ones taken where the new is absent: plain fields as
+    texts, the five rule objects as maps. An old flat rule goes into its nested rule where that lacks it and it isn't blank."""
+    some = lambda name: F.nullif(F.trim(field(source, name)), F.lit(""))
+    out = {n: with_legacy(source, n) for n in ("bookSourceUrl", "bookSourceName", "bookSourceGroup", "bookUrlPattern", "customOrder", "enabled")}
+    kind = field(source, "bookSourceType")
+    out["bookSourceType"] = F.when(F.lower(kind) == "audio", "1").when(kind.isNotNull() & kind.try_cast("int").isNull(), "0").otherwise(kind)
+    agent = some("httpUserAgent")
+    out["header"] = F.coalesce(field(source, "header"), F.when(agent.isNotNull(), F.to_json(F.struct(agent.alias("User-Agent")))))
+    for n in ("searchUrl", "exploreUrl", "loginUrl"):
+        out[n] = legacy_url_rule(with_legacy(source, n))
+    empty = F.create_map().cast("map<string,string>")
+    given = {target: F.coalesce(F.from_json(rule_object(source, target), "map<string,string>"), empty) for target in FOLDED}
+    for target, pairs in FOLDED.items():
+        names = list(dict.fromkeys(new for _, new in pairs))
+        taken = {n: [some(old) for old, new in pairs if new == n] for n in names}
+        if target == "ruleToc":  # a chapter URL that the detail rule took is gone
+            taken["chapterUrl"] = [some("ruleContentUrl"), F.when(F.map_contains_key(given["ruleBookInfo"], "tocUrl"), some("ruleChapterUrl"))]
+        entries = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), F.coalesce(*taken[n]).alias("value")) for n in names)), lambda e: e["value"].isNotNull())
+        fresh = _missing(F.map_from_entries(entries), given[target])
+        out[target] = F.map_concat(given[target], fresh)
+    return out
+
+
+def _missing(new: Column, given: Column) -> Column:
+    return F.map_filter(new, lambda k, v: ~F.map_contains_key(given, k))
+
+
+def copy_sources(catalog: DataFrame, source_ns: str, target_ns: str, key: str = "source_url", ns: str = "user_ns") -> DataFrame:
+    """A catalog after one namespace's sources are copied into another: same keys are replaced, others stay."""
+    copied = catalog.where(F.col(ns) == source_ns).withColumn(ns, F.lit(target_ns))
+    return catalog.join(copied.select(ns, key), [ns, key], "left_anti").unionByName(copied)
+
+
+def recovered(texts: DataFrame, text_col: str = "value", keys: tuple[str, ...] = ("bookUrl", "origin")) -> DataFrame:
+    """The objects that can still be read in damaged or concatenated JSON, each key once: item (JSON text) and its keys.
+
+    Objects are found by their braces, those within objects (two levels) as part of them; what doesn't parse is left out."""
+    found = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"), F.lit(0))
+    rows = texts.select(F.monotonically_increasing_id().alias("_t"), F.posexplode(found).alias("_i", "item")).where(F.try_parse_json("item").isNotNull())
+    rows = rows.select("_t", "_i", "item", *(F.get_json_object("item", f"$.{k}").alias(k) for k in keys)).where(F.col(keys[0]).isNotNull())
+    return rows.groupBy(*keys).agg(F.min_by("item", F.struct("_t", "_i")).alias("item"))
+
+
+#: Names of charsets that the JVM's decode lacks here, and Python's for them.
+PYTHON_CHARSETS = {"gbk": "gb18030", "gb2312": "gb18030", "gb18030": "gb18030", "big5": "big5", "shift_jis": "cp932", "shift-jis": "cp932", "euc-kr": "cp949", "euc-jp": "euc_jp", "windows-1251": "cp1251", "windows-1252": "cp1252"}
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(bodies: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else bytes(b).decode(n or "gb18030", "replace") for b, n in zip(bodies, names)])
+
+
 def read_texts(spark: SparkSession, path: str, most: int = 50 << 20, namespace: str = "default") -> DataFrame:
-    """Text files up to a size, decoded (byte-order mark, UTF-8, else GB18030 where the session allows it), with a stable id."""
+    """Text files up to a size, decoded by their byte-order mark, as UTF-8, or else as GB18030, with a stable id."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where(F.col("length") <= most)
-    body = F.when(F.substring(F.hex("content"), 1, 6) == "EFBBBF", F.expr("substring(content, 4)")).otherwise(F.col("content"))
-    utf8 = F.expr("try_validate_utf8(cast(_body AS string))")
-    rows = files.select(F.col("path"), body.alias("_body")).withColumn("text", utf8)
-    from folio_spark.functions.text import title_from_file_name
+    return decoded_texts(files.select("path", "content"), namespace)
+
 
-    return rows.select("path", title_from_file_name(F.col("path")).alias("title"), "text", F.md5(F.concat_ws(":", F.lit(namespace), F.regexp_extract("path", r"([^/]*)$", 1), F.md5("_body"))).alias("book_id"), F.length("text").alias("n_chars"))
+def decoded_texts(files: DataFrame, namespace: str = "default") -> DataFrame:
+    """path, title, text, book_id and n_chars of files (path, content)."""
+    from folio_spark.functions.text import safe_file_name, title_from_file_name
 
+    mark = F.hex(F.substring("content", 1, 3))
+    body = F.when(mark == "EFBBBF", F.expr("substring(content, 4)")).otherwise(F.col("content"))
+    utf8 = F.try_validate_utf8(body.cast("string"))
+    rows = files.withColumn("_utf8", utf8).withColumn("_rest", F.when(F.col("_utf8").isNull(), F.col("content")))
+    wide = F.when(mark.startswith("FFFE") | mark.startswith("FEFF"), F.decode("content", "UTF-16"))
+    rows = rows.withColumn("text", F.coalesce("_utf8", wide, _decoded("_rest", F.lit("gb18030"))))
+    book = F.md5(F.concat_ws(":", F.lit(namespace), safe_file_name(F.col("path")), F.md5("text")))
+    return rows.select("path", title_from_file_name(F.col("path")).alias("title"), "text", book.alias("book_id"), F.length("text").alias("n_chars"))
 
-def decode_body(body: Column, declared: Column) -> Column:
-    """A page's bytes as text: declared charset, else the one a meta element in the first 4096 bytes names, else UTF-8."""
+
+def decode_body(body: Column, declared: Column, content_type: Column | None = None, response_type: Column | None = None) -> Column:
+    """A page's bytes as text: by the declared charset, else the content type's, else one that a meta element in the first
+    4096 bytes names, else UTF-8. With a response type the bytes come as hex digits. An XML body without a declaration gets one."""
     head = F.decode(F.substring(body, 1, 4096), "ISO-8859-1")
-    name = F.lower(F.coalesce(F.nullif(declared, F.lit("")), F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]*charset=[\"']?([\w-]+)", 1), F.lit("")), F.lit("utf-8")))
-    out = F.decode(body, "UTF-8")
+    kind = content_type if content_type is not None else F.lit("")
+    named = [F.nullif(F.trim(declared), F.lit("")), F.nullif(F.regexp_extract(kind, r"(?i)charset=[\"']?([\w-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]*charset=[\"']?([\w-]+)", 1), F.lit("")), F.lit("utf-8")]
+    name = F.lower(F.coalesce(*named))
+    other = F.create_map(*(F.lit(x) for kv in PYTHON_CHARSETS.items() for x in kv))
+    python = F.try_element_at(other, name)
+    out = F.when(python.isNotNull(), _decoded(F.when(python.isNotNull(), body), python)).otherwise(F.decode(body, "UTF-8"))
     for label, charset in (("iso-8859-1", "ISO-8859-1"), ("latin1", "ISO-8859-1"), ("utf-16", "UTF-16"), ("us-ascii", "US-ASCII")):
         out = F.when(name == label, F.decode(body, charset)).otherwise(out)
-    return out
+    xml = F.coalesce(F.regexp_like(kind, F.lit("(?i)[/+]xml")), F.lit(False))
+    out = F.when(xml & ~F.ltrim(out).startswith("<?xml"), F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>'), out)).otherwise(out)
+    return out if response_type is None else F.when(F.coalesce(F.trim(response_type) != "", F.lit(False)), F.lower(F.hex(body))).otherwise(out)
+
+
+#: Fixed value: a feed's date.
+_RFC = "d MMM yyyy HH:mm:ss Z"
+
+
+def feed_articles(feeds: DataFrame, body: str = "body") -> DataFrame:
+    """The other columns of feeds and pos, title, link, description, content, image, pub_date and ord (the published, else
+    the updated second) of each article, RSS items and Atom entries alike. A feed that isn't well-formed gives none."""
+    keep = [c for c in feeds.columns if c != body]
+    person = "title string, link string, description string, pubDate string, encoded string, enclosure struct<_url:string,_type:string>"
+    entry = "title string, link array<struct<_href:string,_rel:string>>, summary string, content string, published string, updated string"
+    flat = F.regexp_replace(F.regexp_replace(body, r"<(/?)[A-Za-z]+:encoded", "<$1encoded"), r"(?s)<!DOCTYPE[^>]*>", "")
+    plain = F.regexp_replace(F.regexp_replace(flat, r"(<(?:title|summary|content|description)) [^>]*>", "$1>"), r' xmlns(:\w+)?="[^"]*"', "")
+    rss = F.from_xml(plain, f"channel struct<item:array<struct<{_colons(person)}>>>", {"mode": "PERMISSIVE"})
+    atom = F.from_xml(plain, f"entry array<struct<{_colons(entry)}>>", {"mode": "PERMISSIVE"})
+    none = F.lit(None).cast("string")
+    when = lambda c: F.coalesce(F.unix_seconds(F.try_to_timestamp(F.regexp_replace(c, "^[A-Za-z]+, ", ""), F.lit(_RFC))), F.unix_seconds(F.try_to_timestamp(c)))
+    item = lambda i: F.struct(F.trim(i["title"]).alias("title"), F.trim(i["link"]).alias("link"), i["description"].alias("description"), i["encoded"].alias("content"), F.when(i["enclosure"]["_type"].startswith("image"), i["enclosure"]["_url"]).alias("image"), i["pubDate"].alias("pub_date"), when(i["pubDate"]).alias("ord"))
+    href = lambda e: F.coalesce(F.get(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"], F.get(e["link"], F.lit(0))["_href"])
+    told = lambda e: F.struct(F.trim(e["title"]).alias("title"), href(e).alias("link"), e["summary"].alias("description"), e["content"].alias("content"), none.alias("image"), F.coalesce(e["published"], e["updated"]).alias("pub_date"), F.coalesce(when(e["published"]), when(e["updated"])).alias("ord"))
+    rows = F.concat(F.coalesce(F.transform(rss["channel"]["item"], item), F.array()), F.coalesce(F.transform(atom["entry"], told), F.array()))
+    return feeds.select(*keep, F.posexplode(rows).alias("pos", "a")).select(*keep, "pos", "a.*")
+
+
+def _colons(fields: str) -> str:
+    return ", ".join(f.strip().replace(" ", ":", 1) for f in fields.split(", "))
 
 
 def read_feed(spark: SparkSession, path: str, origin: str) -> DataFrame:

@@ -40,3 +40,37 @@ def latest_into(store, keys: list[str], time: str) -> Callable[[DataFrame, int],
         store.put(new)
 
     return write
+
+
+def new_articles(feeds: DataFrame, time: str = "ts", delay: str = "1 day", body: str = "body") -> DataFrame:
+    """Articles of a stream of feed bodies (origin, body, time), each (origin, link) once while its state lasts."""
+    from folio_spark.sources.catalogs import feed_articles
+
+    rows = feed_articles(feeds.select("origin", time, body), body).where("link is not null")
+    return first_seen_stream(rows, ["origin", "link"], time, delay)
+
+
+def knowledge_into(store, merge: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: a batch's rows (book, idx of the chapter, ord and more) of chapters beyond a book's
+    high-water mark are merged behind what the store holds of the book. Doing a batch again changes nothing.
+
+    store: keyed by book and key, with the mark in `processed`. merge: one of the merges of knowledge tables.
+    """
+    from folio_spark.operators.knowledge import in_order
+
+    def write(batch: DataFrame, _: int) -> None:
+        old = store.read()
+        rows = batch
+        if old is not None:
+            marks = old.groupBy("book").agg(F.max("processed").alias("_mark"))
+            rows = batch.join(marks, "book", "left").where(F.col("_mark").isNull() | (F.col("idx") > F.col("_mark"))).drop("_mark")
+        mark = rows.groupBy("book").agg(F.max("idx").alias("processed"))
+        if old is None:
+            merged = merge(rows)
+        else:
+            touched = old.join(mark.select("book"), "book", "left_semi")
+            known = touched.withColumn("ord", F.lit(0)).drop("processed", "key")
+            merged = merge(in_order(known, rows.select(*(c for c in rows.columns if c in (*known.columns, "ord")))))
+        store.put(merged.join(mark, "book"))
+
+    return write
