@@ -106,30 +106,36 @@ def is_story(title: Column) -> Column:
 
 
 def walk_pages(start: DataFrame, edges: DataFrame, single: bool = False) -> DataFrame:
-    """book, url and page_ord of the pages that next links reach; each page once, until nothing new is found.
+    """book, url and page_ord of the pages that following next links reaches; each page once, by its shortest way.
 
-    start: book, url. edges: url, next_url. A first page with one next link is followed page by page; one with several
-    has them all taken, in the order of `ix` where edges carry it, and these are followed no further (single=False), as a
-    list of all pages has no next one. Each round's frontier is written, so the plan stays short.
+    start: book, url. edges: url, next_url. A first page with one next link is followed page by page (of a later page's
+    links the first counts); one with several has them all taken, in the order of `ix` where edges carry it, and these are
+    followed no further, as a list of all pages has no next one (single=True: followed like others).
+
+    Known pages and the length of a jump double in each round, and both are written, so a walk of n pages takes the
+    logarithm of n in rounds, and ends at cycles.
     """
     from folio_spark.sources.stores import checkpointed
 
     order = F.col("ix") if "ix" in edges.columns else F.lit(0)
-    links = edges.where("next_url is not null").select("url", "next_url", order.alias("ix"))
-    many = links.groupBy("url").agg(F.countDistinct("next_url").alias("n")).where("n > 1").select("url", F.lit(True).alias("many"))
-    seen = checkpointed(start.select("book", "url", F.lit(0).cast("long").alias("page_ord")).dropDuplicates(["book", "url"]).join(many, "url", "left").select("book", "url", "page_ord", (F.coalesce("many", F.lit(False)) if not single else F.lit(False)).alias("all")))
-    frontier, i = seen, 0
-    last_of_all = frontier.where("all").select("book").distinct()
+    links = edges.where("next_url is not null").groupBy("url", "next_url").agg(F.min(order).alias("ix"))
+    first = links.groupBy("url").agg(F.min(F.struct("ix", "next_url")).alias("f"), F.count("*").alias("n"))
+    begun = start.select("book", "url").distinct().join(first.select("url", "n"), "url", "left").select("book", "url", (F.coalesce("n", F.lit(0)) > 1).alias("hub"))
+    begun = checkpointed(begun.withColumn("hub", F.col("hub") & F.lit(not single)))
+    seen = checkpointed(begun.where("not hub").select("book", "url", F.lit(0).cast("long").alias("page_ord")))
+    jump, step, known = first.select("url", F.col("f.next_url").alias("to")), 1, seen.count()
     while True:
-        i += 1
-        going = frontier if i == 1 or single else frontier.join(last_of_all, "book", "left_anti")
-        step = going.join(links, "url").groupBy("book", F.col("next_url").alias("url")).agg(F.min(F.struct("page_ord", "ix")).alias("o"))
-        fresh = step.join(seen.select("book", "url"), ["book", "url"], "left_anti")
-        at = F.row_number().over(W.partitionBy("book").orderBy("o", "url")) - 1
-        frontier = checkpointed(fresh.select("book", "url", (F.lit(i) + at).cast("long").alias("page_ord"), F.lit(False).alias("all")))
-        if frontier.isEmpty():
-            return seen.select("book", "url", "page_ord")
-        seen = checkpointed(seen.unionByName(frontier))
+        further = seen.join(jump, "url").select("book", F.col("to").alias("url"), (F.col("page_ord") + step).alias("page_ord"))
+        seen = checkpointed(seen.unionByName(further).groupBy("book", "url").agg(F.min("page_ord").alias("page_ord")))
+        before, known = known, seen.count()
+        if known == before:
+            break
+        jump = checkpointed(jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("_next")), "to").select("url", F.col("_next").alias("to")))
+        step *= 2
+    hubs = begun.where("hub").select("book", "url")
+    taken = hubs.join(links, "url").where("next_url <> url").groupBy("book", F.col("next_url").alias("url")).agg(F.min("ix").alias("ix"))
+    at = F.row_number().over(W.partitionBy("book").orderBy("ix", "url")).cast("long")
+    return seen.unionByName(hubs.withColumn("page_ord", F.lit(0).cast("long"))).unionByName(taken.select("book", "url", at.alias("page_ord")))
 
 
 def whole_content(pages: DataFrame, chapters: DataFrame) -> DataFrame:
