@@ -43,7 +43,7 @@ REPEATS, SAMPLES, RUN = 32, 4, 3
 #: Items in a block: with 24 numbers each and their words, some MB at most.
 BLOCK = 4096
 #: Kept strings of a Python worker, for one task.
-CACHE = 150_000
+CACHE = 400_000
 _WORD = re.compile(r"[^\W_]+")
 _words: dict[str, bytes] = {}
 

@@ -7,8 +7,9 @@ the histogram, which has at most `capacity` entries whatever the input; document
 through their rank among the documents of equal length.
 
 Defined results: a null text is an empty one, and an empty text is the single end token; a document longer than a
-sequence is cut so that every piece but the first is full; repeated rows are packed as often as they occur; an
-empty table gives no rows.
+sequence is cut so that every piece but the first is full, whatever its length; repeated rows are packed as often as they
+occur; of pieces of one length any may take any place (by bucket, id, piece and checksum); an empty table gives no
+rows; columns beyond id and text play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,13 +1,16 @@
 """PII: patterns propose spans, checksums confirm them, context words nearby adjust the score. All in the JVM.
 
-Kinds, in their order: email, ip, card (Luhn), phone; the method adds iban (mod-97) and ssn (context needed).
+Kinds, in their order: email, ip, card (Luhn), phone; the method adds iban (mod-97), secret (keys and
+tokens by their form) and ssn, of which the last two need a context word.
 Positions come from two built-ins over the same pattern: split() gives what lies between the matches and
 regexp_extract_all() the matches, so running lengths give each start in code points. The patterns are possessive
 and begin only where a run of their characters begins (or where the last match ended), which keeps a scan linear
 in the text without changing what is matched. Cheap tests come first, so most texts meet no pattern.
 
 Defined results: a null text is an empty one and has no spans; spans of different kinds may overlap, and redaction
-then covers their union under the first kind's name; repeated rows are handled one by one.
+then covers their union under the first kind's name; of spans that start at one place the kinds' order decides; repeated
+rows are handled one by one; an empty table gives no rows; a text of any length is read whole; extra columns pass through,
+but one named as the output gives way to it.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){11}", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|visa|credit|pay|account"),
     Kind("phone", "\\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phone|call|tel|mobile|fax|dial"),
     Kind("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3}+)?+(?![A-Za-z0-9])", 0.9, "iban|bank|account|transfer"),
+    Kind("secret", "[0-9a-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}+)(?![A-Za-z0-9])", 0.3, "token|key|secret|password|passwd|pwd|auth|bearer|credential|api"),
     Kind("ssn", "[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security|taxpayer"),
 )
 BASE = ("email", "ip", "card", "phone")

@@ -10,7 +10,9 @@ Queries travel in blocks of fixed size, whatever their number.
 
 Defined results: null ids, null vectors and vectors with null or non-finite components take no part; vectors of
 unequal length count as padded with zeros; equal scores go to the smaller id; a query never meets rows of its own
-id; an id that repeats is one query (its smallest vector) and several candidates; an empty table gives no rows.
+id; an id that repeats is one query (its smallest vector) and several candidates; repeated rows are candidates of their own;
+an empty table gives no rows; a vector of any length takes part whole; columns beyond id and vector play no part, whatever
+their names.
 """
 
 from __future__ import annotations

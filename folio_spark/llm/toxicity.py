@@ -40,7 +40,7 @@ RARE = 3
 #: Words that are taken apart at a time.
 PART = 20_000
 #: Words whose scores a task keeps, and the range of the sample's hashes.
-CACHE, SPAN = 150_000, 1 << 40
+CACHE, SPAN = 300_000, 1 << 40
 
 _STRIP = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 

@@ -8,7 +8,10 @@ schema without `payload` asks for no block at all.
 Each task writes its own files; commit() lists them in a manifest, and readers of the folder take only listed
 files, so what a lost or repeated task left behind is never read. A folder without manifest is read whole.
 
-Defined results: an empty folder reads as no rows; null header values are left out; a null payload is an empty one.
+Defined results: an empty folder reads as no rows, and an empty table writes a folder without records; null header values
+are left out; a null payload is an empty one; a payload of any length is one record, read in one piece; repeated rows
+are records of their own, and of equal payloads with equal largest page_id one is the response and the others revisit it;
+columns other than the header fields' and payload are not written.
 """
 
 from __future__ import annotations

@@ -162,6 +162,63 @@ def test_warc_reads_plain_and_foreign_gzip(spark, tmp_path):
     assert spark.read.format("warc").load(f"file://{tmp_path}/none").count() == 0
 
 
+def test_packing_query_ids_by_tokenizers(spark, sf):
+    """Every piece's checksum against the ids of the public tokenizer, on a whole table."""
+    from tokenizers import Tokenizer
+
+    folder = sf.replace("0.001", "0.01")
+    full = Tokenizer.from_file(packing.tokenizer_path())
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    pieces = collections.defaultdict(list)
+    rows = packing.op1_packing(spark, folder).collect()
+    for r in rows:
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    assert set(pieces) == set(texts)
+    for i, text in texts.items():
+        ids = ids_of(text, full)
+        assert sorted(pieces[i]) == [(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n, _ in sorted(pieces[i])] and sum(n for _, n, _ in pieces[i]) == len(ids)
+    check_layout(rows)
+
+
+def test_sharding_query_against_brute_force(spark, sf):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = sharding.op5_sharding(spark, sf).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items()}
+    total = sum(r["size"] for r in rows)
+    for s in range(8):
+        own = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 8) <= total / 8 / 64 + max(r["size"] for r in rows)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, an empty table, and columns that are named like the operators' own."""
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, "a plain text of some words", "en", "s", 26), (1, "a plain text of some words", "en", "s", 26), (None, None, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, long, "en", "s", 1), (5, long + " x", "en", "s", 1), (None, "mail me at a@b.org", "en", "s", 18)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema).withColumn("_spans", F.lit("s")).withColumn("_new", F.lit("n")).withColumn("_toxicity", F.lit(2.0)).withColumn("score", F.lit("x")).withColumn("node", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or out.columns == docs.columns
+        got = out.collect()
+        assert len(got) == (6 if name == "near copies" else 8), name
+        if name == "personal data":
+            assert {r["text"] for r in got if r["doc_id"] is None} == {None, "mail me at [EMAIL]"} and {r["_spans"] for r in got} == {"s"}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_near_copy_stage_equals_brute_force(spark, sf):
+    from test_text_operators import brute_components
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    root, _ = brute_components([t for _, t in rows], 5, 80)
+    want = {rows[i][0] for i, r in enumerate(root) if r == i}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()} == want
+
+
 def test_pipeline_stages_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bench = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

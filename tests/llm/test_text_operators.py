@@ -66,6 +66,9 @@ def test_pii_method_kinds_and_redaction(spark):
     assert out[2] == "my ssn is [SSN]" and out[3] == texts[3]
     assert out[4] == "call [PHONE] or [EMAIL]" and out[5] is None and out[6] == ""
     assert pii.find_spans(frame(spark, []).drop("spans")).count() == 0
+    code = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    out = [r["text"] for r in pii.redact(frame(spark, [f'token = "{code}"', f"commit {code}", f"API key AKIA{'A1' * 8}."])).orderBy("doc_id").collect()]
+    assert out == ['token = "[SECRET]"', f"commit {code}", "API key [SECRET]."]
 
 
 def words(t):
@@ -181,6 +184,56 @@ def test_cgk_recall():
     assert hit >= 0.9 * 200
 
 
+def brute_edits(item, text):
+    """Least word edits between item and any part of text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_decontamination_against_every_place(percent):
+    """Recall of item lengths 1 to 60 with as many edits as are allowed, and no match beyond them."""
+    r = random.Random(percent)
+    vocab = [f"v{i}" for i in range(3000)]
+    found = made = 0
+    for n in range(1, 61):
+        items = [(i, [r.choice(vocab) for _ in range(n)]) for i in range(6)]
+        index = decontaminate.Index([(i, " ".join(w)) for i, w in items], percent)
+        got = want = 0
+        for i, words_ in items:
+            for edits in (0, n * (100 - percent) // 100):
+                w = list(words_)
+                for p in r.sample(range(n), min(n, edits)):
+                    w[p] = r.choice(vocab)
+                text = [r.choice(vocab) for _ in range(40)] + w + [r.choice(vocab) for _ in range(40)]
+                hits = {m[0]: m[3] for m in index.matches(decontaminate.symbols(" ".join(text)))}
+                allowed = n * (100 - percent) // 100
+                truth = {k: brute_edits(v, text) for k, v in items}
+                assert all(truth[k] <= d <= allowed for k, d in hits.items())
+                want += sum(d <= allowed for d in truth.values())
+                got += len(hits)
+        assert got >= 0.8 * want, (n, got, want)
+        found, made = found + got, made + want
+    assert found >= 0.95 * made, (found, made)
+
+
+def test_decontamination_query_against_brute_force(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    bench = {r["item_id"]: [w for p in r["text"].lower().split() for w in re.findall(r"[^\W_]+", p)] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = set()
+    for i, text in docs:
+        w = [x for p in (text or "").lower().split() for x in re.findall(r"[^\W_]+", p)]
+        have = set(w)
+        want |= {(i, k) for k, v in bench.items() if sum(x in have for x in v) >= 0.8 * len(v) and brute_edits(v, w) <= len(v) // 5}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op2_decontaminate(spark, sf).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_lm_counts_and_normalisation(spark):
     texts = ["the cat sat on the mat", "The dog", None, "", "a b c " * 50, "the cat sat on the mat", "unseen thing"] * 6
     rows = lm.score(frame(spark, texts), F.crc32(F.col("doc_id").cast("string")) % 10 == 0).collect()
