@@ -1,16 +1,18 @@
-"""LM scoring: a log-bilinear model trained in numpy with noise-contrastive estimation.
+"""LM scoring: a log-bilinear model over words, trained in numpy with noise-contrastive estimation.
 
-The model predicts classes: each of the SHORT most frequent words of the training texts is a class of its own, the
-end of a text is one, and all other words fall into classes by their counts (mid-frequency ones by bands of rank, the
-tail and unknown words into the last). A class is predicted from the two classes before it by
-(C1 r[w1] + C2 r[w2]) . q[w] + b[w], normalised over all classes by a matrix product for every batch of contexts; a
-word within its class has the smoothed share of its count. Probabilities of all words and one unknown add up to one.
+The WORDS most frequent words of the training texts, the end of a text and one for all other words are predicted from
+the two before: h = c1 * r[w1] + c2 * r[w2], and in two steps, P(w) = P(class | h) P(w | class, h). The SINGLE most
+frequent words, the end and the rest are classes of their own; other words stand in classes of CLASS by rank. Both steps
+are softmaxes of h times target vectors plus biases, normalised by matrix products over a batch of places (for words over
+those of one class). A word of the rest has the smoothed share of its count. Probabilities of all words and one unknown
+add up to one.
 
-Training goes over the n-gram counts of all training texts, which Spark gathers: every partition of them runs
-noise-contrastive updates from the current parameters, the noise being the class frequencies, and the partitions'
-results are averaged by their counts; the table is gone through in ROUNDS such rounds. Only parameters, whose size is fixed, reach the driver.
+Training goes over all training texts: in each of ROUNDS rounds every partition runs noise-contrastive updates over its
+share of its texts (each text has its turn once), starting from the current parameters; noise is shared by a batch, drawn
+by class frequency and within classes evenly. Partitions' parameters are averaged by how often each row of them was
+updated. Only parameters, whose size is fixed, reach the driver.
 
-Counts: those of all words of the training texts. The (at most HEAD) most frequent ones travel to the scoring tasks; words
+Counts: those of all words of the training texts. The (about HEAD) most frequent ones travel to the scoring tasks; words
 outside HEAD are joined to their counts by Spark.
 
 Defined results: a null or empty text is the end token alone; repeated rows are counted and scored as often as they
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, materialize, words
+from .common import fold, give_back, materialize, slices, words
 
-SHORT, BANDS, HEAD, DIM = 400, 15, 1 << 16, 16
-ROUNDS, NOISE, RATE = 4, 6, 3.0
+#: Words that the model knows by name, those of them that are classes of their own, words in a class, words whose counts
+#: travel, components of a vector.
+WORDS, SINGLE, CLASS, HEAD, DIM = 16_384, 32, 128, 1 << 16, 16
+#: Rounds of training, noise samples for a batch's classes and for a class's words, places in a batch, step size.
+ROUNDS, NOISE, INNER, BATCH, RATE = 4, 16, 6, 16_384, 0.1
 FLUSH = 300_000
 
 
@@ -78,158 +84,225 @@ def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(((bytes(t), n) for t, n in rows), key=lambda x: (-x[1], x[0]))
 
 
-class Classes:
-    """Class and count of the HEAD words; classes: SHORT words, the end, BANDS bands, the tail (the last)."""
+class Vocabulary:
+    """Words by rank with their counts; numbers of what the model predicts: words, then the end, then the rest."""
 
     def __init__(self, head: list[tuple[bytes, int]], ends: int, total: int, distinct: int):
-        self.count = {w: n for w, n in head}
-        short = head[:SHORT]
-        self.of = {w: i for i, (w, _) in enumerate(short)}
-        self.end, self.size = SHORT, SHORT + 1 + BANDS + 1
-        self.tail = self.size - 1
-        mass = np.zeros(self.size)
-        for i, (_, n) in enumerate(short):
-            mass[i] = n + 0.1
-        mass[self.end] = ends + 0.1 if ends else 0.1
-        rest = head[SHORT:]
-        for i, (w, n) in enumerate(rest):
-            c = SHORT + 1 + min(BANDS - 1, int(BANDS * math.log1p(i) / math.log1p(max(2, HEAD - SHORT))))
-            self.of[w] = c
-            mass[c] += n + 0.1
-        listed = sum(n + 0.1 for _, n in head) + (ends + 0.1 if ends else 0)
-        mass[self.tail] = max(0.1, total + 0.1 * (distinct + 1) - listed)
-        self.log_mass = np.log10(np.maximum(mass, 1e-12))
-        self.ends, self.total, self.distinct = ends, total, distinct
+        self.ends, self.total, self.distinct, self.single, self.width = ends, total, distinct, SINGLE, CLASS
+        self.at = {w: i for i, (w, _) in enumerate(head)}
+        self.unknown = len(head)
+        known = min(WORDS, len(head))
+        self.end, self.rest, self.size = known, known + 1, known + 2
+        n = np.array([n for _, n in head], np.float64) + 0.1
+        self.raw = np.append(np.log10(n), 0.0)  # what a word, or one outside head before it is looked up, adds to the base score
+        self.end_log = math.log10(ends + 0.1)
         self.log_all = math.log10(total + 0.1 * (distinct + 1))
-
-    def sequence(self, tokens: list[bytes]) -> np.ndarray:
-        get, tail = self.of.get, self.tail
-        return np.fromiter((*(get(w, tail) for w in tokens), self.end), np.int64, len(tokens) + 1)
-
-
-def contexts(seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two classes before each place; before a text stand ends."""
-    one = np.append(end, seq[:-1])
-    return one, np.append([end], one[:-1])
-
-
-def grams(docs: DataFrame, text_col: str, classes: Classes) -> DataFrame:
-    """code (class before, class before that, class as one number) and count over all rows of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # HEAD entries
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Classes = shared.value
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
-
-        for b in batches:
-            for text in b.column(0):
-                s = c.sequence(words(text.as_py()))
-                one, two = contexts(s, c.end)
-                held.append((one * c.size + two) * c.size + s)
-                size += len(s)
-                if size > 4_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    return docs.select(text_col).mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        mass = np.append(n[:known], [ends + 0.1, 0.0])
+        mass[self.rest] = max(0.1, total + 0.1 * (distinct + 1) - mass.sum() + (0.1 if not ends else 0.0))
+        self.rest_log = math.log10(mass[self.rest])
+        self.number = np.append(np.minimum(np.arange(len(head)), self.rest), self.rest).astype(np.int32)
+        self.number[known:] = self.rest
+        ranks = np.arange(known)
+        blocks = -(-max(0, known - SINGLE) // CLASS)
+        classes = min(SINGLE, known) + blocks
+        self.of = np.append(np.where(ranks < SINGLE, ranks, SINGLE + (ranks - SINGLE) // CLASS), [classes, classes + 1]).astype(np.int32)
+        self.classes = classes + 2
+        self.first_block, self.blocks = min(SINGLE, known), blocks
+        per = np.bincount(self.of, mass, self.classes)
+        self.inner, self.outer = np.log(mass / per[self.of]).astype(np.float32), np.log(per / per.sum()).astype(np.float32)
+
+    def block(self, c: int) -> tuple[int, int]:
+        """The words of class c, by number."""
+        lo = self.single + (c - self.first_block) * self.width
+        return lo, min(lo + self.width, self.end)
+
+    def places(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.at.get, tokens, repeat(self.unknown)), np.int32, len(tokens))
+
+    def sequence(self, places: np.ndarray) -> np.ndarray:
+        return np.append(self.number[places], np.int32(self.end))
+
+
+def contexts(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word, the one before and the one before that, of all places of sequences; before a text stand ends."""
+    w = np.concatenate(sequences)
+    first = np.cumsum([0, *map(len, sequences)])[:-1]
+    one, two = np.append(np.int32(end), w[:-1]), np.append(np.array([end, end], np.int32), w[:-2])[: len(w)]
+    one[first] = end
+    two[first] = end
+    second = first + 1
+    two[second[second < len(w)]] = end
+    return w, one, two
+
+
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of values summed by number (under size): the numbers that occur and their sums."""
+    numbers = np.flatnonzero(np.bincount(at, minlength=size))
+    return numbers, np.stack([np.bincount(at, values[:, j], size)[numbers] for j in range(values.shape[1])], 1).astype(np.float32)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    z = np.clip(z, -30, 30)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
+def _log_sums(z: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of each row's exponentials; z is used up. Rows far from zero are shifted first."""
+    if z.size and (z.max() > 60 or z[:, 0].min() < -60):
+        top = z.max(1)
+        return top + np.log(np.exp(z - top[:, None]).sum(1))
+    return np.log(np.exp(z, out=z).sum(1))
 
 
 class Bilinear:
-    """r: context vectors, c1 and c2: position weights, q: target vectors, b: target bias; base: log class frequency."""
+    """r: vectors of words before a place; q and b: target vectors and biases of words within their class; qc and bc: of
+    classes; c1 and c2: weights of the two places before. Rows of r and of the targets count their updates."""
 
-    def __init__(self, r, q, c1, c2, b, base):
-        self.parts, self.base = [r, q, c1, c2, b], base
+    NAMES = ("r", "q", "b", "qc", "bc", "c1", "c2")
+
+    def __init__(self, vocabulary: Vocabulary, parts: dict[str, np.ndarray]):
+        self.v, self.p = vocabulary, parts
 
     @classmethod
-    def new(cls, size: int, base: np.ndarray) -> Bilinear:
+    def new(cls, v: Vocabulary) -> Bilinear:
         rng = np.random.default_rng(7)
-        return cls(rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.1, (size, DIM)), np.ones(DIM), 0.5 * np.ones(DIM), base.copy(), base)
-
-    def log10_probabilities(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """A row of normalised class log-probabilities for each context."""
-        r, q, c1, c2, b = self.parts
-        s = ((r[one] * c1 + r[two] * c2) @ q.T + b).astype(np.float32)
-        s -= s.max(1, keepdims=True)
-        s -= np.log(np.exp(s).sum(1, keepdims=True))
-        return s * np.float32(1 / math.log(10))
-
-    def update(self, code: np.ndarray, n: np.ndarray, seed: int, rate: float) -> None:
-        """One noise-contrastive pass over counted n-grams: weights grow with the root of a count, as steps of that many
-        equal examples would."""
-        r, q, c1, c2, b = self.parts
-        size = len(r)
-        rng = np.random.default_rng(seed)
-        noise = np.exp(self.base - self.base.max())
-        noise /= noise.sum()
-        log_noise = np.log(noise * NOISE)
-        order = rng.permutation(len(code))
-        for lo in range(0, len(code), 2048):
-            part = order[lo : lo + 2048]
-            w, rest = code[part] % size, code[part] // size
-            two, one = rest % size, rest // size
-            weight = np.sqrt(n[part])
-            weight = weight / weight.mean()
-            drawn = np.concatenate([w[:, None], rng.choice(size, (len(part), NOISE), p=noise)], 1)
-            ctx = r[one] * c1 + r[two] * c2
-            z = np.einsum("ij,ikj->ik", ctx, q[drawn]) + b[drawn] - log_noise[drawn]
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            g[:, 0] -= 1
-            g *= weight[:, None] * rate / 16
-            d_ctx = np.einsum("ik,ikj->ij", g, q[drawn])
-            flat = drawn.ravel()
-            dq = (g[:, :, None] * ctx[:, None, :]).reshape(-1, DIM)
-            step = np.maximum(1.0, np.bincount(flat, minlength=size) / 16)[:, None]
-            for j in range(DIM):
-                q[:, j] -= np.bincount(flat, dq[:, j], size) / step[:, 0]
-            b -= np.bincount(flat, g.ravel(), size) / step[:, 0]
-            for c, at in ((c1, one), (c2, two)):
-                often = np.maximum(1.0, np.bincount(at, minlength=size) / 16)
-                dr = d_ctx * c
-                for j in range(DIM):
-                    r[:, j] -= np.bincount(at, dr[:, j], size) / often
-            c1 -= (d_ctx * r[one]).mean(0)
-            c2 -= (d_ctx * r[two]).mean(0)
-
-
-def train(table: DataFrame, classes: Classes) -> Bilinear:
-    """Rounds of noise-contrastive passes over a written table of n-gram counts, averaged over its partitions."""
-    spark = table.sparkSession
-    size = classes.size
-    freq = np.full(size, 0.5)
-    for c, n in table.groupBy((F.col("code") % size).alias("c")).agg(F.sum("n")).collect():  # a row per class
-        freq[c] += n
-    model = Bilinear.new(size, np.log(freq / freq.sum()))
+        small = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
+        zero = lambda n: np.zeros((n, DIM), np.float32)
+        return cls(v, {"r": small(v.size), "q": zero(v.size), "b": v.inner[:, None].copy(), "qc": zero(v.classes), "bc": v.outer[:, None].copy(), "c1": np.ones((1, DIM), np.float32), "c2": np.full((1, DIM), 0.5, np.float32)})
+
+    def copy(self) -> Bilinear:
+        return Bilinear(self.v, {k: a.copy() for k, a in self.p.items()})
+
+    def _ordered(self, w: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Class and places of all words that share their class with others."""
+        c = self.v.of[w]
+        inner = np.flatnonzero((c >= self.v.first_block) & (c < self.v.first_block + self.v.blocks))
+        order = inner[np.argsort(c[inner], kind="stable")]
+        edges = np.flatnonzero(np.diff(c[order])) + 1
+        for part in np.split(order, edges) if len(order) else ():
+            yield int(c[part[0]]), part
+
+    def log10_probabilities(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Normalised log-probability of each word after the two before it."""
+        p, out = self.p, np.empty(len(w))
+        h = p["r"][one] * p["c1"] + p["r"][two] * p["c2"]
+        c = self.v.of[w]
+        for lo in range(0, len(w), BATCH):
+            s = slice(lo, lo + BATCH)
+            z = h[s] @ p["qc"].T + p["bc"].T
+            out[s] = z[np.arange(len(z)), c[s]]
+            out[s] -= _log_sums(z)
+        for k, rows in self._ordered(w):
+            a, e = self.v.block(k)
+            z = h[rows] @ p["q"][a:e].T + p["b"][a:e].T
+            out[rows] += z[np.arange(len(rows)), w[rows] - a]
+            out[rows] -= _log_sums(z)
+        return out / math.log(10)
+
+    def start(self, seed: int, rate: float) -> None:
+        """Before updates: noise, and what Adagrad and the average keep of each row."""
+        self.rng, self.rate = np.random.default_rng(seed), rate
+        self.squares = {k: np.full((len(a), 1), 1e-4, np.float32) for k, a in self.p.items()}
+        self.times = {k: np.zeros((len(a), 1), np.float32) for k, a in self.p.items()}
+        share = np.exp(self.v.outer.astype(float))
+        self.noise = share / share.sum()
+
+    def _step(self, name: str, at: np.ndarray, gradient: np.ndarray, times: np.ndarray | float = 1.0) -> None:
+        self.squares[name][at] += (gradient * gradient).mean(1, keepdims=True)
+        self.p[name][at] -= (self.rate if gradient.shape[1] > 1 else self.rate / 4) * gradient / np.sqrt(self.squares[name][at])
+        self.times[name][at] += times
+
+    def update(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """One noise-contrastive step over a batch of places."""
+        p, v = self.p, self.v
+        before = (p["r"][one], p["r"][two])
+        h = before[0] * p["c1"] + before[1] * p["c2"]
+        c = v.of[w]
+        drawn = self.rng.choice(v.classes, NOISE, p=self.noise)
+        log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        real = _sigmoid((h * p["qc"][c]).sum(1) + p["bc"][c, 0] - log_noise[c]) - 1
+        false = _sigmoid(h @ p["qc"][drawn].T + p["bc"][drawn].T - log_noise[drawn])
+        dh = real[:, None] * p["qc"][c] + false @ p["qc"][drawn]
+        both = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+        at, g = _sums(np.append(c, drawn), np.concatenate([real[:, None] * both, false.T @ both]), v.classes)
+        inner = np.flatnonzero((c >= v.first_block) & (c < v.first_block + v.blocks))
+        if len(inner):
+            inner = inner[np.argsort(c[inner], kind="stable")]
+            k, hk, bk, target = c[inner], h[inner], both[inner], w[inner]
+            lo = v.single + (k - v.first_block) * v.width
+            width = np.minimum(v.width, v.end - lo)
+            some = lo[:, None] + (self.rng.random(INNER) * width[:, None]).astype(np.int32)  # the same share of each class's words
+            shift = np.log(INNER / width).astype(np.float32)
+            qt, qs = p["q"][target], p["q"][some]
+            hit = _sigmoid((hk * qt).sum(1) + p["b"][target, 0] - shift) - 1
+            miss = _sigmoid((qs @ hk[:, :, None])[:, :, 0] + p["b"][some, 0] - shift[:, None])
+            dh[inner] += hit[:, None] * qt + (miss[:, None, :] @ qs)[:, 0]
+            begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            edges = np.append(begin, len(k))
+            wrong = np.concatenate([miss[x:y].T @ bk[x:y] for x, y in zip(edges, edges[1:])])
+            at_q, g_q = _sums(np.append(target, some[begin].ravel()), np.concatenate([hit[:, None] * bk, wrong]), v.size)
+            self._step("q", at_q, g_q[:, :DIM])
+            self._step("b", at_q, g_q[:, DIM:])
+        self._step("qc", at, g[:, :DIM])
+        self._step("bc", at, g[:, DIM:])
+        every = np.zeros(1, np.int64)
+        self._step("c1", every, (dh * before[0]).sum(0, keepdims=True), len(w))
+        self._step("c2", every, (dh * before[1]).sum(0, keepdims=True), len(w))
+        at, g = _sums(np.concatenate([one, two]), np.concatenate([dh * p["c1"], dh * p["c2"]]), v.size)
+        self._step("r", at, g)
+
+
+def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Bilinear:
+    """Rounds of noise-contrastive training over the texts of docs, averaged over its partitions."""
+    spark = docs.sparkSession
+    model = Bilinear.new(vocabulary)
     for turn in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(model)
-
-        def passes(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            m: Bilinear = sent.value
-            m = Bilinear(*(p.copy() for p in m.parts), m.base)
-            total = 0.0
-            for i, b in enumerate(batches):
-                n = b.column(1).to_numpy().astype(float)
-                m.update(b.column(0).to_numpy(), n, 1000 * turn + i, RATE / (1 + turn))
-                total += float(np.sqrt(n).sum())
+        sent = spark.sparkContext.broadcast(model)  # fixed by WORDS and HEAD
+
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            m: Bilinear = sent.value.copy()
+            m.start(1000 * turn + TaskContext.get().partitionId(), RATE / (1 + turn))
+            v, held, size, steps = m.v, [], 0, 0
+            for b in slices(batches, 0):
+                for text in b.column(0):
+                    held.append(v.sequence(v.places(words(text.as_py()))))
+                    size += len(held[-1])
+                    if size >= BATCH:
+                        w, one, two = contexts(held, v.end)
+                        for lo in range(0, len(w), BATCH):
+                            m.update(*(x[lo : lo + BATCH] for x in (w, one, two)))
+                        held, size, steps = [], 0, steps + 1
+            if held:
+                m.update(*contexts(held, v.end))
+                steps += 1
+            if steps:
+                weight = {k: t + 1e-3 for k, t in m.times.items()}
+                rows = [(i, (m.p[k] * weight[k]).astype(np.float32).tobytes(), weight[k].astype(np.float32).tobytes()) for i, k in enumerate(Bilinear.NAMES)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "sums", "weights"])
+            del m, held
+            give_back()
+
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, list[np.ndarray]] = {}
+            for b in batches:
+                for part, sums, weights in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                    both = [np.frombuffer(x.as_buffer(), np.float32) for x in (sums, weights)]
+                    total[part] = [x + y for x, y in zip(total[part], both)] if part in total else [x.copy() for x in both]
             if total:
-                flat = np.concatenate([p.ravel() for p in m.parts])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * total), pa.array(np.full(len(flat), total))], ["i", "v", "w"])
-
-        share = table.where(F.pmod(F.xxhash64("code"), F.lit(ROUNDS)) == turn)  # every n-gram has its turn once
-        rows = share.mapInArrow(passes, "i long, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()  # the parameters: fixed
-        if len(rows):
-            flat = np.empty(len(rows))
-            flat[rows["i"].to_numpy()] = rows["v"].to_numpy()
-            parts, at = [], 0
-            for p in model.parts:
-                parts.append(flat[at : at + p.size].reshape(p.shape))
-                at += p.size
-            model = Bilinear(*parts, model.base)
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *(pa.array([t[i].tobytes() for t in total.values()], pa.binary()) for i in (0, 1))], ["part", "sums", "weights"])
+
+        schema = "part int, sums binary, weights binary"
+        share = docs.select(text_col).where(F.pmod(F.coalesce(F.xxhash64(text_col), F.lit(0)), F.lit(ROUNDS)) == turn)  # every text has its turn once
+        learnt = share.mapInArrow(learn, schema).repartitionById(len(Bilinear.NAMES), "part").mapInArrow(average, schema)
+        parts = {}
+        for part, sums, weights in learnt.collect():  # seven rows: the parameters
+            name = Bilinear.NAMES[part]
+            parts[name] = (np.frombuffer(sums, np.float32).reshape(model.p[name].shape) / np.frombuffer(weights, np.float32)[:, None]).astype(np.float32)
+        if parts:
+            model = Bilinear(vocabulary, parts)
     return model
 
 
@@ -241,56 +314,39 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = most_frequent(counts.where("token is not null"))
     ends = (counts.where("token is null").select("n").first() or [0])[0]
-    classes = Classes(head, ends, total, distinct)
-    model = train(materialize(grams(training, text_col, classes), "grams"), classes)
-    shared = docs.sparkSession.sparkContext.broadcast((classes, model))
+    vocabulary = Vocabulary(head, ends, total, distinct)
+    shared = docs.sparkSession.sparkContext.broadcast(train(training, vocabulary, text_col))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, m = shared.value
-        share = {w: math.log10(n + 0.1) - c.log_mass[c.of[w]] for w, n in c.count.items()}
-        raw = {w: math.log10(n + 0.1) for w, n in c.count.items()}
-        raw_get, share_get, zeros = raw.get, share.get, [0.0] * 4096
+        m: Bilinear = shared.value
+        v = m.v
         part, row = TaskContext.get().partitionId(), 0
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            sums: list[list] = [[] for _ in range(6)]
-            tails, ns = [], []
-            seqs = []
-            for text in texts:
-                t = words(text)
-                rest = Counter(w for w in t if w not in raw)
-                n_rest = sum(rest.values())
-                seqs.append(c.sequence(t))
-                end_log = math.log10(c.ends + 0.1)
+        for b in slices(batches, 1, rows=128):
+            sums: list[list] = [[] for _ in range(5)]
+            tails, times, sequences = [], [], []
+            for text in b.column(1):
+                t = words(text.as_py())
+                at = v.places(t)
+                out = np.flatnonzero(at == v.unknown)
+                rest = Counter([t[i] for i in out.tolist()])
+                far = (at >= v.end) & (at < v.unknown)  # words of the rest whose counts are here
+                sequences.append(v.sequence(at))
                 sums[0].append(len(t) + 1)
-                sums[1].append(len(t) - n_rest + (1 if c.ends else 0))
-                sums[2].append(sum(map(raw_get, t, zeros[: len(t)] if len(t) <= len(zeros) else [0.0] * len(t))) + end_log)
-                sums[3].append(sum(map(share_get, t, zeros[: len(t)] if len(t) <= len(zeros) else [0.0] * len(t))) + end_log - c.log_mass[c.end])
-                sums[4].append(n_rest)
+                sums[1].append(len(t) - len(out) + (1 if v.ends else 0))
+                sums[2].append(float(v.raw[at].sum()) + v.end_log)
+                sums[3].append(float(v.raw[at[far]].sum() - v.rest_log * far.sum()))
+                sums[4].append(len(out))
                 tails.append(list(rest))
-                ns.append(list(rest.values()))
-            # Class log-probabilities: one matrix product for the distinct contexts of each block of texts.
-            for lo in range(0, len(seqs), 256):
-                block = seqs[lo : lo + 256]
-                flat = np.concatenate(block)
-                two_ctx = [contexts(s, c.end) for s in block]
-                code = np.concatenate([o * c.size + t for o, t in two_ctx])
-                uniq, back = np.unique(code, return_inverse=True)
-                logs = np.empty(len(flat), np.float64)
-                order = np.argsort(back, kind="stable")
-                edges = np.searchsorted(back[order], np.arange(len(uniq) + 1))
-                for u in range(0, len(uniq), 4096):
-                    table = m.log10_probabilities(uniq[u : u + 4096] // c.size, uniq[u : u + 4096] % c.size)
-                    at = order[edges[u] : edges[min(u + 4096, len(uniq))]]
-                    logs[at] = table[back[at] - u, flat[at]]
-                lens = np.array([len(s) for s in block])
-                sums[5] += np.add.reduceat(logs, np.cumsum(lens) - lens).tolist()
-            n = len(texts)
+                times.append(list(rest.values()))
+            lens = np.array([len(s) for s in sequences])
+            model = np.add.reduceat(m.log10_probabilities(*contexts(sequences, v.end)), np.cumsum(lens) - lens)
+            n = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array((np.int64(part) << 36) + row + np.arange(n)), b.column(0), b.column(2), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array(sums[2], pa.float64()), pa.array(sums[3], pa.float64()), pa.array(sums[4], pa.int64()), pa.array(sums[5], pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(ns, pa.list_(pa.int64()))],
+                [pa.array((np.int64(part) << 36) + row + np.arange(n)), b.column(0), b.column(2), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array(sums[2], pa.float64()), pa.array(sums[3], pa.float64()), pa.array(sums[4], pa.int64()), pa.array(model), pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
                 ["_row", id_col, "held_out", "n_tokens", "_known", "_base", "_share", "_tail", "_class", "_words", "_times"],
             )
             row += n
+        give_back()
 
     schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_share", T.DoubleType()), T.StructField("_tail", T.LongType()), T.StructField("_class", T.DoubleType()), T.StructField("_words", T.ArrayType(T.BinaryType())), T.StructField("_times", T.ArrayType(T.LongType()))])
     begun = materialize(rows.select(id_col, text_col, "held_out").mapInArrow(begin, schema), "begun")
@@ -306,8 +362,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         "n_tokens",
         (F.col("_known") + known).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("_base") + extra - F.col("n_tokens") * F.lit(classes.log_all)).alias("base_score"),
-        (F.col("_class") + F.col("_share") + extra - F.col("_tail") * F.lit(float(classes.log_mass[classes.tail]))).alias("score"),
+        (F.col("_base") + extra - F.col("n_tokens") * F.lit(vocabulary.log_all)).alias("base_score"),
+        (F.col("_class") + F.col("_share") + extra - F.col("_tail") * F.lit(float(vocabulary.rest_log))).alias("score"),
     )
 
 
