@@ -324,9 +324,9 @@ QUERIES = {
 
 _H = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
 SQL = {
-    "s01_catalog_import": """SELECT s_suppkey, pos, CASE pos WHEN 0 THEN 'u' ELSE 'n' END || s_suppkey AS url, CASE pos WHEN 1 THEN s_suppkey END AS custom_order, CASE pos WHEN 1 THEN 'x' END AS book_list, NULL AS toc FROM supplier, (VALUES (0), (1)) v(pos) WHERE s_suppkey % 4 < 3""",
-    "s03_legacy_catalog": """SELECT s_suppkey, 0 AS pos, 'u' || s_suppkey AS url, CAST(s_suppkey AS VARCHAR) AS custom_order, '1' AS kind, '{"User-Agent":"ua"}' AS header, 'true' AS enabled, '/s?q={{key}}&p=<1,2>,{"charset":"gbk"}' AS search_url, '/toc' AS toc_url, NULL AS chapter_url, 'id.c' AS content,
-  'tag.li' AS "search_bookList", 'a@href' AS "search_bookUrl", NULL AS search_name FROM supplier WHERE s_suppkey % 4 < 3
+    "s01_catalog_import": """SELECT s_suppkey, pos, CASE pos WHEN 0 THEN 'u' ELSE 'n' END || s_suppkey AS url, CASE pos WHEN 1 THEN s_suppkey END AS custom_order, CASE pos WHEN 1 THEN 'x' END AS book_list, CAST(NULL AS VARCHAR) AS toc FROM supplier, (VALUES (0), (1)) v(pos) WHERE s_suppkey % 4 < 3""",
+    "s03_legacy_catalog": """SELECT s_suppkey, 0 AS pos, 'u' || s_suppkey AS url, CAST(s_suppkey AS VARCHAR) AS custom_order, '1' AS kind, '{"User-Agent":"ua"}' AS header, 'true' AS enabled, '/s?q={{key}}&p=<1,2>,{"charset":"gbk"}' AS search_url, '/toc' AS toc_url, CAST(NULL AS VARCHAR) AS chapter_url, 'id.c' AS content,
+  'tag.li' AS "search_bookList", 'a@href' AS "search_bookUrl", CAST(NULL AS VARCHAR) AS search_name FROM supplier WHERE s_suppkey % 4 < 3
  UNION ALL SELECT s_suppkey, 1, 'n' || s_suppkey, CAST(s_suppkey AS VARCHAR), NULL, 'h', NULL, '/p,{"body":"q=searchKey","headers":{"A":"b"},"method":"POST"}', NULL, NULL, NULL, 'x', NULL, NULL FROM supplier WHERE s_suppkey % 4 < 3""",
     "s06_decode_bodies": """SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN '<?xml version="1.0" encoding="UTF-8"?>é' WHEN 3 THEN '<meta charset="gb2312">书' ELSE '书' END || p_partkey AS text,
  lower(CASE p_partkey % 4 WHEN 0 THEN 'E4B9A6' WHEN 1 THEN 'CAE9' WHEN 2 THEN 'E9' ELSE hex('<meta charset="gb2312">') || 'CAE9' END || hex(CAST(p_partkey AS VARCHAR))) AS digits FROM part""",

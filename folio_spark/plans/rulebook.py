@@ -134,7 +134,7 @@ SQL = {
  CASE WHEN ok THEN CAST(s_suppkey % 4 = 3 AS VARCHAR) END AS three, CASE WHEN ok THEN 'seven' END AS second FROM (SELECT *, s_suppkey % 5 <> 0 AS ok FROM supplier)""",
     "e09_xpath_list": "SELECT s_suppkey, i AS item_ix, CASE WHEN i = 0 THEN CAST(s_suppkey % 4 AS VARCHAR) ELSE '7' END AS v FROM supplier, (VALUES (0), (1)) t(i) WHERE s_suppkey % 5 <> 0",
     "e11_json_items": """WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)
- SELECT event_id, 0 AS item_ix, k AS key, NULL AS path, 'https://h/?k=1' AS literal, '/b/' || k || '?e=' || k || '&f=' || k AS made, regexp_replace(k, '[0-9]', 'd', 'g') AS changed, regexp_replace(k, '[0-9]', 'd') AS once, NULL AS none FROM e
+ SELECT event_id, 0 AS item_ix, k AS key, CAST(NULL AS VARCHAR) AS path, 'https://h/?k=1' AS literal, '/b/' || k || '?e=' || k || '&f=' || k AS made, regexp_replace(k, '[0-9]', 'd', 'g') AS changed, regexp_replace(k, '[0-9]', 'd') AS once, CAST(NULL AS VARCHAR) AS none FROM e
  UNION ALL SELECT event_id, 1, '1' || chr(10) || 'b', 'true', 'https://h/?k=1', '/b/1' || chr(10) || 'b?e=1' || chr(10) || 'b&f=1' || chr(10) || 'b', 'd' || chr(10) || 'b', 'd' || chr(10) || 'b', NULL FROM e""",
     "e16_routing": "SELECT page_id, item_ix, name AS n FROM (" + _J + ")",
     "e17_search": _K + f" SELECT page_id, page_id % 3 AS source_ord, item_ix, title AS name, {_O} || href AS book_url FROM links WHERE page_id % 3 < 2 UNION ALL {_J}",
@@ -145,7 +145,7 @@ SQL = {
     "e20_details": f"""WITH p AS (SELECT page_id, url AS page_url, {_H1} AS name, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>', 0), '<a href="([^"]*)">([^<]*)</a>', 1) AS h,
   regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>', 0), '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)
  SELECT page_id, page_url AS book_url, name, coalesce(t[1], '') AS author, 'lang:' || lang AS kind, lang || '/' || coalesce(t[1], '') AS intro, CASE WHEN len(h) > 0 THEN {_O} || h[1] END AS cover_url,
-  CASE WHEN len(h) > 40 THEN {_O} || h[41] ELSE page_url END AS toc_url, NULL AS word_count FROM p""",
+  CASE WHEN len(h) > 40 THEN {_O} || h[41] ELSE page_url END AS toc_url, CAST(NULL AS VARCHAR) AS word_count FROM p""",
     "e21_flags": _K + f""", d AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY item_ix) = 1)
  SELECT page_id, CAST(count(*) OVER (PARTITION BY page_id) - row_number() OVER (PARTITION BY page_id ORDER BY item_ix) AS INT) AS idx, title, {_O} || href AS url, replace(href, '/', '') AS tag, ends_with(href, 'n') AS is_volume,
   NOT regexp_matches(title, '^[aeiou]') AND lower(title) NOT IN ('0', 'false', 'null', 'none', 'no', 'off') AS is_vip, false AS is_pay FROM d""",
