@@ -100,25 +100,36 @@ def chunks(c: Column, size: int = 70) -> Column:
     return F.aggregate(sentences, F.struct(none.alias("got"), F.lit("").alias("current")), pack, lambda z: F.when(z["current"] != "", F.array_append(z["got"], z["current"])).otherwise(z["got"]))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def in_context(text: Column, keyword: str, around: int = 18, limit: int | None = None) -> Column:
     """Snippets around each case-insensitive place of a keyword, or the first `limit`: structs of place (1, 2, ...), at and snippet."""
-    flat = collapse_space(text)
-    parts = F.split(F.lower(flat), "\\Q" + keyword.lower() + "\\E", -1)
     n = len(keyword)
+    none = F.array().cast("array<struct<place:int,at:int,snippet:string>>")
 
     def step(acc: Column, p: Column) -> Column:
         return F.struct((acc["at"] + F.length(p) + n).alias("at"), F.array_append(acc["got"], acc["at"] + F.length(p)).alias("got"))
 
     count = lambda a: F.size(a["got"]) - 1 if limit is None else F.least(F.size(a["got"]) - 1, F.lit(limit))
-    places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("got")), step, lambda a: F.slice(a["got"], 1, count(a)))
 
-    def snippet(at: Column, i: Column) -> Column:
-        lo = F.greatest(at - around, F.lit(0))
-        hi = F.least(at + n + around, F.length(flat))
-        body = F.concat(F.when(lo > 0, "…").otherwise(""), F.substring(flat, lo + 1, hi - lo), F.when(hi < F.length(flat), "…").otherwise(""))
-        return F.struct((i + 1).alias("place"), at.alias("at"), body.alias("snippet"))
+    def found(both: Column) -> Column:
+        flat, size = both["flat"], both["size"]
+        parts = F.split(F.lower(flat), "\\Q" + keyword.lower() + "\\E", -1)
+        places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("got")), step, lambda a: F.slice(a["got"], 1, count(a)))
 
-    return F.when(F.size(parts) > 1, F.transform(places, snippet)).otherwise(F.array().cast("array<struct<place:int,at:int,snippet:string>>"))
+        def snippet(at: Column, i: Column) -> Column:
+            lo, hi = F.greatest(at - around, F.lit(0)), F.least(at + n + around, size)
+            body = F.concat(F.when(lo > 0, "…").otherwise(""), F.substring(flat, lo + 1, hi - lo), F.when(hi < size, "…").otherwise(""))
+            return F.struct((i + 1).alias("place"), at.alias("at"), body.alias("snippet"))
+
+        return F.transform(places, snippet)
+
+    flat = collapse_space(text)
+    hits = let(flat, lambda t: let(F.struct(t.alias("flat"), F.length(t).alias("size")), found))
+    return F.when(F.contains(F.lower(text), F.lit(keyword.lower().split()[0] if keyword.split() else keyword)), F.coalesce(hits, none)).otherwise(none)
 
 
 def written_number(c: Column) -> Column:

@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio_spark.functions.text import let
+
 from .shred import trees
 
 TEXTS = ("text", "textNodes", "ownText")
@@ -76,11 +78,6 @@ def _none(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _node(i: Column) -> Column:
     return F.get("nodes", i)
 
