@@ -72,6 +72,26 @@ def validate_sources(sources: DataFrame, search: DataFrame, explore: DataFrame)
     return out.drop("n_search", "n_explore").withColumn("valid", F.col("search_ok") | F.col("explore_ok"))
 
 
+#: Fixed value: the keyword that a source is tried with if neither the caller nor its rules name one.
+KEYWORD = "斗破苍穹"
+
+
+def marked_report(report: DataFrame, group: str = "group", keyword: Column | None = None, check_keyword: Column | None = None, invalid_name: str = "失效") -> DataFrame:
+    """A validation report (source_name, valid and the source's group list) with the keyword tried, the group list after
+    invalid sources are marked and valid ones unmarked, and marked_invalid where that changed an invalid one."""
+    from folio_spark.functions.text import mark_group, split_groups
+
+    said = lambda c: F.nullif(F.trim(c), F.lit("")) if c is not None else F.lit(None).cast("string")
+    has = F.array_contains(split_groups(F.coalesce(F.col(group), F.lit(""))), invalid_name)
+    after = F.when(F.col("valid") & has, mark_group(F.col(group), invalid_name, False)).when(~F.col("valid") & ~has, mark_group(F.col(group), invalid_name, True)).otherwise(F.col(group))
+    return report.withColumn("keyword", F.coalesce(said(keyword), said(check_keyword), F.lit(KEYWORD))).withColumn("marked_invalid", ~F.col("valid") & ~has).withColumn(group, after)
+
+
+def report_totals(reports: DataFrame, *by: str) -> DataFrame:
+    """total, valid, invalid and marked_invalid of marked reports, for each batch or, without `by`, of all together."""
+    return reports.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"), F.count_if("marked_invalid").alias("marked_invalid"))
+
+
 def source_overview(c: dict[str, Column]) -> Column:
     """What a catalog shows of a source, as a struct: its group, three states and six abilities. c: the source's columns."""
     full = lambda *names: sum((F.coalesce(c[n] != "", F.lit(False)).cast("int") for n in names), F.lit(0)) > 0

@@ -9,7 +9,10 @@ from folio_spark.operators import chapters as C
 from folio_spark.operators import knowledge as K
 from folio_spark.operators import merge
 from folio_spark.operators import shelf as S
+from folio_spark.plans import listings as base
+from folio_spark.plans.listings import C as _CATALOG
 from folio_spark.plans.listings import L, listings, table
+from folio_spark.sources import catalogs
 
 #: Titles of all kinds, one an event by its number.
 TITLES = [
@@ -269,7 +272,36 @@ def u18_sql() -> str:
  SELECT conv_id, turn, chunk, arg_max(body, p) AS body FROM g GROUP BY 1, 2, 3"""
 
 
+def marked(spark, sf):
+    c = base.catalog(spark, sf)
+    report = base.a03(spark, sf).join(c.select(F.concat(F.lit("src"), F.col("source_ord").cast("string")).alias("origin"), F.col("groups").alias("group")), "origin")
+    return merge.marked_report(report, "group", F.lit(" "), F.when(F.length("source_name") % 2 == 0, "check"))
+
+
+def a03_marked(spark, sf):
+    return marked(spark, sf).orderBy("source_name").select("origin", "valid", "keyword", "group", "marked_invalid")
+
+
+def a04_totals(spark, sf):
+    """Batches of sources, their reports put together again."""
+    parts = [marked(spark, sf).where(F.length("origin") % 2 == i) for i in (0, 1)]
+    return merge.report_totals(parts[0].unionByName(parts[1]))
+
+
+def t04_more(spark, sf):
+    """Feed pages of 50: whether a type of events has more behind the first."""
+    return table(spark, sf, "events").groupBy("event_type").agg((F.count("*") >= 50).alias("has_more"))
+
+
+def s05(spark, sf):
+    p = table(spark, sf, "pages")
+    n = F.col("page_id")
+    rows = p.select("page_id", "url", "html", F.when(n % 2 == 0, F.concat("url", F.lit("#moved"))).otherwise("").alias("final_url"), F.when(n % 5 == 0, 404).when(n % 5 == 1, 204).alias("status"), F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("headers"))
+    return catalogs.page_rows(rows).select("page_id", "final_url", F.col("html").isNotNull().alias("has_text"), F.try_element_at("headers", F.lit("content-type")).alias("content_type"))
+
+
 QUERIES = {
+    "a03_marked_report": a03_marked, "a04_report_totals": a04_totals, "t04_has_more": t04_more, "s05_page_rows": s05,
     "p13_title_patterns": p13, "w04_all_units": w04, "w03_text_book": w03, "a01_five_fields": a01_five, "a08_all_fields": a08_all, "a12_shown_characters": a12, "a12_shown_relations": a12_relations, "o01_increment": o01, "p15_low_value": p15, "p15_recaps": p15_recaps,
     "a11_merge_notes": a11, "a13_category_groups": a13, "a10_merge_places": a10, "t10_place_order": t10, "u23_levels": u23, "a14_nodes": a14_nodes, "a14_links": a14_links, "t09_node_order": t09, "p14_character_search": p14, "u22_place_signature": u22, "j13_place_parents": j13,
     "u21_summaries": u21, "u25_file_names": u25, "p12_truthiness": p12, "u14_scoped_order": u14, "j07_save_books": j07, "j09_switch_with_detail": j09, "j02_books_of_a_host": j02, "p07_recent_kinds": p07, "p09_local_books": p09, "p08_title_search": p08, "p11_feed_scope": p11, "p05_overview_flags": p05,
@@ -300,7 +332,14 @@ _BOOKS = """WITH b AS (SELECT 'http://h' || (o_orderkey % 5) || '/b/' || o_order
   CASE WHEN o_orderkey % 2 = 0 THEN 'kind' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS "group" FROM orders)"""
 _STORY = [t for t in TITLES if t.strip() in ("序章", "楔子", "引子", "序", "前言", "（序章）", "序章 一", "推荐信", "第1章 推荐", "加更", "第三章", "Chapter 4")]
 
+_MARKED = _CATALOG + ", " + L.removeprefix("WITH ") + """, v AS (SELECT 'src' || source_ord AS origin, source_name, names, groups, EXISTS (SELECT 1 FROM l WHERE l.source_ord = d.source_ord AND (kind = 'LARGE' OR author = 'Brand#7')) AS valid, list_contains(names, '失效') AS has FROM d)"""
+
 SQL = {
+    "a03_marked_report": _MARKED + """ SELECT origin, valid, CASE WHEN length(source_name) % 2 = 0 THEN 'check' ELSE '斗破苍穹' END AS keyword,
+ CASE WHEN valid AND has THEN array_to_string(list_filter(names, lambda x: x <> '失效'), ',') WHEN NOT valid AND NOT has THEN array_to_string(list_append(names, '失效'), ',') ELSE groups END AS "group", NOT valid AND NOT has AS marked_invalid FROM v""",
+    "a04_report_totals": _MARKED + " SELECT count(*) AS total, count_if(valid) AS valid, count_if(NOT valid) AS invalid, count_if(NOT valid AND NOT has) AS marked_invalid FROM v",
+    "t04_has_more": "SELECT event_type, count(*) >= 50 AS has_more FROM events GROUP BY 1",
+    "s05_page_rows": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || '#moved' ELSE url END AS final_url, page_id % 5 <> 0 AS has_text, 'text/html' AS content_type FROM pages",
     "p13_title_patterns": f"SELECT event_id, {_list(TITLES)}[event_id % {len(TITLES)} + 1] AS title FROM events WHERE list_contains({_list(_STORY)}, {_list(TITLES)}[event_id % {len(TITLES)} + 1])",
     "w04_all_units": f"SELECT event_id, CAST({_list([n for _, n in ORDINALS])}[event_id % {len(ORDINALS)} + 1] AS INT) AS ordinal FROM events",
     "w03_text_book": """WITH k AS (SELECT s_suppkey AS n, CAST(s_suppkey AS VARCHAR) AS k, length(CAST(s_suppkey AS VARCHAR)) AS z FROM supplier),

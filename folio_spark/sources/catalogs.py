@@ -134,6 +134,19 @@ def _decoded(bodies: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else bytes(b).decode(n or "gb18030", "replace") for b, n in zip(bodies, names)])
 
 
+def page_rows(pages: DataFrame, body: str = "html") -> DataFrame:
+    """Fetched pages with what a scan needs of each, where the table lacks it: final_url (the URL), status (200) and headers
+    (lower-case names); pages of other statuses than 2xx, and without a body, have no text to read."""
+    rows = pages
+    if "final_url" not in rows.columns:
+        rows = rows.withColumn("final_url", F.col("url"))
+    rows = rows.withColumn("final_url", F.coalesce(F.nullif("final_url", F.lit("")), "url"))
+    if "status" not in rows.columns:
+        rows = rows.withColumn("status", F.lit(200))
+    headers = F.transform_keys("headers", lambda k, _: F.lower(k)) if "headers" in rows.columns else F.create_map().cast("map<string,string>")
+    return rows.withColumn("headers", headers).withColumn(body, F.when(F.coalesce("status", F.lit(200)).between(200, 299), F.col(body)))
+
+
 def read_texts(spark: SparkSession, path: str, most: int = 50 << 20, namespace: str = "default") -> DataFrame:
     """Text files up to a size, decoded by their byte-order mark, as UTF-8, or else as GB18030, with a stable id."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where(F.col("length") <= most)
