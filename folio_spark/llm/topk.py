@@ -6,7 +6,8 @@ sum(max(q * low, q * high)). Queries descend level by level, drop boxes whose bo
 and visit the leaves that remain in the order of their bounds. Every query first searches its own shard; the kth
 score it finds there goes along to all the others and prunes them.
 
-Queries travel in blocks of fixed size, whatever their number.
+Queries travel in passes of a fixed number of numbers, whatever their count; in each pass every shard builds its tree once,
+and queries are searched in blocks.
 
 Defined results: null ids, null vectors and vectors with null or non-finite components take no part; vectors of
 unequal length count as padded with zeros; equal scores go to the smaller id; a query never meets rows of its own
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LEAF, BLOCK = 512, 2048
+#: Vectors of a leaf, queries that are searched together, and numbers of query vectors that travel in one pass.
+LEAF, BLOCK, TRAVEL = 512, 2048, 1 << 21
 
 
 def to_matrix(column: pa.Array, width: int = 0) -> np.ndarray:
@@ -130,7 +132,7 @@ def _fit(a: np.ndarray, width: int) -> np.ndarray:
 
 def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, id and score of the k best inner products of floor(scale * component) for every query row."""
-    spark = rows.sparkSession
+    spark, together = rows.sparkSession, BLOCK
     whole = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     ints = whole.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"), is_query.alias("_q"))
 
@@ -153,11 +155,12 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
 
     asked = ints.mapInArrow(at_home, "query_id long, q array<long>, kth long").groupBy("query_id").agg(F.min(F.struct("q", "kth")).alias("x")).select("query_id", "x.q", "x.kth")
     asked = materialize(asked, "queries")
-    blocks = -(-asked.count() * 5 // (4 * BLOCK)) or 1
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    blocks = -(-n * 5 // (4 * max(BLOCK, TRAVEL // max(1, width)))) or 1
     asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     found = []
     for block in range(blocks):
-        part = asked.where(F.col("_block") == block).select("query_id", "q", "kth").toArrow().combine_chunks()  # about BLOCK rows, by the number of blocks
+        part = asked.where(F.col("_block") == block).select("query_id", "q", "kth").toArrow().combine_chunks()  # about TRAVEL numbers, by the number of passes
         if not part.num_rows:
             continue
         col = lambda n: part.column(n).combine_chunks() if part.column(n).num_chunks != 1 else part.column(n).chunk(0)  # noqa: E731, B023
@@ -168,9 +171,12 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
             if len(ids):
                 query_ids, queries, kth = sent.value
                 width = max(queries.shape[1], vectors.shape[1])
-                none = kth == np.iinfo(np.int64).min
-                at, who, score = Tree(_fit(vectors, width), ids).search(_fit(queries, width), query_ids, np.where(none, -np.inf, kth.astype(float)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(who), pa.array(score)], ["query_id", "id", "score"])
+                least = np.where(kth == np.iinfo(np.int64).min, -np.inf, kth.astype(float))
+                tree = Tree(_fit(vectors, width), ids)
+                for lo in range(0, len(query_ids), together):
+                    part = slice(lo, lo + together)
+                    at, who, score = tree.search(_fit(queries[part], width), query_ids[part], least[part], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[part][at]), pa.array(who), pa.array(score)], ["query_id", "id", "score"])
 
         near = ints.select("id", "v").mapInArrow(elsewhere, "query_id long, id long, score long")
         found.append(near if blocks == 1 else materialize(near, "near"))
