@@ -74,13 +74,13 @@ def most_frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
     """About HEAD most frequent words: whole bands of counts, and of the band that is too large as many words, by a hash,
     as there is room for."""
     band = F.floor(F.log2("n") * 32).cast("int")
-    left, chosen = HEAD, F.lit(False)
+    left, whole, some = HEAD, 1 << 30, F.lit(False)
     for b, n in sorted(counts.groupBy(band.alias("b")).count().collect(), reverse=True):  # 32 rows for each doubling of counts
         if n > left:
-            chosen = chosen | ((band == b) & (F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < (left << 30) // n))
+            some = (band == b) & (F.pmod(F.xxhash64("token"), F.lit(1 << 30)) < (left << 30) // n)
             break
-        left, chosen = left - n, chosen | (band == b)
-    rows = counts.where(chosen).collect()  # HEAD rows, and what a hash's spread adds
+        left, whole = left - n, b
+    rows = counts.where((band >= whole) | some).collect()  # HEAD rows, and what a hash's spread adds
     return sorted(((bytes(t), n) for t, n in rows), key=lambda x: (-x[1], x[0]))
 
 

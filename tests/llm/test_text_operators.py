@@ -285,6 +285,15 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
     assert all(np.allclose((10**x).sum(), 1, atol=1e-4) for x in per)
 
 
+def test_lm_head_of_many_bands_is_filled(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 3000)
+    counts = spark.range(1, 20_000).selectExpr("encode(concat('w', id), 'UTF-8') AS token", "greatest(1, cast(200000000 / (id * id) as long)) AS n")
+    head = lm.most_frequent(counts)
+    assert 2500 <= len(head) <= 3500 and [n for _, n in head] == sorted((n for _, n in head), reverse=True)
+    ones = spark.range(8000).selectExpr("encode(concat('w', id), 'UTF-8') AS token", "1L AS n")
+    assert 2500 <= len(lm.most_frequent(ones)) <= 3500
+
+
 def test_lm_beats_unigrams_on_held_out_text(spark, sf):
     rows = lm.op6_lm(spark, sf.replace("0.001", "0.01")).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
     assert (rows[1] - rows[0]) / rows[2] > 0.05  # a twentieth of a decimal digit a token
