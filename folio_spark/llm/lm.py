@@ -39,9 +39,9 @@ from .common import fold, give_back, materialize, slices, words
 
 #: Words that the model knows by name, those of them that are classes of their own, words in a class, words whose counts
 #: travel, components of a vector.
-WORDS, SINGLE, CLASS, HEAD, DIM = 16_384, 32, 128, 1 << 16, 16
+WORDS, SINGLE, CLASS, HEAD, DIM = 4096, 16, 96, 1 << 16, 16
 #: Rounds of training, noise samples for a batch's classes and for a class's words, places in a batch, step size.
-ROUNDS, NOISE, INNER, BATCH, RATE = 4, 16, 6, 16_384, 0.1
+ROUNDS, NOISE, INNER, BATCH, RATE = 4, 12, 4, 16_384, 0.1
 FLUSH = 300_000
 
 
@@ -188,16 +188,18 @@ class Bilinear:
     def log10_probabilities(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Normalised log-probability of each word after the two before it."""
         p, out = self.p, np.empty(len(w))
-        h = p["r"][one] * p["c1"] + p["r"][two] * p["c2"]
+        h = np.ones((len(w), DIM + 1), np.float32)  # the last component meets the biases
+        h[:, :DIM] = p["r"][one] * p["c1"] + p["r"][two] * p["c2"]
+        outer, inner = (np.concatenate([p[k], p[b]], 1).T for k, b in (("qc", "bc"), ("q", "b")))
         c = self.v.of[w]
         for lo in range(0, len(w), BATCH):
             s = slice(lo, lo + BATCH)
-            z = h[s] @ p["qc"].T + p["bc"].T
+            z = h[s] @ outer
             out[s] = z[np.arange(len(z)), c[s]]
             out[s] -= _log_sums(z)
         for k, rows in self._ordered(w):
             a, e = self.v.block(k)
-            z = h[rows] @ p["q"][a:e].T + p["b"][a:e].T
+            z = h[rows] @ inner[:, a:e]
             out[rows] += z[np.arange(len(rows)), w[rows] - a]
             out[rows] -= _log_sums(z)
         return out / math.log(10)
