@@ -131,5 +131,5 @@ def test_toc_store(spark, tmp_path):
 def test_summaries(spark):
     from folio_spark.functions import text as X
 
-    rows = spark.createDataFrame([("old", "第3章 recap"), ("old", " "), ("old", "new"), ("old", "x" * 2000)], "p string, n string").select(X.next_summary(F.col("p"), F.col("n")).alias("s")).collect()
+    rows = spark.createDataFrame([("old", "第3章 recap：x"), ("old", " "), ("old", "new"), ("old", "x" * 2000)], "p string, n string").select(X.next_summary(F.col("p"), F.col("n")).alias("s")).collect()
     assert [r["s"] for r in rows[:3]] == ["old", "old", "new"] and len(rows[3]["s"]) == 1200
