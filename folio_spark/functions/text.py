@@ -71,6 +71,52 @@ def clean_feed(html: Column) -> Column:
     return F.when(html.rlike(r"(?is)<html[\s>]|<!doctype"), "").otherwise(F.trim(bare))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Items that one growing array takes, and characters of a piece of a text that is read by places.
+TOGETHER, PIECE = 512, 2048
+
+
+def gathered(xs: Column, start: Column, follow, emit, kind: str) -> Column:
+    """Struct of `at`, the state after all of xs (from start by follow(state, x)), and `got`, the arrays of emit(state, x) in one.
+
+    Arrays grow within blocks of items and those are joined once, so the time is in proportion to what xs holds."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(block: Column, state: Column) -> Column:
+        return F.aggregate(block, F.struct(state.alias("at"), none.alias("got")), lambda a, x: F.struct(follow(a["at"], x).alias("at"), F.concat(a["got"], emit(a["at"], x)).alias("got")))
+
+    def blocks(all_of_them: Column) -> Column:
+        ends = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(all_of_them) / TOGETHER).cast("int") - 1, F.lit(0)))
+        return F.transform(ends, lambda i: F.slice(all_of_them, i * TOGETHER + 1, TOGETHER))
+
+    def outer(a: Column, block: Column) -> Column:
+        return let(inner(block, a["at"]), lambda r: F.struct(r["at"].alias("at"), F.array_append(a["got"], r["got"]).alias("got")))
+
+    several = F.array().cast(f"array<array<{kind}>>")
+    return let(xs, lambda v: F.aggregate(blocks(v), F.struct(start.alias("at"), several.alias("got")), outer, lambda a: F.struct(a["at"].alias("at"), F.flatten(a["got"]).alias("got"))))
+
+
+def starts(lengths: Column) -> Column:
+    """Where each of adjoining parts begins, by their lengths (integers)."""
+    return gathered(lengths, F.lit(0), lambda at, n: at + n, lambda at, _: F.array(at), "int")["got"]
+
+
+def in_pieces(text: Column) -> Column:
+    """A text as pieces of equal length, for part()."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+
+
+def part(pieces: Column, lo: Column, n: Column) -> Column:
+    """n characters from place lo (from 0); of the pieces only those that hold them are read."""
+    first = F.floor(lo / PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.floor((lo + n) / PIECE).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), lo - first * PIECE + 1, n)
+
+
 def chunks(c: Column, size: int = 70) -> Column:
     """Sentences packed greedily up to `size` characters. A longer sentence stands alone, cut at its last comma or space
     within that many, or where there is none at that many."""
@@ -78,31 +124,34 @@ def chunks(c: Column, size: int = 70) -> Column:
     sentences = F.filter(F.transform(F.split(text, r"(?<=[。！？!?；;])"), lambda x: F.trim(x)), lambda x: x != "")
     none = F.array().cast("array<string>")
 
-    def cut(state: Column, _: Column) -> Column:
-        rest = state["rest"]
-        at = F.length(F.regexp_extract(F.substring(rest, 1, size + 1), r"(?s)^(.*)[，、, ]", 1))
-        at = F.when(at > 0, at).otherwise(size)
-        more = F.struct(F.array_append(state["got"], F.trim(F.substring(rest, F.lit(1), at))).alias("got"), F.trim(F.substring(rest, at + 1, F.length(rest))).alias("rest"))
-        return F.when(F.length(rest) > size, more).otherwise(state)
+    def cut(s: Column) -> Column:
+        """The parts of a long sentence. The state is the place reached; blanks there are passed over first."""
 
-    def pieces(s: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(F.length(s) - size, F.lit(1)))  # each takes a character at least
-        return F.aggregate(steps, F.struct(none.alias("got"), s.alias("rest")), cut, lambda z: F.filter(F.array_append(z["got"], z["rest"]), lambda x: x != ""))
+        def of(both: Column) -> Column:
+            pieces, end = both["pieces"], both["size"]
 
-    def pack(state: Column, s: Column) -> Column:
-        current, got = state["current"], state["got"]
-        sent = F.when(current != "", F.array_append(got, current)).otherwise(got)
-        long = F.struct(F.concat(sent, pieces(s)).alias("got"), F.lit("").alias("current"))
-        full = F.struct(sent.alias("got"), s.alias("current"))
-        more = F.struct(got.alias("got"), F.concat(current, s).alias("current"))
-        return F.when(F.length(s) > size, long).when(F.length(current) + F.length(s) > size, full).otherwise(more)
+            def window(at: Column) -> Column:
+                w = part(pieces, at, F.lit(size + 1))
+                blank = F.length(w) - F.length(F.ltrim(w))
+                stop = F.length(F.regexp_extract(w, r"(?s)^(.*)[，、, ]", 1))
+                return F.struct(blank.alias("blank"), F.when(end - at <= size, end - at).when(stop > 0, stop).otherwise(size).alias("n"), F.substring(w, 1, size).alias("w"))
 
-    return F.aggregate(sentences, F.struct(none.alias("got"), F.lit("").alias("current")), pack, lambda z: F.when(z["current"] != "", F.array_append(z["got"], z["current"])).otherwise(z["got"]))
+            # two parts together are longer than size but for blanks; a step passes over blanks or takes a part
+            steps = F.sequence(F.lit(1), (F.lit(4) * F.ceil(end / size)).cast("int") + 4)
+            follow = lambda at, _: F.when(at >= end, at).otherwise(let(window(at), lambda x: at + F.when(x["blank"] > 0, x["blank"]).otherwise(x["n"])))
+            emit = lambda at, _: F.when(at >= end, none).otherwise(let(window(at), lambda x: F.when(x["blank"] > 0, none).otherwise(F.array(F.trim(F.substring(x["w"], F.lit(1), x["n"]))))))
+            return F.filter(gathered(steps, F.lit(0), follow, emit, "string")["got"], lambda x: x != "")
 
+        return let(F.struct(in_pieces(s).alias("pieces"), F.length(s).alias("size")), of)
 
-def let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    def follow(current: Column, s: Column) -> Column:
+        return F.when(F.length(s) > size, "").when(F.length(current) + F.length(s) > size, s).otherwise(F.concat(current, s))
+
+    def emit(current: Column, s: Column) -> Column:
+        sent = F.when(current != "", F.array(current)).otherwise(none)
+        return F.when(F.length(s) > size, F.concat(sent, cut(s))).when(F.length(current) + F.length(s) > size, sent).otherwise(none)
+
+    return let(gathered(sentences, F.lit(""), follow, emit, "string"), lambda z: F.when(z["at"] != "", F.array_append(z["got"], z["at"])).otherwise(z["got"]))
 
 
 def in_context(text: Column, keyword: str, around: int = 18, limit: int | None = None) -> Column:
@@ -110,22 +159,21 @@ def in_context(text: Column, keyword: str, around: int = 18, limit: int | None =
     n = len(keyword)
     none = F.array().cast("array<struct<place:int,at:int,snippet:string>>")
 
-    def step(acc: Column, p: Column) -> Column:
-        return F.struct((acc["at"] + F.length(p) + n).alias("at"), F.array_append(acc["got"], acc["at"] + F.length(p)).alias("got"))
-
-    count = lambda a: F.size(a["got"]) - 1 if limit is None else F.least(F.size(a["got"]) - 1, F.lit(limit))
-
     def found(both: Column) -> Column:
         flat, size = both["flat"], both["size"]
-        parts = F.split(F.lower(flat), "\\Q" + keyword.lower() + "\\E", -1)
-        places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("got")), step, lambda a: F.slice(a["got"], 1, count(a)))
+        between = F.transform(F.split(F.lower(flat), "\\Q" + keyword.lower() + "\\E", -1), lambda p: F.length(p) + n)
+        count = F.size(between) - 1 if limit is None else F.least(F.size(between) - 1, F.lit(limit))
+        places = F.slice(F.transform(starts(between), lambda x: x - n), 2, count)  # each stands before the part that begins there
+
+        def snippets(pieces: Column) -> Column:
+            def snippet(at: Column, i: Column) -> Column:
+                lo, hi = F.greatest(at - around, F.lit(0)), F.least(at + n + around, size)
+                body = F.concat(F.when(lo > 0, "…").otherwise(""), part(pieces, lo, hi - lo), F.when(hi < size, "…").otherwise(""))
+                return F.struct((i + 1).alias("place"), at.alias("at"), body.alias("snippet"))
 
-        def snippet(at: Column, i: Column) -> Column:
-            lo, hi = F.greatest(at - around, F.lit(0)), F.least(at + n + around, size)
-            body = F.concat(F.when(lo > 0, "…").otherwise(""), F.substring(flat, lo + 1, hi - lo), F.when(hi < size, "…").otherwise(""))
-            return F.struct((i + 1).alias("place"), at.alias("at"), body.alias("snippet"))
+            return F.transform(places, snippet)
 
-        return F.transform(places, snippet)
+        return let(in_pieces(flat), snippets)
 
     flat = collapse_space(text)
     hits = let(flat, lambda t: let(F.struct(t.alias("flat"), F.length(t).alias("size")), found))

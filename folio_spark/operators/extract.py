@@ -395,7 +395,8 @@ def contents(pages: DataFrame, catalog: list[dict], page: str = "page_id", body:
 
 def relaxed_json(text: Column) -> Column:
     """JSON in which '<' and '>' outside of strings stand for braces."""
-    tokens = F.regexp_extract_all(text, F.lit(r'(?s)"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|[^"\']+|.'), F.lit(0))
+    # possessive, so that a string of any length takes no stack; one that never ends takes the rest
+    tokens = F.regexp_extract_all(text, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"?+|\'(?:[^\'\\]++|\\.)*+\'?+|[^"\']++'), F.lit(0))
     return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"') | t.startswith("'"), t).otherwise(F.translate(t, "<>", "{}"))), "")
 
 
@@ -408,5 +409,5 @@ def explore_kinds(text: Column) -> Column:
     read = lambda t: F.when(F.try_parse_json(t).isNotNull() & t.startswith("["), F.from_json(t, schema))
     listed = F.filter(F.coalesce(read(strict), read(relaxed)), lambda k: F.trim(F.coalesce(k["title"], F.lit(""))) != "")
     none = F.lit(None).cast("string")
-    plain = F.transform(F.split(body, r"(?:&&|\n)+"), lambda t: F.struct(F.trim(F.regexp_extract(F.trim(t), r"(?s)^(.*?)(?:::|$)", 1)).alias("title"), F.when(F.contains(t, F.lit("::")), F.nullif(F.trim(F.regexp_replace(F.trim(t), r"(?s)^.*?::", "")), F.lit(""))).otherwise(none).alias("url"), none.alias("style")))
+    plain = F.transform(F.split(body, r"(?:&&|\n)++"), lambda t: F.struct(F.trim(F.regexp_extract(F.trim(t), r"(?s)^(.*?)(?:::|$)", 1)).alias("title"), F.when(F.contains(t, F.lit("::")), F.nullif(F.trim(F.regexp_replace(F.trim(t), r"(?s)^.*?::", "")), F.lit(""))).otherwise(none).alias("url"), none.alias("style")))
     return F.coalesce(listed, F.filter(plain, lambda k: k["title"] != ""))

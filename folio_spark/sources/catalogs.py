@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +18,7 @@ WRAPPERS = ("bookSourceList", "bookSources", "data", "sources")
 FEED_WRAPPERS = ("rssSources", "sources", "data", "list")
 #: Old names of a source's fields.
 LEGACY = {"ruleBookUrlPattern": "bookUrlPattern", "serialNumber": "customOrder", "ruleFindUrl": "exploreUrl", "ruleSearchUrl": "searchUrl", "enable": "enabled"}
+#: Endings of old flat names of a list's fields, and what each names now.
 _LISTED = {"List": "bookList", "Name": "name", "Author": "author", "Intro": "intro", "Kind": "kind", "LastChapter": "lastChapter", "UpdateTime": "updateTime", "NoteUrl": "bookUrl", "BookUrl": "bookUrl", "CoverUrl": "coverUrl", "WordCount": "wordCount"}
 #: Flat rule fields, in order, and the field of the nested rule that each becomes.
 FOLDED = {
@@ -64,12 +70,27 @@ def with_legacy(source: str, new: str) -> Column:
     return F.coalesce(field(source, new), *(field(source, o) for o in old))
 
 
+def _balanced(c: Column) -> Column:
+    """Characters of an object in braces, nested to any depth, with which c begins; null if it doesn't or never closes."""
+    tokens = F.regexp_extract_all(c, F.lit(r"[{}]|[^{}]++"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("closed"))
+
+    def step(a: Column, t: Column) -> Column:
+        depth = a["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        return F.when(a["closed"], a).otherwise(F.struct(depth.alias("depth"), (a["n"] + F.length(t)).alias("n"), (depth == 0).alias("closed")))
+
+    return F.when(c.startswith("{"), F.aggregate(tokens, start, step, lambda a: F.when(a["closed"], a["n"])))
+
+
 def legacy_url_rule(raw: Column) -> Column:
     """An old URL rule as a new one: '@Header:{}', '|charset=' and '@body' become JSON options behind the URL, searchKey and
-    searchPage placeholders, and '{1,2}' the choice '<1,2>'. Header objects may nest once."""
-    header_at = r"@Header:\s*(\{(?:[^{}]|\{[^{}]*\})*\})"
-    header = F.nullif(F.regexp_extract(raw, header_at, 1), F.lit(""))
-    url = F.when(header.isNotNull(), F.concat(F.regexp_extract(raw, r"(?s)^(.*?)" + header_at, 1), F.regexp_replace(raw, r"(?s)^.*?" + header_at, ""))).otherwise(raw)
+    searchPage placeholders, and '{1,2}' the choice '<1,2>'. Header objects may nest to any depth."""
+    mark = "@Header:"
+    before = F.substring_index(raw, mark, 1)
+    after = F.regexp_replace(F.substring(raw, F.length(before) + len(mark) + 1, F.length(raw)), r"^\s+", "")
+    size = F.when(F.contains(raw, F.lit(mark)), _balanced(after))
+    header = F.substring(after, F.lit(1), size)
+    url = F.when(size.isNotNull(), F.concat(before, F.substring(after, size + 1, F.length(after)))).otherwise(raw)
     charset = F.nullif(F.trim(F.regexp_extract(url, r"(?s)\|charset=(.*)$", 1)), F.lit(""))
     url = F.regexp_replace(url, r"(?s)\|charset=.*$", "")
     body = F.when(F.contains(url, F.lit("@body")), F.trim(F.regexp_replace(F.regexp_replace(url, "(?s)^.*?@body", ""), "^[:=]+", "")))
@@ -115,14 +136,72 @@ def copy_sources(catalog: DataFrame, source_ns: str, target_ns: str, key: str =
     return catalog.join(copied.select(ns, key), [ns, key], "left_anti").unionByName(copied)
 
 
-def recovered(texts: DataFrame, text_col: str = "value", keys: tuple[str, ...] = ("bookUrl", "origin")) -> DataFrame:
+_MARKS = re.compile(r'["\\{}\n]')
+
+
+def _closed_objects(text: str, lo: int, strings: bool) -> tuple[list[tuple[int, int]], int | None]:
+    """Outermost objects that close from place lo on, and where the first that never does begins. strings: braces in those don't count."""
+    open_at, closed = [], []
+    quoted, skip = False, -1
+    for m in _MARKS.finditer(text, lo):
+        at, mark = m.start(), m[0]
+        if at == skip or not (open_at or mark == "{"):
+            continue
+        if mark == "\\":
+            skip = at + 1 if quoted else skip
+        elif mark == '"':
+            quoted = strings and not quoted
+        elif mark == "\n":
+            quoted = False
+        elif not quoted and mark == "{":
+            open_at.append(at)
+        elif not quoted:
+            start = open_at.pop()
+            while closed and closed[-1][0] > start:
+                closed.pop()
+            closed.append((start, at + 1))
+    return closed, open_at[0] if open_at else None
+
+
+def objects_in(text: str) -> list[tuple[int, int]]:
+    """Places of the outermost objects of a text that close, whatever stands around them, in one pass over its marks.
+
+    Braces in strings don't count, and a line break ends a string, which JSON writes otherwise. From an object that never
+    closes on, a quotation mark may be what is missing: there a second pass goes by the braces alone."""
+    found, cut = _closed_objects(text, 0, True)
+    if cut is not None:
+        ends = [y for _, y in found]
+        starts = [x for x, _ in found]
+        for x, y in _closed_objects(text, cut, False)[0]:
+            i = bisect.bisect_right(ends, x)  # of the first object that ends behind x
+            if i == len(found) or starts[i] >= y:
+                found.append((x, y))
+    return sorted(found)
+
+
+def recovered(texts: DataFrame, text_col: str = "value", keys: tuple[str, ...] = ("bookUrl", "origin"), order: tuple[str, ...] = ()) -> DataFrame:
     """The objects that can still be read in damaged or concatenated JSON, each key once: item (JSON text) and its keys.
 
-    Objects are found by their braces, those within objects (two levels) as part of them; what doesn't parse is left out."""
-    found = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"), F.lit(0))
-    rows = texts.select(F.monotonically_increasing_id().alias("_t"), F.posexplode(found).alias("_i", "item")).where(F.try_parse_json("item").isNotNull())
-    rows = rows.select("_t", "_i", "item", *(F.get_json_object("item", f"$.{k}").alias(k) for k in keys)).where(F.col(keys[0]).isNotNull())
-    return rows.groupBy(*keys).agg(F.min_by("item", F.struct("_t", "_i")).alias("item"))
+    Of objects with equal keys the first stays, by the order columns of its text, then by the text, then by its place there.
+    Objects within objects are part of them; what doesn't parse is left out."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                text = b.column(0)[row].as_py() or ""
+                found = objects_in(text)
+                for lo in range(0, len(found), 1000):
+                    some = found[lo : lo + 1000]
+                    same = pa.array([row] * len(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(some)), pa.int64()), pa.array([text[x:y] for x, y in some]), *(b.column(i).take(same) for i in range(1, b.num_columns))], ["i", "item", *b.schema.names[1:]])
+
+    before = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    rows = texts.select(F.col(text_col).cast("string").alias("t"), F.md5(F.col(text_col).cast("string")).alias("hash"), *before)
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("item", T.StringType()), *rows.schema.fields[1:]])
+    found = rows.mapInArrow(scan, schema).where(F.try_parse_json("item").isNotNull())
+    place = F.struct(*(f"o{i}" for i in range(len(order))), "hash", "i")
+    kept = found.select("item", place.alias("_at"), *(F.get_json_object("item", f"$['{k}']").alias(k) for k in keys)).where(F.col(keys[0]).isNotNull())
+    return kept.groupBy(*keys).agg(F.min_by("item", "_at").alias("item"))
 
 
 #: Names of charsets that the JVM's decode lacks here, and Python's for them.

@@ -1,5 +1,7 @@
 """Column functions and rules on small inputs."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,24 @@ def test_search_over_sources(spark):
     rows = extract.search(pages, [{"source_url": "s1", "source_ord": 0, **css}, {"source_url": "s2", "source_ord": 1, **css}, {"source_url": "s3", "source_ord": 2, "list": "$.l", "fields": {"name": "$.n", "book_url": "$.u"}}])
     got = {(r["source_ord"], r["item_ix"], r["name"], r["book_url"]) for r in rows.collect()}
     assert got == {(0, 0, "One", "http://s1.com/b1"), (0, 1, "Two", "http://s1.com/b2"), (1, 0, "Detail", "http://s2.com/d"), (2, 0, "J", "http://s3.com/j")}
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A megabyte with 50,000 places of a word, a sentence of as much, and as many sentences."""
+    texts = [("words", "hit word " * 50_000 + "end " * 100_000), ("sentence", "word, " * 170_000), ("bare", "x" * 1_000_000), ("sentences", "short one! " * 90_000)]
+    df = spark.createDataFrame(texts, "k string, t string")
+    began = time.time()
+    got = {r["k"]: r for r in df.select("k", X.in_context(F.col("t"), "hit").alias("hits"), X.chunks(F.col("t")).alias("chunks")).collect()}
+    assert time.time() - began < 60
+    assert [h["at"] for h in got["words"]["hits"]] == list(range(0, 450_000, 9)) and got["words"]["hits"][1]["snippet"] == "hit word hit word hit word hit…"
+    assert "".join(got["bare"]["chunks"]) == "x" * 1_000_000 and max(map(len, got["sentence"]["chunks"])) <= 70
+    assert "".join(got["sentences"]["chunks"]).replace(" ", "") == ("short one! " * 90_000).replace(" ", "")
+
+
+def test_parts_of_texts(spark):
+    text = "".join(chr(97 + i % 26) for i in range(3 * X.PIECE + 7))
+    df = spark.createDataFrame([(lo, n) for lo in (0, 1, X.PIECE - 1, X.PIECE, 2 * X.PIECE - 3, 3 * X.PIECE) for n in (0, 1, 6, X.PIECE + 1)], "lo int, n int").withColumn("t", F.lit(text))
+    for r in df.select("lo", "n", X.let(X.in_pieces(F.col("t")), lambda p: X.part(p, F.col("lo"), F.col("n"))).alias("got")).collect():
+        assert r["got"] == text[r["lo"] : r["lo"] + r["n"]]
+    sums = spark.range(1).select(X.starts(F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: i.cast("int"))).alias("s")).first()["s"]
+    assert sums == [i * (i - 1) // 2 for i in range(2001)]

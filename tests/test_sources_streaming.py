@@ -133,3 +133,36 @@ def test_summaries(spark):
 
     rows = spark.createDataFrame([("old", "第3章 recap：x"), ("old", " "), ("old", "new"), ("old", "x" * 2000)], "p string, n string").select(X.next_summary(F.col("p"), F.col("n")).alias("s")).collect()
     assert [r["s"] for r in rows[:3]] == ["old", "old", "new"] and len(rows[3]["s"]) == 1200
+
+
+def recovered_urls(spark, *texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, value string").repartition(2)
+    return sorted((r["bookUrl"], r["origin"]) for r in catalogs.recovered(rows, order=("n",)).collect())
+
+
+def test_damaged_shelves(spark):
+    deep = '{"bookUrl":"deep","origin":"w","x":' + '{"y":' * 10 + "1" + "}" * 11
+    big = json.dumps({"bookUrl": "big", "origin": "w", "intro": "é \\ { \" } " * 90_000})
+    assert recovered_urls(spark, '{"bookUrl":"a","origin":"w","intro":"say } ok"}') == [("a", "w")]
+    assert recovered_urls(spark, f"[{deep},{big}]") == [("big", "w"), ("deep", "w")]
+    cut = '[{"bookUrl":"a","origin":"w"},{"bookUrl":"b","origin":"w","intro":"never {ends'
+    assert recovered_urls(spark, cut, None, "", '{"bookUrl":}', "}}}", "{" * 200_000, '"' * 100_001 + "{}") == [("a", "w")]
+    assert recovered_urls(spark, '{"bookUrl":"/cut{"bookUrl":"b","origin":"v"}garbage"{"bookUrl":"c","origin":"v"}') == [("b", "v"), ("c", "v")]
+    assert recovered_urls(spark, '{"x":"open\n{"bookUrl":"d","origin":"v","y":{"z":1}}') == [("d", "v")]
+    rows = spark.createDataFrame([(2, '{"bookUrl":"a","origin":"w","v":2}'), (1, '{"bookUrl":"a","origin":"w","v":1}')], "n int, value string")
+    assert json.loads(catalogs.recovered(rows, order=("n",)).first()["item"])["v"] == 1
+
+
+def test_long_fields_take_no_stack(spark):
+    """A megabyte in the place of a header, a category's URL and a list of empty lines."""
+    from folio_spark.operators import extract
+
+    long = "x/y\\" * 250_000
+    header = "{" + '"a":{"b":{"c":{"d":"' + "v" * 1_000_000 + '"}}}}'
+    texts = {"header": f"/s@Header: {header}|charset=gbk", "open": "/s@Header:{" + "x" * 1_000_000, "kinds": f'[<"title":"t","url":"{long.replace(chr(92), "")}">]', "lines": "a::b" + "\n" * 1_000_000 + "c"}
+    df = spark.createDataFrame(list(texts.items()), "k string, t string")
+    got = {r["k"]: r for r in df.select("k", catalogs.legacy_url_rule(F.col("t")).alias("rule"), extract.explore_kinds(F.col("t")).alias("kinds")).collect()}
+    assert got["header"]["rule"] == f'/s,{{"charset":"gbk","headers":{header}}}'
+    assert got["open"]["rule"].startswith("/s@Header:{xxx")
+    assert [(k["title"], len(k["url"])) for k in got["kinds"]["kinds"]] == [("t", 750_000)]
+    assert [(k["title"], k["url"]) for k in got["lines"]["kinds"]] == [("a", "b"), ("c", None)]
