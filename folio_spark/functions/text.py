@@ -76,8 +76,8 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-#: Items that one growing array takes, and characters of a piece of a text that is read by places.
-TOGETHER, PIECE = 512, 2048
+#: Items that one growing array takes; characters of a piece of a text that is read by places, and pieces cut at a time.
+TOGETHER, PIECE, SHEET = 512, 512, 64
 
 
 def gathered(xs: Column, start: Column, follow, emit, kind: str) -> Column:
@@ -106,8 +106,14 @@ def starts(lengths: Column) -> Column:
 
 
 def in_pieces(text: Column) -> Column:
-    """A text as pieces of equal length, for part()."""
-    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+    """A text as pieces of equal length, for part(). Cut twice, as each cut reads from the beginning."""
+
+    def cut(whole: Column, size: int, last: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(whole, i * size + 1, F.lit(size)))
+
+    sheet = PIECE * SHEET
+    sheets = let(text, lambda t: cut(t, sheet, F.floor(F.length(t) / sheet).cast("int")))
+    return F.flatten(F.transform(sheets, lambda t: cut(t, PIECE, F.greatest(F.ceil(F.length(t) / PIECE).cast("int") - 1, F.lit(0)))))
 
 
 def part(pieces: Column, lo: Column, n: Column) -> Column:
