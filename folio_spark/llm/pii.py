@@ -5,7 +5,8 @@ tokens by their form) and ssn, of which the last two need a context word.
 Positions come from two built-ins over the same pattern: split() gives what lies between the matches and
 regexp_extract_all() the matches, so running lengths give each start in code points. The patterns are possessive
 and begin only where a run of their characters begins (or where the last match ended), which keeps a scan linear
-in the text without changing what is matched. Cheap tests come first, so most texts meet no pattern.
+in the text without changing what is matched; what stands near a match is read from pieces of the text, so a text with many
+matches takes time in proportion too. Cheap tests come first, so most texts meet no pattern.
 
 Defined results: a null text is an empty one and has no spans; spans of different kinds may overlap, and redaction
 then covers their union under the first kind's name; of spans that start at one place the kinds' order decides; repeated
@@ -20,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio_spark.functions.text import gathered, in_pieces, let, part
+
 _LOCAL = "A-Za-z0-9._%+-"
 
 
@@ -73,29 +76,33 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
+
+
 def _located(text: Column, kind: Kind) -> Column:
     """Confirmed matches of a kind that reach the threshold, as structs of start, rank of the kind, end, kind and score."""
     rank = KINDS.index(kind)
+    none = F.array().cast(f"array<{_SPAN}>")
     pairs = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit"))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hit:string>>")
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["hit"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), p["hit"].alias("hit"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(p["hit"].isNotNull() & F.coalesce(confirmed(kind.name, p["hit"]), F.lit(False)), F.concat(acc["got"], F.array(one))).otherwise(acc["got"]).alias("got"))
+    def follow(at: Column, p: Column) -> Column:
+        return at + F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))
+
+    def scored(pieces: Column):
+        def emit(at: Column, p: Column) -> Column:
+            def span(start: Column) -> Column:
+                end, lo = start + F.length(p["hit"]), F.greatest(start - BEFORE, F.lit(0))
+                near = F.lower(F.concat_ws(" ", part(pieces, lo, start - lo), part(pieces, end, F.lit(AFTER))))
+                score = F.least(F.lit(1.0), F.lit(kind.base) + F.when(near.rlike(rf"\b(?:{kind.context})"), LIFT).otherwise(0.0))
+                one = lambda x: F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), x.alias("score"))
+                return F.filter(F.transform(F.array(score), one), lambda x: x["score"] >= THRESHOLD)
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("got")), step, lambda acc: acc["got"])
+            return F.when(p["hit"].isNotNull() & F.coalesce(confirmed(kind.name, p["hit"]), F.lit(False)), let(at + F.length(p["gap"]), span)).otherwise(none)
 
-    def scored(s: Column) -> Column:
-        lo = F.greatest(s["start"] - BEFORE, F.lit(0))
-        near = F.lower(F.concat_ws(" ", F.substring(text, lo + 1, s["start"] - lo), F.substring(text, s["end"] + 1, F.lit(AFTER))))
-        score = F.least(F.lit(1.0), F.lit(kind.base) + F.when(near.rlike(rf"\b(?:{kind.context})"), LIFT).otherwise(0.0))
-        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), score.alias("score"))
+        return gathered(pairs, F.lit(0), follow, emit, _SPAN)["got"]
 
-    kept = F.filter(F.transform(found, scored), lambda s: s["score"] >= THRESHOLD)
     guard = F.contains(text, F.lit("@")) if kind.name == "email" else text.rlike(kind.guard)
-    return F.when(guard, kept).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>"))
+    return F.when(guard, let(in_pieces(text), scored)).otherwise(none)
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -107,13 +114,13 @@ def find_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> D
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans count as one."""
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        added = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(apart, added).otherwise(acc["out"]).alias("out"), F.greatest(s["end"], acc["at"]).alias("at"))
+    def of(pieces: Column) -> Column:
+        between = lambda at, s: F.array(part(pieces, at, s["start"] - at), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        emit = lambda at, s: F.when(s["start"] >= at, between(at, s)).otherwise(F.array().cast("array<string>"))
+        done = gathered(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]), emit, "string")
+        return let(done, lambda d: F.concat(F.array_join(d["got"], ""), F.substring(text, d["at"] + 1, F.length(text))))
 
-    done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, let(in_pieces(text), of)).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
