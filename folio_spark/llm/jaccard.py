@@ -240,10 +240,10 @@ def members_of(docs: DataFrame, text_col: str, k: int, percent: int, first_heavy
             if len(keys):
                 rows.append((int(node[at].astype(np.int64)), int(n[at]), band_of(int(n[at]), percent), np.sort(x[at : at + s]).tobytes(), keys.view(np.int64)))
             if len(rows) == 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
         del got, owner, node, n, x, rarity, order, rows
         give_back()
 

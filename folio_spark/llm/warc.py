@@ -249,11 +249,12 @@ class WarcDataSource(DataSource):
         return WarcWriter(dict(self.options))
 
 
-def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", least: int = 1000) -> None:
-    """Write a record per page. Of equal payloads of at least `least` bytes the one with the largest id is a response
+def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", least: int = 1000, url_col: str = "url") -> None:
+    """Write a record per page, dated now, of its URL (where the table has none, of its record's id). Of equal payloads of at least `least` bytes the one with the largest id is a response
     (each of them, if that id repeats) and the others revisit it. A null id never is the largest if there is another."""
-    rows = pages.select(F.col(id_col).alias("_id"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.select("_id", "payload", F.sha1("payload").alias("_sha"), F.length("payload").alias("_len"))
+    url = F.nullif(F.regexp_replace(F.col(url_col), r"[\x00-\x20\x7F]", ""), F.lit("")) if url_col in pages.columns else F.lit(None).cast("string")
+    rows = pages.select(F.col(id_col).alias("_id"), url.alias("_url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.select("_id", "_url", "payload", F.sha1("payload").alias("_sha"), F.length("payload").alias("_len"))
     keys = rows.select("_id", "_sha", "_len").where(F.col("_len") >= least)
     largest = keys.groupBy("_sha").agg(F.max("_id").alias("_max"), F.count("*").alias("_n")).where("_n > 1 and _max is not null").select("_sha", "_max")
     again = keys.join(largest, "_sha").where(~F.col("_id").eqNullSafe(F.col("_max"))).select(F.col("_id").alias("_i"), F.col("_sha").alias("_s"), "_max").distinct()
@@ -261,9 +262,12 @@ def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", html_col
     marked = rows.join(again, rows["_id"].eqNullSafe(again["_i"]) & (rows["_sha"] == again["_s"]), "left")
     revisit = F.col("_max").isNotNull()
     page = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    name = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("null:"), F.col("_sha")))
     marked.select(
         F.when(revisit, "revisit").otherwise("response").alias("warc_type"),
-        page(F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("null:"), F.col("_sha")))).alias("record_id"),
+        page(name).alias("record_id"),
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+        F.coalesce(F.col("_url"), F.concat(F.lit("urn:page:"), name)).alias("target_uri"),
         F.when(revisit, page(F.col("_max"))).alias("refers_to"),
         F.concat(F.lit("sha1:"), F.col("_sha")).alias("payload_digest"),
         F.col("_id").cast("string").alias("page_id"),
@@ -282,7 +286,7 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
 
     prepare(spark)
     path = new_path(spark, "warc")
-    archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), path)
+    archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     whole = spark.read.format("warc").load(path).where("warc_type = 'response'")
     heads = spark.read.format("warc").schema(T.StructType([f for f in SCHEMA if f.name != "payload"])).load(path).where("warc_type = 'revisit'")
     page_id = F.col("page_id").cast("long").alias("page_id")
