@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -136,6 +137,7 @@ def test_warc_round_trip(spark, tmp_path):
     warc.archive_pages(pages, path)
     rows = spark.read.format("warc").load(path).collect()
     assert len(rows) == 8
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r["date"]) and r["target_uri"].startswith("urn:page:") for r in rows)
     got = collections.Counter((r["page_id"], r["warc_type"], r["refers_to"]) for r in rows)
     assert got == {("1", "revisit", "<urn:page:2>"): 1, ("2", "response", None): 2, ("3", "response", None): 1, ("4", "response", None): 1, ("5", "response", None): 1, ("6", "response", None): 1, (None, "revisit", "<urn:page:2>"): 1}
     for r in rows:
@@ -147,6 +149,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert spark.read.format("warc").load(path).where("page_id = '77'").count() == 0  # no manifest lists it
 
 
+def test_warc_records_name_their_pages(spark, tmp_path):
+    warc.prepare(spark)
+    path = f"file://{tmp_path}/w"
+    warc.archive_pages(spark.createDataFrame([(1, "a", "http://h/ \r\nX: y"), (2, "b", None)], "page_id long, html string, url string"), path)
+    assert {r["page_id"]: r["target_uri"] for r in spark.read.format("warc").load(path).collect()} == {"1": "http://h/X:y", "2": "urn:page:2"}
+
+
 def test_warc_reads_plain_and_foreign_gzip(spark, tmp_path):
     import gzip
 

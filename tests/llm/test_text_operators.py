@@ -1,5 +1,6 @@
 """Toxicity, PII, LM scoring, token counts, decontamination and the Jaccard join against brute force."""
 
+import time
 import collections
 import hashlib
 import math
@@ -385,3 +386,14 @@ def test_toxicity_learns_words_and_misspellings(spark):
     assert out[900] < 0.5 and out[901] < 0.5 and out[902] < 0.5 and out[903] >= 0.5
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), known)).count() == 0
     assert {x["score"] < 1e-6 for x in toxicity.score(docs, toxicity.fit(docs, known.limit(0))).collect()} == {True}
+
+
+def test_personal_data_in_a_long_text(spark):
+    """A megabyte and a half with 50,000 spans, found and replaced in time proportional to it."""
+    line = "mail me at someone@example.com or call +1 415 555 1234 today, "
+    df = spark.createDataFrame([(1, line * 25_000)], "doc_id long, text string")
+    began = time.time()
+    found = pii.find_spans(df).first()["spans"]
+    assert [(s["start"], s["end"]) for s in found[-2:]] == [(len(line) * 24_999 + 11, len(line) * 24_999 + 30), (len(line) * 24_999 + 39, len(line) * 24_999 + 54)]
+    assert len(found) == 50_000 and pii.redact(df).first()["text"] == "mail me at [EMAIL] or call [PHONE] today, " * 25_000
+    assert time.time() - began < 90
