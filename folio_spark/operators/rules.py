@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.functions.text import let
+from folio_spark.functions.text import gathered, let, starts
 
 from .shred import trees
 
@@ -116,50 +116,84 @@ def _matches(step: Step, i: Column) -> Column:
     return F.contains(F.array_join(F.transform(own, lambda r: F.trim(r["text"])), ""), F.lit(step.value))
 
 
-def _picked(step: Step, found: Column) -> Column:
-    """The places of `found` that a step's position names, in the position's order."""
-    if not step.picks:
-        return found
+def _picked(step: Step, n: Column, at: Callable[[Column], Column]) -> Column:
+    """Those of n places, of which at(j) is the jth, that a step's position names, in the position's order."""
+    parts = []
+    for p in step.picks:
+        if isinstance(p, tuple):
+            start = F.lit(p[0] if p[0] is not None else (0 if p[2] > 0 else -1))
+            end = F.lit(p[1] if p[1] is not None else (-1 if p[2] > 0 else 0))
+            lo, hi = (F.greatest(F.lit(0), F.least(n - 1, F.when(x < 0, x + n).otherwise(x))) for x in (start, end))
+            parts.append(F.when(n == 0, _none(NO_PLACES)).when(lo <= hi, F.sequence(lo, hi, F.lit(abs(p[2])))).otherwise(F.sequence(lo, hi, F.lit(-abs(p[2])))))
+        else:
+            parts.append(F.array(F.lit(p) if p >= 0 else n + p))
+    named = F.array_distinct(F.concat(*parts)) if len(parts) > 1 or isinstance(step.picks[0], tuple) else parts[0]
+    if step.exclude:
+        return let(named, lambda a: F.transform(F.filter(_span(F.lit(0), n - 1), lambda j: ~F.array_contains(a, j)), at))
+    return F.transform(F.filter(named, lambda j: (j >= 0) & (j < n)), at)
 
-    def choose(m: Column) -> Column:
-        n, parts = F.size(m), []
-        for p in step.picks:
-            if isinstance(p, tuple):
-                start = F.lit(p[0] if p[0] is not None else (0 if p[2] > 0 else -1))
-                end = F.lit(p[1] if p[1] is not None else (-1 if p[2] > 0 else 0))
-                lo, hi = (F.greatest(F.lit(0), F.least(n - 1, F.when(x < 0, x + n).otherwise(x))) for x in (start, end))
-                parts.append(F.when(n == 0, _none(NO_PLACES)).when(lo <= hi, F.sequence(lo, hi, F.lit(abs(p[2])))).otherwise(F.sequence(lo, hi, F.lit(-abs(p[2])))))
-            else:
-                parts.append(F.array(F.lit(p) if p >= 0 else n + p))
-        at = F.array_distinct(F.concat(*parts))
-        if step.exclude:
-            return let(at, lambda a: F.filter(m, lambda x, j: ~F.array_contains(a, j)))
-        return F.transform(F.filter(at, lambda j: (j >= 0) & (j < n)), lambda j: F.get(m, j))
 
-    return let(found, choose)
+def _step(step: Step, i: Column) -> Column:
+    """What a step selects from one element."""
+    if step.kind == "children":
+        found = F.when(i < 0, F.filter(_below(i), lambda k: _node(k)["parent"] == i)).otherwise(_node(i)["kids"])
+    else:
+        below = _below(i)
+        if step.kind == "text":
+            below = F.when(i >= 0, F.concat(F.array(i), below)).otherwise(below)
+        found = F.filter(below, lambda k: _matches(step, k))
+    return let(found, lambda m: _picked(step, F.size(m), lambda j: F.get(m, j))) if step.picks else found
 
 
-def _step(step: Step, i: Column) -> Column:
+def _each(step: Step, places: Column) -> Column:
+    return F.flatten(F.transform(places, lambda i: _step(step, i)))
+
+
+def _outermost(places: Column) -> Column:
+    """Elements, in the page's order, without those that stand in others of them."""
+    return gathered(places, F.lit(-1), lambda end, i: F.greatest(end, _node(i)["last"]), lambda end, i: F.when(i > end, F.array(i)).otherwise(_none(NO_PLACES)), "int")["got"]
+
+
+def _ranked(step: Step, places: Column) -> Column:
+    """A step with a position, from elements that may stand in each other: what matches is found once for all of them, and each
+    element's matches are a range of that."""
+    first, end = F.array_min(places), F.array_max(F.transform(places, lambda i: _node(i)["last"]))
+
+    def from_flags(z: Column) -> Column:
+        found, before, lo = z["found"], z["before"], z["lo"]
+
+        def of(i: Column) -> Column:
+            start = F.get(before, i - lo + (0 if step.kind == "text" else 1))
+            return let(F.struct(start.alias("at"), (F.get(before, _node(i)["last"] + 1 - lo) - start).alias("n")), lambda r: _picked(step, r["n"], lambda j: F.get(found, r["at"] + j)))
+
+        return F.flatten(F.transform(places, of))
+
+    def flagged(some: Column) -> Column:
+        flags = F.transform(some["all"], lambda k: _matches(step, k).cast("int"))
+        return let(flags, lambda f: let(F.struct(F.filter(some["all"], lambda k, j: F.get(f, j) == 1).alias("found"), starts(F.array_append(f, F.lit(0))).alias("before"), some["lo"].alias("lo")), from_flags))
+
+    return let(F.struct(F.sequence(first, end).alias("all"), first.alias("lo")), flagged)
+
+
+def _from_all(step: Step, places: Column) -> Column:
+    """What a step selects from several elements. Those that stand in others of them add nothing to a step without position, and
+    with one share the search; either way it takes time in proportion to the part of the page."""
     if step.kind == "children":
-        return _picked(step, F.filter(_below(i), lambda k: _node(k)["parent"] == i))
-    below = _below(i)
-    if step.kind == "text":
-        below = F.when(i >= 0, F.concat(F.array(i), below)).otherwise(below)
-    return _picked(step, F.filter(below, lambda k: _matches(step, k)))
+        return _each(step, places)
+    if step.picks:
+        return let(places, lambda p: F.when(F.size(p) > 1, _ranked(step, p)).otherwise(_each(step, p)))
+    return _each(step, let(places, lambda p: F.when((F.size(p) > 1) & (p == F.array_sort(p)), _outermost(p)).otherwise(p)))
 
 
 def elements(rule: str, start: Column) -> Column:
     """Places of the elements that the steps of a rule (without extractor) select below element `start`, each once."""
+    steps = [parse_step(text) for text in rule.split("@")] if rule else []
     now = F.array(start)
-    for text in rule.split("@") if rule else []:
-        now = F.array_distinct(F.flatten(F.transform(now, _into(parse_step(text)))))
+    for at, step in enumerate(steps):
+        now = F.array_distinct(_from_all(step, now)) if at else _step(step, start)
     return now
 
 
-def _into(step: Step) -> Callable[[Column], Column]:
-    return lambda i: _step(step, i)
-
-
 def item_places(rule: str) -> Column:
     """Places of the elements of a list rule, in which combinators join lists."""
     joint = next((j for j in ("&&", "||", "%%") if j in rule), None)

@@ -25,14 +25,14 @@ BLOCKS = frozenset("p div ul ol dl table section article header footer nav h1 h2
 SCOPES = frozenset("ul ol table dl select html body div article section".split())
 HIDDEN = frozenset(("script", "style"))
 
-ELEMENT = "last int, parent int, depth int, child_ix int, tag string, attrs map<string,string>, run_lo int, run_hi int, src_lo int, src_hi int"
+ELEMENT = "last int, parent int, depth int, child_ix int, tag string, attrs map<string,string>, run_lo int, run_hi int, src_lo int, src_hi int, kids array<int>"
 RUN = "owner int, shown boolean, text string"
 #: Pages, and characters of them, that one batch of the tokeniser holds.
 ROWS, SIZE = 64, 8 << 20
 
 
 class _Shredder(HTMLParser):
-    """Elements as [last, parent, depth, child_ix, tag, attrs, run_lo, run_hi, src_lo, src_hi] and texts as (owner, shown, text).
+    """Elements as [last, parent, depth, child_ix, tag, attrs, run_lo, run_hi, src_lo, src_hi, kids] and texts as (owner, shown, text).
 
     Each step takes the same time however many elements are open: places of open elements are kept by name.
     """
@@ -95,8 +95,10 @@ class _Shredder(HTMLParser):
             self._close(max(ends), start)
         depth = len(self.open)
         end = start + len(self.get_starttag_text() or "")
-        self.rows.append([None, self.open[-1] if depth else -1, depth, self.children[-1], tag, {k: v or "" for k, v in reversed(attrs)}, len(self.runs), None, start, end])
+        self.rows.append([None, self.open[-1] if depth else -1, depth, self.children[-1], tag, {k: v or "" for k, v in reversed(attrs)}, len(self.runs), None, start, end, []])
         self.children[-1] += 1
+        if depth:
+            self.rows[self.open[-1]][10].append(len(self.rows) - 1)
         self.open.append(len(self.rows) - 1)
         self.children.append(0)
         self.places.setdefault(tag, []).append(depth)
@@ -144,11 +146,12 @@ def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
 def _batch(b: pa.RecordBatch, at: int) -> pa.RecordBatch:
     pages = [shred_page(t.as_py()) for t in b.column(at)]
     rows, runs = [r for p in pages for r in p[0]], [r for p in pages for r in p[1]]
-    columns = list(zip(*rows)) or [()] * 10
+    columns = list(zip(*rows)) or [()] * 11
     keys = [(k, v) for a in columns[5] for k, v in a.items()]
     offsets = pa.array(np.append(0, np.cumsum([len(a) for a in columns[5]])), pa.int32())
     attrs = pa.MapArray.from_arrays(offsets, pa.array([k for k, _ in keys], pa.string()), pa.array([v for _, v in keys], pa.string()))
-    parts = [attrs if i == 5 else pa.array(c, pa.string() if i == 4 else pa.int32()) for i, c in enumerate(columns)]
+    kinds = {4: pa.string(), 10: pa.list_(pa.int32())}
+    parts = [attrs if i == 5 else pa.array(c, kinds.get(i, pa.int32())) for i, c in enumerate(columns)]
     elements = pa.StructArray.from_arrays(parts, [f.split()[0] for f in ELEMENT.split(", ")])
     texts = list(zip(*runs)) or [()] * 3
     texts = pa.StructArray.from_arrays([pa.array(texts[0], pa.int32()), pa.array(texts[1], pa.bool_()), pa.array(texts[2], pa.string())], ["owner", "shown", "text"])
