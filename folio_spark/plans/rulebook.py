@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio_spark.functions import urls as U
-from folio_spark.operators import extract, rules
+from folio_spark.operators import extract, programs, rules
 from folio_spark.operators.shred import trees
 
 from .listings import table
@@ -115,7 +115,37 @@ def e24(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.posexplode(extract.explore_kinds(text)).alias("pos", "k")).select("s_suppkey", "pos", F.col("k.title").alias("title"), F.col("k.url").alias("url"))
 
 
+def many_sources(spark, sf):
+    """A catalog with rules of its own for every part: selections, patterns and JSON paths by turns; and pages that eight of these read each."""
+    k = F.col("p_partkey")
+    key, third = k.cast("string"), F.floor(k / 3)
+    listed = F.when(k % 3 == 0, F.concat(F.lit("tag.nav@tag.li["), (third % 3).cast("string"), F.lit(":"), (third % 5).cast("string"), F.lit("]"))).when(k % 3 == 1, ':<li><a href="([^"]*)">([^<]*)</a>').otherwise("$.books[*]")
+    name = F.concat(F.when(k % 3 == 0, "tag.a@text##$##-").when(k % 3 == 1, "$2-").otherwise("n##$##-"), key)
+    link = F.when(k % 3 == 0, "tag.a@href").when(k % 3 == 1, "$1").otherwise("$.u")
+    catalog = table(spark, sf, "part").select(F.concat(F.lit("s"), key).alias("source_url"), listed.alias("list"), F.create_map(F.lit("name"), name, F.lit("book_url"), link).alias("fields"))
+    each = table(spark, sf, "part").agg(F.floor(F.count("*") / 3).alias("m"))
+    pages = sourced(spark, sf).drop("source_url").crossJoin(F.broadcast(each)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    source = (F.floor(F.col("page_id") / 3) * 8 + F.col("j")) % F.col("m") * 3 + F.col("page_id") % 3
+    return pages.select("page_id", "url", "html", "j", F.concat(F.lit("s"), source.cast("string")).alias("source_url")), catalog
+
+
+def e17_data(spark, sf):
+    names = ("name", "book_url")
+    pages, catalog = many_sources(spark, sf)
+    return programs.search(pages, programs.compiled(catalog, "list", "fields", names), names, keep=("j",)).select("page_id", "j", "source_url", "item_ix", "name", "book_url")
+
+
+def e20_data(spark, sf):
+    """Whole pages' fields by rules of as many sources."""
+    pages, catalog = many_sources(spark, sf)
+    k = F.regexp_extract("source_url", r"\d+", 0)
+    rules_of = F.when(k.cast("long") % 3 == 2, F.create_map(F.lit("name"), F.concat(F.lit("$.books[1].n##d$##-"), k), F.lit("kind"), F.lit("books[0].u"))).otherwise(F.create_map(F.lit("name"), F.concat(F.lit("tag.nothing@text||tag.nav@tag.li."), F.pmod(k.cast("long"), F.lit(4)).cast("string"), F.lit("@tag.a@href")), F.lit("kind"), F.lit("tag.html@lang")))
+    names = ("name", "kind", "author")
+    return programs.details(pages, programs.compiled(catalog.select("source_url", rules_of.alias("r")), None, "r", names), names, keep=("j",)).select("page_id", "j", "source_url", *names)
+
+
 QUERIES = {
+    "e17_rules_as_data": e17_data, "e20_rules_as_data": e20_data,
     "e05_source_text": e05_source, "e07_pages_in_pages": e07, "e09_xpath_values": e09, "e09_xpath_list": e09_list, "e11_json_items": e11, "e16_routing": e16, "e17_search": e17, "e18_explore": e18, "e19_detail_fallback": e19,
     "e20_details": e20, "e21_flags": e21_flags, "e21_next_pages": e21_next, "e22_content_rules": e22_rules, "e23_next_content": e23, "e24_explore_kinds": e24,
 }
@@ -127,7 +157,15 @@ _U = "replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&#x27;', '''
 _H1 = _T.format("replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')")
 _J = "SELECT page_id, 2 AS source_ord, i AS item_ix, CASE WHEN i = 0 THEN lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) ELSE 'second' END AS name, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || CASE WHEN i = 0 THEN '/j/' ELSE '/k/' END || page_id AS book_url FROM pages, (VALUES (0), (1)) v(i) WHERE page_id % 3 = 2"
 
+_M = """, third AS (SELECT count(*) // 3 AS m FROM part), q AS (SELECT page_id, url, html, j, (page_id // 3 * 8 + j) % third.m * 3 + page_id % 3 AS k FROM pages, third, range(8) t(j)),
+  n AS (SELECT page_id AS id, count(*) AS n FROM links GROUP BY 1), css AS (SELECT page_id, j, k, least(k // 3 % 3, n - 1) AS lo, least(k // 3 % 5, n - 1) AS hi FROM q JOIN n ON page_id = id WHERE page_id % 3 = 0)"""
+
 SQL = {
+    "e17_rules_as_data": _K + _M + f""" SELECT page_id, j, 's' || k AS source_url, CAST(abs(item_ix - lo) AS INT) AS item_ix, title || '-' || k AS name, {_O} || href AS book_url FROM css JOIN links USING (page_id) WHERE item_ix BETWEEN least(lo, hi) AND greatest(lo, hi)
+ UNION ALL SELECT page_id, j, 's' || k, item_ix, title || '-' || k, {_O} || href FROM q JOIN links USING (page_id) WHERE page_id % 3 = 1
+ UNION ALL SELECT page_id, j, 's' || k, b.item_ix, b.name || '-' || k, b.book_url FROM q JOIN ({_J}) b USING (page_id)""",
+    "e20_rules_as_data": _K + _M + f""" SELECT page_id, j, 's' || k AS source_url, CASE WHEN page_id % 3 = 2 THEN 'secon-' || k ELSE (SELECT href FROM links l WHERE l.page_id = q.page_id AND item_ix = k % 4) END AS name,
+ CASE WHEN page_id % 3 = 2 THEN '/j/' || page_id ELSE regexp_extract(html, '<html lang="([^"]*)"', 1) END AS kind, CAST(NULL AS VARCHAR) AS author FROM q""",
     "e05_source_text": "SELECT page_id, md5(regexp_extract(html, '(?s)<nav>.*?</nav>', 0)) AS html_md5 FROM pages",
     "e07_pages_in_pages": _K + " SELECT page_id, item_ix AS place, title AS value FROM links",
     "e09_xpath_values": """SELECT s_suppkey, CASE WHEN ok THEN s_name END AS name, CASE WHEN ok THEN '2' END AS n, CASE WHEN ok THEN CAST(7 + s_suppkey % 4 AS VARCHAR) END AS total,

@@ -1,5 +1,6 @@
 """Column functions and rules on small inputs."""
 
+import random
 import time
 
 import pytest
@@ -241,3 +242,82 @@ def test_parts_of_texts(spark):
         assert r["got"] == text[r["lo"] : r["lo"] + r["n"]]
     sums = spark.range(1).select(X.starts(F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: i.cast("int"))).alias("s")).first()["s"]
     assert sums == [i * (i - 1) // 2 for i in range(2001)]
+
+
+def selected(html, rule):
+    """What a rule of one chain selects, by walking every element."""
+    nodes, runs = shred_page(html)
+    *steps, take = rule.split("@")
+    now = [-1]
+    for text in steps:
+        s, out = rules.parse_step(text), []
+        for i in now:
+            below = range(i + 1, (len(nodes) if i < 0 else nodes[i][0] + 1))
+            match = {"tag": lambda k: nodes[k][4] == s.value, "class": lambda k: s.value in nodes[k][5].get("class", "").split(), "children": lambda k: nodes[k][1] == i}[s.kind]  # noqa: B023
+            found, at = [k for k in below if match(k)], []
+            n = len(found)
+            for p in s.picks:
+                if isinstance(p, tuple):
+                    a, b = (max(0, min(n - 1, x + n if x < 0 else x)) for x in (p[0] if p[0] is not None else 0, p[1] if p[1] is not None else -1))
+                    at += [] if not n else range(a, b + 1, p[2]) if a <= b else range(a, b - 1, -p[2])
+                else:
+                    at.append(p + n if p < 0 else p)
+            at = list(dict.fromkeys(at))
+            out += (found if not s.picks else [x for j, x in enumerate(found) if j not in at] if s.exclude else [found[j] for j in at if 0 <= j < n])
+        now = list(dict.fromkeys(out))
+    return [v for k in now if (v := nodes[k][5].get(take))]
+
+
+def test_steps_and_programs_by_walking(spark):
+    """Random pages of nested elements: compiled rules and rules as data against a walk over every element."""
+    from folio_spark.operators import programs
+
+    r = random.Random(6)
+
+    def page(depth):
+        out = []
+        for _ in range(r.randrange(1, 4)):
+            tag = r.choice(["div", "span", "ul"])
+            out.append(f'<{tag} class="{r.choice(["a", "b", "a b", ""])}" id=n{r.randrange(10**6)}>{page(depth - 1) if depth else "t"}</{tag}>')
+        return "".join(out)
+
+    pages = [page(r.randrange(1, 6)) for _ in range(25)]
+    chains = ["tag.div@tag.div@id", "tag.div@class.a@tag.span@id", "children@children@tag.div@id", "tag.div@children@class.b@id", "tag.div@tag.span.0@id", "class.a@tag.div.-1@id", "tag.div@children.-1@tag.span[0:1]@id", "class.a[-1:0]@class.b@id", "tag.span!0@class.a!-1@id", "class.a@class.b[1,0]@id", "tag.ul@children@children!0@id"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    trees_ = trees(df)
+    catalog = spark.createDataFrame([(c, {"value": c}) for c in chains], "source_url string, r map<string,string>")
+    compiled = programs.compiled(catalog, None, "r", ("value",))
+    read = programs.read(df.crossJoin(catalog.select("source_url")), compiled)
+    by_data = {(x["page_id"], x["source_url"]): x["v"] for x in read.select("page_id", "source_url", programs.strings(F.get("fields", F.lit(0)), F.lit(-1)).alias("v")).collect()}
+    for c in chains:
+        by_plan = {x["page_id"]: x["v"] for x in trees_.select("page_id", rules.strings(c, F.lit(-1)).alias("v")).collect()}
+        for i, html in enumerate(pages):
+            want = selected(html, c)
+            assert by_plan[i] == want, (c, html)
+            assert by_data[i, c] == want, (c, html)
+
+
+def test_nested_elements_take_time_in_proportion(spark):
+    n = 20_000
+    pages = trees(spark.createDataFrame([(1, "<div>" * n + "<a>x</a><a>y</a>" + "</div>" * n)], "page_id int, html string"))
+    began = time.time()
+    for rule, want in (("tag.div@tag.div@tag.a@text", ["x", "y"]), ("tag.div@tag.div@tag.a.0@text", ["x"]), ("tag.div@children@tag.a.-1@text", ["y"])):
+        assert [r["value"] for r in rules.values(pages, rule).collect()] == want
+    assert time.time() - began < 60
+
+
+def test_programs_that_are_none_say_so(spark):
+    from folio_spark.operators import extract, programs
+
+    rows = [("ok", "tag.li", {"name": "tag.a@text"}), ("script", "<js>x</js>", {"name": "a"}), ("xpath", "//li", {"name": "text()"}), ("put", "tag.li", {"name": "@put:{a:tag.a@text}"}), ("look", ":(?=x)", {"name": "$1"}), ("empty", None, None)]
+    got = {r["source_url"]: r["error"] for r in programs.compiled(spark.createDataFrame(rows, "source_url string, list string, fields map<string,string>"), "list", "fields").collect()}
+    assert {k for k, v in got.items() if v} == {"script", "xpath", "put", "look"}
+    pages = spark.createDataFrame([(1, "ok", "http://h/", "<li><a>A</a></li>"), (2, "xpath", "http://h/", "<li/>"), (3, "empty", "http://h/", "x"), (4, None, "http://h/", None), (5, "ok", "http://h/", None)], "page_id int, source_url string, url string, html string")
+    listed = programs.search(pages, programs.compiled(spark.createDataFrame(rows, "source_url string, list string, fields map<string,string>"), "list", "fields"))
+    assert [(r["page_id"], r["name"], r["book_url"], r["author"]) for r in listed.collect()] == [(1, "A", "http://h/", None)]
+    js = '{"data":[{"n":"A","u":["/1","/2"]},{"n":"B"}]}'
+    for rule, fields in (("$.data", {"name": "$.n", "kind": "u"}), ("data", {"name": "n##A##Z", "kind": "$.u[*]"})):
+        one = [(1, "s", "http://h/", js)]
+        mine = programs.search(spark.createDataFrame(one, "page_id int, source_url string, url string, html string"), programs.compiled(spark.createDataFrame([("s", rule, fields)], "source_url string, list string, fields map<string,string>"), "list", "fields")).collect()
+        same = extract.listing(spark.createDataFrame([(1, js)], "page_id int, html string"), rule, fields).collect()
+        assert [(r["name"], r["kind"]) for r in mine] == [(r["name"], r["kind"]) for r in same]
