@@ -101,32 +101,121 @@ def with_variables(fields: dict[str, str], value: Callable[[str], Column], path:
 
 
 def json_path(rule: str) -> str:
-    if ".." in rule:
-        raise rules.UnsupportedRule(f"rule {rule!r}: deep scan")
+    """A path or key as a path."""
     return rule if rule.startswith("$") else f"$.{rule}" if re.fullmatch(r"[\w-]+(\.[\w-]+|\[\d+\])*", rule) else f"$['{rule}']"
 
 
-def json_value(item: Column, rule: str) -> Column:
-    """The first value of a path or key: arrays as lines, null and missing ones as null."""
+#: Levels to which a scan goes down; parsers of such bodies refuse deeper ones.
+DEEPEST = 128
+_JSON_STEP = re.compile(r"\.\.(?:(\*)|([\w-]+)|\['([^']*)'\])|\.(\*)|\.([\w-]+)|\[(\*)\]|\[(\d+)\]|\['([^']*)'\]|\[\"([^\"]*)\"\]")
+
+
+def json_steps(path: str) -> list[tuple[str, str]]:
+    """The steps of a path: (key, name), (item, number), (each, ''), (deep, name), (all, '')."""
+    out, at = [], 1
+    while at < len(path):
+        m = _JSON_STEP.match(path, at)
+        if not m:
+            raise rules.UnsupportedRule(f"path {path!r}: {path[at:]!r}")
+        star, name, quoted, dot_star, key, any_item, number, single, double = m.groups()
+        if star:
+            out.append(("all", ""))
+        elif name is not None or quoted is not None:
+            out.append(("deep", name if name is not None else quoted))
+        elif dot_star or any_item:
+            out.append(("each", ""))
+        elif number is not None:
+            out.append(("item", number))
+        else:
+            out.append(("key", next(x for x in (key, single, double) if x is not None)))
+        at = m.end()
+    return out
+
+
+def is_deep(path: str) -> bool:
+    """Whether a path holds what Spark's own paths don't: a scan, or steps below an asterisk that stand for many values."""
+    return ".." in path or path.count("*") > 1 or ".*" in path
+
+
+def _under(v: Column) -> Column:
+    """The items of an array, or the values of an object by the order of their names."""
+    kind = "array<variant>"
+    return F.coalesce(F.try_variant_get(v, "$", kind), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast(kind))
+
+
+def _scanned(v: Column) -> Column:
+    """A value and all below it, each before what it holds."""
+    node = "struct<p:array<int>,v:variant>"
+    none = F.array().cast(f"array<{node}>")
+    first = F.array(F.struct(F.array().cast("array<int>").alias("p"), v.alias("v")))
+
+    def level(state: Column, _: Column) -> Column:
+        held = lambda n: F.transform(_under(n["v"]), lambda x, i: F.struct(F.array_append(n["p"], i).alias("p"), x.alias("v")))
+        return F.struct(F.flatten(F.transform(state["now"], held)).alias("now"), F.array_append(state["got"], state["now"]).alias("got"))
+
+    start = F.struct(first.cast(f"array<{node}>").alias("now"), F.array().cast(f"array<array<{node}>>").alias("got"))
+    step = lambda state, i: F.when(F.size(state["now"]) > 0, level(state, i)).otherwise(state)
+    every = F.aggregate(F.sequence(F.lit(0), F.lit(DEEPEST)), start, step, lambda s: F.flatten(s["got"]))
+    order = lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(0)
+    return F.transform(F.array_sort(F.coalesce(every, none), order), lambda n: n["v"])
+
+
+def _getting(path: str) -> Callable[[Column], Column]:
+    return lambda x: F.try_variant_get(x, path, "variant")
+
+
+def json_all(v: Column, path: str) -> Column:
+    """All values (variants) that a path gives of a value; arrays among them as their items."""
+    now = F.array(v)
+    for kind, name in json_steps(path):
+        quoted = name.replace("'", "\\'")
+        if kind in ("deep", "all"):
+            now = F.flatten(F.transform(now, lambda x: _scanned(x)))
+        if kind == "all":
+            now = F.flatten(F.transform(now, _under))
+        elif kind == "each":
+            now = F.flatten(F.transform(now, _under))
+        else:
+            get = f"$[{name}]" if kind == "item" else f"$['{quoted}']"
+            now = F.filter(F.transform(now, _getting(get)), lambda x: x.isNotNull())
+    one = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))
+    return F.filter(F.flatten(F.transform(now, one)), lambda x: x.isNotNull())
+
+
+def json_value(item: Column, rule: str, parsed: Column | None = None) -> Column:
+    """The value of a path or key: arrays as lines, null and missing ones as null; of a path with a scan the first. parsed: the
+    item as variant, where several fields share it."""
     path = json_path(rule)
+    v = F.try_parse_json(item) if parsed is None else parsed
+    if is_deep(path):
+        return X.json_text(F.get(json_all(v, path), F.lit(0)))
     if "*" in path:
         found = F.get_json_object(item, path)
         return F.when(found.startswith("["), F.array_join(F.from_json(found, "array<string>"), "\n")).otherwise(found)
-    return X.json_text(F.try_variant_get(F.try_parse_json(item), path, "variant"))
+    return X.json_text(F.try_variant_get(v, path, "variant"))
 
 
-def json_field(rule: str, item: Column) -> Column:
+def json_field(rule: str, item: Column, parsed: Column | None = None) -> Column:
     """A field of a JSON item. A value with one of / ? & = , in it is a literal."""
     rule, changes, once = rules.split_changes(bare_rule(rule))
-    found = F.lit(rule) if any(c in rule for c in "/?&=,") else json_value(item, rule)
+    found = F.lit(rule) if any(c in rule for c in "/?&=,") else json_value(item, rule, parsed)
     return F.nullif(rules.changed(found, changes, once), F.lit(""))
 
 
+def _json_fields(fields: dict[str, str], item: Column) -> Column:
+    """The fields of an item as a struct; it is parsed once for all of them."""
+    return rules.let(F.try_parse_json(item), lambda v: F.struct(*with_variables(fields, lambda r: json_field(r, item, v), lambda p: json_value(item, p, v))))
+
+
 def json_items(rule: str, fields: dict[str, str], body: Column) -> Column:
     """An array's items are rows; anything else is one."""
-    found = F.get_json_object(body, json_path(bare_rule(rule)))
-    each = F.when(found.startswith("["), F.from_json(found, "array<string>")).otherwise(F.filter(F.array(found), lambda x: x.isNotNull()))
-    return F.transform(each, lambda x: F.struct(*with_variables(fields, lambda r: json_field(r, x), lambda p: json_value(x, p))))
+    path = json_path(bare_rule(rule))
+    if is_deep(path):
+        each = F.transform(json_all(F.try_parse_json(body), path), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v)))
+    else:
+        found = F.get_json_object(body, path)
+        each = F.when(found.startswith("["), F.from_json(found, "array<string>")).otherwise(F.filter(F.array(found), lambda x: x.isNotNull()))
+    return F.transform(each, lambda x: _json_fields(fields, x))
 
 
 def regex_items(rule: str, fields: dict[str, str], body: Column) -> Column:
@@ -198,7 +287,7 @@ def record(fields: dict[str, str], body: str = "source", init: str = "") -> Colu
 
     def of_json() -> Column:
         scope = F.coalesce(F.get_json_object(b, json_path(bare_rule(init))), b) if init and not puts else b
-        return F.struct(*with_variables(before | fields, lambda r: json_field(r, scope), lambda p: json_value(scope, p))[len(before) :])
+        return rules.let(F.struct(scope.alias("t"), F.try_parse_json(scope).alias("v")), lambda z: F.struct(*with_variables(before | fields, lambda r: json_field(r, z["t"], z["v"]), lambda p: json_value(z["t"], p, z["v"]))[len(before) :]))
 
     if mode == XPATH:  # read as HTML where it isn't well-formed and the rules allow it
         return F.struct(*with_variables(before | fields, lambda r: xpath_value(r, b))[len(before) :])

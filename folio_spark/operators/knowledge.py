@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio_spark.functions.text import importance_rank, knowledge_key
+from folio_spark.functions.text import importance_rank, knowledge_key, let
 from folio_spark.sources.stores import checkpointed
 
 
@@ -261,6 +261,19 @@ def places_in_order(places: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order))
 
 
+#: Characters by which a name meets the texts that may hold it.
+GRAM = 4
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of up to GRAM characters of a text."""
+
+    def runs(chars: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.size(chars) - i + 1)), lambda n: F.array_join(F.slice(chars, i, n), ""))))
+
+    return F.when(F.length(text) > 0, F.array_distinct(let(F.split(text, ""), runs))).otherwise(F.array().cast("array<string>"))
+
+
 def infer_parents(places: DataFrame) -> DataFrame:
     """book, name and parent: the given one if it is of a higher level; else a place of a higher level that the own texts
     name; else one whose texts name this place; else, for buildings and rooms, the book's only place of a town's kind, or
@@ -274,9 +287,10 @@ def infer_parents(places: DataFrame) -> DataFrame:
     up = F.when(knowledge_key(F.col("parent_name")) != F.col("key"), F.col("parent_name"))
     kind = knowledge_key(F.col("kind"))
     p = p.select("book", "name", "key", up.alias("given"), text.alias("text"), place_level(F.col("kind")).alias("level"), (kind.rlike(PARENTS) | ~kind.rlike(CHILDREN)).alias("can"), kind.rlike(STRONG).alias("strong"), kind.rlike(CHILDREN).alias("inner"), kind.rlike("城市|城镇|市|城|村落|村|街区|社区|街道").alias("town"))
-    # Which names a text holds: a book's names are one broadcastable row a book, each text is searched once for all of them.
-    names = p.groupBy("book").agg(F.collect_set("key").alias("names"))
-    named = p.join(names, "book").select("book", "key", F.explode(F.filter("names", lambda n: F.contains(F.col("text"), n) & (n != F.col("key")))).alias("other"))
+    # Which names a text holds: names meet texts by the characters they begin with, and only those that do are looked for.
+    grams = p.select("book", "key", "text", F.explode(_grams(F.col("text"))).alias("gram"))
+    begin = p.select("book", F.col("key").alias("other"), F.substring("key", 1, GRAM).alias("gram")).distinct()
+    named = grams.join(begin, ["book", "gram"]).where(F.contains("text", F.col("other")) & (F.col("other") != F.col("key"))).select("book", "key", "other").distinct()
     sides = p.select("book", F.col("key").alias("other"), F.col("name").alias("up"), F.col("level").alias("up_level"), F.col("can").alias("up_can"), F.col("strong").alias("up_strong"))
     own = p.select("book", "key", "level", "given")
     pairs = named.withColumn("how", F.lit(2)).unionByName(named.select("book", F.col("other").alias("key"), F.col("key").alias("other"), F.lit(3).alias("how")))

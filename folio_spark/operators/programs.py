@@ -83,6 +83,8 @@ def parse_rule(text: str, is_list: bool = False, of: str | None = None) -> dict:
             out["literal"] = bare
         elif mode == extract.JSON or ".." not in bare:
             out["path"] = extract.json_path(bare)
+            if extract.is_deep(out["path"]):
+                raise rules.UnsupportedRule(f"rule {text!r}: scans are no programs")
     if mode != extract.JSON:
         joint = next((j for j in ("&&", "||", "%%") if j in bare), None)
         try:

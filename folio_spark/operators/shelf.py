@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,11 +20,16 @@ def set_bit(group: Column, bit: int, on: Column) -> Column:
     return F.when(on, group.bitwiseOR(bit)).otherwise(group.bitwiseAND(~bit))
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Incoming rows win by key; the `keep` columns fall back to the stored value where the incoming one is null."""
+def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """Incoming rows win by key; the `keep` columns fall back to the stored value where the incoming one is null. Of incoming rows
+    of one key the last by `order` (or else by their values) is taken. A null key is a key."""
     new = F.col("_new")
-    cols = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in keep else F.when(new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in stored.columns if c not in keys]
-    return stored.alias("o").join(incoming.withColumn("_new", F.lit(True)).alias("n"), keys, "full_outer").select(*keys, *cols)
+    own = [c for c in stored.columns if c not in keys]
+    once = incoming.groupBy(*keys).agg(F.max_by(F.struct(*own), F.struct(*([order] if order else []), *own)).alias("_r")).select(*keys, "_r.*", F.lit(True).alias("_new"))
+    same = functools.reduce(lambda a, b: a & b, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
+    cols = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in keep else F.when(new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in own]
+    both = stored.alias("o").join(once.alias("n"), same, "full_outer")
+    return both.select(*(F.when(new, F.col(f"n.{k}")).otherwise(F.col(f"o.{k}")).alias(k) for k in keys), *(v.alias(c) for v, c in zip(cols, own)))
 
 
 #: Origins and schemes of books that were imported from files.
@@ -142,9 +149,17 @@ def unread(total: Column, current: Column) -> Column:
 
 
 def request_rate(requests: DataFrame, window_s: int, limit: int) -> DataFrame:
-    """For each request how many of its source fall in the trailing window, and whether that breaks the limit."""
-    w = W.partitionBy("source").orderBy(F.unix_micros("ts")).rangeBetween(-window_s * 1_000_000, 0)
-    return requests.withColumn("in_window", F.count("*").over(w)).withColumn("over", F.col("in_window") > limit)
+    """For each request how many of its source fall in the trailing window, and whether that breaks the limit.
+
+    Time is cut into buckets as long as the window. A request counts in its own bucket and the next, and those are the only ones
+    that hold requests of its window, so the groups are a source's buckets: a source with most of the requests is many groups."""
+    width = window_s * 1_000_000
+    at = F.unix_micros("ts")
+    bucket = F.floor(at / width)
+    rows = requests.withColumn("_at", at).withColumn("_bucket", F.explode(F.array(bucket, bucket + 1))).withColumn("_own", F.col("_bucket") == bucket)
+    w = W.partitionBy("source", "_bucket").orderBy("_at").rangeBetween(-width, 0)
+    counted = rows.withColumn("in_window", F.count("*").over(w)).where("_own").drop("_at", "_bucket", "_own")
+    return counted.withColumn("over", F.col("in_window") > limit)
 
 
 def too_soon(requests: DataFrame, least_ms: int, tie: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folio_spark.functions import text as X
 from folio_spark.functions import urls as U
 from folio_spark.operators import chapters as C
-from folio_spark.operators import extract, rules
+from folio_spark.operators import extract, resolve, rules
 from folio_spark.operators.ranks import rank_within
 
 from .listings import table
@@ -114,15 +114,28 @@ def u11(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.host(F.col("url")).alias("host"), U.root_label(U.host(F.col("url"))).alias("label"))
 
 
-def j01(spark, sf):
-    """Pages to sources by host suffix, then by the label before the last; first in the catalog's order."""
+def _hosted(spark, sf):
+    """Every host as a source, without its first www or m, in the order of the first page of it."""
     hosts = table(spark, sf, "pages").select("page_id", U.host(F.col("url")).alias("host"))
-    cat = hosts.groupBy("host").agg(F.min("page_id").alias("source_ord")).where("source_ord % 3 = 0").select("source_ord", F.regexp_replace("host", "^(www|m)[.]", "").alias("source_host"))
-    suffixes = hosts.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.array_join(F.slice(F.split("host", r"\."), i, 10), "."))).alias("source_host"))
-    exact = suffixes.join(cat, "source_host").groupBy("page_id").agg(F.min("source_ord").alias("by_host"))
-    label = cat.groupBy(U.root_label(F.col("source_host")).alias("label")).agg(F.min("source_ord").alias("by_label"))
-    out = hosts.join(exact, "page_id", "left").withColumn("label", U.root_label(F.col("host"))).join(label, "label", "left")
-    return out.select("page_id", F.coalesce("by_host", "by_label").alias("source_ord"), F.when(F.col("by_host").isNotNull(), "host").when(F.col("by_label").isNotNull(), "label").alias("how"))
+    return hosts.groupBy("host").agg(F.min("page_id").alias("source_ord")).select(F.concat(F.lit("http://"), F.regexp_replace("host", "^(www|m)[.]", ""), F.lit("/")).alias("source_url"), "source_ord")
+
+
+def j01(spark, sf):
+    """Pages to sources by what their hosts have in common; first in the catalog's order."""
+    pages = table(spark, sf, "pages").select("page_id", F.col("url").alias("book_url"), F.lit(None).cast("string").alias("given"))
+    return resolve.resolve_sources(pages, _hosted(spark, sf)).select("page_id", "source_ord", "how")
+
+
+def j01_steps(spark, sf):
+    """By a URL that is given (some of them unknown), by the origin on the shelf, by the host (some with 14 labels more), local books."""
+    i = F.col("page_id")
+    deep = F.concat(F.lit("http://"), F.lit("a." * 14), U.host(F.col("url")), F.lit("/x"))
+    url = F.when(i % 6 == 3, deep).when(i % 6 == 4, F.concat(F.lit("local-epub:"), i.cast("string"))).otherwise(F.col("url"))
+    given = F.when(i % 6 == 0, F.concat(F.lit(" \u0007"), U.origin(F.col("url")), F.lit("/ "))).when(i % 6 == 1, "http://unknown/").otherwise(F.when(i % 6 == 2, " "))
+    pages = table(spark, sf, "pages").select("page_id", url.alias("book_url"), given.alias("given"))
+    first = table(spark, sf, "pages").select("page_id", F.concat(U.origin(F.col("url")), F.lit("/")).alias("source_url")).groupBy("source_url").agg(F.min("page_id").alias("source_ord"))
+    shelf = table(spark, sf, "pages").where("page_id % 6 = 5").select(F.col("url").alias("book_url"), F.concat(F.lit("http://"), U.host(F.col("url")), F.lit("/")).alias("origin"))
+    return resolve.resolve_sources(pages, first, shelf).select("page_id", "source_ord", "how")
 
 
 def toc_rows(spark, sf):
@@ -179,6 +192,7 @@ def t04(spark, sf):
 
 
 QUERIES = {
+    "j01_all_steps": j01_steps,
     "w03_txt_chapters": w03, "w04_chapter_ordinal": w04, "w05_front_loaded": w05, "p13_story_chapters": p13, "a07_cache_summary": a07, "a18_text_length": a18, "a18_plain_length": a18_pages, "u13_collapse_space": u13, "u14_replace_rules": u14, "u15_map_characters": u15,
     "u16_in_context": u16, "u17_paragraphs": u17, "u18_chunks": u18, "j03_scoped_rules": j03, "e12_regex_list": e12, "u01_resolve_url": u01, "u11_root_label": u11, "j01_resolve_source": j01, "w01_assemble_toc": w01, "w02_repeated_pages": w02, "e10_json_fields": e10,
     "e13_post_processing": e13, "e22_content": e22, "u19_clean_feed": u19, "u24_content_keys": u24, "u10_same_article": u10, "t03_articles": t03, "t04_feed_page": t04,
@@ -213,7 +227,7 @@ SQL = {
     "u14_replace_rules": "SELECT doc_id, md5(regexp_replace(replace(regexp_replace(text, '(?m)[%$*&#]+', '', 'g'), 'the', 'THE'), '(?m)^The', '- The', 'g')) AS text_md5 FROM documents",
     "u15_map_characters": "SELECT doc_id, md5(translate(text, 'eäß', 'éas')) AS mapped_md5 FROM documents",
     "u16_in_context": """WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT doc_id, t, string_split(lower(t), 'this') AS s FROM f),
- i AS (SELECT doc_id, t, s, unnest(range(1, least(len(s), 1001))) AS k FROM p WHERE len(s) > 1), a AS (SELECT doc_id, t, CAST(k AS INT) AS place, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + 4 * (k - 1) AS INT) AS pos FROM i)
+ i AS (SELECT doc_id, t, s, unnest(range(1, len(s))) AS k FROM p WHERE len(s) > 1), a AS (SELECT doc_id, t, CAST(k AS INT) AS place, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + 4 * (k - 1) AS INT) AS pos FROM i)
  SELECT doc_id, place, pos AS "at", CASE WHEN pos > 18 THEN '…' ELSE '' END || substring(t, greatest(pos - 18, 0) + 1, least(pos + 22, length(t)) - greatest(pos - 18, 0)) || CASE WHEN pos + 22 < length(t) THEN '…' ELSE '' END AS snippet FROM a""",
     "u17_paragraphs": """WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_replace(x, '^[\\s\\x{00A0}\\x{3000}]+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)
  SELECT doc_id, CAST(len(p) AS INT) AS n, md5(array_to_string(p, chr(10))) AS paragraphs_md5 FROM p""",
@@ -221,9 +235,15 @@ SQL = {
     "e12_regex_list": _K + " SELECT page_id, item_ix, href, title FROM links",
     "u01_resolve_url": _K + " SELECT page_id, item_ix, CASE WHEN starts_with(href, '/') THEN regexp_extract(page_url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href ELSE NULL END AS url FROM links",
     "u11_root_label": _H + " SELECT page_id, host, string_split(host, '.')[-2] AS label FROM h",
-    "j01_resolve_source": _H + """, c AS (SELECT min(page_id) AS source_ord, regexp_replace(host, '^(www|m)[.]', '') AS sh FROM h GROUP BY host HAVING min(page_id) % 3 = 0),
- x AS (SELECT page_id, min(source_ord) AS by_host FROM h JOIN c ON host = sh OR ends_with(host, '.' || sh) GROUP BY 1), y AS (SELECT string_split(sh, '.')[-2] AS label, min(source_ord) AS by_label FROM c GROUP BY 1)
- SELECT h.page_id, coalesce(by_host, by_label) AS source_ord, CASE WHEN by_host IS NOT NULL THEN 'host' WHEN by_label IS NOT NULL THEN 'label' END AS how FROM h LEFT JOIN x USING (page_id) LEFT JOIN y ON y.label = string_split(host, '.')[-2]""",
+    "j01_resolve_source": _H + """, c AS (SELECT min(page_id) AS source_ord, regexp_replace(host, '^(www|m)[.]', '') AS sh FROM h GROUP BY host),
+ x AS (SELECT page_id, min(source_ord) AS source_ord FROM h JOIN c ON ends_with(host, sh) OR ends_with(sh, host) OR string_split(sh, '.')[-2] = string_split(host, '.')[-2] GROUP BY 1)
+ SELECT page_id, source_ord, CASE WHEN source_ord IS NOT NULL THEN 'host' END AS how FROM h LEFT JOIN x USING (page_id)""",
+    "j01_all_steps": _H + """, c AS (SELECT regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || '/' AS su, min(page_id) AS source_ord, min(host) AS sh FROM h GROUP BY 1),
+ b AS (SELECT page_id, page_id % 6 AS i, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || '/' AS own, 'http://' || host || '/' AS plain, CASE WHEN page_id % 6 = 3 THEN repeat('a.', 14) || host ELSE host END AS host FROM h),
+ x AS (SELECT page_id, min(source_ord) AS by_host FROM b JOIN c ON ends_with(host, sh) OR ends_with(sh, host) OR string_split(sh, '.')[-2] = string_split(host, '.')[-2] GROUP BY 1),
+ s AS (SELECT b.*, by_host, g.source_ord AS by_given, o.source_ord AS by_shelf FROM b LEFT JOIN x USING (page_id) LEFT JOIN c g ON g.su = own LEFT JOIN c o ON o.su = plain)
+ SELECT page_id, CASE i WHEN 0 THEN by_given WHEN 1 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN coalesce(by_shelf, by_host) ELSE by_host END AS source_ord,
+  CASE i WHEN 0 THEN 'given' WHEN 1 THEN NULL WHEN 4 THEN 'local' WHEN 5 THEN CASE WHEN by_shelf IS NOT NULL THEN 'shelf' ELSE 'host' END ELSE 'host' END AS how FROM s""",
     "w01_assemble_toc": _K + """, f AS (SELECT book, url, min((page_ord, item_ix, title)) AS f FROM toc GROUP BY 1, 2)
  SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY f[1], f[2], url) - 1 AS INT) AS idx, url, f[3] AS title FROM f""",
     "w02_repeated_pages": _K + ", f AS (SELECT book, url, min(page_ord) AS p FROM toc GROUP BY 1, 2) SELECT book, page_ord FROM toc JOIN f USING (book, url) GROUP BY 1, 2 HAVING bool_and(p < page_ord)",
@@ -232,7 +252,8 @@ SQL = {
     "e22_content": """SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS content_md5 FROM pages""",
     "u19_clean_feed": """SELECT page_id, '' AS whole, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)^<!doctype html><html[^>]*>', ''), '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'))) AS part_md5 FROM pages""",
     "u24_content_keys": _H + " SELECT page_id, 'default/' || md5(host) || '/' || md5(url) || '.txt' AS path FROM h",
-    "u10_same_article": "SELECT page_id, page_id % 3 < 2 AS follows FROM pages",
+    "u10_same_article": """WITH n AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || '/a/' || (page_id % 7) AS stem FROM pages), m AS (SELECT *, stem || ['_2', '-12', '_1'][page_id % 3 + 1] || '.html' AS after FROM n)
+ SELECT page_id, regexp_replace(regexp_replace(after, '[.][a-z]+$', ''), '[-_](?:[2-9]|[1-9][0-9]+)$', '') = stem AS follows FROM m""",
     "t03_articles": _A + ' SELECT event_id, event_type, "at", place FROM p',
     "t04_feed_page": _A + " SELECT event_type, event_id, place FROM p WHERE place BETWEEN 51 AND 100",
 }

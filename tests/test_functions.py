@@ -1,5 +1,6 @@
 """Column functions and rules on small inputs."""
 
+import json
 import random
 import time
 
@@ -207,7 +208,7 @@ def test_listing_modes(spark):
     broken = spark.createDataFrame([(1, "<ul><li>")], "page_id int, html string")
     assert extract.listing(broken, "//li", {"name": "text()"}).count() == 0
     with pytest.raises(rules.UnsupportedRule):
-        extract.listing(broken, "$..x", {"name": "$.n"})
+        extract.listing(broken, "$..x[?(@.a)]", {"name": "$.n"})
 
 
 def test_search_over_sources(spark):
@@ -321,3 +322,52 @@ def test_programs_that_are_none_say_so(spark):
         mine = programs.search(spark.createDataFrame(one, "page_id int, source_url string, url string, html string"), programs.compiled(spark.createDataFrame([("s", rule, fields)], "source_url string, list string, fields map<string,string>"), "list", "fields")).collect()
         same = extract.listing(spark.createDataFrame([(1, js)], "page_id int, html string"), rule, fields).collect()
         assert [(r["name"], r["kind"]) for r in mine] == [(r["name"], r["kind"]) for r in same]
+
+
+def test_scans_of_json(spark):
+    from folio_spark.operators import extract
+
+    doc = {"name": "top", "b": [{"name": "x", "c": {"name": ["y", "z"]}}, {"name": None}, 5], "a": {"name": {"d": 1}, "name2": "no"}}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, None), (3, "{"), (4, '{"q":' * 100 + '{"name":"deep"}' + "}" * 100)], "page_id int, html string")
+
+    def of(path):
+        v = F.transform(extract.json_all(F.try_parse_json("html"), path), lambda x: F.to_json(x))
+        return {r["page_id"]: r["v"] for r in df.select("page_id", v.alias("v")).collect()}
+
+    assert of("$..name")[1] == ['"top"', '{"d":1}', '"x"', '"y"', '"z"', "null"] and of("$..name")[4] == ['"deep"'] and not of("$..name")[3]
+    assert of("$.b[*].c.name")[1] == ['"y"', '"z"'] and of("$.b[0]['c']..name")[1] == ['"y"', '"z"'] and of("$.*.name")[1] == ['{"d":1}']
+    assert of("$.b[*].*")[1] == ['{"name":["y","z"]}', '"x"', "null"]
+    listed = extract.listing(df, "$..c", {"first": "$..name", "all": "name", "none": "$..zzz"}).collect()
+    assert [(r["page_id"], r["first"], r["all"], r["none"]) for r in listed] == [(1, "y", "y\nz", None)]
+    plan = df.withColumn("source", F.col("html")).select(extract.items("$.b[*]", {"n": "name", "m": "$.c.name"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") == 1
+
+
+def test_sources_of_books(spark):
+    from folio_spark.operators import resolve
+
+    catalog = spark.createDataFrame([("http://m.one.com/", 2), (" http://one.net", 1), ("http://xone.com", 3), ("http://deep." + "l." * 20 + "org", 4), ("http://two.com", 5), ("http://two.com", 7)], "source_url string, source_ord long")
+    shelf = spark.createDataFrame([("http://s/1", "http://two.com "), ("http://s/2", "gone"), ("http://s/2", None)], "book_url string, origin string")
+    books = [("http://a/", "http://two.com"), ("http://a/", "http://gone"), ("http://s/1", None), ("http://s/2", " "), ("http://m.one.com/b", None), ("http://yxone.com/b", None), ("http://a.b.deep." + "l." * 20 + "org/x", ""), ("local-txt:1", None), ("http://a/", "local-epub"), (None, None), ("http://l.org/", None)]
+    got = {(r["book_url"], r["given"]): (r["source_ord"], r["how"]) for r in resolve.resolve_sources(spark.createDataFrame(books, "book_url string, given string"), catalog, shelf).collect()}
+    want = [(5, "given"), (None, None), (5, "shelf"), (None, None), (1, "host"), (3, "host"), (4, "host"), (None, "local"), (None, "local"), (None, None), (4, "host")]
+    assert [got[b] for b in books] == want
+
+
+def test_upsert_takes_the_last_of_a_key(spark):
+    stored = spark.createDataFrame([(1, "a", 1), (None, "n", 2)], "k int, name string, n int")
+    new = spark.createDataFrame([(1, "b", None, 1), (1, "c", None, 2), (None, "m", 9, 1), (3, "d", 4, 1)], "k int, name string, n int, at int")
+    got = sorted((tuple(r) for r in shelf.upsert(stored, new, ["k"], keep=("n",), order="at").collect()), key=repr)
+    assert got == sorted([(1, "c", 1), (None, "m", 9), (3, "d", 4)], key=repr)
+
+
+def test_requests_of_a_hot_source(spark):
+    r = random.Random(8)
+    rows = [(i, "hot" if i % 10 else "cold", r.randrange(0, 4000)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "event_id int, source string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    rated = shelf.request_rate(df, 60, 20)
+    for x in rated.collect():
+        n = sum(1 for y in rows if y[1] == x["source"] and x["s"] - 60 <= y[2] <= x["s"])
+        assert x["in_window"] == n and x["over"] == (n > 20)
+    plan = rated._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source" in plan and "_bucket" in plan.split("hashpartitioning(source")[1].split(")")[0]
