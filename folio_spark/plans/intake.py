@@ -16,6 +16,7 @@ from folio_spark.operators import shelf as S
 from folio_spark.plans.listings import table
 from folio_spark.plans.story import _nth
 from folio_spark.sources import catalogs, epub, stores
+from folio_spark.streaming import timers
 
 
 def _folder(spark, tag: str) -> str:
@@ -275,14 +276,23 @@ def st5(spark, sf):
     return spark.read.parquet(out)
 
 
+def st4_timers(spark, sf):
+    """A user's saves, at most one in six hours, counted from the first."""
+    timers.with_timers(spark)
+    rows = _stream(spark, sf, lambda e: timers.coalesced_by_timer(e.select("user_id", "ts", "event_id"), ["user_id"], seconds=21_600, delay="0 seconds"), "append", "st4t")
+    last = table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("_end"))  # intervals after the watermark still wait
+    return rows.crossJoin(F.broadcast(last)).where(F.col("since") + F.expr("interval 7 hours") <= F.col("_end")).select("user_id", F.unix_micros("since").alias("since"), "event_id")
+
+
 def st6(spark, sf):
-    """Characters of chapters that arrive in two files; the first file comes again and changes nothing."""
+    """Characters of chapters, a stream of files: it stops after each and goes on from its checkpoint; the third brings the first one's rows again."""
     e = table(spark, sf, "events").select((F.col("user_id") % 10).alias("book"), (F.col("event_id") % 50).cast("int").alias("idx"), F.col("event_id").alias("ord"), F.concat(F.lit("n"), (F.col("event_id") % 5).cast("string")).alias("name"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("status"))
     store = stores.ContentStore(spark, _folder(spark, "st6"), keys=("book", "key"))
-    write = streaming.knowledge_into(store, K.merge_characters)
-    early, late = e.where("idx < 25"), e.where("idx >= 25")
-    for i, batch in enumerate((early, late, early)):
-        write(batch, i)
+    path, where = _folder(spark, "chapters"), _folder(spark, "st6-state")
+    for some in (e.where("idx < 25"), e.where("idx >= 25"), e.where("idx < 25")):
+        some.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(e.schema).parquet(path)
+        stream.writeStream.foreachBatch(streaming.knowledge_into(store, K.merge_characters)).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
     return store.read().select("book", "key", "status", "processed")
 
 
@@ -319,7 +329,7 @@ def j03(spark, sf):
 QUERIES = {
     "s01_catalog_import": s01, "s03_legacy_catalog": s03, "s06_decode_bodies": s06, "s07_text_files": s07, "s08_epub_chapters": s08, "s09_feed_articles": s09, "s10_feed_sources": s10, "s11_content_store": s11, "s12_toc_store": s12, "s13_bundle": s13, "s14_recovery": s14, "s15_copy_sources": s15,
     "u02_absolute_url": u02, "u06_request_options": u06, "u07_encode_query": u07, "u08_form_body": u08, "u09_url_text": u09, "u26_json_text": u26, "g01_page_walk": g01, "g02_whole_content": g02,
-    "st1_first_seen": st1, "st2_counters": st2, "st3_latest": st3, "st4_coalesced": st4, "st5_new_articles": st5, "st6_knowledge": st6, "st7_least_gap": st7, "f01_hooks": f01, "f02_shred_table": f02, "f03_sql_functions": f03, "j03_all_scopes": j03,
+    "st1_first_seen": st1, "st2_counters": st2, "st3_latest": st3, "st4_coalesced": st4, "st4_timers": st4_timers, "st5_new_articles": st5, "st6_knowledge": st6, "st7_least_gap": st7, "f01_hooks": f01, "f02_shred_table": f02, "f03_sql_functions": f03, "j03_all_scopes": j03,
 }
 
 _H = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
@@ -357,6 +367,9 @@ SQL = {
     "st2_counters": "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count_if(event_type = 'purchase') AS cached, count_if(event_type NOT IN ('purchase', 'error')) AS success, count_if(event_type = 'error') AS failed FROM events GROUP BY 1",
     "st3_latest": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1",
     "st4_coalesced": "SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS \"at\", user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2 HAVING floor(epoch(min(ts)) / 21600) * 21600 + 43200 <= (SELECT epoch(max(ts)) FROM events)",
+    "st4_timers": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events), s AS (SELECT user_id, min(t) AS since FROM e GROUP BY 1
+ UNION ALL SELECT s.user_id, (SELECT min(t) FROM e WHERE e.user_id = s.user_id AND t >= s.since + 21600000000) FROM s WHERE s.since IS NOT NULL)
+ SELECT s.user_id, since, (SELECT arg_max(event_id, (t, event_id)) FROM e WHERE e.user_id = s.user_id AND t >= since AND t < since + 21600000000) AS event_id FROM s WHERE since + 25200000000 <= (SELECT max(t) FROM e)""",
     "st5_new_articles": "SELECT DISTINCT 'o' || (event_id % 3) AS origin, 'l' || (user_id % 20) AS link FROM events",
     "st6_knowledge": """WITH e AS (SELECT user_id % 10 AS book, event_id % 50 AS idx, event_id AS ord, 'n' || (event_id % 5) AS key, 's' || event_id AS status FROM events), m AS (SELECT book, max(idx) AS processed FROM e GROUP BY 1)
  SELECT e.book, key, arg_max(status, (idx >= 25, ord)) AS status, CAST(any_value(processed) AS INT) AS processed FROM e JOIN m USING (book) GROUP BY 1, 2""",

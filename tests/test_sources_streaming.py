@@ -1,6 +1,7 @@
 """Catalog import, text files, feeds, knowledge merges and the streaming forms."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,29 @@ def test_long_fields_take_no_stack(spark):
     assert got["open"]["rule"].startswith("/s@Header:{xxx")
     assert [(k["title"], len(k["url"])) for k in got["kinds"]["kinds"]] == [("t", 750_000)]
     assert [(k["title"], k["url"]) for k in got["lines"]["kinds"]] == [("a", "b"), ("c", None)]
+
+
+def test_timers_go_on_from_a_checkpoint(spark, tmp_path):
+    """Saves in three files that arrive out of order; the stream stops after each and starts again."""
+    from folio_spark.streaming import timers
+
+    timers.with_timers(spark)
+    r = random.Random(3)
+    rows = [(k, i, at) for k in ("a", None, "b") for i, at in enumerate(sorted(r.sample(range(3000), 40)))]
+    schema = "k string, n int, s int"
+    parts = [[x for x in rows if x[2] < 1200], [x for x in rows if 1200 <= x[2] < 2000], [x for x in rows if x[2] >= 2000] + [("end", 0, 100_000)]]
+    for i, part in enumerate(parts):
+        r.shuffle(part)
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema("k string, n int, ts timestamp").parquet(f"file://{tmp_path}/in")
+        out = timers.coalesced_by_timer(stream, ["k"], seconds=300, delay="0 seconds")
+        out.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    want = []
+    for k in ("a", None, "b"):
+        mine = sorted((at, n) for kk, n, at in rows if kk == k)
+        while mine:
+            saved = [x for x in mine if x[0] < mine[0][0] + 300]
+            want.append((k, saved[0][0], saved[-1][1]))
+            mine = mine[len(saved) :]
+    got = [(x["k"], x["since"], x["n"]) for x in spark.read.parquet(f"file://{tmp_path}/out").select("k", F.unix_seconds("since").alias("since"), "n").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
