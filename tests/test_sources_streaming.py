@@ -113,8 +113,8 @@ def test_content_store(spark, tmp_path):
     assert {r["k"]: r["v"] for r in store.read().collect()} == {**{i: "a" for i in range(20)}, 3: "b", 50: "c"}
     store.remove(spark.createDataFrame([(i,) for i in range(20)], "k int"))
     assert [tuple(r) for r in store.read().select("k", "v").collect()] == [(50, "c")]
-    (tmp_path / "c" / "current" / "part-broken.txt").write_text("not a pointer")
-    with pytest.raises(ValueError):  # an unreadable pointer isn't an empty store
+    (tmp_path / "c" / "log" / f"{store.log.state()[0] + 1:020d}.entry").write_text("not an entry")
+    with pytest.raises(ValueError):  # an unreadable entry isn't an empty store
         store.put(spark.createDataFrame([(1, "x")], "k int, v string"))
 
 
@@ -193,3 +193,37 @@ def test_timers_go_on_from_a_checkpoint(spark, tmp_path):
             mine = mine[len(saved) :]
     got = [(x["k"], x["since"], x["n"]) for x in spark.read.parquet(f"file://{tmp_path}/out").select("k", F.unix_seconds("since").alias("since"), "n").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Two threads put rows of the same folders, each a store of its own; every row is there, and a read opens one snapshot."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/a b"
+
+    def writer(name):
+        store = stores.ContentStore(spark, path, keys=("k",), parts=2)
+        store.log.compact = 4
+        for i in range(5):
+            store.put(spark.createDataFrame([(f"{name}{i}{j}", i) for j in range(3)], "k string, v int"))
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(writer, "xy"))
+    store = stores.ContentStore(spark, path, keys=("k",), parts=2)
+    assert sorted((r["k"], r["v"]) for r in store.read().collect()) == sorted((f"{n}{i}{j}", i) for n in "xy" for i in range(5) for j in range(3))
+    n, held = store.log.state()
+    assert n == 10 and len(held) == 2 and store.log._read("_latest") == "8"
+    assert not store.log.commit(n - 1, {"0": None}) and store.log.state() == (n, held)
+    store.remove(spark.createDataFrame([("x00",)], "k string"))
+    assert store.read().count() == 29
+
+
+def test_a_commit_is_put_on_top_of_others(spark, tmp_path):
+    log = stores.CommitLog(spark, f"file://{tmp_path}/log", compact=3)
+    assert log.state() == (0, {})
+    for i in range(7):
+        assert log.commit(i, {"a": str(i), f"k{i}": None if i == 2 else "v"})
+    assert not log.commit(3, {"a": "lost"})
+    assert log.state() == (7, {"a": "6"} | {f"k{i}": None if i == 2 else "v" for i in range(7)})
+    (tmp_path / "log" / "_latest").write_text("")  # as a reader may find it
+    assert log.state()[0] == 7 and log.since(5)[-1][0] == 7 and log.since(7) == [(7, {})]
