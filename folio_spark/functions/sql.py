@@ -23,21 +23,37 @@ SCALARS = {
 
 
 def register(spark: SparkSession, prefix: str = "folio_") -> list[str]:
-    """Temporary SQL functions of all scalars, and the table function `shred_page(html)`. Returns their names."""
+    """Temporary SQL functions of all scalars, and the table function `shred_pages(TABLE(page_id, html))`, which
+    takes and gives Arrow batches. Returns their names."""
     for name, (arguments, body) in SCALARS.items():
         returns = "BOOLEAN" if name in ("is_truthy", "in_group") else "INT" if name in ("unread", "plain_length") else "ARRAY<STRING>" if name == "source_groups" else "STRING"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({arguments}) RETURNS {returns} RETURN {body}")
 
-    @F.udtf(returnType="pre int, last int, parent int, depth int, child_ix int, tag string, attrs map<string,string>")
-    class Shred:
-        def eval(self, html: str):
+    spark.udtf.register(f"{prefix}shred_pages", _table_function())
+    return [f"{prefix}{n}" for n in (*SCALARS, "shred_pages")]
+
+
+def _table_function():
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udtf
+
+    names = ("last", "parent", "depth", "child_ix", "tag", "attrs")
+
+    @arrow_udtf(returnType="page_id bigint, pre int, last int, parent int, depth int, child_ix int, tag string, attrs map<string,string>")
+    class ShredPages:
+        """Elements of pages: batches of (page_id, html) in, batches of elements out."""
+
+        def eval(self, pages: pa.RecordBatch):
             from folio_spark.operators.shred import shred_page
 
-            for i, r in enumerate(shred_page(html)[0]):
-                yield i, r[0], r[1], r[2], r[3], r[4], r[5]
+            kinds = {"tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string())}
+            for page, html in zip(pages.column(0).to_pylist(), pages.column(1).to_pylist(), strict=True):
+                rows = shred_page(html)[0]
+                at = {n: i for i, n in enumerate(("last", "parent", "depth", "child_ix", "tag", "attrs"))}
+                columns = {n: pa.array([list(r[at[n]].items()) if n == "attrs" else r[at[n]] for r in rows], kinds.get(n, pa.int32())) for n in names}
+                yield pa.table({"page_id": pa.array([page] * len(rows), pa.int64()), "pre": pa.array(range(len(rows)), pa.int32()), **columns})
 
-    spark.udtf.register(f"{prefix}shred_page", Shred)
-    return [f"{prefix}{n}" for n in (*SCALARS, "shred_page")]
+    return ShredPages
 
 
 Hook = Callable[..., Column]

@@ -355,7 +355,21 @@ def _of_sources(pages: DataFrame, catalog: list[dict], body: str, build: Callabl
     return read.withColumn("found", found).drop("_group", "_tree", "source", "nodes", "runs")
 
 
-def _listed(pages: DataFrame, catalog: list[dict], list_key: str, fields_key: str, page: str, body: str, url: str) -> DataFrame:
+#: What a caller may put into an extraction, each a function of columns (an Arrow or pandas UDF too): `body` changes a page
+#: before it is read, `items` the list of a page's rows (structs), and a field's name the field, given its place and value.
+Hooks = dict[str, Callable[..., Column]]
+
+
+def _hooked(pages: DataFrame, body: str, hooks: Hooks | None) -> DataFrame:
+    return pages.withColumn(body, hooks["body"](F.col(body))) if hooks and "body" in hooks else pages
+
+
+def _formatted(columns: dict[str, Column], place: Column, hooks: Hooks | None) -> dict[str, Column]:
+    return {c: hooks[c](place, v) if hooks and c in hooks else v for c, v in columns.items()}
+
+
+def _listed(pages: DataFrame, catalog: list[dict], list_key: str, fields_key: str, page: str, body: str, url: str, hooks: Hooks | None = None) -> DataFrame:
+    pages = _hooked(pages, body, hooks)
     names = list(dict.fromkeys(c for s in catalog for c in s[fields_key]))
     blank = {c: F.lit(None).cast("string").alias(c) for c in names}
 
@@ -365,6 +379,7 @@ def _listed(pages: DataFrame, catalog: list[dict], list_key: str, fields_key: st
     def build(s: dict) -> Column:
         own = s[fields_key]
         rows = F.transform(items(s[list_key], own), lambda r: whole(r, own)) if s[list_key].strip() else F.array().cast("array<struct<" + ",".join(f"{c}:string" for c in names) + ">>")
+        rows = hooks["items"](rows) if hooks and "items" in hooks else rows
         if (s.get("url_pattern") or "").strip():
             return rows
         alone = {c: r for c, r in s.get("detail", own).items() if c in names}
@@ -377,16 +392,16 @@ def _listed(pages: DataFrame, catalog: list[dict], list_key: str, fields_key: st
     read = _of_sources(pages, catalog, body, build, lambda s: [s[list_key], *s.get("detail", s[fields_key] if not (s.get("url_pattern") or "").strip() else {}).values()])
     rows = read.select(page, "source_url", "source_ord", F.col(url).alias("_url"), F.posexplode("found").alias("item_ix", "_f"))
     absolute = {c: U.resolve(F.coalesce(F.col(f"_f.{c}"), F.lit("")), F.col("_url")) if c == "book_url" else F.when(F.col(f"_f.{c}") != "", U.resolve(F.col(f"_f.{c}"), F.col("_url"))) if c == "cover_url" else F.col(f"_f.{c}") for c in names}
-    return rows.select(page, "item_ix", *(v.alias(c) for c, v in absolute.items()), "source_url", "source_ord")
+    return rows.select(page, "item_ix", *(v.alias(c) for c, v in _formatted(absolute, F.col("item_ix"), hooks).items()), "source_url", "source_ord")
 
 
-def search(pages: DataFrame, catalog: list[dict], page: str = "page_id", body: str = "html", url: str = "url") -> DataFrame:
+def search(pages: DataFrame, catalog: list[dict], page: str = "page_id", body: str = "html", url: str = "url", hooks: Hooks | None = None) -> DataFrame:
     """Listings of all sources. catalog: dicts of source_url, source_ord, list, fields and optionally url_pattern, detail.
 
     Book and cover URLs are made absolute. A page whose list is empty, of a source without url_pattern, is read as one book
     by the source's detail rules (its fields, where it has none) and dropped if it then has no name.
     """
-    return _listed(pages, catalog, "list", "fields", page, body, url)
+    return _listed(pages, catalog, "list", "fields", page, body, url, hooks)
 
 
 def explore(pages: DataFrame, catalog: list[dict], page: str = "page_id", body: str = "html", url: str = "url") -> DataFrame:
@@ -420,12 +435,13 @@ def details(pages: DataFrame, catalog: list[dict], page: str = "page_id", body:
 TOC = ("title", "url", "tag", "is_volume", "is_vip", "is_pay")
 
 
-def tocs(pages: DataFrame, catalog: list[dict], page: str = "page_id", body: str = "html", url: str = "url") -> DataFrame:
+def tocs(pages: DataFrame, catalog: list[dict], page: str = "page_id", body: str = "html", url: str = "url", hooks: Hooks | None = None) -> DataFrame:
     """Chapters of every page: idx, title, absolute url, tag and three flags; of equal URLs the first stays.
 
     A chapter without URL has the page's; a volume without one has its title and place. catalog: dicts of source_url,
     source_ord, toc_list and toc (rules by field). '-' in front of toc_list numbers the kept chapters backwards.
     """
+    pages = _hooked(pages, body, hooks)
 
     def build(s: dict) -> Column:
         forward = s["toc_list"].strip().lstrip("-")
@@ -442,7 +458,8 @@ def tocs(pages: DataFrame, catalog: list[dict], page: str = "page_id", body: str
     total = F.count("*").over(W.partitionBy(page))
     numbered = kept.withColumn("_i", before).withColumn("_total", total)
     idx = F.when(F.col("_back"), F.col("_total") - 1 - F.col("_i")).otherwise(F.col("_i")).cast("int")
-    return numbered.select(page, "source_ord", idx.alias("idx"), "title", F.coalesce("url", F.concat("title", F.col("_i").cast("string"))).alias("url"), "tag", "is_volume", "is_vip", "is_pay")
+    title = _formatted({"title": F.col("title")}, idx, hooks)["title"]
+    return numbered.select(page, "source_ord", idx.alias("idx"), title.alias("title"), F.coalesce("url", F.concat("title", F.col("_i").cast("string"))).alias("url"), "tag", "is_volume", "is_vip", "is_pay")
 
 
 def next_pages(pages: DataFrame, rule: str, page: str = "page_id", body: str = "html", url: str = "url", all_of_them: bool = True) -> DataFrame:
@@ -457,13 +474,15 @@ def next_pages(pages: DataFrame, rule: str, page: str = "page_id", body: str = "
     return rows.select(page, "ix", U.resolve(F.col("_next"), F.col("_url")).alias("next_url"))
 
 
-def contents(pages: DataFrame, catalog: list[dict], page: str = "page_id", body: str = "html", url: str = "url") -> DataFrame:
+def contents(pages: DataFrame, catalog: list[dict], page: str = "page_id", body: str = "html", url: str = "url", hooks: Hooks | None = None) -> DataFrame:
     """One row a page: its content and the absolute next_url, or null.
 
     catalog: dicts of source_url, source_ord, content and optionally source_regex (changes of the body before it is read),
     replace_regex (changes of the content) and next (rule of the next page's URL).
     """
 
+    pages = _hooked(pages, body, hooks)
+
     def changes(s: dict, key: str) -> tuple[list[tuple[str, str]], bool]:
         return rules.split_changes("##" + s[key].removeprefix("##"))[1:] if (s.get(key) or "").strip() else ([], False)
 
@@ -479,7 +498,8 @@ def contents(pages: DataFrame, catalog: list[dict], page: str = "page_id", body:
         return F.struct(text.alias("content"), (value(s["next"]) if s.get("next") else F.lit(None).cast("string")).alias("next"))
 
     read = _of_sources(pages.withColumn("_body", cleaned), catalog, "_body", build, lambda s: [s["content"], s.get("next", "")])
-    return read.select(page, "source_ord", F.col("found.content").alias("content"), F.when(F.col("found.next") != "", U.resolve(F.col("found.next"), F.col(url))).alias("next_url"))
+    text = _formatted({"content": F.col("found.content")}, F.lit(0), hooks)["content"]
+    return read.select(page, "source_ord", text.alias("content"), F.when(F.col("found.next") != "", U.resolve(F.col("found.next"), F.col(url))).alias("next_url"))
 
 
 def relaxed_json(text: Column) -> Column:

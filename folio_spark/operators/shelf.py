@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranks import global_rank
+from .ranks import global_rank, rank_within
 
 
 def in_group(group: Column, wanted: int) -> Column:
@@ -193,3 +193,12 @@ def move_row(rows: DataFrame, place: str, key: str, moved: str, target: str, aft
     both = rows.crossJoin(F.broadcast(at)).crossJoin(F.broadcast(has))
     goes = F.col("_m") & F.col("_t").isNotNull() & (F.col(key) == moved) & F.lit(moved != target)
     return global_rank(both.withColumn("_o", F.when(goes, F.col("_t")).otherwise(F.col(place))).withColumn("_s", F.when(goes, 1 if after else -1).otherwise(0)), ["_o", "_s", place], "new_place").drop("_o", "_s", "_t", "_m")
+
+
+def feed_page(articles: DataFrame, source: str, order: list[Column | str], page: int, size: int = 50) -> DataFrame:
+    """The rows of a page (from 1) of a scope's feeds: of each source its `size` rows of that page, with their place; has_more tells
+    whether any source fills the page."""
+    placed = rank_within(articles, [source], order)
+    shown = placed.where(F.col("place").between((page - 1) * size + 1, page * size))
+    full = shown.groupBy(source).count().agg(F.coalesce(F.max("count") >= size, F.lit(False)).alias("has_more"))  # one row
+    return shown.crossJoin(F.broadcast(full))

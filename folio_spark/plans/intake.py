@@ -124,6 +124,58 @@ def s15(spark, sf):
     return catalogs.copy_sources(c, "default", "anna")
 
 
+def _zipped(batches):
+    """Archives of files (path, text), one a row."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for members in b.column(1).to_pylist():
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w") as z:
+                for m in members:
+                    z.writestr(m["path"], m["text"])
+            out.append(data.getvalue())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["book", "content"])
+
+
+def second_edition(spark, sf):
+    """Archives of the older kind for every customer: titles in an NCX (some chapters have none there), the cover by a meta element,
+    by its own property, by its name, or none, by turns."""
+    n = F.col("c_custkey")
+    k = n.cast("string")
+    metas = F.when(n % 4 == 0, '<meta name="cover" content="pic"/>').otherwise("")
+    pictures = F.when(n % 4 == 0, '<item id="pic" href="img/p.jpg" media-type="image/jpeg"/><item id="cover-b" href="img/b.png" media-type="image/png"/>').when(n % 4 == 1, '<item id="a" href="img/a.png" media-type="image/png" properties="cover-image"/>').when(n % 4 == 2, '<item id="z" href="img/The%20Cover.gif" media-type="image/gif"/>').otherwise('<item id="q" href="img/q.png" media-type="image/png"/>')
+    files = {
+        "META-INF/container.xml": F.lit('<container><rootfiles><rootfile full-path="c.opf"/></rootfiles></container>'),
+        "c.opf": F.concat(F.lit("<package><metadata>"), metas, F.lit('</metadata><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="c1" href="a%201.html" media-type="application/xhtml+xml"/><item id="c2" href="b.html" media-type="text/html"/><item id="css" href="s.css" media-type="text/css"/>'), pictures, F.lit('</manifest><spine toc="ncx"><itemref idref="c1"/><itemref idref="css"/><itemref idref="c2"/><itemref idref="c1"/></spine></package>')),
+        "toc.ncx": F.concat(F.lit("<ncx><navMap><navPoint><navLabel><text> Part &amp; "), k, F.lit('</text></navLabel><content src="a%201.html#top"/></navPoint>'), F.when(n % 3 == 0, '<navPoint><navLabel><text>End</text></navLabel><content src="b.html"/></navPoint>').otherwise(""), F.lit("</navMap></ncx>")),
+        "a 1.html": F.lit("<html><body><p>one</p></body></html>"),
+        "b.html": F.concat(F.lit("<html><body>"), F.when(n % 3 == 1, "<h3>Own <b>title</b></h3>").otherwise(""), F.lit("<p>two</p></body></html>")),
+    }
+    packed = F.array(*(F.struct(F.lit(p).alias("path"), t.alias("text")) for p, t in files.items()))
+    return epub.read_files(table(spark, sf, "customer").select(n.alias("book"), packed.alias("files")).mapInArrow(_zipped, "book long, content binary"))
+
+
+def j04_ncx(spark, sf):
+    return epub.chapters(second_edition(spark, sf)).select("book", "idx", "path", "title")
+
+
+def j04_cover(spark, sf):
+    packs = epub.packages(second_edition(spark, sf))
+    return epub.cover(packs, epub.manifest(packs)).select("book", "path")
+
+
+def s15_defaults(spark, sf):
+    """One namespace's sources become the defaults, which a new one then gets."""
+    n = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(F.when(n % 3 == 0, "anna").otherwise("ben").alias("user_ns"), F.concat(F.lit("s"), (n % 40).cast("string")).alias("source_url")).distinct()
+    return catalogs.copy_defaults(catalogs.set_defaults(c, "anna"), "new")
+
+
 def s08(spark, sf):
     """An archive for each supplier, written by Spark tasks, then read back as chapters."""
     k = F.col("s_suppkey").cast("string")
@@ -138,23 +190,7 @@ def s08(spark, sf):
         "../evil": F.lit("no"),
     }.items()))
 
-    def pack(batches):
-        import io
-        import zipfile
-
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for members in b.column(1).to_pylist():
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w") as z:
-                    for m in members:
-                        z.writestr(m["path"], m["text"])
-                out.append(data.getvalue())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["book", "content"])
-
-    archives = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("book"), files.alias("files")).mapInArrow(pack, "book long, content binary")
+    archives = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("book"), files.alias("files")).mapInArrow(_zipped, "book long, content binary")
     members = epub.read_files(archives)
     c = epub.chapters(members)
     assets = F.create_map(F.lit("OPS/img/a.png"), F.lit("/assets/a.png"))
@@ -309,7 +345,7 @@ def f01(spark, sf):
 
 def f02(spark, sf):
     Q.register(spark)
-    return spark.sql("SELECT p.page_id, count_if(s.tag = 'li') AS n_li, max(s.attrs['lang']) AS lang FROM {p} p, LATERAL folio_shred_page(p.html) s GROUP BY p.page_id", p=table(spark, sf, "pages"))
+    return spark.sql("SELECT page_id, count_if(tag = 'li') AS n_li, max(attrs['lang']) AS lang FROM folio_shred_pages(TABLE(SELECT page_id, html FROM {p})) GROUP BY page_id", p=table(spark, sf, "pages"))
 
 
 def f03(spark, sf):
@@ -327,7 +363,7 @@ def j03(spark, sf):
 
 
 QUERIES = {
-    "s01_catalog_import": s01, "s03_legacy_catalog": s03, "s06_decode_bodies": s06, "s07_text_files": s07, "s08_epub_chapters": s08, "s09_feed_articles": s09, "s10_feed_sources": s10, "s11_content_store": s11, "s12_toc_store": s12, "s13_bundle": s13, "s14_recovery": s14, "s15_copy_sources": s15,
+    "s01_catalog_import": s01, "s03_legacy_catalog": s03, "s06_decode_bodies": s06, "s07_text_files": s07, "s08_epub_chapters": s08, "j04_ncx_titles": j04_ncx, "j04_covers": j04_cover, "s15_defaults": s15_defaults, "s09_feed_articles": s09, "s10_feed_sources": s10, "s11_content_store": s11, "s12_toc_store": s12, "s13_bundle": s13, "s14_recovery": s14, "s15_copy_sources": s15,
     "u02_absolute_url": u02, "u06_request_options": u06, "u07_encode_query": u07, "u08_form_body": u08, "u09_url_text": u09, "u26_json_text": u26, "g01_page_walk": g01, "g02_whole_content": g02,
     "st1_first_seen": st1, "st2_counters": st2, "st3_latest": st3, "st4_coalesced": st4, "st4_timers": st4_timers, "st5_new_articles": st5, "st6_knowledge": st6, "st7_least_gap": st7, "f01_hooks": f01, "f02_shred_table": f02, "f03_sql_functions": f03, "j03_all_scopes": j03,
 }
@@ -343,6 +379,10 @@ SQL = {
     "s07_text_files": "SELECT '/in/b' || s_suppkey || '.txt' AS path, 'b' || s_suppkey AS title, '章' || s_suppkey AS text, md5('default:b' || s_suppkey || '.txt:' || md5('章' || s_suppkey)) AS book_id, CAST(length('章' || s_suppkey) AS INT) AS n_chars FROM supplier",
     "s08_epub_chapters": """SELECT s_suppkey AS book, i AS idx, CASE i WHEN 0 THEN 'OPS/t/two .xhtml' WHEN 1 THEN 'OPS/t/one.xhtml' ELSE 'OPS/t/three.xhtml' END AS path, CASE i WHEN 0 THEN 'Two x' WHEN 1 THEN 'One &amp; all' ELSE '第 3 章' END AS title,
  CAST(CASE i WHEN 0 THEN 4 WHEN 1 THEN 2 + 3 + 4 + length(CAST(s_suppkey AS VARCHAR)) + 3 + 1 ELSE 5 END AS INT) AS n_chars, CASE i WHEN 0 THEN '<h2>Two <i>x</i></h2>' WHEN 1 THEN '<p>Text ' || s_suppkey || '</p><img src="/assets/a.png">f<br/>' ELSE '<p>three</p>' END AS markup FROM supplier, (VALUES (0), (1), (2)) v(i)""",
+    "j04_ncx_titles": "SELECT c_custkey AS book, i AS idx, ['a 1.html', 'b.html'][i + 1] AS path, CASE WHEN i = 0 THEN 'Part &amp; ' || c_custkey WHEN c_custkey % 3 = 0 THEN 'End' WHEN c_custkey % 3 = 1 THEN 'Own title' ELSE '第 2 章' END AS title FROM customer, (VALUES (0), (1)) v(i)",
+    "j04_covers": "SELECT c_custkey AS book, ['img/p.jpg', 'img/a.png', 'img/The Cover.gif'][c_custkey % 4 + 1] AS path FROM customer WHERE c_custkey % 4 < 3",
+    "s15_defaults": """WITH c AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'anna' ELSE 'ben' END AS user_ns, 's' || (c_custkey % 40) AS source_url FROM customer)
+ SELECT * FROM c UNION ALL SELECT n, source_url FROM c, (VALUES ('__default__'), ('new')) v(n) WHERE user_ns = 'anna'""",
     "s09_feed_articles": """SELECT CAST(s_suppkey AS VARCHAR) AS origin, 0 AS pos, 'A' || s_suppkey AS title, 'http://a/' || s_suppkey AS link, 'd' AS description, 'full' AS content, 'i.png' AS image, 1704164645 AS ord FROM supplier WHERE s_suppkey % 3 = 0
  UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 1, 'B', 'http://b', NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 0, 'E' || s_suppkey, 'http://e/' || s_suppkey, 's', NULL, NULL, 1704164645 FROM supplier WHERE s_suppkey % 3 = 1""",
     "s10_feed_sources": "SELECT s_suppkey, 0 AS pos, 'f' || s_suppkey AS url FROM supplier",

@@ -134,6 +134,14 @@ def w09(spark, sf):
     return S.move_to_front(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", F.col("s_suppkey") % 17 == 5).select("s_suppkey", F.col("new_place").cast("long").alias("new_place"))
 
 
+def w09_moves(spark, sf):
+    """Two tables' rows after one has gone before and one behind another."""
+    rows = lambda t, k: table(spark, sf, t).select(F.lit(t).alias("t"), F.col(k).cast("string").alias("k"), F.col(k).alias("place"))
+    before = S.move_row(rows("supplier", "s_suppkey"), "place", "k", "9", "3")
+    after = S.move_row(rows("customer", "c_custkey"), "place", "k", "2", "11", after=True)
+    return before.unionByName(after).select("t", "k", "new_place")
+
+
 def w10(spark, sf):
     e = events(spark, sf)
     key = F.concat_ws("::", F.col("user_id").cast("string"), "event_type", F.when(F.col("k") % 3 > 0, F.concat(F.lit("/c/"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("index:"), F.col("k").cast("string"))))
@@ -176,7 +184,7 @@ def j16(spark, sf):
 QUERIES = {
     "p06_group_filter": p06, "p07_recent_filter": p07, "p09_remote_books": p09, "p10_bookmarks": p10, "p16_incremental_gate": p16, "p17_quota": p17, "o02_list_upsert": o02, "o03_group_bits": o03,
     "j05_cached_chapters": j05, "j06_delete_matching": j06, "j07_shelf_upsert": j07, "j09_switch_source": j09, "j10_progress": j10, "j12_cache_library": j12, "j15_delete_by_url": j15, "j16_requested_sources": j16,
-    "a15_reading_statistics": a15, "a16_unread": a16, "a17_caching_counters": a17, "a19_next_id": a19, "w06_recent": w06, "w07_caching_slice": w07, "w08_neighbours": w08, "w09_move_to_front": w09, "w10_read_history": w10, "st7_request_rate": st7,
+    "a15_reading_statistics": a15, "a16_unread": a16, "a17_caching_counters": a17, "a19_next_id": a19, "w06_recent": w06, "w07_caching_slice": w07, "w08_neighbours": w08, "w09_move_to_front": w09, "w09_move_rows": w09_moves, "w10_read_history": w10, "st7_request_rate": st7,
 }
 
 SQL = {
@@ -216,6 +224,8 @@ SQL = {
  SELECT c.conv_id, turn FROM conversations c LEFT JOIN a USING (conv_id) WHERE turn >= coalesce(first_, 0) AND turn < coalesce(first_, 0) + 3""",
     "w08_neighbours": "SELECT conv_id, turn, lead(turn, 1) OVER w AS next_1, lead(turn, 2) OVER w AS next_2, lag(turn, 1) OVER w AS previous FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "w09_move_to_front": "SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 17 = 5 THEN 0 ELSE 1 END, s_suppkey) AS new_place FROM supplier",
+    "w09_move_rows": """SELECT 'supplier' AS t, CAST(s_suppkey AS VARCHAR) AS k, row_number() OVER (ORDER BY CASE WHEN s_suppkey = 9 THEN 2.5 ELSE s_suppkey END) AS new_place FROM supplier
+ UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), row_number() OVER (ORDER BY CASE WHEN c_custkey = 2 THEN 11.5 ELSE c_custkey END) FROM customer""",
     "w10_read_history": E_ + " SELECT DISTINCT user_id || '::' || event_type || '::' || CASE WHEN k % 3 > 0 THEN '/c/' || k ELSE 'index:' || k END AS read_key FROM e",
     "st7_request_rate": """SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w > 2 AS over FROM events
  WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW)""",

@@ -144,6 +144,11 @@ def t02(spark, sf):
     return global_rank(table(spark, sf, "supplier").select("s_suppkey", "s_name"), [own, "s_name"]).select("s_suppkey", "place")
 
 
+def t02_latest(spark, sf):
+    """Sources with the last changed first."""
+    return global_rank(table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("updated_at")), [F.desc("updated_at"), "o_orderkey"]).select("o_orderkey", "place")
+
+
 def o04(spark, sf):
     shown = table(spark, sf, "part").where("p_size > 25").select("p_partkey")
     return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().join(shown, "p_partkey", "left_semi")
@@ -152,7 +157,7 @@ def o04(spark, sf):
 QUERIES = {
     "a01_merge_listings": a01, "a02_first_seen": a02, "a03_validate_sources": a03, "a04_merge_reports": a04, "a05_catalog_stats": a05, "a06_group_names": a06,
     "p01_split_groups": p01, "p02_has_group": p02, "p03_mark_group": p03, "p04_catalog_filter": p04, "p05_catalog_overview": p05,
-    "j08_alternates": j08, "j11_listing_source": j11, "t02_catalog_order": t02, "t05_bounded_alternates": t05, "t06_take_until": t06, "t07_candidate_score": t07, "t08_batches": t08, "o04_visible_selection": o04,
+    "j08_alternates": j08, "j11_listing_source": j11, "t02_catalog_order": t02, "t02_latest_first": t02_latest, "t05_bounded_alternates": t05, "t06_take_until": t06, "t07_candidate_score": t07, "t08_batches": t08, "o04_visible_selection": o04,
 }
 
 _ALT = L + """, t AS (SELECT p_partkey AS target_id, p_name AS name, p_brand AS author, 'src' || (p_partkey % 10) AS origin FROM part WHERE p_partkey % 20 = 0),
@@ -183,6 +188,7 @@ SELECT k.merge_key, arg_min(name, (source_ord, item_ix, book_url)) AS name, arg_
     "j11_listing_source": L + """, c AS (SELECT 'src' || s_suppkey AS origin, s_name AS source_name, n_name || ', ' || r_name || ';;' || n_name || CASE WHEN s_acctbal < 0 THEN '、失效' ELSE '' END AS groups
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
  SELECT l.origin, item_ix, book_url, coalesce(source_name, l.origin) AS origin_name, coalesce(groups, '') AS origin_group FROM l LEFT JOIN c ON l.origin = c.origin""",
+    "t02_latest_first": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders",
     "t02_catalog_order": "SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey ELSE 0 END, s_name) AS place FROM supplier",
     "t05_bounded_alternates": _ALT + " SELECT target_id, CAST(least(5, max(rank)) AS INTEGER) AS last_index, least(100, max(rank)) > least(5, max(rank)) AS has_more FROM m GROUP BY 1",
     "t06_take_until": L + ", n AS (SELECT source_ord, count(*) AS n FROM l GROUP BY 1), b AS (SELECT *, sum(n) OVER (ORDER BY source_ord) - n AS before FROM n) SELECT source_ord, n FROM b WHERE before < 5000",

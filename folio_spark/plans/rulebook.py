@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio_spark.functions import urls as U
 from folio_spark.operators import extract, programs, rules
@@ -144,7 +146,26 @@ def e20_data(spark, sf):
     return programs.details(pages, programs.compiled(catalog.select("source_url", rules_of.alias("r")), None, "r", names), names, keep=("j",)).select("page_id", "j", "source_url", *names)
 
 
+def f01_listing(spark, sf):
+    """A listing with the caller's functions: bodies without their first link, every other item, names with their place."""
+    hooks = {"body": lambda b: F.regexp_replace(b, r'<a href="/[^"]*">of</a>', ""), "items": lambda rows: F.filter(rows, lambda r, i: i % 2 == 0), "name": lambda i, t: F.concat((i + 1).cast("string"), F.lit(". "), F.upper(t))}
+    return extract.search(sourced(spark, sf).where("page_id % 3 = 1"), CATALOG[1:2], hooks=hooks).select("page_id", "item_ix", "name")
+
+
+@F.pandas_udf(T.StringType())
+def _marked(texts: pd.Series) -> pd.Series:
+    return "[" + texts.str.upper() + "]"
+
+
+def f01_content(spark, sf):
+    """Contents with a function of the caller that is Python, in Arrow batches."""
+    rule = {"source_url": "s0", "source_ord": 0, "content": "tag.h1@text"}
+    pages = table(spark, sf, "pages").withColumn("source_url", F.lit("s0"))
+    return extract.contents(pages, [rule], hooks={"body": lambda b: F.replace(b, F.lit("<h1>"), F.lit("<h1>x ")), "content": lambda _, t: _marked(t)}).select("page_id", "content")
+
+
 QUERIES = {
+    "f01_listing_hooks": f01_listing, "f01_content_hooks": f01_content,
     "e17_rules_as_data": e17_data, "e20_rules_as_data": e20_data,
     "e05_source_text": e05_source, "e07_pages_in_pages": e07, "e09_xpath_values": e09, "e09_xpath_list": e09_list, "e11_json_items": e11, "e16_routing": e16, "e17_search": e17, "e18_explore": e18, "e19_detail_fallback": e19,
     "e20_details": e20, "e21_flags": e21_flags, "e21_next_pages": e21_next, "e22_content_rules": e22_rules, "e23_next_content": e23, "e24_explore_kinds": e24,
@@ -161,6 +182,10 @@ _M = """, third AS (SELECT count(*) // 3 AS m FROM part), q AS (SELECT page_id,
   n AS (SELECT page_id AS id, count(*) AS n FROM links GROUP BY 1), css AS (SELECT page_id, j, k, least(k // 3 % 3, n - 1) AS lo, least(k // 3 % 5, n - 1) AS hi FROM q JOIN n ON page_id = id WHERE page_id % 3 = 0)"""
 
 SQL = {
+    "f01_listing_hooks": """WITH m AS (SELECT page_id, regexp_replace(html, '<a href="/[^"]*">of</a>', '', 'g') AS b FROM pages WHERE page_id % 3 = 1), t AS (SELECT page_id, regexp_extract_all(b, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS t FROM m),
+ k AS (SELECT page_id, list_filter(t, lambda x, i: i % 2 = 1 AND x <> '') AS t, list_filter(t, lambda x: x <> '') AS u FROM t), n AS (SELECT page_id, list_filter(u, lambda x, i: i % 2 = 1) AS t FROM k), e AS (SELECT page_id, unnest(t) AS t, unnest(range(len(t))) AS i FROM n)
+ SELECT page_id, CAST(i AS INT) AS item_ix, (i + 1) || '. ' || upper(t) AS name FROM e""",
+    "f01_content_hooks": f"SELECT page_id, '[' || upper(trim('x ' || {_H1})) || ']' AS content FROM pages",
     "e17_rules_as_data": _K + _M + f""" SELECT page_id, j, 's' || k AS source_url, CAST(abs(item_ix - lo) AS INT) AS item_ix, title || '-' || k AS name, {_O} || href AS book_url FROM css JOIN links USING (page_id) WHERE item_ix BETWEEN least(lo, hi) AND greatest(lo, hi)
  UNION ALL SELECT page_id, j, 's' || k, item_ix, title || '-' || k, {_O} || href FROM q JOIN links USING (page_id) WHERE page_id % 3 = 1
  UNION ALL SELECT page_id, j, 's' || k, b.item_ix, b.name || '-' || k, b.book_url FROM q JOIN ({_J}) b USING (page_id)""",

@@ -293,6 +293,16 @@ def t04_more(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg((F.count("*") >= 50).alias("has_more"))
 
 
+def t04_scope(spark, sf):
+    """The second page of the feeds of a group: types of events with an r in their names."""
+    e = table(spark, sf, "events").where("event_type like '%r%'").select("event_type", "event_id", (F.col("event_id") % 7).alias("at"))
+    return S.feed_page(e, "event_type", [F.desc("at"), "event_id"], 2).select("event_type", "event_id", "place", "has_more")
+
+
+def a12_places(spark, sf):
+    return K.merge_places(spots(spark, sf), shown=True).select("book", "key", "kind", "parent_name", "status", "first_seen", F.array_join("characters", ",").alias("characters"))
+
+
 def s05(spark, sf):
     p = table(spark, sf, "pages")
     n = F.col("page_id")
@@ -302,7 +312,7 @@ def s05(spark, sf):
 
 QUERIES = {
     "a03_marked_report": a03_marked, "a04_report_totals": a04_totals, "t04_has_more": t04_more, "s05_page_rows": s05,
-    "p13_title_patterns": p13, "w04_all_units": w04, "w03_text_book": w03, "a01_five_fields": a01_five, "a08_all_fields": a08_all, "a12_shown_characters": a12, "a12_shown_relations": a12_relations, "o01_increment": o01, "p15_low_value": p15, "p15_recaps": p15_recaps,
+    "p13_title_patterns": p13, "w04_all_units": w04, "w03_text_book": w03, "a01_five_fields": a01_five, "a08_all_fields": a08_all, "a12_shown_characters": a12, "a12_shown_places": a12_places, "t04_scope_page": t04_scope, "a12_shown_relations": a12_relations, "o01_increment": o01, "p15_low_value": p15, "p15_recaps": p15_recaps,
     "a11_merge_notes": a11, "a13_category_groups": a13, "a10_merge_places": a10, "t10_place_order": t10, "u23_levels": u23, "a14_nodes": a14_nodes, "a14_links": a14_links, "t09_node_order": t09, "p14_character_search": p14, "u22_place_signature": u22, "j13_place_parents": j13,
     "u21_summaries": u21, "u25_file_names": u25, "p12_truthiness": p12, "u14_scoped_order": u14, "j07_save_books": j07, "j09_switch_with_detail": j09, "j02_books_of_a_host": j02, "p07_recent_kinds": p07, "p09_local_books": p09, "p08_title_search": p08, "p11_feed_scope": p11, "p05_overview_flags": p05,
 }
@@ -338,6 +348,8 @@ SQL = {
     "a03_marked_report": _MARKED + """ SELECT origin, valid, CASE WHEN length(source_name) % 2 = 0 THEN 'check' ELSE '斗破苍穹' END AS keyword,
  CASE WHEN valid AND has THEN array_to_string(list_filter(names, lambda x: x <> '失效'), ',') WHEN NOT valid AND NOT has THEN array_to_string(list_append(names, '失效'), ',') ELSE groups END AS "group", NOT valid AND NOT has AS marked_invalid FROM v""",
     "a04_report_totals": _MARKED + " SELECT count(*) AS total, count_if(valid) AS valid, count_if(NOT valid) AS invalid, count_if(NOT valid AND NOT has) AS marked_invalid FROM v",
+    "t04_scope_page": """WITH p AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id % 7 DESC, event_id) AS place FROM events WHERE event_type LIKE '%r%'), q AS (SELECT * FROM p WHERE place BETWEEN 51 AND 100)
+ SELECT event_type, event_id, place, (SELECT max(n) >= 50 FROM (SELECT count(*) AS n FROM q GROUP BY event_type)) AS has_more FROM q""",
     "t04_has_more": "SELECT event_type, count(*) >= 50 AS has_more FROM events GROUP BY 1",
     "s05_page_rows": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || '#moved' ELSE url END AS final_url, page_id % 5 <> 0 AS has_text, 'text/html' AS content_type FROM pages",
     "p13_title_patterns": f"SELECT event_id, {_list(TITLES)}[event_id % {len(TITLES)} + 1] AS title FROM events WHERE list_contains({_list(_STORY)}, {_list(TITLES)}[event_id % {len(TITLES)} + 1])",
@@ -355,6 +367,8 @@ SQL = {
     "a12_shown_characters": _P + """ SELECT book, key, trim(arg_min(name, ord)) AS name, arg_max(status, (length(coalesce(status, '')), -ord)) AS status, arg_min(faction, ord) FILTER (faction IS NOT NULL) AS faction, arg_min(location, ord) FILTER (location IS NOT NULL) AS location, arg_min(last_seen, ord) AS last_seen
  FROM k WHERE coalesce(importance, '') <> 'low' GROUP BY 1, 2""",
     "o01_increment": _P + " SELECT book, key, trim(arg_min(name, (ord % 2, ord))) AS name, arg_max(status, (ord % 2, ord)) FILTER (status IS NOT NULL) AS status, arg_max(last_seen, (ord % 2, ord)) AS last_seen FROM k GROUP BY 1, 2",
+    "a12_shown_places": _SPOTS + """ SELECT book, name AS key, arg_min(kind, ord) FILTER (kind <> '') AS kind, arg_min(parent_name, ord) FILTER (parent_name IS NOT NULL) AS parent_name, arg_max(status, (length(coalesce(status, '')), -ord)) AS status, arg_min(first_seen, ord) AS first_seen,
+ array_to_string(list_sort(list(DISTINCT who)), ',') AS characters FROM q WHERE coalesce(importance, '') <> 'low' GROUP BY 1, 2""",
     "a12_shown_relations": _TIES + f""" SELECT book, x, y, relation, arg_max(status, (length(coalesce(status, '')), -ord)) AS status, arg_max(description, (length(coalesce(description, '')), -ord)) AS description, arg_max(nullif(importance, ''), ({_RANK.format("importance")}, -ord)) AS importance
  FROM f WHERE x <> y AND relation <> '' AND NOT low AND NOT little GROUP BY 1, 2, 3, 4""",
     "p15_low_value": _TIES + " SELECT ord, little, low FROM f",

@@ -136,6 +136,20 @@ def copy_sources(catalog: DataFrame, source_ns: str, target_ns: str, key: str =
     return catalog.join(copied.select(ns, key), [ns, key], "left_anti").unionByName(copied)
 
 
+#: Fixed value: the namespace of the sources that new users get.
+DEFAULTS = "__default__"
+
+
+def set_defaults(catalog: DataFrame, source_ns: str, **columns: str) -> DataFrame:
+    """A catalog after one namespace's sources have become defaults, over those of equal keys."""
+    return copy_sources(catalog, source_ns, DEFAULTS, **columns)
+
+
+def copy_defaults(catalog: DataFrame, target_ns: str, **columns: str) -> DataFrame:
+    """A catalog after a namespace has got the defaults; without any nothing changes."""
+    return copy_sources(catalog, DEFAULTS, target_ns, **columns)
+
+
 _MARKS = re.compile(r'["\\{}\n]')
 
 
