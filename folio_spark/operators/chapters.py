@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio_spark.functions.text import chapter_ordinal
+from folio_spark.functions.text import chapter_ordinal, let, starts
 
 #: A heading line of a text book.
 HEADING = r"^\s*(?:第\s*[0-9零〇一二两三四五六七八九十百千万]+\s*[章节回卷部篇]|(?i:chapter)\s+[0-9IVXLC]+\b|(?:序章|楔子|引子|尾声|后记)\s*$)"
@@ -16,23 +18,31 @@ SKIPPED = "番外|外传|新书|新番外|公告|通知|说明|感言|请假|断
 KEPT = "^(序章|楔子|引子|序|前言)$"
 
 
+def _parts(lines: Column, heading: Column, part: Callable[[Column, Column, Column], Column]) -> Column:
+    """part(first line behind the heading, number of lines, heading's place or -1) of what stands before the first heading and of
+    every chapter. heading: whether each line is one."""
+    at = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.get(h, i))
+    bounds = lambda heads: F.transform(F.concat(F.array(F.lit(-1)), heads), lambda h, j: part(h + 1, F.coalesce(F.get(heads, j), F.size(lines)) - h - 1, h))
+    return let(let(heading, at), bounds)
+
+
 def split_chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heading: str = HEADING, longest: int = 80) -> DataFrame:
     """id, idx, title, content, char_start: chapters of each text. Text before the first heading is a preface; a text
-    without headings is one chapter. Chapters without content stay."""
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    is_heading = (F.length(F.trim("line")) <= longest) & F.col("line").rlike(heading)
-    w = W.partitionBy(id_col).orderBy("pos")
-    numbered = lines.withColumn("h", is_heading).withColumn("chapter", F.sum(F.col("h").cast("int")).over(w)).withColumn("start", F.sum(F.length("line") + 1).over(w) - F.length("line") - 1)
-    parts = numbered.groupBy(id_col, "chapter").agg(
-        F.max(F.when(F.col("h"), F.trim("line"))).alias("heading"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("h"), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("content"),
-        F.min("start").alias("char_start"),
-    )
-    parts = parts.where((F.col("chapter") > 0) | (F.trim("content") != ""))
-    own = W.partitionBy(id_col)
-    title = F.coalesce("heading", F.when(F.max("chapter").over(own) == 0, WHOLE).otherwise(PREFACE))
-    idx = F.row_number().over(own.orderBy("chapter")) - 1
-    return parts.select(id_col, idx.alias("idx"), title.alias("title"), F.trim("content").alias("content"), "char_start")
+    without headings is one chapter. Chapters without content stay. A text is one row: nothing moves."""
+
+    def of(lines: Column) -> Column:
+        is_heading = F.transform(lines, lambda x: (F.length(F.trim(x)) <= longest) & x.rlike(heading))
+
+        def chapters(begin: Column) -> Column:
+            one = lambda lo, n, h: F.struct(F.when(h >= 0, F.trim(F.get(lines, h))).alias("title"), F.trim(F.array_join(F.slice(lines, lo + 1, n), "\n")).alias("content"), F.when(h >= 0, F.get(begin, h)).otherwise(0).cast("long").alias("char_start"))
+            return _parts(lines, is_heading, one)
+
+        return let(starts(F.transform(lines, lambda x: F.length(x) + 1)), chapters)
+
+    found = let(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), of)
+    kept = F.filter("_c", lambda c, j: (j > 0) | (c["content"] != ""))
+    rows = docs.select(id_col, found.alias("_c")).select(id_col, (F.size("_c") == 1).alias("_one"), F.posexplode(kept).alias("idx", "c"))
+    return rows.select(id_col, "idx", F.coalesce("c.title", F.when(F.col("_one"), WHOLE).otherwise(PREFACE)).alias("title"), "c.content", "c.char_start")
 
 
 #: Fixed value: a heading line, by number and unit, alone or with a title that doesn't end like a sentence.
@@ -46,24 +56,28 @@ def text_chapters(books: DataFrame, heading: str = NUMBERED, longest: int = 80)
     at their end; start and end are those of the content. Text before the first heading is a preface; a text without
     headings is one chapter; chapters without content stay.
     """
-    lines = books.select("book_url", F.coalesce("text", F.lit("")).alias("text")).select("book_url", F.length("text").alias("size"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    line = F.regexp_replace("raw", "\r+$", "")
-    title = F.regexp_replace(line, r"^[\s\x{3000}\x{00A0}]+|[\s\x{3000}\x{00A0}]+$", "")
-    w = W.partitionBy("book_url").orderBy("pos")
-    own = W.partitionBy("book_url")
-    marked = lines.withColumn("title", title).withColumn("h", (F.col("title") != "") & (F.length("title") <= longest) & F.col("title").rlike(heading)).withColumn("at", F.sum(F.length("raw") + 1).over(w) - F.length("raw") - 1)
-    parts = marked.withColumn("chapter", F.sum(F.col("h").cast("int")).over(w)).groupBy("book_url", "size", "chapter").agg(
-        F.max(F.when(F.col("h"), F.col("title"))).alias("title"),
-        F.max(F.when(F.col("h"), F.least(F.col("at") + F.length("raw") + 1, F.col("size")))).alias("head"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("h"), F.struct("pos", "raw")))), lambda x: x["raw"]), "\n").alias("body"),
-    )
-    parts = parts.withColumn("none", F.max("chapter").over(own) == 0)
-    none = F.col("none")
-    body = F.when(none, F.col("body")).otherwise(F.regexp_replace("body", "[\r\n]+$", ""))
-    kept = parts.withColumn("content", body).withColumn("start", F.coalesce("head", F.lit(0))).withColumn("title", F.when(none, WHOLE).when(F.col("chapter") == 0, PREFACE).otherwise(F.col("title"))).where((F.col("chapter") > 0) | (F.trim(F.regexp_replace("content", r"\s+", "")) != "") | none)
-    idx = (F.row_number().over(own.orderBy("chapter")) - 1).cast("int")
-    numbered = kept.withColumn("idx", idx)
-    return numbered.select("book_url", "idx", "title", F.concat(F.regexp_replace("book_url", "#+$", ""), F.lit("#"), F.col("idx").cast("string")).alias("url"), F.col("start").cast("long").alias("start"), (F.col("start") + F.length("content")).cast("long").alias("end"), "content")
+    line = lambda raw: F.regexp_replace(raw, "\r+$", "")
+    title = lambda raw: F.regexp_replace(line(raw), r"^[\s\x{3000}\x{00A0}]+|[\s\x{3000}\x{00A0}]+$", "")
+
+    def of(z: Column) -> Column:
+        lines, size = z["lines"], z["size"]
+        is_heading = F.transform(lines, lambda raw: let(title(raw), lambda t: (t != "") & (F.length(t) <= longest) & t.rlike(heading)))
+
+        def chapters(begin: Column) -> Column:
+            behind = lambda h: F.when(h >= 0, F.least(F.get(begin, h) + F.length(F.get(lines, h)) + 1, size)).otherwise(0)
+            one = lambda lo, n, h: F.struct(F.when(h >= 0, title(F.get(lines, h))).alias("title"), behind(h).alias("start"), F.array_join(F.slice(lines, lo + 1, n), "\n").alias("body"))
+            return _parts(lines, is_heading, one)
+
+        return let(starts(F.transform(lines, lambda x: F.length(x) + 1)), chapters)
+
+    text = F.coalesce("text", F.lit(""))
+    found = let(F.struct(F.split(text, "\n").alias("lines"), F.length(text).alias("size")), of)
+    none = F.col("_one")
+    bare = lambda c: F.when(none, c["body"]).otherwise(F.regexp_replace(c["body"], "[\r\n]+$", ""))
+    kept = F.filter(F.transform("_c", lambda c: F.struct(c["title"].alias("title"), c["start"].alias("start"), bare(c).alias("content"))), lambda c, j: (j > 0) | (F.trim(F.regexp_replace(c["content"], r"\s+", "")) != "") | none)
+    rows = books.select("book_url", found.alias("_c")).withColumn("_one", F.size("_c") == 1).select("book_url", "_one", F.posexplode(kept).alias("idx", "c"))
+    named = F.coalesce("c.title", F.when(none, WHOLE).otherwise(PREFACE))
+    return rows.select("book_url", "idx", named.alias("title"), F.concat(F.regexp_replace("book_url", "#+$", ""), F.lit("#"), F.col("idx").cast("string")).alias("url"), F.col("c.start").cast("long").alias("start"), (F.col("c.start") + F.length("c.content")).cast("long").alias("end"), "c.content")
 
 
 def assemble_toc(rows: DataFrame, book: str = "book", reverse: bool = False) -> DataFrame:
