@@ -43,6 +43,8 @@ WORDS, SINGLE, CLASS, HEAD, DIM = 16_384, 32, 128, 1 << 16, 16
 #: Rounds of training, noise samples for a batch's classes and for a class's words, places in a batch, step size.
 ROUNDS, NOISE, INNER, BATCH, RATE = 4, 16, 6, 16_384, 0.1
 FLUSH = 300_000
+#: Places that are normalised at a time: their logits stay in a core's cache.
+CACHED = 1024
 
 
 def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
@@ -192,16 +194,18 @@ class Bilinear:
         h[:, :DIM] = p["r"][one] * p["c1"] + p["r"][two] * p["c2"]
         outer, inner = (np.concatenate([p[k], p[b]], 1).T for k, b in (("qc", "bc"), ("q", "b")))
         c = self.v.of[w]
-        for lo in range(0, len(w), BATCH):
-            s = slice(lo, lo + BATCH)
+        for lo in range(0, len(w), CACHED):
+            s = slice(lo, lo + CACHED)
             z = h[s] @ outer
             out[s] = z[np.arange(len(z)), c[s]]
             out[s] -= _log_sums(z)
         for k, rows in self._ordered(w):
             a, e = self.v.block(k)
-            z = h[rows] @ inner[:, a:e]
-            out[rows] += z[np.arange(len(rows)), w[rows] - a]
-            out[rows] -= _log_sums(z)
+            own = inner[:, a:e]
+            for lo in range(0, len(rows), CACHED):
+                some = rows[lo : lo + CACHED]
+                z = h[some] @ own
+                out[some] += z[np.arange(len(some)), w[some] - a] - _log_sums(z)
         return out / math.log(10)
 
     def start(self, seed: int, rate: float) -> None:
@@ -225,34 +229,40 @@ class Bilinear:
         c = v.of[w]
         drawn = self.rng.choice(v.classes, NOISE, p=self.noise)
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        real = _sigmoid((h * p["qc"][c]).sum(1) + p["bc"][c, 0] - log_noise[c]) - 1
+        qc = p["qc"][c]
+        real = _sigmoid(np.einsum("ij,ij->i", h, qc) + p["bc"][c, 0] - log_noise[c]) - 1
         false = _sigmoid(h @ p["qc"][drawn].T + p["bc"][drawn].T - log_noise[drawn])
-        dh = real[:, None] * p["qc"][c] + false @ p["qc"][drawn]
-        both = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+        dh = real[:, None] * qc + false @ p["qc"][drawn]
+        both = np.ones((len(h), DIM + 1), np.float32)
+        both[:, :DIM] = h
         at, g = _sums(np.append(c, drawn), np.concatenate([real[:, None] * both, false.T @ both]), v.classes)
         inner = np.flatnonzero((c >= v.first_block) & (c < v.first_block + v.blocks))
         if len(inner):
             inner = inner[np.argsort(c[inner], kind="stable")]
-            k, hk, bk, target = c[inner], h[inner], both[inner], w[inner]
-            lo = v.single + (k - v.first_block) * v.width
+            k, bk, target = c[inner], both[inner], w[inner]
+            hk = bk[:, :DIM]
+            begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            edges = np.append(begin, len(k))
+            lo = v.single + (k[begin] - v.first_block) * v.width
             width = np.minimum(v.width, v.end - lo)
             some = lo[:, None] + (self.rng.random(INNER) * width[:, None]).astype(np.int32)  # the same share of each class's words
             shift = np.log(INNER / width).astype(np.float32)
-            qt, qs = p["q"][target], p["q"][some]
-            hit = _sigmoid((hk * qt).sum(1) + p["b"][target, 0] - shift) - 1
-            miss = _sigmoid((qs @ hk[:, :, None])[:, :, 0] + p["b"][some, 0] - shift[:, None])
-            dh[inner] += hit[:, None] * qt + (miss[:, None, :] @ qs)[:, 0]
-            begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            edges = np.append(begin, len(k))
-            wrong = np.concatenate([miss[x:y].T @ bk[x:y] for x, y in zip(edges, edges[1:])])
-            at_q, g_q = _sums(np.append(target, some[begin].ravel()), np.concatenate([hit[:, None] * bk, wrong]), v.size)
+            qt, qs, bs = p["q"][target], p["q"][some], p["b"][some, 0] - shift[:, None]
+            hit = _sigmoid(np.einsum("ij,ij->i", hk, qt) + p["b"][target, 0] - np.repeat(shift, np.diff(edges))) - 1
+            wrong, back = [], hit[:, None] * qt
+            for i, (x, y) in enumerate(zip(edges, edges[1:])):  # the places of a class share its noise
+                miss = _sigmoid(hk[x:y] @ qs[i].T + bs[i])
+                back[x:y] += miss @ qs[i]
+                wrong.append(miss.T @ bk[x:y])
+            dh[inner] += back
+            at_q, g_q = _sums(np.append(target, some.ravel()), np.concatenate([hit[:, None] * bk, *wrong]), v.size)
             self._step("q", at_q, g_q[:, :DIM])
             self._step("b", at_q, g_q[:, DIM:])
         self._step("qc", at, g[:, :DIM])
         self._step("bc", at, g[:, DIM:])
         every = np.zeros(1, np.int64)
-        self._step("c1", every, (dh * before[0]).sum(0, keepdims=True), len(w))
-        self._step("c2", every, (dh * before[1]).sum(0, keepdims=True), len(w))
+        for name, x in (("c1", before[0]), ("c2", before[1])):
+            self._step(name, every, np.einsum("ij,ij->j", dh, x)[None], len(w))
         at, g = _sums(np.concatenate([one, two]), np.concatenate([dh * p["c1"], dh * p["c2"]]), v.size)
         self._step("r", at, g)
 
