@@ -37,9 +37,9 @@ def new_path(spark: SparkSession, tag: str) -> str:
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and is computed once."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Write df to the shared folder (or a path there) and read it back: cuts lineage, survives lost executors, and is computed once."""
+    spark, path = df.sparkSession, path or new_path(df.sparkSession, tag)
     before = {k: spark.conf.get(k) for k in WRITING}
     for k, v in WRITING.items():
         spark.conf.set(k, v)

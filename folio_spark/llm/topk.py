@@ -6,8 +6,8 @@ sum(max(q * low, q * high)). Queries descend level by level, drop boxes whose bo
 and visit the leaves that remain in the order of their bounds. Every query first searches its own shard; the kth
 score it finds there goes along to all the others and prunes them.
 
-Queries travel in passes of a fixed number of numbers, whatever their count; in each pass every shard builds its tree once,
-and queries are searched in blocks.
+Queries, however many, are written to the folder that all tasks share; every shard builds its tree once and reads them
+a block at a time. None passes through the driver.
 
 Defined results: null ids, null vectors and vectors with null or non-finite components take no part; vectors of
 unequal length count as padded with zeros; equal scores go to the smaller id; a query never meets rows of its own
@@ -22,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, new_path
+from .warc import filesystem
 
-#: Vectors of a leaf, queries that are searched together, and numbers of query vectors that travel in one pass.
-LEAF, BLOCK, TRAVEL = 512, 2048, 1 << 21
+#: Vectors of a leaf, and queries that are searched together.
+LEAF, BLOCK = 512, 2048
 
 
 def to_matrix(column: pa.Array, width: int = 0) -> np.ndarray:
@@ -130,9 +133,19 @@ def _fit(a: np.ndarray, width: int) -> np.ndarray:
     return np.pad(a, ((0, 0), (0, width - a.shape[1])))
 
 
+def _blocks(path: str, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The written queries a block at a time: ids, vectors, kth scores. Read by the task itself, from the folder all share."""
+    store, root = filesystem(path)
+    for f in sorted(x.path for x in store.get_file_info(FileSelector(root)) if x.base_name.startswith("part-")):
+        with store.open_input_file(f) as file:
+            for b in pq.ParquetFile(file).iter_batches(rows):
+                if b.num_rows:
+                    yield b.column(0).to_numpy(), to_matrix(b.column(1)), b.column(2).to_numpy()
+
+
 def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, id and score of the k best inner products of floor(scale * component) for every query row."""
-    spark, together = rows.sparkSession, BLOCK
+    spark = rows.sparkSession
     whole = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     ints = whole.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"), is_query.alias("_q"))
 
@@ -154,35 +167,23 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
             yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(list(vectors[part]), pa.list_(pa.int64())), pa.array(least)], ["query_id", "q", "kth"])
 
     asked = ints.mapInArrow(at_home, "query_id long, q array<long>, kth long").groupBy("query_id").agg(F.min(F.struct("q", "kth")).alias("x")).select("query_id", "x.q", "x.kth")
-    asked = materialize(asked, "queries")
-    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
-    blocks = -(-n * 5 // (4 * max(BLOCK, TRAVEL // max(1, width)))) or 1
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = []
-    for block in range(blocks):
-        part = asked.where(F.col("_block") == block).select("query_id", "q", "kth").toArrow().combine_chunks()  # about TRAVEL numbers, by the number of passes
-        if not part.num_rows:
-            continue
-        col = lambda n: part.column(n).combine_chunks() if part.column(n).num_chunks != 1 else part.column(n).chunk(0)  # noqa: E731, B023
-        sent = spark.sparkContext.broadcast((col("query_id").to_numpy(), to_matrix(col("q")), col("kth").to_numpy()))
-
-        def elsewhere(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, vectors = _vectors(batches)
-            if len(ids):
-                query_ids, queries, kth = sent.value
-                width = max(queries.shape[1], vectors.shape[1])
-                least = np.where(kth == np.iinfo(np.int64).min, -np.inf, kth.astype(float))
+    path = new_path(spark, "queries")
+    materialize(asked, "queries", path)
+
+    def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = _vectors(batches)
+        if not len(ids):
+            return
+        tree = None
+        for query_ids, queries, kth in _blocks(path, BLOCK):
+            width = max(queries.shape[1], vectors.shape[1])
+            if tree is None or tree.vectors.shape[1] < width:
                 tree = Tree(_fit(vectors, width), ids)
-                for lo in range(0, len(query_ids), together):
-                    part = slice(lo, lo + together)
-                    at, who, score = tree.search(_fit(queries[part], width), query_ids[part], least[part], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[part][at]), pa.array(who), pa.array(score)], ["query_id", "id", "score"])
-
-        near = ints.select("id", "v").mapInArrow(elsewhere, "query_id long, id long, score long")
-        found.append(near if blocks == 1 else materialize(near, "near"))
-    out = found[0] if found else spark.createDataFrame([], "query_id long, id long, score long")
-    for x in found[1:]:
-        out = out.unionByName(x)
+            least = np.where(kth == np.iinfo(np.int64).min, -np.inf, kth.astype(float))
+            at, who, score = tree.search(_fit(queries, tree.vectors.shape[1]), query_ids, least, k)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(who), pa.array(score)], ["query_id", "id", "score"])
+
+    out = ints.select("id", "v").mapInArrow(elsewhere, "query_id long, id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
