@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio_spark.llm import conversations, licenses, whitening
+from folio_spark.llm import conversations, licenses, toxicity, whitening
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -208,3 +208,57 @@ def test_bidiagonal_steps_give_all_singular_values():
         want = np.zeros(d)
         want[: min(rows, d)] = np.linalg.svd(a, compute_uv=False)
         assert np.abs(s - want).max() < 1e-12 * want[0] * d and np.abs(v.T @ v - np.eye(d)).max() < 1e-12
+
+
+def brute_toxicity(model, text):
+    """The highest window's mean over distinct words of the mean of their n-grams' shares, one n-gram at a time."""
+    tokens = (text or "").lower().encode().split()
+    best = None
+    for lo in range(0, len(tokens), toxicity.WINDOW):
+        window = tokens[lo : lo + toxicity.WINDOW]
+        worth = {}
+        for t in window:
+            bare = b"<" + (t.strip(toxicity._STRIP) or t) + b">"
+            shares = []
+            for k in toxicity.GRAMS:
+                for i in range(len(bare) - k + 1):
+                    h = 0
+                    for c in bare[i : i + k]:
+                        h = (h * 0x100000001B3 + c + 1) & (1 << 64) - 1
+                    x = h ^ (k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                    x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+                    shares.append(float(model.table[(x >> 40) % toxicity.BUCKETS]))
+            worth[bare] = sum(shares) / len(shares)  # words that differ in signs around them alone are one
+        mean = sum(worth.values()) / len(window)
+        best = mean if best is None else max(best, mean)
+    z = min(model.bias, -1e-9) if best is None else best + model.bias
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_by_brute_force(spark):
+    r = random.Random(9)
+    model = toxicity.Model(np.random.default_rng(4).normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.4)
+    some = ["you", "Fool!", "idiot", "id1ot", "the", "é", "x", "--", "word,", "word"]
+    texts = [None, "", " ", "x", *(" ".join(r.choices(some, k=r.randrange(70))) for _ in range(120)), "you fool " * 4000]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, score string").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(docs, model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - brute_toxicity(model, t)) < 1e-6, t
+
+
+def test_stages_that_drop_and_redact(spark, tmp_path):
+    """The toxicity stage keeps what its model scores under one half; the redaction stage changes what the patterns find."""
+    import corpus_pipeline
+
+    r = random.Random(5)
+    clean = ["the river runs along the old road", "a cup of tea and a loaf of bread", "they walked home in the rain"]
+    rows = [(i, " ".join(r.sample(clean, 2)) + (" you filthy wretched scoundrel" if i % 3 == 0 else ""), "en", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_toxic(spark, docs, f"file://{tmp_path}").collect()}
+    assert kept == {i for i, t, *_ in rows if brute_toxicity(model, t) < 0.5} and kept == {i for i in range(300) if i % 3}
+    some = spark.createDataFrame([(1, "a@b.co and 10.0.0.1", "en", 9), (2, "none", "en", 4), (3, None, "en", None), (4, "c@d.eu" * 2, "en", 0)], "doc_id long, text string, lang string, n_chars long")
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in corpus_pipeline.redact(spark, some, "").collect()}
+    assert got == {1: ("[EMAIL] and [IP]", 16), 2: ("none", 4), 3: (None, None), 4: ("[EMAIL]@d.eu", 12)}
