@@ -44,12 +44,13 @@ def a16(spark, sf):
 
 
 def p09(spark, sf):
-    return shelf(spark, sf).where(~F.col("local") & F.col("book_url").startswith("/o/1")).select("book_url")
+    origin = F.when(F.col("local"), " local-txt ").otherwise("http://o/")
+    return shelf(spark, sf).where(~S.is_local(origin, F.col("book_url")) & F.col("book_url").startswith("/o/1")).select("book_url")
 
 
 def p07(spark, sf):
     s = shelf(spark, sf)
-    return s.where(F.contains(F.lower(F.concat_ws(" ", "name", "author", "book_url", F.coalesce("kind", F.lit("")))), F.lit("author 7"))).select("book_url", "name")
+    return s.where(S.recent_matches(F.lit("book"), "book", " Author 7", "name", "author", "book_url", "kind")).select("book_url", "name")
 
 
 def p10(spark, sf):
