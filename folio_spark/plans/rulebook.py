@@ -146,15 +146,25 @@ def e20_data(spark, sf):
     return programs.details(pages, programs.compiled(catalog.select("source_url", rules_of.alias("r")), None, "r", names), names, keep=("j",)).select("page_id", "j", "source_url", *names)
 
 
+def _upper(t):
+    """A text in upper case, letter by letter as SQL has it: none becomes two ('ß' is 'ẞ', not 'SS')."""
+    one = lambda c: F.when(c == "ß", "ẞ").when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+    return F.array_join(F.transform(F.split(t, ""), one), "")
+
+
 def f01_listing(spark, sf):
     """A listing with the caller's functions: bodies without their first link, every other item, names with their place."""
-    hooks = {"body": lambda b: F.regexp_replace(b, r'<a href="/[^"]*">of</a>', ""), "items": lambda rows: F.filter(rows, lambda r, i: i % 2 == 0), "name": lambda i, t: F.concat((i + 1).cast("string"), F.lit(". "), F.upper(t))}
+    hooks = {"body": lambda b: F.regexp_replace(b, r'<a href="/[^"]*">of</a>', ""), "items": lambda rows: F.filter(rows, lambda r, i: i % 2 == 0), "name": lambda i, t: F.concat((i + 1).cast("string"), F.lit(". "), _upper(t))}
     return extract.search(sourced(spark, sf).where("page_id % 3 = 1"), CATALOG[1:2], hooks=hooks).select("page_id", "item_ix", "name")
 
 
+def _upper_text(text: str) -> str:
+    return "".join("ẞ" if c == "ß" else next((u for u in (c.upper(), c.title()) if len(u) == 1), c) for c in text)
+
+
 @F.pandas_udf(T.StringType())
 def _marked(texts: pd.Series) -> pd.Series:
-    return "[" + texts.str.upper() + "]"
+    return "[" + texts.map(_upper_text, na_action="ignore") + "]"
 
 
 def f01_content(spark, sf):
