@@ -41,14 +41,35 @@ def first_seen(rows: DataFrame, *keys: str) -> DataFrame:
     return best.select("r.*").select(*ORDER, "rest.*").select(*rows.columns)
 
 
+def _elsewhere(rows: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """targets with `found`: structs o, origin, book_url of the first `limit` listings by order that match a target's name and
+    author and are of another origin, one a source and URL.
+
+    Targets of one name differ only in the origin that they leave out. So a name keeps `limit` listings of each origin, and of
+    these the first 2 * limit, of which at least half are of other origins than any one: targets meet one row a name, not its listings."""
+    left = targets.select("target_id", bare_name(F.col("name")).alias("k_name"), bare_author(F.col("author")).alias("k_author"), F.col("origin").alias("own"))
+    keys = left.select("k_name", "k_author").distinct()
+    named = rows.withColumn("k_name", bare_name(F.col("name"))).withColumn("k_author", bare_author(F.col("author"))).join(keys, ["k_name", "k_author"], "left_semi")
+    once = named.groupBy("k_name", "k_author", "origin", "book_url").agg(F.min(F.struct("source_ord", "item_ix")).alias("o"))
+    of_origin = W.partitionBy("k_name", "k_author", "origin").orderBy("o", "book_url")
+    of_name = W.partitionBy("k_name", "k_author").orderBy("o", "origin", "book_url")
+    some = once.withColumn("_n", F.row_number().over(of_origin)).where(F.col("_n") <= limit).withColumn("_n", F.row_number().over(of_name)).where(F.col("_n") <= 2 * limit)
+    lists = some.groupBy("k_name", "k_author").agg(F.sort_array(F.collect_list(F.struct("o", "origin", "book_url"))).alias("_all"))
+    others = F.slice(F.filter("_all", lambda x: x["origin"] != F.col("own")), 1, limit)
+    return left.join(lists, ["k_name", "k_author"]).select("target_id", others.alias("found")).where(F.size("found") > 0)
+
+
 def alternates(rows: DataFrame, targets: DataFrame, limit: int = 20) -> DataFrame:
-    """Listings elsewhere that match a target's name and author: one a source and URL, `limit` a target by order."""
-    limit = min(100, max(1, limit))
-    left = targets.select(F.col("target_id"), bare_name(F.col("name")).alias("k_name"), bare_author(F.col("author")).alias("k_author"), F.col("origin").alias("own"))
-    right = rows.withColumn("k_name", bare_name(F.col("name"))).withColumn("k_author", bare_author(F.col("author"))).groupBy("k_name", "k_author", "origin", "book_url").agg(F.min(F.struct("source_ord", "item_ix")).alias("o"))
-    found = left.join(right, ["k_name", "k_author"]).where(F.col("origin") != F.col("own"))
-    w = W.partitionBy("target_id").orderBy("o", "origin", "book_url")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("target_id", "rank", "origin", "book_url")
+    """Listings elsewhere that match a target's name and author: one a source and URL, `limit` a target by order. A target is one row."""
+    found = _elsewhere(rows, targets, min(100, max(1, limit))).select("target_id", F.posexplode("found").alias("_at", "f"))
+    return found.select("target_id", (F.col("_at") + 1).alias("rank"), "f.origin", "f.book_url")
+
+
+def bounded_alternates(rows: DataFrame, targets: DataFrame, limit: int = 20) -> DataFrame:
+    """target_id, last_index and has_more of a target's first `limit` alternates, of 100 at most that are looked for."""
+    found = _elsewhere(rows, targets, 100).select("target_id", F.size("found").alias("n"))
+    last = F.least(F.lit(min(100, max(1, limit))), F.col("n"))
+    return found.select("target_id", last.alias("last_index"), (F.col("n") > last).alias("has_more"))
 
 
 def take_until(rows: DataFrame, size: int) -> DataFrame:

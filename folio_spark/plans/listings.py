@@ -118,9 +118,7 @@ def j11(spark, sf):
 
 
 def t05(spark, sf):
-    rows = merge.alternates(listings(spark, sf), targets(spark, sf), 5)
-    counts = merge.alternates(listings(spark, sf), targets(spark, sf), 100).groupBy("target_id").agg(F.count("*").alias("n"))
-    return rows.groupBy("target_id").agg(F.max("rank").alias("last_index")).join(counts, "target_id").select("target_id", "last_index", (F.col("n") > F.col("last_index")).alias("has_more"))
+    return merge.bounded_alternates(listings(spark, sf), targets(spark, sf), 5)
 
 
 def t06(spark, sf):
