@@ -55,9 +55,12 @@ def j14(spark, sf):
     words = table(spark, sf, "benchmark").select("item_id", F.element_at(F.split("text", " "), 1).alias("keyword"))
     rule = F.lit('/search?q={{key}}&p=<1,2,last> , {"method":"GET"}')
     url, options = U.split_options(rule)
-    rows = table(spark, sf, "supplier").select("s_suppkey").crossJoin(F.broadcast(words)).withColumn("page", F.explode(F.array(F.lit(1), F.lit(5))))
+    paged = words.withColumn("page", F.explode(F.array(F.lit(1), F.lit(5))))
     filled = U.page_choice(U.fill_placeholders(url, U.encode_component(F.col("keyword")), F.col("page")), F.col("page"))
-    return rows.select("s_suppkey", "item_id", "page", F.concat(F.lit("http://src"), F.col("s_suppkey").cast("string"), F.lit(".example.com"), filled).alias("url"), F.get_json_object(options, "$.method").alias("method"))
+    made = paged.select("item_id", "page", filled.alias("filled"), F.get_json_object(options, "$.method").alias("method"))  # once for all sources
+    sources = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("http://src"), F.col("s_suppkey").cast("string"), F.lit(".example.com")).alias("home"))
+    rows = sources.repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey").crossJoin(F.broadcast(made))
+    return rows.select("s_suppkey", "item_id", "page", F.concat("home", "filled").alias("url"), "method")
 
 
 def j02(spark, sf):
