@@ -193,6 +193,10 @@ def objects_in(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+#: Objects, and characters of them, that one batch of a scan holds.
+MOST_ROWS, MOST_CHARS = 10_000, 8 << 20
+
+
 def recovered(texts: DataFrame, text_col: str = "value", keys: tuple[str, ...] = ("bookUrl", "origin"), order: tuple[str, ...] = ()) -> DataFrame:
     """The objects that can still be read in damaged or concatenated JSON, each key once: item (JSON text) and its keys.
 
@@ -201,13 +205,23 @@ def recovered(texts: DataFrame, text_col: str = "value", keys: tuple[str, ...] =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                text = b.column(0)[row].as_py() or ""
-                found = objects_in(text)
-                for lo in range(0, len(found), 1000):
-                    some = found[lo : lo + 1000]
-                    same = pa.array([row] * len(some))
-                    yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(some)), pa.int64()), pa.array([text[x:y] for x, y in some]), *(b.column(i).take(same) for i in range(1, b.num_columns))], ["i", "item", *b.schema.names[1:]])
+            at, places, items, size = [], [], [], 0
+
+            def batch(b=b):
+                same = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(items, pa.string()), *(b.column(i).take(same) for i in range(1, b.num_columns))], ["i", "item", *b.schema.names[1:]])
+
+            for row, text in enumerate(b.column(0).to_pylist()):
+                for i, (x, y) in enumerate(objects_in(text or "")):
+                    at.append(row)
+                    places.append(i)
+                    items.append(text[x:y])
+                    size += y - x
+                    if len(items) >= MOST_ROWS or size >= MOST_CHARS:
+                        yield batch()
+                        at, places, items, size = [], [], [], 0
+            if items:
+                yield batch()
 
     before = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
     rows = texts.select(F.col(text_col).cast("string").alias("t"), F.md5(F.col(text_col).cast("string")).alias("hash"), *before)
