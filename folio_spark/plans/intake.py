@@ -124,6 +124,11 @@ def s15(spark, sf):
     return catalogs.copy_sources(c, "default", "anna")
 
 
+def _spread(spark, rows, key: str):
+    """Short rows over all tasks: a small file is one part, whatever is made of its rows."""
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, key)
+
+
 def _zipped(batches):
     """Archives of files (path, text), one a row."""
     import io
@@ -145,7 +150,7 @@ def _zipped(batches):
 def second_edition(spark, sf):
     """Archives of the older kind for every customer: titles in an NCX (some chapters have none there), the cover by a meta element,
     by its own property, by its name, or none, by turns."""
-    n = F.col("c_custkey")
+    n = F.col("book")
     k = n.cast("string")
     metas = F.when(n % 4 == 0, '<meta name="cover" content="pic"/>').otherwise("")
     pictures = F.when(n % 4 == 0, '<item id="pic" href="img/p.jpg" media-type="image/jpeg"/><item id="cover-b" href="img/b.png" media-type="image/png"/>').when(n % 4 == 1, '<item id="a" href="img/a.png" media-type="image/png" properties="cover-image"/>').when(n % 4 == 2, '<item id="z" href="img/The%20Cover.gif" media-type="image/gif"/>').otherwise('<item id="q" href="img/q.png" media-type="image/png"/>')
@@ -157,7 +162,7 @@ def second_edition(spark, sf):
         "b.html": F.concat(F.lit("<html><body>"), F.when(n % 3 == 1, "<h3>Own <b>title</b></h3>").otherwise(""), F.lit("<p>two</p></body></html>")),
     }
     packed = F.array(*(F.struct(F.lit(p).alias("path"), t.alias("text")) for p, t in files.items()))
-    return epub.read_files(table(spark, sf, "customer").select(n.alias("book"), packed.alias("files")).mapInArrow(_zipped, "book long, content binary"))
+    return epub.stored_files(_spread(spark, table(spark, sf, "customer").select(F.col("c_custkey").alias("book")), "book").select("book", packed.alias("files")).mapInArrow(_zipped, "book long, content binary"))
 
 
 def j04_ncx(spark, sf):
@@ -165,7 +170,7 @@ def j04_ncx(spark, sf):
 
 
 def j04_cover(spark, sf):
-    packs = epub.packages(second_edition(spark, sf))
+    packs = stores.checkpointed(epub.packages(second_edition(spark, sf)))  # read by manifest and cover
     return epub.cover(packs, epub.manifest(packs)).select("book", "path")
 
 
@@ -190,8 +195,8 @@ def s08(spark, sf):
         "../evil": F.lit("no"),
     }.items()))
 
-    archives = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("book"), files.alias("files")).mapInArrow(_zipped, "book long, content binary")
-    members = epub.read_files(archives)
+    archives = _spread(spark, table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select(F.col("s_suppkey").alias("book"), files.alias("files")).mapInArrow(_zipped, "book long, content binary")
+    members = epub.stored_files(archives)
     c = epub.chapters(members)
     assets = F.create_map(F.lit("OPS/img/a.png"), F.lit("/assets/a.png"))
     return c.select("book", "idx", "path", "title", "n_chars", epub.clean_markup(F.col("markup"), assets, F.regexp_extract("path", "^(.*/)[^/]*$", 1)).alias("markup"))

@@ -16,9 +16,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio_spark.functions.text import collapse_space, plain_length
+from folio_spark.sources.stores import checkpointed
 
 #: Limits of an archive, as parameters of its reader: members, bytes of one, bytes of all.
 MOST_FILES, MOST_BYTES, MOST_TOTAL = 5000, 50 << 20, 500 << 20
+#: Members, and bytes of them, that one batch of the reader holds.
+MOST_ROWS, MOST_BATCH = 2000, 8 << 20
 #: Media types of chapters, and what chapter markup may keep.
 PAGES = ("application/xhtml+xml", "text/html")
 KEPT = "p|br|hr|div|span|h1|h2|h3|h4|h5|h6|b|strong|i|em|u|s|sub|sup|ul|ol|li|dl|dt|dd|blockquote|pre|code|table|thead|tbody|tr|td|th|ruby|rt|rp"
@@ -46,9 +49,22 @@ def read_files(archives: DataFrame, id_col: str = "book", content: str = "conten
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at, rows, size = [], [], 0
+
+            def batch(b=b):
+                columns = zip(*rows, strict=True)
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.string())))], [id_col, "path", "bytes", "error"])
+
             for i in range(b.num_rows):
-                rows = list(members(b.column(1)[i].as_py() or b""))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows), pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [(), (), ()], (pa.string(), pa.binary(), pa.string())))], [id_col, "path", "bytes", "error"])
+                for row in members(b.column(1)[i].as_py() or b""):
+                    at.append(i)
+                    rows.append(row)
+                    size += len(row[1] or b"")
+                    if len(rows) >= MOST_ROWS or size >= MOST_BATCH:
+                        yield batch()
+                        at, rows, size = [], [], 0
+            if rows:
+                yield batch()
 
     from pyspark.sql import types as T
 
@@ -56,6 +72,11 @@ def read_files(archives: DataFrame, id_col: str = "book", content: str = "conten
     return archives.select(id_col, content).mapInArrow(run, schema)
 
 
+def stored_files(archives: DataFrame, id_col: str = "book", content: str = "content") -> DataFrame:
+    """read_files, written once to the session's checkpoint folder: packages, titles and chapters each read it again."""
+    return checkpointed(read_files(archives, id_col, content))
+
+
 def _xml(c: Column) -> Column:
     """A document's text as the XPath functions take it: no byte-order mark, no document type (it may name files elsewhere)."""
     text = F.regexp_replace(F.decode(c, "UTF-8"), r"^\x{FEFF}", "")
@@ -123,7 +144,7 @@ def own_title(markup: Column) -> Column:
 def chapters(files: DataFrame, book: str = "book") -> DataFrame:
     """book, idx, path, title, markup and n_chars of each chapter: the spine's pages in order, each path once, with the title
     of the navigation, else the page's own, else its number."""
-    packs = packages(files, book)
+    packs = checkpointed(packages(files, book))  # read by manifest and spine
     items = manifest(packs, book)
     pages = spine(packs, book).join(items.where(F.col("media_type").isin(*PAGES)), [book, "id"]).join(files.select(book, "path", "bytes"), [book, "path"])
     first = pages.groupBy(book, "path").agg(F.min(F.struct("pos", "bytes")).alias("p")).select(book, "path", "p.pos", F.decode("p.bytes", "UTF-8").alias("markup"))
