@@ -41,20 +41,27 @@ def first_seen(rows: DataFrame, *keys: str) -> DataFrame:
     return best.select("r.*").select(*ORDER, "rest.*").select(*rows.columns)
 
 
-def _elsewhere(rows: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
-    """targets with `found`: structs o, origin, book_url of the first `limit` listings by order that match a target's name and
-    author and are of another origin, one a source and URL.
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("k_name", bare_name(F.col("name"))).withColumn("k_author", bare_author(F.col("author")))
+
+
+def kept_listings(rows: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """k_name, k_author, o, origin and book_url of the listings that the first `limit` alternates of any target come from.
 
     Targets of one name differ only in the origin that they leave out. So a name keeps `limit` listings of each origin, and of
-    these the first 2 * limit, of which at least half are of other origins than any one: targets meet one row a name, not its listings."""
-    left = targets.select("target_id", bare_name(F.col("name")).alias("k_name"), bare_author(F.col("author")).alias("k_author"), F.col("origin").alias("own"))
-    keys = left.select("k_name", "k_author").distinct()
-    named = rows.withColumn("k_name", bare_name(F.col("name"))).withColumn("k_author", bare_author(F.col("author"))).join(keys, ["k_name", "k_author"], "left_semi")
-    once = named.groupBy("k_name", "k_author", "origin", "book_url").agg(F.min(F.struct("source_ord", "item_ix")).alias("o"))
+    these the first 2 * limit, of which at least half are of other origins than any one."""
+    keys = _named(targets).select("k_name", "k_author").distinct()
+    once = _named(rows).join(keys, ["k_name", "k_author"], "left_semi").groupBy("k_name", "k_author", "origin", "book_url").agg(F.min(F.struct("source_ord", "item_ix")).alias("o"))
     of_origin = W.partitionBy("k_name", "k_author", "origin").orderBy("o", "book_url")
     of_name = W.partitionBy("k_name", "k_author").orderBy("o", "origin", "book_url")
-    some = once.withColumn("_n", F.row_number().over(of_origin)).where(F.col("_n") <= limit).withColumn("_n", F.row_number().over(of_name)).where(F.col("_n") <= 2 * limit)
-    lists = some.groupBy("k_name", "k_author").agg(F.sort_array(F.collect_list(F.struct("o", "origin", "book_url"))).alias("_all"))
+    return once.withColumn("_n", F.row_number().over(of_origin)).where(F.col("_n") <= limit).withColumn("_n", F.row_number().over(of_name)).where(F.col("_n") <= 2 * limit).drop("_n")
+
+
+def _elsewhere(rows: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """target_id and `found`: structs o, origin, book_url of the first `limit` listings by order that match a target's name and
+    author and are of another origin, one a source and URL. Targets meet one row a name, not its listings."""
+    lists = kept_listings(rows, targets, limit).groupBy("k_name", "k_author").agg(F.sort_array(F.collect_list(F.struct("o", "origin", "book_url"))).alias("_all"))
+    left = _named(targets).select("target_id", "k_name", "k_author", F.col("origin").alias("own"))
     others = F.slice(F.filter("_all", lambda x: x["origin"] != F.col("own")), 1, limit)
     return left.join(lists, ["k_name", "k_author"]).select("target_id", others.alias("found")).where(F.size("found") > 0)
 

@@ -197,11 +197,8 @@ def objects_in(text: str) -> list[tuple[int, int]]:
 MOST_ROWS, MOST_CHARS = 10_000, 8 << 20
 
 
-def recovered(texts: DataFrame, text_col: str = "value", keys: tuple[str, ...] = ("bookUrl", "origin"), order: tuple[str, ...] = ()) -> DataFrame:
-    """The objects that can still be read in damaged or concatenated JSON, each key once: item (JSON text) and its keys.
-
-    Of objects with equal keys the first stays, by the order columns of its text, then by the text, then by its place there.
-    Objects within objects are part of them; what doesn't parse is left out."""
+def found_objects(rows: DataFrame) -> DataFrame:
+    """i (place), item (JSON text) and the other columns for each object of the texts in the first column."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,10 +220,18 @@ def recovered(texts: DataFrame, text_col: str = "value", keys: tuple[str, ...] =
             if items:
                 yield batch()
 
+    return rows.mapInArrow(scan, T.StructType([T.StructField("i", T.LongType()), T.StructField("item", T.StringType()), *rows.schema.fields[1:]]))
+
+
+def recovered(texts: DataFrame, text_col: str = "value", keys: tuple[str, ...] = ("bookUrl", "origin"), order: tuple[str, ...] = ()) -> DataFrame:
+    """The objects that can still be read in damaged or concatenated JSON, each key once: item (JSON text) and its keys.
+
+    Of objects with equal keys the first stays, by the order columns of its text, then by the text, then by its place there.
+    Objects within objects are part of them; what doesn't parse is left out."""
+
     before = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
     rows = texts.select(F.col(text_col).cast("string").alias("t"), F.md5(F.col(text_col).cast("string")).alias("hash"), *before)
-    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("item", T.StringType()), *rows.schema.fields[1:]])
-    found = rows.mapInArrow(scan, schema).where(F.try_parse_json("item").isNotNull())
+    found = found_objects(rows).where(F.try_parse_json("item").isNotNull())
     place = F.struct(*(f"o{i}" for i in range(len(order))), "hash", "i")
     kept = found.select("item", place.alias("_at"), *(F.get_json_object("item", f"$['{k}']").alias(k) for k in keys)).where(F.col(keys[0]).isNotNull())
     return kept.groupBy(*keys).agg(F.min_by("item", "_at").alias("item"))

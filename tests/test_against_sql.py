@@ -3,8 +3,11 @@
 import os
 
 import duckdb
+from pyspark.sql import functions as F
 
-from folio_spark.plans import catalog
+from folio_spark.operators import merge
+from folio_spark.plans import catalog, graph, intake, listings
+from folio_spark.sources import catalogs
 
 
 def same_as_sql(spark, folder, name, order=None):
@@ -37,3 +40,38 @@ def test_hooks_map_case_letter_by_letter(spark, tmp_path):
 def test_pages_of_one_url_are_books_of_their_own(spark, tmp_path):
     written(spark, tmp_path, pages=([(i, f"http://h{i % 3}.example.com/a", "") for i in range(12)], PAGES))
     assert {r[0]: r[2] for r in same_as_sql(spark, tmp_path, "j01_all_steps")}[2] == "host"
+
+
+def test_alternates_of_a_name_that_one_origin_fills(spark, tmp_path):
+    """Names that many targets share, most listings of one origin; the join gets 2 * limit listings of a name at most."""
+    part = ([(k, "same name", "Brand", f"T{k}", 1, 1.0) for k in range(0, 400, 2)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    lines = ([(i, 2 * (i % 200), 0 if i < 900 else i % 13, 1) for i in range(1000)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    written(spark, tmp_path, part=part, lineitem=lines)
+    assert len(same_as_sql(spark, tmp_path, "j08_alternates")) == 20 * 20
+    assert {(r[1], r[2]) for r in same_as_sql(spark, tmp_path, "t05_bounded_alternates")} == {(5, True)}
+    rows, wanted = listings.listings(spark, str(tmp_path)), listings.targets(spark, str(tmp_path))
+    assert merge.kept_listings(rows, wanted, 20).count() == 40
+
+
+def test_a_batch_of_short_texts_stays_a_batch(spark):
+    texts = spark.range(500, numPartitions=1).select(F.concat(F.lit('{"bookUrl":"'), F.col("id").cast("string"), F.lit('","origin":"o"}')).alias("value"))
+    seen = spark.sparkContext.accumulator(0)
+    rows = catalogs.found_objects(texts.select(F.col("value").alias("t"), F.lit("h").alias("hash")))
+
+    def count(batches):
+        for b in batches:
+            seen.add(1)
+            yield b
+
+    assert rows.mapInArrow(count, rows.schema).count() == 500
+    assert seen.value < 5
+    assert catalogs.recovered(texts).count() == 500
+
+
+def test_archives_and_requests_are_spread(spark, tmp_path):
+    written(spark, tmp_path, supplier=([(i,) for i in range(100)], "s_suppkey long"), customer=([(i,) for i in range(40)], "c_custkey long"), benchmark=([(1, "a b"), (2, "ö c")], "item_id long, text string"))
+    assert graph.j14(spark, str(tmp_path)).rdd.getNumPartitions() > 4
+    assert same_as_sql(spark, tmp_path, "j14_frontier")
+    assert same_as_sql(spark, tmp_path, "j04_ncx_titles")
+    assert same_as_sql(spark, tmp_path, "j04_covers")
+    assert "MapInArrow" not in intake.second_edition(spark, str(tmp_path))._jdf.queryExecution().toString()
