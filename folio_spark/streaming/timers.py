@@ -42,9 +42,13 @@ class Coalescer(StatefulProcessor):
         new = [(r["_at"], r["_row"]) for r in rows]
         first = not self.waiting.exists()
         self.waiting.appendList(new)
-        due = min(self.handle.listTimers(), default=None) if not first else None
-        if first or due is None or self._due(new) < due:
-            self._time(self._held())
+        timers, due = [] if first else list(self.handle.listTimers()), self._due(new)
+        if not first and not timers:
+            due = self._due(self._held())
+        if not timers or due < min(timers):  # what waited before is due later: it need not be read
+            for x in timers:
+                self.handle.deleteTimer(x)
+            self.handle.registerTimer(due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

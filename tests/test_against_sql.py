@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio_spark.operators import merge
 from folio_spark.plans import catalog, graph, intake, listings
 from folio_spark.sources import catalogs
+from folio_spark.streaming import timers
 
 
 def same_as_sql(spark, folder, name, order=None):
@@ -75,3 +76,26 @@ def test_archives_and_requests_are_spread(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "j04_ncx_titles")
     assert same_as_sql(spark, tmp_path, "j04_covers")
     assert "MapInArrow" not in intake.second_edition(spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+def test_a_key_with_its_first_rows_reads_no_state():
+    class State:
+        def __init__(self):
+            self.rows, self.timers, self.reads = [], [], 0
+
+        exists = lambda self: bool(self.rows)
+        appendList = lambda self, new: self.rows.extend(new)
+        listTimers = lambda self: iter(self.timers)
+        registerTimer = lambda self, at: self.timers.append(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+
+        def get(self):
+            self.reads += 1
+            return iter(self.rows)
+
+    state, saves = State(), timers.Coalescer(1_000_000)
+    saves.handle = saves.waiting = state
+    for at, due in ((5_000, 1005), (9_000, 1005), (2_000, 1002)):
+        list(saves.handleInputRows(("k",), iter([{"_at": at, "_row": "r"}]), None))
+        assert state.timers == [due]
+    assert state.reads == 0 and len(state.rows) == 3
