@@ -1,8 +1,10 @@
 """Rules as data: a catalog of any number of rule sets is a table of programs, and one plan runs them all.
 
 A rule is parsed where its row is, into structs: steps with their positions, an extractor, a JSON path, changes of the value,
-the groups of a pattern. A page meets its source's program in a join, and array functions interpret it: the plan is the
-same for three rule sets and for a million. Pages are tokenised once, those of programs without selection steps not at all.
+the groups of a pattern. A page meets its sources' programs in a join, and array functions interpret them: the plan is the
+same for three rule sets and for a million. A page that many sources read is one row with a list of them: programs are
+gathered by such list, pages meet those, so a page is shuffled and tokenised once however many programs read it (and not
+at all tokenised if none of them selects). Programs are as many as sources, so no join broadcasts them by an estimate.
 
 Programs hold selection rules (also by the body: JSON or page), JSON paths and all-in-one patterns. XPath, variables, templates
 and scripts, which only columns of a plan express, and chains over pages make a program's `error` say so; the sources that
@@ -14,10 +16,12 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio_spark.functions import text as X
 from folio_spark.functions import urls as U
@@ -30,9 +34,6 @@ STEP = "struct<kind:string,value:string,other:string,picks:array<struct<lo:int,h
 PART = f"struct<steps:array<{STEP}>,take:string,arg:string>"
 CHANGE = "struct<pattern:string,new:string>"
 RULE = f"struct<mode:string,joint:string,parts:array<{PART}>,path:string,literal:string,pieces:array<struct<group:int,text:string>>,changes:array<{CHANGE}>,once:boolean,back:boolean>"
-#: Counted programs up to which they are broadcast: some kilobytes each.
-FEW = 20_000
-
 #: Fields of a listing, in their order.
 LISTED = ("name", "author", "book_url", "cover_url", "intro", "kind", "last_chapter", "update_time", "word_count")
 
@@ -95,11 +96,20 @@ def parse_rule(text: str, is_list: bool = False, of: str | None = None) -> dict:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _parsed(text: str, is_list: bool, of: str | None) -> tuple[str, str]:
+    """Mode and text of a rule's program; sources share most of their rules."""
+    rule = parse_rule(text, is_list, of)
+    return rule["mode"], json.dumps(rule)
+
+
 def compiled(catalog: DataFrame, list_col: str | None, fields_col: str, names: tuple[str, ...] = LISTED) -> DataFrame:
     """catalog, for its rules, with `items` (the list rule's program), `fields` (a program for each of names, or null) and `error`.
 
     list_col: a column of list rules (null: fields of whole pages); fields_col: maps of rules by name."""
     kept = catalog.select(*catalog.columns, (F.col(list_col) if list_col else F.lit(None).cast("string")).alias("_list"), F.col(fields_col).alias("_rules"))
+    keys = [c for c, t in catalog.dtypes if c not in (list_col, fields_col) and "map<" not in t and "variant" not in t]
+    kept = kept.repartition(*keys) if keys else kept  # a catalog is a small file, often of one split; its rules take time
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,9 +117,8 @@ def compiled(catalog: DataFrame, list_col: str | None, fields_col: str, names: t
             for list_rule, fields in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 own = {k: v for k, v in dict(fields or []).items() if v and v.strip()}
                 try:
-                    items = parse_rule(list_rule, True) if list_rule and list_rule.strip() else None
-                    of = items["mode"] if items else None
-                    out.append((json.dumps({"items": items, "fields": [parse_rule(own[n], of=of) if n in own else None for n in names]}), None))
+                    of, items = _parsed(list_rule, True, None) if list_rule and list_rule.strip() else (None, "null")
+                    out.append((f'{{"items":{items},"fields":[{",".join(_parsed(own[n], False, of)[1] if n in own else "null" for n in names)}]}}', None))
                 except (rules.UnsupportedRule, re.error) as e:
                     out.append((None, str(e)))
             arrays = [pa.array([x[i] for x in out], pa.string()) for i in range(2)]
@@ -266,13 +275,16 @@ def record(body: Column, fields: Column) -> Column:
 
 
 def read(pages: DataFrame, programs: DataFrame, body: str = "html", source: str = "source_url") -> DataFrame:
-    """Pages with their source's program, as trees where that selects. Programs with errors have no pages here."""
+    """A row for each page and program of one of its sources, as trees where a program of the page selects; `reader` is the
+    source's place. source: a column of a source, or of a list of them. Programs with errors have no pages here."""
     selects = lambda r: ~r["mode"].isin("json", "regex")
     tree = F.coalesce(selects(F.col("items")), F.lit(False)) | F.coalesce(F.exists("fields", lambda f: f.isNotNull() & selects(f)), F.lit(False))
-    good = programs.where("error is null").withColumn("_tree", tree)
-    few = programs.limit(FEW + 1).count() <= FEW
-    mine = pages.join(F.broadcast(good) if few else good, source)
-    return trees(mine.withColumn("_html", F.when(F.col("_tree"), F.col(body))), "_html").withColumn("source", F.col(body)).drop("_html", "_tree")
+    good = programs.where("error is null").select(F.col(source).alias("_source"), F.struct(*(c for c in programs.columns if c != source)).alias("_own"), tree.alias("_tree"))
+    listed = pages.withColumn("_by", F.col(source) if isinstance(pages.schema[source].dataType, T.ArrayType) else F.array(source)).drop(source)
+    wanted = listed.select("_by").distinct().select("_by", F.posexplode("_by").alias("reader", "_source"))
+    met = wanted.join(good.hint("merge"), "_source").groupBy("_by").agg(F.collect_list(F.struct("reader", F.col("_source").alias(source), "_own")).alias("_programs"), F.bool_or("_tree").alias("_tree"))
+    rows = trees(listed.join(met, "_by").drop("_by"), body, "_tree").drop("_tree")
+    return rows.select(*rows.columns, F.explode("_programs").alias("_p")).drop("_programs").select("*", "_p.reader", f"_p.{source}", "_p._own.*").drop("_p")
 
 
 def search(pages: DataFrame, programs: DataFrame, names: tuple[str, ...] = LISTED, page: str = "page_id", body: str = "html", url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:

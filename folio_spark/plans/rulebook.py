@@ -118,7 +118,7 @@ def e24(spark, sf):
 
 
 def many_sources(spark, sf):
-    """A catalog with rules of its own for every part: selections, patterns and JSON paths by turns; and pages that eight of these read each."""
+    """A catalog with rules of its own for every part: selections, patterns and JSON paths by turns; and pages, each with the list of the eight of these that read it."""
     k = F.col("p_partkey")
     key, third = k.cast("string"), F.floor(k / 3)
     listed = F.when(k % 3 == 0, F.concat(F.lit("tag.nav@tag.li["), (third % 3).cast("string"), F.lit(":"), (third % 5).cast("string"), F.lit("]"))).when(k % 3 == 1, ':<li><a href="([^"]*)">([^<]*)</a>').otherwise("$.books[*]")
@@ -126,15 +126,16 @@ def many_sources(spark, sf):
     link = F.when(k % 3 == 0, "tag.a@href").when(k % 3 == 1, "$1").otherwise("$.u")
     catalog = table(spark, sf, "part").select(F.concat(F.lit("s"), key).alias("source_url"), listed.alias("list"), F.create_map(F.lit("name"), name, F.lit("book_url"), link).alias("fields"))
     each = table(spark, sf, "part").agg(F.floor(F.count("*") / 3).alias("m"))
-    pages = sourced(spark, sf).drop("source_url").crossJoin(F.broadcast(each)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    source = (F.floor(F.col("page_id") / 3) * 8 + F.col("j")) % F.col("m") * 3 + F.col("page_id") % 3
-    return pages.select("page_id", "url", "html", "j", F.concat(F.lit("s"), source.cast("string")).alias("source_url")), catalog
+    pages = sourced(spark, sf).drop("source_url").crossJoin(F.broadcast(each))
+    source = lambda j: (F.floor(F.col("page_id") / 3) * 8 + j) % F.col("m") * 3 + F.col("page_id") % 3
+    readers = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.concat(F.lit("s"), source(j).cast("string")))
+    return pages.select("page_id", "url", "html", readers.alias("source_url")), catalog
 
 
 def e17_data(spark, sf):
     names = ("name", "book_url")
     pages, catalog = many_sources(spark, sf)
-    return programs.search(pages, programs.compiled(catalog, "list", "fields", names), names, keep=("j",)).select("page_id", "j", "source_url", "item_ix", "name", "book_url")
+    return programs.search(pages, programs.compiled(catalog, "list", "fields", names), names, keep=("reader",)).select("page_id", F.col("reader").alias("j"), "source_url", "item_ix", "name", "book_url")
 
 
 def e20_data(spark, sf):
@@ -143,7 +144,7 @@ def e20_data(spark, sf):
     k = F.regexp_extract("source_url", r"\d+", 0)
     rules_of = F.when(k.cast("long") % 3 == 2, F.create_map(F.lit("name"), F.concat(F.lit("$.books[1].n##d$##-"), k), F.lit("kind"), F.lit("books[0].u"))).otherwise(F.create_map(F.lit("name"), F.concat(F.lit("tag.nothing@text||tag.nav@tag.li."), F.pmod(k.cast("long"), F.lit(4)).cast("string"), F.lit("@tag.a@href")), F.lit("kind"), F.lit("tag.html@lang")))
     names = ("name", "kind", "author")
-    return programs.details(pages, programs.compiled(catalog.select("source_url", rules_of.alias("r")), None, "r", names), names, keep=("j",)).select("page_id", "j", "source_url", *names)
+    return programs.details(pages, programs.compiled(catalog.select("source_url", rules_of.alias("r")), None, "r", names), names, keep=("reader",)).select("page_id", F.col("reader").alias("j"), "source_url", *names)
 
 
 def _upper(t):

@@ -5,7 +5,7 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
-from folio_spark.operators import merge
+from folio_spark.operators import merge, programs
 from folio_spark.plans import catalog, graph, intake, listings
 from folio_spark.sources import catalogs
 from folio_spark.streaming import timers
@@ -99,3 +99,28 @@ def test_a_key_with_its_first_rows_reads_no_state():
         list(saves.handleInputRows(("k",), iter([{"_at": at, "_row": "r"}]), None))
         assert state.timers == [due]
     assert state.reads == 0 and len(state.rows) == 3
+
+
+def test_a_page_that_many_sources_read_is_tokenised_once(spark, tmp_path, monkeypatch):
+    page = lambda i: f'<html lang="l{i}"><body><nav><ul>' + "".join(f'<li><a href="/{t}">{t}</a></li>' for t in "abcdef") + "</ul></nav></body></html>"
+    parts = ([(k, "n", "b", "t", 1, 1.0) for k in range(90)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    written(spark, tmp_path, pages=([(i, f"http://h{i}/x", page(i)) for i in range(24)], PAGES), part=parts)
+    seen, real = spark.sparkContext.accumulator(0), programs.trees
+
+    def counted(pages, *args):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return real(pages.mapInArrow(count, pages.schema), *args)
+
+    monkeypatch.setattr(programs, "trees", counted)
+    for name, rows in (("e20_rules_as_data", 24 * 8), ("e17_rules_as_data", None)):
+        df = catalog.queries()[name](spark, str(tmp_path))
+        assert "SortMergeJoin [_source" in df._jdf.queryExecution().toString()  # programs aren't broadcast by an estimate
+        before = seen.value
+        got = df.collect()
+        assert seen.value - before == 24
+        assert rows is None or len(got) == rows
+        same_as_sql(spark, tmp_path, name)
