@@ -33,7 +33,7 @@ from .shred import trees
 STEP = "struct<kind:string,value:string,other:string,picks:array<struct<lo:int,hi:int,by:int>>,exclude:boolean>"
 PART = f"struct<steps:array<{STEP}>,take:string,arg:string>"
 CHANGE = "struct<pattern:string,new:string>"
-RULE = f"struct<mode:string,joint:string,parts:array<{PART}>,path:string,literal:string,pieces:array<struct<group:int,text:string>>,changes:array<{CHANGE}>,once:boolean,back:boolean>"
+RULE = f"struct<mode:string,joint:string,parts:array<{PART}>,path:string,keys:array<struct<name:string,item:int>>,literal:string,pieces:array<struct<group:int,text:string>>,changes:array<{CHANGE}>,once:boolean,back:boolean>"
 #: Fields of a listing, in their order.
 LISTED = ("name", "author", "book_url", "cover_url", "intro", "kind", "last_chapter", "update_time", "word_count")
 
@@ -49,6 +49,7 @@ def _steps(text: str) -> list[dict]:
     return [_step(t) for t in text.split("@")] if text else []
 
 
+@lru_cache(maxsize=4096)
 def _part(text: str, is_list: bool) -> dict:
     if is_list:
         return {"steps": _steps(text), "take": None, "arg": None}
@@ -63,12 +64,23 @@ def _part(text: str, is_list: bool) -> dict:
     return {"steps": _steps(steps), "take": "attr", "arg": name}
 
 
+def _keys(path: str) -> list[dict] | None:
+    """The steps of a path of names and numbers; null if it holds others."""
+    try:
+        steps = extract.json_steps(path)
+    except rules.UnsupportedRule:
+        return None
+    if any(kind not in ("key", "item") or (kind == "item" and int(x) >= 1 << 31) for kind, x in steps):
+        return None
+    return [{"name": x if kind == "key" else None, "item": int(x) if kind == "item" else None} for kind, x in steps]
+
+
 def parse_rule(text: str, is_list: bool = False, of: str | None = None) -> dict:
     """A rule as a program. of: the mode of the list rule whose field it is."""
     mode = of if of == extract.REGEX else extract.mode_of(text)
     if mode == extract.XPATH or "@@" in text or "@put:" in text or "@get:" in text or "{{" in text or "{$" in text:
         raise rules.UnsupportedRule(f"rule {text!r}: XPath, variables, templates and chains over pages are no programs")
-    out = {"mode": mode, "joint": None, "parts": [], "path": None, "literal": None, "pieces": [], "changes": [], "once": False, "back": is_list and text.strip().startswith("-")}
+    out = {"mode": mode, "joint": None, "parts": [], "path": None, "keys": None, "literal": None, "pieces": [], "changes": [], "once": False, "back": is_list and text.strip().startswith("-")}
     bare = text if mode == extract.REGEX and not is_list else extract.bare_rule(text)
     if not (mode == extract.REGEX and is_list):
         bare, changes, out["once"] = rules.split_changes(bare)
@@ -86,6 +98,7 @@ def parse_rule(text: str, is_list: bool = False, of: str | None = None) -> dict:
             out["path"] = extract.json_path(bare)
             if extract.is_deep(out["path"]):
                 raise rules.UnsupportedRule(f"rule {text!r}: scans are no programs")
+            out["keys"] = _keys(out["path"])
     if mode != extract.JSON:
         joint = next((j for j in ("&&", "||", "%%") if j in bare), None)
         try:
@@ -222,16 +235,28 @@ def strings(rule: Column, start: Column) -> Column:
     return F.transform(_joined(rule, found), lambda v: changed(rule, v))
 
 
-def json_value(rule: Column, item: Column) -> Column:
-    """The value of a JSON field: a literal, or what its path gives, arrays as lines."""
+def _at(value: Column, key: Column) -> Column:
+    """What a step of names and numbers finds in a JSON value (variant)."""
+    named = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), key["name"])
+    return F.when(key["name"].isNotNull(), named).otherwise(F.get(F.try_variant_get(value, "$", "array<variant>"), key["item"]))
+
+
+def json_value(rule: Column, item: Column, parsed: Column) -> Column:
+    """The value of a JSON field: a literal, or what its path gives, arrays as lines. parsed: item as a variant.
+
+    Steps parsed with the rule are walked; a path as text would be parsed for each value."""
     path = rule["path"]
     starred = F.call_function("get_json_object", item, path)
     lines = F.when(starred.startswith("["), F.array_join(F.from_json(starred, "array<string>"), "\n")).otherwise(starred)
-    plain = X.json_text(F.call_function("try_variant_get", F.try_parse_json(item), path, F.lit("variant")))
-    found = F.when(rule["literal"].isNotNull(), rule["literal"]).when(F.contains(path, F.lit("*")), lines).when(path.isNotNull(), plain)
+    walked = F.when(rule["keys"].isNotNull(), F.aggregate(rule["keys"], parsed, _at)).otherwise(F.call_function("try_variant_get", parsed, path, F.lit("variant")))
+    found = F.when(rule["literal"].isNotNull(), rule["literal"]).when(F.contains(path, F.lit("*")), lines).when(path.isNotNull(), let(walked, X.json_text))
     return F.nullif(changed(rule, found), F.lit(""))
 
 
+def _json_values(fields: Column, item: Column) -> Column:
+    return let(F.try_parse_json(item), lambda v: _values(fields, lambda f: json_value(f, item, v)))
+
+
 def _css(rule: Column, i: Column) -> Column:
     return F.when(~rule["mode"].isin("json", "xpath"), F.get(strings(rule, i), F.lit(0)))
 
@@ -247,7 +272,7 @@ def rows_of(body: Column, items: Column, fields: Column, names: tuple[str, ...])
     def by_path() -> Column:
         found = F.call_function("get_json_object", body, items["path"])
         each = F.when(found.startswith("["), F.from_json(found, "array<string>")).otherwise(F.filter(F.array(found), lambda x: x.isNotNull()))
-        return F.transform(each, lambda x: _values(fields, lambda f: json_value(f, x)))
+        return F.transform(each, lambda x: _json_values(fields, x))
 
     def by_pattern() -> Column:
         used = F.array_distinct(F.filter(F.flatten(F.transform(fields, lambda f: F.transform(F.coalesce(f["pieces"], F.array().cast("array<struct<group:int,text:string>>")), lambda p: p["group"]))), lambda g: g.isNotNull()))
@@ -271,7 +296,7 @@ def record(body: Column, fields: Column) -> Column:
     """The values of a whole page; the first field that there is gives the mode."""
     lead = F.get(F.filter(fields, lambda f: f.isNotNull()), F.lit(0))["mode"]
     as_json = (lead == "json") | ((lead == "auto") & extract.is_json(body))
-    return F.when(as_json, _values(fields, lambda f: json_value(f, body))).otherwise(_values(fields, lambda f: _css(f, F.lit(-1))))
+    return F.when(as_json, _json_values(fields, body)).otherwise(_values(fields, lambda f: _css(f, F.lit(-1))))
 
 
 def read(pages: DataFrame, programs: DataFrame, body: str = "html", source: str = "source_url") -> DataFrame:

@@ -124,3 +124,17 @@ def test_a_page_that_many_sources_read_is_tokenised_once(spark, tmp_path, monkey
         assert seen.value - before == 24
         assert rows is None or len(got) == rows
         same_as_sql(spark, tmp_path, name)
+
+
+def test_json_paths_of_programs_are_walked_by_steps_parsed_with_the_rule(spark):
+    assert programs.parse_rule("$.o.r[1]['a b']")["keys"] == [{"name": "o", "item": None}, {"name": "r", "item": None}, {"name": None, "item": 1}, {"name": "a b", "item": None}]
+    assert programs.parse_rule("$.u[*]")["keys"] is None
+    body = '{"o":{"p":true,"r":[1,{"a b":"x"}]},"u":["/1","/2"],"5":"five","q":null,"n":"A"}'
+    want = {"o.p": "true", "$.o.r[1]['a b']": "x", "u": "/1\n/2", "u[1]": "/2", "u[2]": None, "$.u[*]": "/1\n/2", "$.5": "five", "q": None, "n.z": None, "o[0]": None, "o.r[1]": '{"a b":"x"}', "n##A##Z": "Z"}
+    names = tuple(f"f{i}" for i in range(len(want)))
+    catalog = spark.createDataFrame([("s", "$.d", dict(zip(names, want)))], "source_url string, list string, fields map<string,string>")
+    pages = spark.createDataFrame([(1, ["s", "none", "s"], "http://h/", f'{{"d":[{body},5]}}'), (2, [], "http://h/", body), (3, None, "http://h/", body)], "page_id int, source_url array<string>, url string, html string")
+    rows = programs.search(pages, programs.compiled(catalog, "list", "fields", names), names, keep=("reader",)).collect()
+    assert sorted((r["reader"], r["item_ix"]) for r in rows) == [(0, 0), (0, 1), (2, 0), (2, 1)]
+    for r in rows:
+        assert [r[n] for n in names] == (list(want.values()) if r["item_ix"] == 0 else [None] * len(want))
