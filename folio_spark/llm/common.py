@@ -65,6 +65,14 @@ def same_row(rows: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> Co
     return rows[id_col].eqNullSafe(keys["_id"]) & (F.xxhash64(rows[text_col]) == keys["_text"])
 
 
+def keep() -> None:
+    """What a task frees stays with it until give_back(): else the system takes large arrays back and clears their pages anew
+    for each batch."""
+    if option := getattr(ctypes.CDLL(None), "mallopt", None):
+        option(-1, 1 << 28)  # M_TRIM_THRESHOLD
+        option(-3, 1 << 25)  # M_MMAP_THRESHOLD, its highest value
+
+
 def give_back() -> None:
     """What a task held goes back to the system at its end: Python workers stay, for tasks of other stages."""
     pa.default_memory_pool().release_unused()

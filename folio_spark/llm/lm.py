@@ -24,18 +24,18 @@ rows; a text of any length is scored whole; columns beyond id and text play no p
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, give_back, materialize, slices, words
+from .common import fold, give_back, keep, materialize, slices
 
 #: Words that the model knows by name, those of them that are classes of their own, words in a class, words whose counts
 #: travel, components of a vector.
@@ -43,31 +43,45 @@ WORDS, SINGLE, CLASS, HEAD, DIM = 16_384, 32, 128, 1 << 16, 16
 #: Rounds of training, noise samples for a batch's classes and for a class's words, places in a batch, step size.
 ROUNDS, NOISE, INNER, BATCH, RATE = 4, 16, 6, 16_384, 0.1
 FLUSH = 300_000
-#: Places that are normalised at a time: their logits stay in a core's cache.
-CACHED = 1024
+#: Contexts that are normalised at a time: their logits stay in a core's cache. Texts that are tokenised and scored together.
+CACHED, TOGETHER = 1024, 1000
+
+
+def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (as common.words has them), in order, and where those of each text begin; then their number."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, bounds = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy()
+    whole = pc.binary_length(found).to_numpy() > 0  # white space at an end of a text leaves empty ones
+    return found.filter(pa.array(whole)), np.append(0, np.cumsum(whole))[bounds - bounds[0]]
 
 
 def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
     """token (null: the end of a text) and its count over all rows of docs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "n"])
-
-        ends = 0
-        for b in batches:
-            for text in b.column(0):
-                held.update(words(text.as_py()))
-                ends += 1
-                if len(held) > FLUSH:
-                    yield out()
-                    held.clear()
+        keep()
+        schema = pa.schema([("token", pa.binary()), ("n", pa.int64())])
+        held, rows, ends = [], 0, 0
+
+        def summed() -> pa.Table:
+            return pa.Table.from_batches(held, schema).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(schema.names)
+
+        for b in slices(batches, 0, rows=TOGETHER):
+            found = pc.value_counts(tokenised(b.column(0))[0])
+            held.append(pa.RecordBatch.from_arrays(found.flatten(), schema.names))
+            rows, ends = rows + len(found), ends + b.num_rows
+            if rows > 2 * FLUSH:
+                held = summed().to_batches()
+                rows = sum(x.num_rows for x in held)
+                if rows > FLUSH:
+                    yield from held
+                    held, rows = [], 0
         if held:
-            yield out()
+            yield from summed().to_batches()
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], ["token", "n"])
+        del held
+        give_back()
 
     return docs.select(text_col).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -91,7 +105,7 @@ class Vocabulary:
 
     def __init__(self, head: list[tuple[bytes, int]], ends: int, total: int, distinct: int):
         self.ends, self.total, self.distinct, self.single, self.width = ends, total, distinct, SINGLE, CLASS
-        self.at = {w: i for i, (w, _) in enumerate(head)}
+        self.words = pa.array([w for w, _ in head], pa.binary())
         self.unknown = len(head)
         known = min(WORDS, len(head))
         self.end, self.rest, self.size = known, known + 1, known + 2
@@ -118,11 +132,17 @@ class Vocabulary:
         lo = self.single + (c - self.first_block) * self.width
         return lo, min(lo + self.width, self.end)
 
-    def places(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.at.get, tokens, repeat(self.unknown)), np.int32, len(tokens))
+    @cached_property
+    def at(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
 
-    def sequence(self, places: np.ndarray) -> np.ndarray:
-        return np.append(self.number[places], np.int32(self.end))
+    def places(self, tokens: pa.Array) -> np.ndarray:
+        return pc.index_in(tokens, value_set=self.words).fill_null(self.unknown).to_numpy()
+
+    def sequences(self, places: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Numbers of each text's words, and the end. bounds: as tokenised() has them."""
+        numbers = np.insert(self.number[places], bounds[1:], np.int32(self.end))
+        return np.split(numbers, bounds[1:-1] + np.arange(1, len(bounds) - 1))
 
 
 def contexts(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,12 +160,18 @@ def contexts(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndar
 def _sums(at: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of values summed by number (under size): the numbers that occur and their sums."""
     numbers = np.flatnonzero(np.bincount(at, minlength=size))
-    return numbers, np.stack([np.bincount(at, values[:, j], size)[numbers] for j in range(values.shape[1])], 1).astype(np.float32)
+    place = np.empty(size, np.intp)
+    place[numbers] = np.arange(len(numbers))
+    at, out = place[at], np.empty((len(numbers), values.shape[1]), np.float32)
+    for j in range(values.shape[1]):
+        out[:, j] = np.bincount(at, values[:, j])
+    return numbers, out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
-    z = np.clip(z, -30, 30)
+    """z is used up."""
     np.negative(z, out=z)
+    np.minimum(z, 80, out=z)
     np.exp(z, out=z)
     z += 1
     return np.reciprocal(z, out=z)
@@ -156,7 +182,22 @@ def _log_sums(z: np.ndarray) -> np.ndarray:
     if z.size and (z.max() > 60 or z[:, 0].min() < -60):
         top = z.max(1)
         return top + np.log(np.exp(z - top[:, None]).sum(1))
-    return np.log(np.exp(z, out=z).sum(1))
+    return np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+
+
+def _log_softmax(h: np.ndarray, targets: np.ndarray, at: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """For each place, component `named` of the logarithm of the softmax of h[at] @ targets. at ascends, so the places of
+    a row of h stand together, and it is normalised once for them."""
+    new = np.append(True, at[1:] != at[:-1])
+    begin, own = np.flatnonzero(new), np.cumsum(new) - 1
+    rows, begin, out = at[begin], np.append(begin, len(at)), np.empty(len(at))
+    for lo in range(0, len(rows), CACHED):
+        z = h[rows[lo : lo + CACHED]] @ targets
+        s = slice(begin[lo], begin[min(lo + CACHED, len(rows))])
+        i = own[s] - lo
+        out[s] = z[i, named[s]]
+        out[s] -= _log_sums(z)[i]
+    return out
 
 
 class Bilinear:
@@ -178,35 +219,27 @@ class Bilinear:
     def copy(self) -> Bilinear:
         return Bilinear(self.v, {k: a.copy() for k, a in self.p.items()})
 
-    def _ordered(self, w: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Class and places of all words that share their class with others."""
-        c = self.v.of[w]
-        inner = np.flatnonzero((c >= self.v.first_block) & (c < self.v.first_block + self.v.blocks))
-        order = inner[np.argsort(c[inner], kind="stable")]
-        edges = np.flatnonzero(np.diff(c[order])) + 1
-        for part in np.split(order, edges) if len(order) else ():
-            yield int(c[part[0]]), part
-
     def log10_probabilities(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Normalised log-probability of each word after the two before it."""
-        p, out = self.p, np.empty(len(w))
-        h = np.ones((len(w), DIM + 1), np.float32)  # the last component meets the biases
-        h[:, :DIM] = p["r"][one] * p["c1"] + p["r"][two] * p["c2"]
+        """Normalised log-probability of each word after the two before it. Two words that stand before many places are
+        normalised once over the classes and once over each class that follows them."""
+        p, v = self.p, self.v
+        key = one.astype(np.int64) * v.size + two
+        order = np.argsort(key)
+        new = np.append(True, np.diff(key[order]) != 0)
+        at, first, w = np.cumsum(new) - 1, order[new], w[order]
+        h = np.ones((len(first), DIM + 1), np.float32)  # the last component meets the biases
+        h[:, :DIM] = p["r"][one[first]] * p["c1"] + p["r"][two[first]] * p["c2"]
         outer, inner = (np.concatenate([p[k], p[b]], 1).T for k, b in (("qc", "bc"), ("q", "b")))
-        c = self.v.of[w]
-        for lo in range(0, len(w), CACHED):
-            s = slice(lo, lo + CACHED)
-            z = h[s] @ outer
-            out[s] = z[np.arange(len(z)), c[s]]
-            out[s] -= _log_sums(z)
-        for k, rows in self._ordered(w):
-            a, e = self.v.block(k)
-            own = inner[:, a:e]
-            for lo in range(0, len(rows), CACHED):
-                some = rows[lo : lo + CACHED]
-                z = h[some] @ own
-                out[some] += z[np.arange(len(some)), w[some] - a] - _log_sums(z)
-        return out / math.log(10)
+        c = v.of[w]
+        sums = _log_softmax(h, outer, at, c)
+        rows = np.flatnonzero((c >= v.first_block) & (c < v.first_block + v.blocks))
+        rows = rows[np.argsort(c[rows], kind="stable")]
+        for part in np.split(rows, np.flatnonzero(np.diff(c[rows])) + 1) if len(rows) else ():  # words that share their class with others
+            a, e = v.block(int(c[part[0]]))
+            sums[part] += _log_softmax(h, inner[:, a:e], at[part], w[part] - a)
+        out = np.empty(len(w))
+        out[order] = sums / math.log(10)
+        return out
 
     def start(self, seed: int, rate: float) -> None:
         """Before updates: noise, and what Adagrad and the average keep of each row."""
@@ -225,16 +258,17 @@ class Bilinear:
         """One noise-contrastive step over a batch of places."""
         p, v = self.p, self.v
         before = (p["r"][one], p["r"][two])
-        h = before[0] * p["c1"] + before[1] * p["c2"]
+        both = np.ones((len(w), DIM + 1), np.float32)  # the last component meets the biases
+        h = both[:, :DIM]
+        np.multiply(before[0], p["c1"], out=h)
+        h += before[1] * p["c2"]
         c = v.of[w]
         drawn = self.rng.choice(v.classes, NOISE, p=self.noise)
         log_noise = np.log(NOISE * self.noise).astype(np.float32)
         qc = p["qc"][c]
         real = _sigmoid(np.einsum("ij,ij->i", h, qc) + p["bc"][c, 0] - log_noise[c]) - 1
-        false = _sigmoid(h @ p["qc"][drawn].T + p["bc"][drawn].T - log_noise[drawn])
+        false = _sigmoid(both @ np.concatenate([p["qc"][drawn], p["bc"][drawn] - log_noise[drawn, None]], 1).T)
         dh = real[:, None] * qc + false @ p["qc"][drawn]
-        both = np.ones((len(h), DIM + 1), np.float32)
-        both[:, :DIM] = h
         at, g = _sums(np.append(c, drawn), np.concatenate([real[:, None] * both, false.T @ both]), v.classes)
         inner = np.flatnonzero((c >= v.first_block) & (c < v.first_block + v.blocks))
         if len(inner):
@@ -247,15 +281,18 @@ class Bilinear:
             width = np.minimum(v.width, v.end - lo)
             some = lo[:, None] + (self.rng.random(INNER) * width[:, None]).astype(np.int32)  # the same share of each class's words
             shift = np.log(INNER / width).astype(np.float32)
-            qt, qs, bs = p["q"][target], p["q"][some], p["b"][some, 0] - shift[:, None]
+            qt, qs = p["q"][target], np.concatenate([p["q"][some], p["b"][some] - shift[:, None, None]], 2)
             hit = _sigmoid(np.einsum("ij,ij->i", hk, qt) + p["b"][target, 0] - np.repeat(shift, np.diff(edges))) - 1
-            wrong, back = [], hit[:, None] * qt
-            for i, (x, y) in enumerate(zip(edges, edges[1:])):  # the places of a class share its noise
-                miss = _sigmoid(hk[x:y] @ qs[i].T + bs[i])
-                back[x:y] += miss @ qs[i]
-                wrong.append(miss.T @ bk[x:y])
+            back, miss, wrong = hit[:, None] * qt, np.empty((len(inner), INNER), np.float32), np.empty((len(begin), INNER, DIM + 1), np.float32)
+            spans = list(zip(edges.tolist(), edges[1:].tolist()))  # the places of a class share its noise
+            for i, (x, y) in enumerate(spans):
+                np.matmul(bk[x:y], qs[i].T, out=miss[x:y])
+            _sigmoid(miss)
+            for i, (x, y) in enumerate(spans):
+                back[x:y] += miss[x:y] @ qs[i, :, :DIM]
+                np.matmul(miss[x:y].T, bk[x:y], out=wrong[i])
             dh[inner] += back
-            at_q, g_q = _sums(np.append(target, some.ravel()), np.concatenate([hit[:, None] * bk, *wrong]), v.size)
+            at_q, g_q = _sums(np.append(target, some.ravel()), np.concatenate([hit[:, None] * bk, wrong.reshape(-1, DIM + 1)]), v.size)
             self._step("q", at_q, g_q[:, :DIM])
             self._step("b", at_q, g_q[:, DIM:])
         self._step("qc", at, g[:, :DIM])
@@ -275,13 +312,15 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> Bilinear:
         sent = spark.sparkContext.broadcast(model)  # fixed by WORDS and HEAD
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            keep()
             m: Bilinear = sent.value.copy()
             m.start(1000 * turn + TaskContext.get().partitionId(), RATE / (1 + turn))
             v, held, size, steps = m.v, [], 0, 0
-            for b in slices(batches, 0):
-                for text in b.column(0):
-                    held.append(v.sequence(v.places(words(text.as_py()))))
-                    size += len(held[-1])
+            for b in slices(batches, 0, rows=TOGETHER):
+                tokens, bounds = tokenised(b.column(0))
+                for sequence in v.sequences(v.places(tokens), bounds):
+                    held.append(sequence)
+                    size += len(sequence)
                     if size >= BATCH:
                         w, one, two = contexts(held, v.end)
                         for lo in range(0, len(w), BATCH):
@@ -330,31 +369,27 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(train(training, vocabulary, text_col))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep()
         m: Bilinear = shared.value
         v = m.v
         part, row = TaskContext.get().partitionId(), 0
-        for b in slices(batches, 1, rows=128):
-            sums: list[list] = [[] for _ in range(5)]
-            tails, times, sequences = [], [], []
-            for text in b.column(1):
-                t = words(text.as_py())
-                at = v.places(t)
-                out = np.flatnonzero(at == v.unknown)
-                rest = Counter([t[i] for i in out.tolist()])
-                far = (at >= v.end) & (at < v.unknown)  # words of the rest whose counts are here
-                sequences.append(v.sequence(at))
-                sums[0].append(len(t) + 1)
-                sums[1].append(len(t) - len(out) + (1 if v.ends else 0))
-                sums[2].append(float(v.raw[at].sum()) + v.end_log)
-                sums[3].append(float(v.raw[at[far]].sum() - v.rest_log * far.sum()))
-                sums[4].append(len(out))
-                tails.append(list(rest))
-                times.append(list(rest.values()))
-            lens = np.array([len(s) for s in sequences])
-            model = np.add.reduceat(m.log10_probabilities(*contexts(sequences, v.end)), np.cumsum(lens) - lens)
-            n = b.num_rows
+        for b in slices(batches, 1, rows=TOGETHER):
+            tokens, bounds = tokenised(b.column(1))
+            at, n, lens = v.places(tokens), b.num_rows, np.diff(bounds)
+            doc = np.repeat(np.arange(n), lens)
+            out = np.flatnonzero(at == v.unknown)
+            far = np.flatnonzero((at >= v.end) & (at < v.unknown))  # words of the rest whose counts are here
+            rest = tokens.take(pa.array(out)).dictionary_encode()
+            pairs, times = np.unique(doc[out] * (len(rest.dictionary) + 1) + rest.indices.to_numpy(), return_counts=True)
+            owner, word = np.divmod(pairs, len(rest.dictionary) + 1)
+            edges = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
+            tail = np.bincount(doc[out], minlength=n)
+            known = lens - tail + (1 if v.ends else 0)
+            base = np.bincount(doc, v.raw[at], n) + v.end_log
+            share = np.bincount(doc[far], v.raw[at[far]] - v.rest_log, n)
+            model = np.add.reduceat(m.log10_probabilities(*contexts(v.sequences(at, bounds), v.end)), bounds[:-1] + np.arange(n))
             yield pa.RecordBatch.from_arrays(
-                [pa.array((np.int64(part) << 36) + row + np.arange(n)), b.column(0), b.column(2), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array(sums[2], pa.float64()), pa.array(sums[3], pa.float64()), pa.array(sums[4], pa.int64()), pa.array(model), pa.array(tails, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                [pa.array((np.int64(part) << 36) + row + np.arange(n)), b.column(0), b.column(2), pa.array(lens + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(share, pa.float64()), pa.array(tail, pa.int64()), pa.array(model), pa.ListArray.from_arrays(edges, rest.dictionary.take(pa.array(word))), pa.ListArray.from_arrays(edges, pa.array(times, pa.int64()))],
                 ["_row", id_col, "held_out", "n_tokens", "_known", "_base", "_share", "_tail", "_class", "_words", "_times"],
             )
             row += n

@@ -286,6 +286,40 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
     assert all(np.allclose((10**x).sum(), 1, atol=1e-4) for x in per)
 
 
+def test_lm_normalises_each_context_once(monkeypatch):
+    """What stands before many places costs once, over the classes and over each class that follows; results stay by place."""
+    for name, value in (("WORDS", 60), ("SINGLE", 4), ("CLASS", 7), ("CACHED", 16)):
+        monkeypatch.setattr(lm, name, value)
+    v = lm.Vocabulary([(f"w{i}".encode(), 100 - i) for i in range(80)], 10, 5000, 80)
+    m, r = lm.Bilinear.new(v), np.random.default_rng(3)
+    m.p["q"], m.p["qc"] = r.normal(size=m.p["q"].shape).astype(np.float32), r.normal(size=m.p["qc"].shape).astype(np.float32)
+    w, one, two = (r.integers(0, n, 20_000).astype(np.int32) for n in (v.size, 6, 5))
+    rows, sums = [], lm._log_sums
+    monkeypatch.setattr(lm, "_log_sums", lambda z: rows.append(len(z)) or sums(z))
+    got = m.log10_probabilities(w, one, two)
+    assert sum(rows) <= 30 * (1 + v.blocks)  # not one for each of 20,000 places
+    h = (m.p["r"][one] * m.p["c1"] + m.p["r"][two] * m.p["c2"]).astype(float)
+    z = np.exp(h @ m.p["qc"].T + m.p["bc"].T)
+    want = np.log10(z[np.arange(len(w)), v.of[w]] / z.sum(1))
+    z = np.exp(h @ m.p["q"].T + m.p["b"].T)
+    for c in range(v.first_block, v.first_block + v.blocks):
+        at, (lo, hi) = np.flatnonzero(v.of[w] == c), v.block(c)
+        want[at] += np.log10(z[at, w[at]] / z[at, lo:hi].sum(1))
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_lm_tokens_equal_words():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    bits = ["a", "B", "É", "\x1c", "\x85", "\xa0", " ", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r", "ß", "İ", "日本", "\x00", "😀"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(3000)] + [None, "", " ", "\n a"]
+    for some in (texts, texts[7:], [None], [""], [None, "a", None], [" a"]):
+        tokens, bounds = lm.tokenised(pa.array(texts + some, pa.string())[len(texts) :])  # a slice, as Spark's batches are cut
+        found = tokens.to_pylist()
+        assert [found[a:b] for a, b in zip(bounds, bounds[1:])] == [common.words(t) for t in some]
+
+
 def test_lm_head_of_many_bands_is_filled(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 3000)
     counts = spark.range(1, 20_000).selectExpr("encode(concat('w', id), 'UTF-8') AS token", "greatest(1, cast(200000000 / (id * id) as long)) AS n")
